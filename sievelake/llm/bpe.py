@@ -18,6 +18,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,8 @@ class Vocabulary:
         for t, k in ranks.items():
             self.tokens[k] = t
         self.longest = max(map(len, ranks), default=0)
+        #: For what tokens begin with: the token that it is, or -1.
+        self.starting = {t[:k]: -1 for t in ranks for k in range(1, len(t))} | ranks
         self._pairs: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
 
@@ -90,12 +93,13 @@ class Vocabulary:
     def together(self, a: int, b: int) -> bool:
         """Whether the two tokens are the encoding of their bytes: as their joins are undone, the latest first,
         no tokens that meet at the seam may have had a join that comes before the one undone last."""
-        key = a << 32 | b
-        if (known := self._pairs.get(key)) is None:
+        try:
+            return self._pairs[a << 32 | b]
+        except KeyError:
             if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
-            known = self._pairs[key] = self.alone(a) and self.alone(b) and self._meet(a, b)
-        return known
+            known = self._pairs[a << 32 | b] = self.alone(a) and self.alone(b) and self._meet(a, b)
+            return known
 
     def _meet(self, a: int, b: int) -> bool:
         # The seam's join is made only before what was undone: at equal ranks the left one is made first, so a
@@ -123,16 +127,19 @@ class PrefixEncoding:
 
     def append(self, more: bytes) -> None:
         """Exact: no stored token changes."""
-        v, last, piece = self.vocabulary, self.last, self.piece + more
-        rank, longest, together = v.ranks.get, v.longest, v.together
-        for end in range(len(self.piece) + 1, len(piece) + 1):
-            for start in range(max(0, end - longest), end):
-                t = rank(piece[start:end])
-                if t is not None and (together(last[start], t) if start else v.alone(t)):
-                    last.append(t)
+        v, last, piece, old = self.vocabulary, self.last, self.piece + more, len(self.piece)
+        starting, longest, together, n = v.starting.get, v.longest, v.together, len(piece)
+        last += [-1] * len(more)
+        for start in range(max(0, old - longest + 1), n):
+            before = last[start]
+            for end in range(start + 1, n + 1):
+                t = starting(piece[start:end])
+                if t is None:
                     break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
+                if t >= 0 and end > old and last[end] < 0 and (together(before, t) if start else v.alone(t)):
+                    last[end] = t
+        if -1 in last[1:]:
+            raise ValueError("the vocabulary lacks a byte")
         self.piece = piece
 
     def cut(self, length: int) -> None:
@@ -166,7 +173,7 @@ class _Pieces(dict):
         raw = piece.encode("utf-8", "replace")
         whole = self.vocabulary.ranks.get(raw)
         ids = [whole] if whole is not None else PrefixEncoding(self.vocabulary, raw).ids()
-        return _remember(self, piece, np.array(ids, "<u4").tobytes(), PIECES // 2)
+        return _remember(self, piece, pack(f"<{len(ids)}I", *ids), PIECES // 2)
 
 
 class _Chunks(dict):
