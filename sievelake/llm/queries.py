@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, mixing, quality
+from . import bpe, exact_dedup, language, mixing, near_dedup, quality
 from .common import held_out
 
 
@@ -26,6 +26,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).taken().drop("source")
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs.filter(~held_out("doc_id")))
@@ -42,7 +46,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op5_mixing, op7_language, op8_byte_bpe, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality, op5_mixing, op6_minhash_near_dedup, op7_language, op8_byte_bpe, op9_exact_dedup)}
 
 
 OP9_SQL = r"""
