@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, mixing, near_dedup, quality
+from . import bpe, exact_dedup, language, mixing, near_dedup, quality, substring_dedup
 from .common import held_out
 
 
@@ -22,6 +22,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).taken().drop("source")
 
@@ -46,7 +50,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op5_mixing, op6_minhash_near_dedup, op7_language, op8_byte_bpe, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality, op3_substring_dedup, op5_mixing, op6_minhash_near_dedup, op7_language, op8_byte_bpe, op9_exact_dedup)}
 
 
 OP9_SQL = r"""
