@@ -224,6 +224,14 @@ class Encoder:
         first, rest = self.chunked(text)
         return self.pieces(first) + b"".join(map(self._chunks.__getitem__, rest))
 
+    def count(self, text: str) -> int:
+        """The number of tokens of a text."""
+        return len(self.encode(text)) // 4
+
+    def chunk_counts(self, chunks: list[str]) -> list[int]:
+        """The numbers of tokens of chunks, as :meth:`chunked` gives them."""
+        return [len(ids) // 4 for ids in map(self._chunks.__getitem__, chunks)]
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -241,6 +249,26 @@ def with_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     return _encoded(docs, id_col, text_col, path, pattern, "doc_id long, ids array<int>, decoded binary", _whole)
 
 
+def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """As :func:`with_ids`, with n_tokens, ids and exact (whether the ids decode to the text's bytes)."""
+    path, pattern = path or public_path(), pattern or public_pattern()
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path, pattern)
+        for b in batches:
+            raw = b.column("text").to_pylist()
+            ids = [e.encode(t.decode("utf-8", "replace")) for t in raw]
+            sizes = np.fromiter((len(x) // 4 for x in ids), np.int32, len(ids))
+            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
+            exact = pa.array([e.decode(x) == t for x, t in zip(ids, raw, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), lists, exact], names=["doc_id", "n_tokens", "ids", "exact"])
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, exact boolean")
+
+
 def _whole(ids: bytes, decoded: bytes) -> tuple:
     return np.frombuffer(ids, "<i4").tolist(), decoded
 

@@ -214,3 +214,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = staged(digests(docs, id_col, text_col))
     found = staged(groups(rows))
     return rows.join(found.drop("n_points"), "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of equal texts, all columns. A row that repeats another's id and text
+    goes too. Of rows without an id one of each text stays, unless a copy with an id does."""
+    rows = staged(digests(docs, id_col, text_col))
+    found = staged(groups(rows))
+    stays = rows.join(found.drop("n_points"), "digest").filter("doc_id = keep_id").select(F.col("doc_id").alias("__id"), "digest").distinct()
+    again = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    out = docs.join(stays.select("__id").distinct(), docs[id_col].cast("bigint") == F.col("__id"), "left_semi")
+    if not again.isEmpty():  # ids that several rows have
+        out = out.dropDuplicates([id_col, text_col])
+    if rows.filter("doc_id IS NULL").isEmpty():
+        return out
+    text = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]", ""), 256)
+    lost = found.filter("keep_id IS NOT NULL").select(F.lower(F.hex("digest")).alias("__digest"))
+    nameless = docs.filter(F.col(id_col).isNull()).dropDuplicates([text_col]).withColumn("__of", text)
+    return out.unionByName(nameless.join(lost, F.col("__of") == F.col("__digest"), "left_anti").drop("__of"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, mixed, small_batches, staged, text_bytes
+from .common import arrow_rows, mixed, small_batches, spans, staged, text_bytes
 
 BLOCK, SHARE, LIMIT, SEED = 128, 1.5, 2.0, 11
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -152,3 +152,50 @@ class Mix:
         # A document with words has a place of its own in its source.
         of = self.pieces().filter("times > 0").groupBy("k", "start", "size").agg(F.sum((F.col("last") - F.col("first")) * F.col("times")).alias("taken"))
         return self.places.join(of, ["k", "start", "size"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
+_IS_WORD = np.ones(256, bool)
+_IS_WORD[[9, 10, 11, 12, 13, 32]] = False
+
+
+def cut(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
+    """The words in ``ranges`` (first, last excluded; in order), with what stands between neighbours; ranges that
+    don't touch are joined by a space."""
+    starts, ends = spans(_IS_WORD[np.frombuffer(text, np.uint8)])
+    joined: list[list[int]] = []
+    for a, b in ranges:
+        if joined and joined[-1][1] == a:
+            joined[-1][1] = b
+        else:
+            joined.append([a, b])
+    return b" ".join(text if (a, b) == (0, len(starts)) else text[starts[a] : ends[b - 1]] for a, b in joined)
+
+
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", **plan) -> DataFrame:
+    """The mix as documents, with the columns of ``docs``: a document's first copy has the words whose blocks are
+    taken, its second those taken twice, and so on; one of which nothing is taken goes. Blocks split texts at
+    words; a copy of all words is the whole text. ``chars_col`` is counted anew. Ids must be unique; rows without
+    one are left out."""
+    named = docs.filter(F.col(id_col).isNotNull())
+    pieces = Mix(named, id_col, text_col, source_col, **plan).pieces().filter("times > 0")
+    found = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "last", "times"))).alias("__pieces")).withColumnRenamed("doc_id", "__id")
+    rows = named.join(found, named[id_col].cast("bigint") == F.col("__id")).drop("__id")
+    small_batches(docs.sparkSession)
+    names = docs.columns
+    at, of = names.index(text_col), names.index(chars_col) if chars_col in names else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column(text_col).cast(pa.binary()).to_pylist()
+            rows, out = [], []
+            for k, found in enumerate(b.column("__pieces").to_pylist()):
+                for copy in range(max(p["times"] for p in found)):
+                    rows.append(k)
+                    out.append(cut(raw[k], [(p["first"], p["last"]) for p in found if p["times"] > copy]).decode("utf-8", "replace"))
+            columns = b.drop_columns(["__pieces"]).take(pa.array(rows, pa.int64())).columns
+            columns[at] = pa.array(out, columns[at].type)
+            if of >= 0:
+                columns[of] = pa.array(list(map(len, out)), pa.int64()).cast(columns[of].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return rows.mapInArrow(run, docs.schema)

@@ -174,3 +174,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     final = same.join(found, F.col("node") == F.col("id"), "left").select(F.col("mark").alias("of"), F.coalesce("component", "node").alias("component"))
     known = slim.filter("n > 0 AND doc_id IS NOT NULL").join(final, F.col("mark") == F.col("of")).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return known.unionByName(slim.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with the row of the smallest id of each component of linked documents, all columns. Rows without
+    words, and rows without an id, have no links and stay."""
+    found = classes(docs, id_col, text_col, width, percent)
+    goes = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(goes, docs[id_col].cast("bigint") == F.col("__id"), "left_anti")

@@ -172,20 +172,37 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return rows.join(F.broadcast(one), "of_id").select(F.col("of_id").alias("doc_id"), "text", "label")
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``score`` (0 to 1) for each row of ``docs`` with its id as doc_id, or with the columns ``keep``. A null text
-    counts as empty; repeated rows get equal scores."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """``score`` (0 to 1) for each row of ``docs`` with its id as doc_id, or with ``columns``. A null text counts as
+    empty; repeated rows get equal scores."""
     small_batches(docs.sparkSession)
-    keep = keep or [id_col]
+    columns = columns or [id_col]
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(c) for c in keep], text_bytes(text_col).alias("__bytes"))
+    rows = docs.select(*[F.col(c) for c in columns], text_bytes(text_col).alias("__bytes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
             x = np.array([statistics_of(t) for t in b.column("__bytes").to_pylist()]).reshape(-1, STATISTICS)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(m.scores(x), pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(m.scores(x), pa.float64())], names=[*columns, "score"])
 
     kind = rows.drop("__bytes").schema.add("score", "double")
     out = rows.mapInArrow(run, kind)
-    return out.withColumnRenamed(id_col, "doc_id") if keep == [id_col] else out
+    return out.withColumnRenamed(id_col, "doc_id") if columns == [id_col] else out
+
+
+def keep(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, with all their columns; one pass, no shuffle."""
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    name = "__text_bytes"
+    while name in docs.columns:
+        name += "_"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for b in batches:
+            x = np.array([statistics_of(t) for t in b.column(name).to_pylist()]).reshape(-1, STATISTICS)
+            yield b.drop_columns([name]).filter(pa.array(m.scores(x) >= least))
+
+    return docs.withColumn(name, text_bytes(text_col)).mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, mixing, near_dedup, quality, substring_dedup
+from . import bpe, exact_dedup, hamming_search, language, mixing, near_dedup, quality, substring_dedup, token_counts
 from .common import held_out
 
 
@@ -22,6 +22,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = hamming_search.sign_codes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return hamming_search.top_k(codes, codes.filter("id % 20 = 0"), 10)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -49,8 +54,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_substring_dedup, op5_mixing, op6_minhash_near_dedup, op7_language, op8_byte_bpe, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_topk_search, op3_substring_dedup, op5_mixing, op6_minhash_near_dedup, op7_language, op8_byte_bpe, op9_exact_dedup, op10_token_counts)}
 
 
 OP9_SQL = r"""
@@ -68,5 +77,19 @@ FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id
 """
 
 
+OP2_SQL = """
+WITH c AS (
+  SELECT vec_id AS id, list_sum(list_transform(range(64),
+           lambda b: CASE WHEN embedding[b + 1] > 0 THEN (1::HUGEINT << b::INT) ELSE 0::HUGEINT END))::UBIGINT AS code
+  FROM embeddings),
+p AS (
+  SELECT q.id AS query_id, n.id AS neighbor_id, bit_count(xor(q.code, n.code))::INT AS distance
+  FROM c q JOIN c n ON q.id <> n.id WHERE q.id % 20 = 0)
+SELECT query_id, rank, neighbor_id, distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id)::INT AS rank FROM p)
+WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op2_topk_search": OP2_SQL, "op9_exact_dedup": OP9_SQL}
