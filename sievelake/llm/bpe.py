@@ -30,7 +30,7 @@ from .common import small_batches, text_bytes
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Chunks and pairs that a worker remembers at most, and the longest chunk that it remembers, in characters.
-PIECES, PAIRS, LONG = 400_000, 1_000_000, 48
+PIECES, PAIRS, LONG = 1_000_000, 1_000_000, 48
 #: A space and white space after it.
 SPACES = re.compile(r" \s")
 
@@ -162,37 +162,48 @@ class PrefixEncoding:
         return out[::-1]
 
 
-class _Pieces(dict):
+class _Known(dict):
+    """Remembers results by key in two generations: when the younger is full it becomes the older, and what is
+    asked for again moves to the younger, so that frequent keys stay."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.half, self.older = most // 2, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if (out := self.older.get(key)) is None:
+            out = self.made(key)
+        if len(key) <= LONG:
+            if len(self) >= self.half:
+                self.older = dict(self)
+                self.clear()
+            self[key] = out
+        return out
+
+
+class _Pieces(_Known):
     """Ids of pieces, as little-endian 32-bit integers."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
+        super().__init__(PIECES // 2)
         self.vocabulary = vocabulary
 
-    def __missing__(self, piece: str) -> bytes:
+    def made(self, piece: str) -> bytes:
         raw = piece.encode("utf-8", "replace")
         whole = self.vocabulary.ranks.get(raw)
         ids = [whole] if whole is not None else PrefixEncoding(self.vocabulary, raw).ids()
-        return _remember(self, piece, pack(f"<{len(ids)}I", *ids), PIECES // 2)
+        return pack(f"<{len(ids)}I", *ids)
 
 
-class _Chunks(dict):
+class _Chunks(_Known):
     """Ids of a space and what follows it up to the next space that begins a piece."""
 
     def __init__(self, encoder: Encoder):
-        super().__init__()
+        super().__init__(PIECES)
         self.encoder = encoder
 
-    def __missing__(self, chunk: str) -> bytes:
-        return _remember(self, chunk, self.encoder.pieces(" " + chunk), PIECES)
-
-
-def _remember(known: dict, key: str, ids: bytes, most: int) -> bytes:
-    if len(key) <= LONG:
-        if len(known) >= most:
-            known.clear()
-        known[key] = ids
-    return ids
+    def made(self, chunk: str) -> bytes:
+        return self.encoder.pieces(" " + chunk)
 
 
 class Encoder:
