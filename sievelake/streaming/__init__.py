@@ -1 +1 @@
-
+"""Structured Streaming additions."""
