@@ -39,12 +39,12 @@ def bray_curtis(df: DataFrame, sample: str, species: str, amount: str) -> DataFr
 def lengths(df: DataFrame, by: list[str], length: str) -> DataFrame:
     """contigs, total, longest, and upper_median: the value at place n div 2 from 0 in ascending order, which some
     reports call N50. Lengths are counted first, so that no group is gathered as a list."""
-    each = df.filter(F.col(length).isNotNull()).groupBy(*by, length).agg(F.count(F.lit(1)).alias("n"))
+    each = df.filter(F.col(length).isNotNull()).groupBy(*by, length).agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(*by)
-    upto = F.sum("n").over(w.orderBy(length).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = each.withColumn("upto", upto).withColumn("all", F.sum("n").over(w))
+    upto = F.sum("__n").over(w.orderBy(length).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = each.withColumn("upto", upto).withColumn("all", F.sum("__n").over(w))
     return ranked.groupBy(*by).agg(
-        F.sum("n").alias("contigs"), F.sum(F.col(length) * F.col("n")).alias("total"), F.max(length).alias("longest"),
+        F.sum("__n").alias("contigs"), F.sum(F.col(length) * F.col("__n")).alias("total"), F.max(length).alias("longest"),
         F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col(length))).alias("upper_median"),
     )
 

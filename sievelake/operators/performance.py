@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.scalars import ratio
 
@@ -90,7 +91,7 @@ def rank_sum(df: DataFrame, by: list[str], sample: str, x: str, y: str, value: s
     return out.withColumn("z", (F.col("rank_sum") - n1 * (n1 + n2 + 1) / 2.0) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided(z: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The p-value of a normal deviate; Spark has no erfc. One value a test, so few rows come here."""
     for s in z:

@@ -99,7 +99,7 @@ def performance(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).filter("trim(value) <> ''").withColumn("p", F.split("value", ",")).filter(F.trim(F.col("p")[0]) != "tool")
     n = F.size("p")
     at = lambda k: F.get(F.col("p"), F.lit(k))
-    rep_known = number(at(2)).isNotNull() & (n != 5)
+    rep_known = number(at(2)).isNotNull() & ((n != 5) | (F.upper(at(3)) == "FAILED"))
     shift = F.when(rep_known, 0).otherwise(1)
     get = lambda k: F.get(F.col("p"), F.lit(k) - shift)
     return rows.select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def windowed(events: DataFrame, ts: str = "ts", by: list[str] | None = None, value: str = "value", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Rows and sum by event-time window; works on a stream (with a watermark) and on a table alike."""
-    df = events.withWatermark(ts, late) if events.isStreaming else events
+    df = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
     w = F.window(ts, width)
     out = df.groupBy(w, *(by or [])).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
     return out.select(F.col("window.start").alias("start"), *(by or []), "n", "total")
