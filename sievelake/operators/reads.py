@@ -38,9 +38,17 @@ def kmers(seq: Column, k: int) -> Column:
     return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
 
+def pieces(seq: Column, k: int, size: int = 256) -> Column:
+    """A sequence in parts that overlap by ``k - 1``, so that each ``k``-mer is in exactly one: finding a place in a
+    string costs its distance from the beginning."""
+    n = F.length(seq) - k + 1
+    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n, F.lit(size)), lambda i: F.substring(seq, i, F.lit(size + k - 1)))).otherwise(F.array().cast("array<string>"))
+
+
 def classified(reads: DataFrame, host_kmers: DataFrame, id_col: str, seq: str = "seq", k: int = 35, least_hits: int = 2) -> DataFrame:
     """Ids of reads with at least ``least_hits`` different ``k``-mers among ``host_kmers`` (kmer); others, the
     unassigned ones, are kept. The join is by k-mer, and hits are summed by partition first."""
-    own = reads.select(id_col, F.explode(F.array_distinct(kmers(F.col(seq), k))).alias("kmer"))
-    hits = own.join(host_kmers.select("kmer").distinct(), "kmer", "left_semi")
+    cut = reads.select(id_col, F.explode(pieces(F.col(seq), k)).alias("piece"))
+    own = cut.select(id_col, F.explode(kmers(F.col("piece"), k)).alias("kmer"))
+    hits = own.join(host_kmers.select("kmer").distinct(), "kmer", "left_semi").distinct()
     return hits.groupBy(id_col).agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= least_hits)
