@@ -8,8 +8,9 @@ of two sketches is concentrated at least as well as with independent MinHash val
 
 Sketches are cut into bands; documents that agree in a band are candidates, and only the exact similarity of
 their full sets makes a link. Documents with the same set are one node from the start. Within a band's bucket
-nodes are first held against the smallest one and then against the most alike ones left; what is then already
-connected needs no further test, and all other pairs of the bucket are tested, so that no candidate is lost.
+nodes are first held against the smallest one. What is then already connected needs no further test. All other
+candidates are compared in blocks of bounded size, two blocks at a time, by a product of incidence matrices, so
+that no candidate is lost and no row is made for a pair that isn't a link.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .graph import components
 
 #: Bands of ``ROWS`` coordinates. At similarity 0.8 a pair has no band in common with probability 3e-6.
 BANDS, ROWS = 24, 4
+#: Documents of a block, of which two at a time are compared as a whole.
+BLOCK = 128
 COORDS = BANDS * ROWS
 _VALUE = np.uint64((1 << 40) - 1)
 _SHINGLE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -112,6 +115,63 @@ def _verified(percent: int):
     return run
 
 
+def between(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of ``left`` are alike which of ``right``, as a matrix: sizes of intersections as a product of incidence
+    matrices over the items that both sides have, a range of them at a time."""
+    sides = []
+    for sets in (left, right):
+        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+    shared = np.intersect1d(*(items for items, _ in sides))
+    both = np.zeros((len(left), len(right)), np.float32)
+    at = []
+    for items, of in sides:
+        k = np.searchsorted(shared, items)
+        k[k == len(shared)] = 0
+        hit = shared[k] == items if len(shared) else np.zeros(len(items), bool)
+        at.append((k[hit], of[hit]))
+    for low in range(0, len(shared), 4096):
+        m = []
+        for (k, of), sets in zip(at, (left, right), strict=True):
+            inside = (k >= low) & (k < low + 4096)
+            x = np.zeros((len(sets), min(4096, len(shared) - low)), np.float32)
+            x[of[inside], k[inside] - low] = 1
+            m.append(x)
+        both += m[0] @ m[1].T
+    sizes = np.add.outer(np.array(list(map(len, left)), np.int64), np.array(list(map(len, right)), np.int64))
+    n = both.astype(np.int64)
+    return (n > 0) & (100 * n >= percent * (sizes - n))
+
+
+def _blocks(percent: int):
+    """Links between the two sides of each block pair; rows come sorted by pair. A pair of a block with itself has
+    one side. Documents of one component aren't linked again."""
+
+    def linked(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        one = [r for r in rows if not r[0]]
+        two = [r for r in rows if r[0]] or one
+        if not one or two is one and len(one) < 2:
+            return
+        sets = [[np.frombuffer(r[3], np.uint64) for r in side] for side in (one, two)]
+        same = np.equal.outer(np.array([r[2] for r in one]), np.array([r[2] for r in two]))
+        x, y = np.nonzero(between(*sets, percent) & ~same)
+        if len(x):
+            a, b = np.array([r[1] for r in one])[x], np.array([r[1] for r in two])[y]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("first", "i", "j", "right", "node", "component", "items")]
+            for f, i, j, *row in zip(*cols, strict=True):
+                if (f, i, j) != key:
+                    yield from linked(rows)
+                    key, rows = (f, i, j), []
+                rows.append(row)
+        yield from linked(rows)
+
+    return run
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of ``docs``.
 
@@ -140,37 +200,29 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         two = one.join(sets.select(F.col("id").alias("a"), F.col("items").alias("left")), "a")
         return staged(two.select("a", "b", "left", "right").mapInArrow(_verified(percent), "a long, b long"))
 
-    tested = staged(members.filter("node <> first").filter(near(F.col("n"), F.col("first_n"))).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-    links = verified(tested)
+    links = verified(members.filter("node <> first").filter(near(F.col("n"), F.col("first_n"))).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
     found = components(links)
 
-    def apart() -> DataFrame:
-        """Members of buckets that are not connected, with their components."""
-        now = members.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed_keys = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-        return now.join(mixed_keys, "key").select("key", "node", "n", "component")
-
-    # The smallest node of each component of a bucket against all of the other components; then whatever is left.
-    rest = staged(apart())
+    # Buckets that are still of several components, by their smallest node: its bands mostly share the same members.
+    now = members.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
+    rest = staged(now.join(several, "key").select("first", "node", "n", "component").distinct())
     if not rest.isEmpty():
-        heads = rest.groupBy("key", "component").agg(F.min(F.struct("node", "n")).alias("h")).select("key", F.col("component").alias("of"), F.col("h.node").alias("head"), F.col("h.n").alias("head_n"))
-        lowest = rest.groupBy("key").agg(F.min("component").alias("low"))
-        # A head against the members of the bucket's first component, and that component's head against all.
-        big = rest.join(lowest, "key")
-        to_low = big.filter("component = low").join(heads.filter("true"), "key").filter(F.col("of") != F.col("component"))
-        from_low = big.filter("component <> low").join(heads, "key").filter(F.col("of") == F.col("low"))
-        pairs = to_low.unionByName(from_low).filter(near(F.col("n"), F.col("head_n"))).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-        pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = tested.union(pairs)
-        links = links.union(verified(pairs))
-        found = components(links)
-        rest = staged(apart())
-        if not rest.isEmpty():
-            other = rest.select("key", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("of"))
-            pairs = rest.join(other, "key").filter("node < other AND component <> of").filter(near(F.col("n"), F.col("other_n"))).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-            pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"))
-            if not pairs.isEmpty():
-                found = components(links.union(verified(pairs)))
+        of_first = found.select(F.col("id").alias("first"), F.col("component").alias("first_component"))
+        sided = rest.join(of_first, "first", "left").withColumn("inner", F.col("component") == F.coalesce("first_component", "first")).drop("first_component")
+        blocks = sided.groupBy("first").agg(F.ceil(F.count_if("inner") / BLOCK).cast("int").alias("a"), F.ceil(F.count_if(~F.col("inner")) / BLOCK).cast("int").alias("b"))
+        placed = sided.join(blocks.filter("b > 0"), "first").withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("inner"), F.col("a")).otherwise(F.col("b"))).cast("int"))
+        # Inner blocks meet each outer one, outer ones also each other, each two once.
+        outer = F.sequence(F.lit(0), F.col("b") - 1)
+        with_inner = F.when(F.col("a") > 0, F.transform(F.sequence(F.lit(0), F.col("a") - 1), lambda i: F.struct((i - F.col("a")).alias("i"), F.col("block").alias("j"), F.lit(True).alias("right")))).otherwise(F.array().cast("array<struct<i:int,j:int,right:boolean>>"))
+        with_outer = F.transform(outer, lambda i: F.struct(F.least(i, F.col("block")).alias("i"), F.greatest(i, F.col("block")).alias("j"), (i < F.col("block")).alias("right")))
+        meets = F.when(F.col("inner"), F.transform(outer, lambda j: F.struct((F.col("block") - F.col("a")).alias("i"), j.alias("j"), F.lit(False).alias("right")))).otherwise(F.concat(with_inner, with_outer))
+        met = placed.withColumn("m", F.explode(meets)).select("first", "m.i", "m.j", "m.right", "node", "component")
+        filled = met.join(sets.withColumnRenamed("id", "node"), "node").select("first", "i", "j", "right", "node", "component", "items")
+        sorted_ = filled.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "first", "i", "j").sortWithinPartitions("first", "i", "j")
+        more = staged(sorted_.mapInArrow(_blocks(percent), "a long, b long"))
+        if not more.isEmpty():
+            found = components(links.union(more))
     final = same.join(found, F.col("node") == F.col("id"), "left").select(F.col("mark").alias("of"), F.coalesce("component", "node").alias("component"))
     known = slim.filter("n > 0 AND doc_id IS NOT NULL").join(final, F.col("mark") == F.col("of")).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return known.unionByName(slim.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
