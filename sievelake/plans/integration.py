@@ -226,3 +226,36 @@ def event_windows(t: Tables) -> DataFrame:
 @query("SELECT doc_id FROM documents WHERE contains(text, 'license') OR contains(text, 'Licensed') OR contains(text, 'Copyright')")
 def path_predicates(t: Tables) -> DataFrame:
     return t.documents.filter(s.contains_any(F.col("text"), ["license", "Licensed", "Copyright"])).select("doc_id")
+
+
+@query("""
+WITH r AS (SELECT s_nationkey, s_name AS q, string_split(s_name, '') AS c FROM supplier)
+SELECT s_nationkey, count(*) AS reads, sum(length(q))::BIGINT AS bases,
+  round(sum(len(list_filter(c, lambda x: ord(x) - 33 >= 20)))::DOUBLE / sum(length(q)), 6) AS q20, round(sum(len(list_filter(c, lambda x: ord(x) - 33 >= 30)))::DOUBLE / sum(length(q)), 6) AS q30,
+  round(sum(len(list_filter(c, lambda x: upper(x) IN ('G', 'C'))))::DOUBLE / sum(length(q)), 6) AS gc FROM r GROUP BY s_nationkey""")
+def reads_qc(t: Tables) -> DataFrame:
+    """Names stand for sequences and for their quality strings."""
+    return rounded(reads.summary(t.supplier.select("s_nationkey", F.col("s_name").alias("seq"), F.col("s_name").alias("qual")), ["s_nationkey"]))
+
+
+@query("""
+WITH u AS (
+  SELECT o_orderstatus AS tool, o_totalprice AS runtime, o_shippriority AS rep FROM (SELECT *, 1 AS o_shippriority FROM orders) WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderkey % 2 = 0
+  UNION ALL SELECT o_orderstatus, o_totalprice, 1 FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderkey % 2 = 1)
+SELECT tool, count(*) AS n, round(avg(runtime / 60), 6) AS minutes_mean, round(stddev_samp(runtime / 60), 6) AS minutes_std, min(rep) AS rep FROM u GROUP BY tool""")
+def matched_panel(t: Tables) -> DataFrame:
+    """Two halves of a panel from separate sources, one without repetitions, summarised together."""
+    o = t.orders.filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_orderkey", F.col("o_orderstatus").alias("tool"), F.col("o_totalprice").alias("runtime"))
+    both = integrate.tagged({"a": o.filter("o_orderkey % 2 = 0").withColumn("rep", F.lit(1)), "b": o.filter("o_orderkey % 2 = 1")})
+    both = integrate.with_default(both, "rep", F.lit(1)).withColumn("minutes", s.minutes(F.col("runtime")))
+    return rounded(both.groupBy("tool").agg(F.count(F.lit(1)).alias("n"), F.avg("minutes").alias("minutes_mean"), F.stddev_samp("minutes").alias("minutes_std"), F.min("rep").alias("rep")))
+
+
+@query("""
+WITH p AS (SELECT o_orderstatus AS tool, round(avg(o_totalprice), 4) AS runtime FROM orders GROUP BY ALL), a AS (SELECT l_linestatus AS tool, round(avg(1 - l_discount), 6) AS f1 FROM lineitem GROUP BY ALL)
+SELECT tool, runtime, f1 FROM p LEFT JOIN a USING (tool)""")
+def performance_with_accuracy(t: Tables) -> DataFrame:
+    """Tables whose key columns differ in case."""
+    p = rounded(t.orders.groupBy(F.col("o_orderstatus").alias("tool")).agg(F.avg("o_totalprice").alias("runtime")), 4)
+    a = s.lower_columns(t.lineitem.groupBy(F.col("l_linestatus").alias(" Tool")).agg(F.round(F.avg(1 - F.col("l_discount")), 6).alias("F1_score")), {"f1_score": "f1"})
+    return p.join(a, "tool", "left")
