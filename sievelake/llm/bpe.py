@@ -30,7 +30,7 @@ from .common import small_batches, text_bytes
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Chunks and pairs that a worker remembers at most, and the longest chunk that it remembers, in characters.
-PIECES, PAIRS, LONG = 1_000_000, 1_000_000, 48
+PIECES, PAIRS, LONG = 600_000, 500_000, 48
 #: A space and white space after it.
 SPACES = re.compile(r" \s")
 
