@@ -1,7 +1,9 @@
-"""Mixing sources to target weights, in fixed-length blocks of words.
+"""Mixing sources to target weights, in blocks of words of one length.
 
-The words of each source are laid end to end and cut into blocks of ``block`` words. The mix takes a number of
-blocks of each source, near its target. Output shards are filled one after the other: the sources' counts in a
+The words of each source are laid end to end and cut evenly into blocks of at most ``block`` words, whose lengths
+differ by one at most. A source that isn't taken in whole passes has ``FEWEST`` blocks at least, or one for each
+word. The mix takes a number of blocks of each source in proportion to its target, so that it misses the target by
+about half a block at most. Output shards are filled one after the other: the sources' counts in a
 shard are a multinomial draw by what each still has to give, so that the last shard meets the totals. A
 source's blocks are numbered slots, and slot s is block ``P(s mod N)`` of its N blocks, where P is a keyed
 Feistel permutation of the block numbers, another one for each pass over the source. Blocks then join the
@@ -27,6 +29,8 @@ from .common import arrow_rows, mixed, small_batches, spans, staged, text_bytes
 BLOCK, SHARE, LIMIT, SEED = 128, 1.5, 2.0, 11
 WEIGHTS = (3.0, 1.0, 2.0)
 CHUNK = 512
+#: Blocks of a source at least, so that a small one comes near its target too.
+FEWEST = 32
 #: Blocks of a shard at least, and shards at most; the driver draws the counts of each shard.
 SHARD_BLOCKS, SHARDS = 4096, 4096
 
@@ -49,6 +53,17 @@ def targets(sizes: list[int], share: float = SHARE, limit: float = LIMIT, weight
     return out
 
 
+def block_counts(sizes: list[int], want: list[float], block: int = BLOCK) -> tuple[list[int], list[int]]:
+    """The number of blocks that each source is cut to, and how many the mix takes for ``want`` words."""
+    blocks, slots = [], []
+    for n, t in zip(sizes, want, strict=True):
+        passes = t / n if n else 0.0
+        b = -(-n // (block if passes == round(passes) else max(1, min(block, n // FEWEST))))
+        blocks.append(b)
+        slots.append(round(passes * b))
+    return blocks, slots
+
+
 def permuted(slots: np.ndarray, n: int, key: int) -> np.ndarray:
     """Where a keyed permutation of ``range(n)`` sends ``slots``: a Feistel network on the next even number of
     bits, applied again while it leaves the range."""
@@ -93,34 +108,33 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Mix:
-    """The plan of a mix over ``docs``: sources (k, source, source_size, target, blocks, slots), documents with
-    their places (doc_id, k, size, start), and the slots of the shards.
+    """The plan of a mix over ``docs``: sources (k, source, source_size, target, blocks, slots, words of a
+    block, longer blocks), documents with their places (doc_id, k, size, start), and the slots of the shards.
 
     A null text has size 0, a null source is a source of its own, the last one. Documents of size 0 are never
     taken. Repeated rows are separate documents. No rows, or none with words, give an empty mix."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, share: float = SHARE, limit: float = LIMIT, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED):
-        spark, self.block = docs.sparkSession, block
+        spark = docs.sparkSession
         small_batches(spark)
         rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), text_bytes(text_col).alias("text"))
         sized = staged(rows.mapInArrow(_sizes, "doc_id long, source string, size long"))
         by = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
         by.sort(key=lambda r: (r.source is None, r.source or ""))
         want = targets([r.n for r in by], share, limit, weights)
-        blocks = [-(-r.n // block) for r in by]
-        slots = [round(t / block) for t in want]
+        blocks, slots = block_counts([r.n for r in by], want, block)
         self.sources = spark.createDataFrame(
-            [(k, r.source, r.n, t, b, s, -(-r.rows // CHUNK)) for k, (r, t, b, s) in enumerate(zip(by, want, blocks, slots, strict=True))],
-            "k int, source string, source_size long, target double, blocks long, slots long, chunks long",
+            [(k, r.source, r.n, t, b, s, r.n // max(1, b), r.n % max(1, b), -(-r.rows // CHUNK)) for k, (r, t, b, s) in enumerate(zip(by, want, blocks, slots, strict=True))],
+            "k int, source string, source_size long, target double, blocks long, slots long, words long, longer long, chunks long",
         )
         chunked = sized.join(self.sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(
-            "doc_id", "source", "k", "size", "source_size", "target", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("chunks")).alias("chunk")
+            "doc_id", "source", "k", "size", "source_size", "target", "words", "longer", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("chunks")).alias("chunk")
         )
         sums = chunked.groupBy("k", "chunk").agg(F.sum("size").alias("n"))
         before = sums.select("k", "chunk", (F.sum("n").over(Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
         within = Window.partitionBy("k", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
         placed = chunked.withColumn("upto", F.sum("size").over(within)).join(before, ["k", "chunk"])
-        self.places = staged(placed.select("doc_id", "source", "k", "size", "source_size", "target", (F.col("before") + F.col("upto") - F.col("size")).alias("start")))
+        self.places = staged(placed.select("doc_id", "source", "k", "size", "source_size", "target", "words", "longer", (F.col("before") + F.col("upto") - F.col("size")).alias("start")))
         drawn, of = draws(slots, seed), dict(enumerate(blocks))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,10 +155,13 @@ class Mix:
     def pieces(self) -> DataFrame:
         """doc_id, k, size, start, and for each block that a document has words in: block, first and last (words
         of the document in it, from 0, last excluded), times (0 if the mix doesn't take it)."""
-        n = F.lit(self.block)
-        cut = self.places.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / n), F.floor((F.col("start") + F.col("size") - 1) / n))))
-        first = F.greatest(F.col("start"), F.col("block") * n) - F.col("start")
-        last = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * n) - F.col("start")
+        # The first ``longer`` blocks of a source have a word more than its others.
+        n, long = F.col("words"), F.col("longer") * (F.col("words") + 1)
+        of = lambda w: F.when(w < long, F.floor(w / (n + 1))).otherwise(F.col("longer") + F.floor((w - long) / n))
+        at = lambda b: b * n + F.least(b, F.col("longer"))
+        cut = self.places.filter("size > 0").withColumn("block", F.explode(F.sequence(of(F.col("start")), of(F.col("start") + F.col("size") - 1))))
+        first = F.greatest(F.col("start"), at(F.col("block"))) - F.col("start")
+        last = F.least(F.col("start") + F.col("size"), at(F.col("block") + 1)) - F.col("start")
         return cut.select("doc_id", "k", "size", "start", "block", first.alias("first"), last.alias("last")).join(self.times(), ["k", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
     def taken(self) -> DataFrame:

@@ -232,6 +232,26 @@ def test_mixing(spark, docs, empty):
     assert dict(words) == {r.doc_id: r.taken for r in got if r.taken}
 
 
+@pytest.mark.parametrize(("sizes", "share"), [((5, 40, 130, 300, 5000), 1.5), ((5,), 1.5), ((40,), 1.5), ((130,), 1.5), ((300,), 1.5), ((100,), 0.3)])
+def test_mixing_takes_small_sources_near_their_targets(spark, sizes, share):
+    """With the production block."""
+    made = [(1000 * n + k, " ".join(f"w{j}" for j in range(k, min(n, k + 7))), f"s{n}") for n in sizes for k in range(0, n, 7)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string")
+    got = mixing.Mix(docs, share=share).taken().collect()
+    assert all(0 <= r.taken <= 2 * r["size"] for r in got)
+    for n in sizes:
+        mine = [r for r in got if r.source == f"s{n}"]
+        target, taken = mine[0].target, sum(r.taken for r in mine)
+        assert sum(r["size"] for r in mine) == n
+        assert taken == target if target == 2 * n else abs(taken - target) <= max(1, n // 32)
+    words = sum(len(r.text.split()) for r in mixing.texts(docs.withColumn("n_chars", F.lit(0)), share=share).collect())
+    assert words == sum(r.taken for r in got)
+
+
+def test_block_counts():
+    assert mixing.block_counts([0, 5, 130, 300, 100, 1 << 40], [0.0, 10.0, 260.0, 450.0, 30.0, 2.0**39]) == ([0, 1, 2, 34, 34, 1 << 33], [0, 2, 4, 51, 10, 1 << 32])
+
+
 def test_targets_and_permutations():
     import numpy as np
 
