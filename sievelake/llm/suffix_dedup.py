@@ -2,10 +2,10 @@
 
 Strings of ``width`` bytes are dealt to shards by their anchors: the smallest hash of the ``GRAM``-byte grams in
 a string. Equal strings have equal anchors, so they meet. Neighbouring strings of a text mostly share an anchor;
-such a run of strings is one piece of text, its context. A first pass deals a pair of hashes for each run. Runs
-with equal contexts repeat each other as a whole, and an anchor with a single context is settled. Where an
-anchor has different contexts, one copy of each goes to the shards, and suffix arrays find which strings in
-them are equal, byte by byte:
+such a run of strings is one piece of text, its context. A first pass deals a pair of hashes for each run. Of a
+context that occurs again (by its hashes) two copies go to the shards, and where an anchor has different contexts,
+one copy at least of each; suffix arrays find which strings in them are equal, byte by byte. Only third and
+further copies of a context are covered by its hashes alone:
 
 * the suffixes of a shard are sorted by Larsson-Sadakane refinement: by their first 8 bytes, then the groups
   still unsorted by the ranks 8, 16, 32, ... bytes on;
@@ -80,25 +80,30 @@ def text_runs(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     return d, first - (ends - sizes)[d], stop - first, grams[at[first].astype(np.int64)], context
 
 
-#: Runs dealt by anchor, or without a bucket, covered ones: document, place, number, anchor, context, whether the
-#: task alone has several.
-PARTS = pa.schema([("bucket", pa.int32()), ("doc", pa.binary()), ("start", pa.binary()), ("n", pa.binary()), ("anchor", pa.binary()), ("context", pa.binary()), ("several", pa.binary())])
-_TYPES = {"doc": np.int64, "start": np.int64, "n": np.int64, "anchor": np.uint64, "context": np.uint64, "several": np.bool_}
+#: Runs dealt by anchor, at most two of a context from each task, or with bucket -1, covered ones: document, place,
+#: number, anchor, context.
+PARTS = pa.schema([("bucket", pa.int32()), ("doc", pa.binary()), ("start", pa.binary()), ("n", pa.binary()), ("anchor", pa.binary()), ("context", pa.binary())])
+_TYPES = {"doc": np.int64, "start": np.int64, "n": np.int64, "anchor": np.uint64, "context": np.uint64}
 #: bucket: where the run's context goes; null: the run is covered.
 VERDICTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("bucket", pa.int32())])
 
 
+def _copy(new: np.ndarray) -> np.ndarray:
+    """The number of each row in its group, from 0; ``new``: where groups begin."""
+    at = np.arange(len(new))
+    return at - np.maximum.accumulate(np.where(new, at, 0))
+
+
 def _dealt(width: int, buckets: int):
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         doc, start, n, anchor, context = map(np.concatenate, zip(*held, strict=True))
         order = np.lexsort((start, doc, context, anchor))
         doc, start, n, anchor, context = (x[order] for x in (doc, start, n, anchor, context))
         new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])])
-        several = np.diff(np.concatenate([np.flatnonzero(new), [len(new)]])) > 1
-        here = several[np.cumsum(new) - 1]
+        pair = _copy(new) < 2
         none = np.zeros(0)
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (doc[here], start[here], n[here], none, none, none))], schema=PARTS)
-        columns = [x[new] for x in (doc, start, n, anchor, context)] + [several]
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (doc[~pair], start[~pair], n[~pair], none, none))], schema=PARTS)
+        columns = [x[pair] for x in (doc, start, n, anchor, context)]
         bucket = (mixed(columns[3]) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         bucket = bucket[order]
@@ -129,7 +134,7 @@ def _dealt(width: int, buckets: int):
 
 
 def _judged(shards: int):
-    """Which runs are covered as a whole, and whose contexts must be compared."""
+    """Which runs are covered as further copies, and whose contexts must be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {c: [] for c in _TYPES}
@@ -143,16 +148,16 @@ def _judged(shards: int):
                         held[c].append(x)
         if not held["doc"]:
             return
-        doc, start, n, anchor, context, several = (np.concatenate(held.pop(c)) for c in _TYPES)
+        doc, start, n, anchor, context = (np.concatenate(held.pop(c)) for c in _TYPES)
         order = np.lexsort((start, doc, context, anchor))
-        doc, start, n, anchor, context, several = (x[order] for x in (doc, start, n, anchor, context, several))
+        doc, start, n, anchor, context = (x[order] for x in (doc, start, n, anchor, context))
         anew = np.concatenate([[True], anchor[1:] != anchor[:-1]])
         new = anew | np.concatenate([[True], context[1:] != context[:-1]])
         of, group = np.cumsum(new) - 1, np.cumsum(anew) - 1
-        many = np.bincount(of) > 1
-        done = many[of] & ~several  # others are covered by their task
+        many, copy = np.bincount(of) > 1, _copy(new)
+        done = copy > 1
         kinds = np.bincount(group[new])[group]
-        ask = new & (kinds > 1)
+        ask = ~done & (many[of] | (kinds > 1))
         bucket = (mixed(anchor ^ np.uint64(0x5DEECE66D)) % np.uint64(shards)).astype(np.int32)
         yield from arrow_rows({"doc_id": doc[done], "start": start[done], "n": n[done], "bucket": [None] * int(done.sum())}, VERDICTS)
         yield from arrow_rows({"doc_id": doc[ask], "start": start[ask], "n": n[ask], "bucket": bucket[ask]}, VERDICTS)
@@ -330,7 +335,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (32 << 20))
     shards = max(4 * parts, size // (1 << 20))
-    kind = "bucket int, doc binary, start binary, n binary, anchor binary, context binary, several binary"
+    kind = "bucket int, doc binary, start binary, n binary, anchor binary, context binary"
     dealt = rows.mapInArrow(_dealt(width, 4 * parts), kind).repartition(parts, "bucket")
     verdicts = staged(dealt.mapInArrow(_judged(shards), "doc_id long, start long, n long, bucket int"))
     asked = verdicts.filter("bucket IS NOT NULL")

@@ -194,6 +194,29 @@ def test_suffix_dedup(docs, empty, monkeypatch, width):
     assert suffix_dedup.dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_suffix_arrays_compare_a_pair_of_each_repeated_context(monkeypatch, collide):
+    """Copies are not settled by their hashes alone, in one task or in two; nor are texts whose hashes collide."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng, width, real = random.Random(4), 200, suffix_dedup.text_runs
+    texts = {i: bytes(rng.randrange(256) for _ in range(200)) for i in range(2)} if collide else dict.fromkeys(range(5), bytes(rng.randrange(256) for _ in range(700)))
+    if collide:
+        monkeypatch.setattr(suffix_dedup, "text_runs", lambda t, w: (*real(t, w)[:3], *(np.zeros_like(x) for x in real(t, w)[3:])))
+    for tasks in ([list(texts)], [[i] for i in texts]):
+        dealt = [b for ids in tasks for b in suffix_dedup._dealt(width, 1)(iter([pa.record_batch({"doc_id": pa.array(ids), "text": pa.array([texts[i] for i in ids])})]))]
+        verdicts = [r for b in suffix_dedup._judged(1)(iter(dealt)) for r in b.to_pylist()]
+        asked = [r for r in verdicts if r["bucket"] is not None]
+        assert set(Counter(r["start"] for r in asked).values()) == {2}
+        assert len(verdicts) == len(texts) * len({r["start"] for r in asked})
+        contexts = pa.record_batch({"doc_id": [r["doc_id"] for r in asked], "start": [r["start"] for r in asked], "context": pa.array([texts[r["doc_id"]][r["start"] : r["start"] + r["n"] + width - 1] for r in asked])})
+        found = Counter()
+        for r in (r for b in suffix_dedup._compared(width)(iter([contexts])) for r in b.to_pylist()):
+            found[r["doc_id"]] += r["n"]
+        assert found == ({} if collide else dict.fromkeys({r["doc_id"] for r in asked}, 501))
+
+
 def test_suffix_array_and_common_prefixes():
     rng = random.Random(8)
     contexts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 60))) for _ in range(40)] + [b"a" * 90, b""]
