@@ -1,10 +1,10 @@
-"""Exact top-k search over 64-bit codes by incremental multi-index hashing.
+"""Exact top-k search over codes of 64 bits, or of several 64-bit words, by incremental multi-index hashing.
 
-Codes are the signs of vectors. Each shard of codes is indexed by each of ``SEGMENTS`` segments of a code. A
+Codes are the signs of vectors. Each shard of codes is indexed by each of ``SEGMENTS`` segments of a word. A
 query probes, for growing radii, the codes whose segment differs from its own in exactly that many bits,
 segment by segment, and verifies their whole distance. When all segments up to j are done to radius r and the
 others to r - 1, a code not yet met differs in more than r bits in j + 1 segments and in r bits or more in the
-others, so its distance is at least ``SEGMENTS * r + j + 1``; the search stops as soon as the k-th verified
+others, so its distance is at least ``s * r + j + 1`` of s segments; the search stops as soon as the k-th verified
 distance is below that.
 
 Equal codes are one entry with its smallest ids, and equal queries are one query. Queries come in blocks that
@@ -37,77 +37,96 @@ def flips(radius: int) -> np.ndarray:
 
 
 class Index:
-    """The codes of one shard, by the values of each segment."""
+    """The codes of one shard (a row of words each), by the values of each segment."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
         self.by = []
-        for j in range(SEGMENTS):
-            value = (codes >> np.uint64(j * WIDE) & np.uint64((1 << WIDE) - 1)).astype(np.int64)
+        for j in range(SEGMENTS * codes.shape[1]):
+            value = (codes[:, j // SEGMENTS] >> np.uint64(j % SEGMENTS * WIDE) & np.uint64((1 << WIDE) - 1)).astype(np.int64)
             self.by.append((np.argsort(value, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << WIDE))])))
 
-    def nearest(self, query: np.uint64, k: int, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, query: np.ndarray, k: int, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and distances of all codes at most as far as the k-th nearest row; ``weight``: rows of a code,
         as far as they matter. All codes if they have fewer rows."""
         met, far = np.zeros(len(self.codes), bool), np.zeros(0, np.int64)
-        found, rows = np.zeros(0, np.int64), np.zeros(BITS + 1, np.int64)
+        most = BITS * self.codes.shape[1] + 1
+        found, rows = np.zeros(0, np.int64), np.zeros(most, np.int64)
         for radius in range(WIDE + 1):
             for j, (order, start) in enumerate(self.by):
-                value = int(query >> np.uint64(j * WIDE)) & (1 << WIDE) - 1 ^ flips(radius)
+                value = int(query[j // SEGMENTS] >> np.uint64(j % SEGMENTS * WIDE)) & (1 << WIDE) - 1 ^ flips(radius)
                 a, n = start[value], start[value + 1] - start[value]
                 a, n = a[n > 0], n[n > 0]
                 if len(n):
                     at = order[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())]
                     at = at[~met[at]]
                     met[at] = True
-                    d = np.bitwise_count(self.codes[at] ^ query).astype(np.int64)
+                    d = np.bitwise_count(self.codes[at] ^ query).sum(axis=1, dtype=np.int64)
                     found, far = np.concatenate([found, at]), np.concatenate([far, d])
-                    rows += np.bincount(d, weights=weight[at], minlength=BITS + 1).astype(np.int64)
+                    rows += np.bincount(d, weights=weight[at], minlength=most).astype(np.int64)
                 upto = np.cumsum(rows)
-                if upto[-1] >= k and (worst := int(np.searchsorted(upto, k))) < SEGMENTS * radius + j + 1:
+                if upto[-1] >= k and (worst := int(np.searchsorted(upto, k))) < len(self.by) * radius + j + 1:
                     keep = far <= worst
                     return found[keep], far[keep]
         return found, far
 
 
-def _searched(k: int):
+def _words(codes: pa.ChunkedArray) -> np.ndarray:
+    """Codes (a long, or a list of them) as rows of words."""
+    if pa.types.is_list(codes.type):
+        rows = codes.to_pylist()
+        return np.array(rows, np.int64).reshape(len(rows), len(rows[0]) if rows else 1).view(np.uint64)
+    return codes.to_numpy().view(np.uint64).reshape(-1, 1)
+
+
+def _searched(k: int, kind: pa.DataType):
     def run(key, codes: pa.Table, queries: pa.Table) -> pa.Table:
-        code, ids = codes.column("code").to_numpy().view(np.uint64), codes.column("ids").to_pylist()
+        code, ids = _words(codes.column("code")), codes.column("ids").to_pylist()
         out: list[tuple] = []
         if len(code):
             index, weight = Index(code), np.fromiter(map(len, ids), np.int64, len(ids))
-            for q in queries.column("code").to_numpy():
-                at, far = index.nearest(np.int64(q).view(np.uint64), k, weight)
+            asked = queries.column("code")
+            for q, words in zip(asked.to_pylist(), _words(asked), strict=True):
+                at, far = index.nearest(words, k, weight)
                 best = sorted((int(d), i) for a, d in zip(at.tolist(), far.tolist(), strict=True) for i in ids[a])[:k]
-                out += [(int(q), d, i) for d, i in best]
-        return pa.table({"query_code": pa.array([x[0] for x in out], pa.int64()), "distance": pa.array([x[1] for x in out], pa.int32()), "neighbor_id": pa.array([x[2] for x in out], pa.int64())})
+                out += [(q, d, i) for d, i in best]
+        return pa.table({"query_code": pa.array([x[0] for x in out], kind), "distance": pa.array([x[1] for x in out], pa.int32()), "neighbor_id": pa.array([x[2] for x in out], pa.int64())})
 
     return run
 
 
-def sign_codes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id and code: bit b is set if component b is above 0. Vectors shorter than ``BITS`` leave the rest unset,
-    longer ones count to there; null components are unset; null vectors and ids are left out."""
+def words_of(vectors: DataFrame, vector_col: str) -> int:
+    """How many words the codes of the longest vector need."""
+    return max(1, -(-(vectors.agg(F.max(F.size(vector_col))).first()[0] or 0) // BITS))
+
+
+def sign_codes(vectors: DataFrame, id_col: str, vector_col: str, words: int = 1) -> DataFrame:
+    """id and code: bit b is set if component b is above 0. ``code`` is a long, or with several ``words`` an array
+    of them; ``words_of`` tells how many lose nothing. Shorter vectors leave the rest unset, longer ones count to
+    there; null components are unset; null vectors and ids are left out."""
+    bits_of = BITS * words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = b.column("vector")
-            sizes = np.minimum(np.array(v.value_lengths(), np.int64), BITS)
+            sizes = np.minimum(np.array(v.value_lengths(), np.int64), bits_of)
             start = np.array(v.offsets)[:-1].astype(np.int64)
             flat = np.nan_to_num(np.array(v.values.to_numpy(zero_copy_only=False), np.float64)) > 0
-            bits = np.zeros((len(sizes), BITS), bool)
-            inside = np.arange(BITS) < sizes[:, None]
-            bits[inside] = flat[(start[:, None] + np.arange(BITS))[inside]]
-            code = np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(code, pa.int64())], names=["id", "code"])
+            bits = np.zeros((len(sizes), bits_of), bool)
+            inside = np.arange(bits_of) < sizes[:, None]
+            bits[inside] = flat[(start[:, None] + np.arange(bits_of))[inside]]
+            code = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+            code = pa.array(code.ravel(), pa.int64()) if words == 1 else pa.array(code.tolist(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), code], names=["id", "code"])
 
     rows = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    return rows.mapInArrow(run, "id long, code long")
+    return rows.mapInArrow(run, "id long, code long" if words == 1 else "id long, code array<long>")
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank (from 1), neighbor_id and distance: the ``k`` rows nearest to each query by Hamming distance,
-    ties by smaller id, the query's own id left out. ``rows`` and ``queries`` have id and code (long). A query has
+    ties by smaller id, the query's own id left out. ``rows`` and ``queries`` have id and code (long, or
+    arrays of equally many). A query has
     fewer results only if there are fewer rows. Ids should be unique; repeated ones count once."""
     spark = rows.sparkSession
     small_batches(spark)
@@ -119,12 +138,14 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     codes = staged(few.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     asked = staged(queries.select(F.col("id").alias("query_id"), F.col("code").alias("query_code")).distinct())
     different = asked.select(F.col("query_code").alias("code")).distinct()
-    shards, blocks = -(-max(1, codes.count()) // SHARD_CODES), -(-max(1, different.count()) // BLOCK_QUERIES)
+    wide = rows.schema["code"].dataType.typeName() == "array"
+    words = (codes.agg(F.max(F.size("code"))).first()[0] or 1) if wide else 1
+    shards, blocks = -(-max(1, codes.count()) // max(1, SHARD_CODES // words)), -(-max(1, different.count()) // BLOCK_QUERIES)
     blocks = max(blocks, -(-spark.sparkContext.defaultParallelism // shards))
     part = lambda df, mine, n, other: df.withColumn(mine, F.pmod(F.xxhash64("code", F.lit(3)), F.lit(n)).cast("int")).withColumn(other[0], F.explode(F.sequence(F.lit(0), F.lit(other[1] - 1))))
     left = part(codes, "shard", shards, ("block", blocks)).groupBy("shard", "block")
     right = part(different, "block", blocks, ("shard", shards)).groupBy("shard", "block")
-    near = left.cogroup(right).applyInArrow(_searched(k1), "query_code long, distance int, neighbor_id long")
+    near = left.cogroup(right).applyInArrow(_searched(k1, pa.list_(pa.int64()) if wide else pa.int64()), f"query_code {'array<long>' if wide else 'long'}, distance int, neighbor_id long")
     best = Window.partitionBy("query_code").orderBy("distance", "neighbor_id")
     merged = near.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k1).drop("n")
     all_of = asked.join(merged, "query_code").filter("query_id <> neighbor_id")

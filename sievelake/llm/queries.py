@@ -23,7 +23,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = hamming_search.sign_codes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    vectors = table(spark, sf_dir, "embeddings")
+    codes = hamming_search.sign_codes(vectors, "vec_id", "embedding", hamming_search.words_of(vectors, "embedding"))
     return hamming_search.top_k(codes, codes.filter("id % 20 = 0"), 10)
 
 

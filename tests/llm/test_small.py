@@ -371,6 +371,21 @@ def test_sign_codes(spark):
     assert got == {1: 9, 3: 0, 4: (1 << 64) - 2}
 
 
+def test_top_k_search_of_long_vectors(spark, tmp_path):
+    """The registered query counts all components of vectors of more than 64."""
+    from sievelake.llm import queries
+
+    rng = random.Random(12)
+    vectors = [(k, [1.0] * 64 + [rng.choice((-1.0, 1.0)) for _ in range(rng.choice((66, 80)))]) for k in range(80)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.op2_topk_search(spark, str(tmp_path)).collect()
+    code = {i: sum((x > 0) << b for b, x in enumerate(v)) for i, v in vectors}
+    for q in range(0, 80, 20):
+        mine = [(r.distance, r.neighbor_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q]
+        assert mine == sorted(((code[q] ^ c).bit_count(), i) for i, c in code.items() if i != q)[:10]
+    assert len(got) == 40
+
+
 def test_quality(spark, empty):
     rng = random.Random(2)
     good = [(k, " ".join(rng.choice(WORDS) for _ in range(rng.randrange(30, 90))) + ".") for k in range(120)]
