@@ -56,5 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The classifier and the keyed permutations of the mix have no SQL form; tests hold ``run`` against brute force.
+#: The classifier and the keyed permutations of the mix have no SQL form. Tests hold the operators against brute force
+#: on small tables, and of the stages only sizes, columns and the encoding; ``run`` as a whole has no such test.
 ORACLE_SQL = None
