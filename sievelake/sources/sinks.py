@@ -41,10 +41,15 @@ def json(df: DataFrame, path: str) -> None:
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A report table of at most ``most`` rows: reports are for reading."""
-    rows = df.limit(most).collect()
+    """A report table of at most ``most`` rows: reports are for reading. Of a longer one the first by all columns
+    stay, and a last line states how many are left out."""
+    rows = df.limit(most + 1).collect()
+    more = []
+    if len(rows) > most:
+        rows = df.orderBy(*df.columns).limit(most).collect()
+        more = ["", f"{df.count() - most} more rows are left out."]
     line = lambda xs: "| " + " | ".join("N/A" if x is None else str(x).replace("|", r"\|") for x in xs) + " |"
-    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)])
+    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows), *more])
 
 
 def between(df: DataFrame, column: str, start: str, end: str, by: str) -> DataFrame:

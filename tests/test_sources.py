@@ -73,6 +73,12 @@ def test_sinks(spark, tmp_path):
     assert {r.k: round(r.v, 2) for r in spark.read.parquet(str(tmp_path / "u")).collect()} == {"a": 9.0, "b": 0.33}
 
 
+def test_markdown_states_what_it_leaves_out(spark):
+    df = spark.range(7).repartition(3)
+    assert sinks.markdown(df, 3).splitlines() == ["| id |", "| --- |", "| 0 |", "| 1 |", "| 2 |", "", "4 more rows are left out."]
+    assert len(sinks.markdown(df, 7).splitlines()) == 9
+
+
 def test_rank_sum_known_values(spark):
     df = spark.createDataFrame([("g", "x", v) for v in (1.0, 2.0, 2.0, 5.0)] + [("g", "y", v) for v in (2.0, 3.0, 7.0)], "g string, s string, v double")
     got = performance.rank_sum(df, ["g"], "s", "x", "y", "v").withColumn("p", performance.two_sided("z")).first()
