@@ -5,7 +5,8 @@ of its bytes if and only if each two neighbours are the encoding of theirs. So e
 exactly one token that its encoding ends with: the one that is a suffix of the prefix and goes together with
 the last token of what comes before it. Storing that token for every prefix makes appending exact: what is
 stored for a prefix never changes when bytes follow. An edit keeps what lies before it, and what follows is
-computed again.
+computed again up to where the stored tokens agree once more. What tokens a prefix may end with, an automaton
+tells that keeps, byte by byte, the longest beginning of a token that the prefix ends with.
 
 Texts are split by a pattern first, and pieces never merge with each other. Equal pieces are encoded once a
 worker: a bounded cache holds their ids.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, text_bytes
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Chunks and pairs that a worker remembers at most, and the longest chunk that it remembers, in characters.
+#: Chunks, and pairs and steps, that a worker remembers at most, and the longest chunk that it remembers, in characters.
 PIECES, PAIRS, LONG = 600_000, 500_000, 48
 #: A space and white space after it.
 SPACES = re.compile(r" \s")
@@ -57,10 +58,21 @@ class Vocabulary:
         for t, k in ranks.items():
             self.tokens[k] = t
         self.longest = max(map(len, ranks), default=0)
-        #: For what tokens begin with: the token that it is, or -1.
-        self.starting = {t[:k]: -1 for t in ranks for k in range(1, len(t))} | ranks
-        self._pairs: dict[int, bool] = {}
+        #: Lengths by token; the last one is that of no token.
+        self.lengths = [*map(len, self.tokens), 0]
+        #: By token the longest other token that it ends with, or -1.
+        self.shorter = [next((ranks[t[k:]] for k in range(1, len(t)) if t[k:] in ranks), -1) for t in self.tokens]
+        self.pairs: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
+        # The automaton: a state for each beginning of a token; where it falls back to, and the longest token in its end.
+        begins = sorted({t[:k] for t in ranks for k in range(len(t) + 1)} | {b""}, key=len)
+        of = {b: k for k, b in enumerate(begins)}
+        self._below = {of[b[:-1]] << 8 | b[-1]: k for k, b in enumerate(begins) if b}
+        self._back = [next((of[b[k:]] for k in range(1, len(b)) if b[k:] in of), 0) for b in begins]
+        self.ending: list[int] = []
+        for b, back in zip(begins, self._back, strict=True):
+            self.ending.append(ranks[b] if b in ranks else self.ending[back] if b else -1)
+        self.steps: dict[int, int] = {}
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -90,15 +102,33 @@ class Vocabulary:
         """Whether the token is the encoding of its own bytes."""
         return len(self.tokens[token]) == 1 or self.halves(token) is not None
 
+    def step(self, at: int, byte: int) -> int:
+        """The state after a byte more."""
+        if len(self.steps) >= PAIRS:
+            self.steps.clear()
+        to = at
+        while to and to << 8 | byte not in self._below:
+            to = self._back[to]
+        to = self.steps[at << 8 | byte] = self._below.get(to << 8 | byte, 0)
+        return to
+
+    def state(self, piece: bytes) -> int:
+        """The state after all bytes."""
+        at = 0
+        for byte in piece[-self.longest :] if self.longest else b"":
+            at = self.step(at, byte)
+        return at
+
     def together(self, a: int, b: int) -> bool:
         """Whether the two tokens are the encoding of their bytes: as their joins are undone, the latest first,
-        no tokens that meet at the seam may have had a join that comes before the one undone last."""
+        no tokens that meet at the seam may have had a join that comes before the one undone last. With -1 for
+        ``a``: whether ``b`` is the encoding of its own."""
         try:
-            return self._pairs[a << 32 | b]
+            return self.pairs[a << 32 | b]
         except KeyError:
-            if len(self._pairs) >= PAIRS:
-                self._pairs.clear()
-            known = self._pairs[a << 32 | b] = self.alone(a) and self.alone(b) and self._meet(a, b)
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            known = self.pairs[a << 32 | b] = self.alone(b) and (a < 0 or self.alone(a) and self._meet(a, b))
             return known
 
     def _meet(self, a: int, b: int) -> bool:
@@ -122,43 +152,64 @@ class PrefixEncoding:
     """The encoding of one piece: for each prefix its last token. Bytes can be appended, cut and replaced."""
 
     def __init__(self, vocabulary: Vocabulary, piece: bytes = b""):
-        self.vocabulary, self.piece, self.last = vocabulary, b"", [-1]
+        self.vocabulary, self.piece, self.last, self._at = vocabulary, b"", [-1], 0
         self.append(piece)
 
     def append(self, more: bytes) -> None:
         """Exact: no stored token changes."""
-        v, last, piece, old = self.vocabulary, self.last, self.piece + more, len(self.piece)
-        starting, longest, together, n = v.starting.get, v.longest, v.together, len(piece)
-        last += [-1] * len(more)
-        for start in range(max(0, old - longest + 1), n):
-            before = last[start]
-            for end in range(start + 1, n + 1):
-                t = starting(piece[start:end])
-                if t is None:
-                    break
-                if t >= 0 and end > old and last[end] < 0 and (together(before, t) if start else v.alone(t)):
-                    last[end] = t
-        if -1 in last[1:]:
-            raise ValueError("the vocabulary lacks a byte")
-        self.piece = piece
+        v, last, at, end = self.vocabulary, self.last, self._at, len(self.piece)
+        steps, ending, lengths, shorter, pairs = v.steps, v.ending, v.lengths, v.shorter, v.pairs
+        try:
+            for byte in more:
+                end += 1
+                try:
+                    at = steps[at << 8 | byte]
+                except KeyError:
+                    at = v.step(at, byte)
+                t = ending[at]
+                while True:  # from the longest token on; the right one is unique
+                    before = last[end - lengths[t]]
+                    try:
+                        fits = pairs[before << 32 | t]
+                    except KeyError:
+                        fits = v.together(before, t)
+                    if fits:
+                        break
+                    t = shorter[t]
+                last.append(t)
+        except IndexError:  # no token is left
+            self.cut(len(self.piece))
+            raise ValueError("the vocabulary lacks a byte") from None
+        self.piece, self._at = self.piece + more, at
 
     def cut(self, length: int) -> None:
         """Keep the first ``length`` bytes."""
         self.piece = self.piece[:length]
         del self.last[length + 1 :]
+        self._at = self.vocabulary.state(self.piece)
 
-    def edit(self, start: int, end: int, by: bytes) -> None:
-        """Replace bytes ``start`` to ``end``; prefixes up to ``start`` stay as they are."""
-        rest = self.piece[end:]
+    def edit(self, start: int, end: int, by: bytes) -> int:
+        """Replace bytes ``start`` to ``end``; the number of bytes encoded for that. What is stored before the edit
+        stays. Behind it, a prefix's last token follows from as many bytes and stored tokens before it as the longest
+        token has bytes; where so many in a row are as they were, all that follow are."""
+        rest, stored, longest = self.piece[end:], self.last[end:], self.vocabulary.longest
         self.cut(start)
-        self.append(by + rest)
+        self.append(by)
+        for a in range(0, len(rest), longest):
+            self.append(rest[a : a + longest])
+            upto = a + longest
+            if upto < len(rest) and self.last[-longest:] == stored[a + 1 : upto + 1]:
+                self.piece, self.last = self.piece + rest[upto:], self.last + stored[upto + 1 :]
+                self._at = self.vocabulary.state(self.piece)
+                return len(by) + upto
+        return len(by) + len(rest)
 
     def ids(self) -> list[int]:
         """Read from the end, token by token."""
         out, end = [], len(self.piece)
         while end:
             out.append(self.last[end])
-            end -= len(self.vocabulary.tokens[self.last[end]])
+            end -= self.vocabulary.lengths[self.last[end]]
         return out[::-1]
 
 
@@ -182,28 +233,39 @@ class _Known(dict):
 
 
 class _Pieces(_Known):
-    """Ids of pieces, as little-endian 32-bit integers."""
+    """Ids of pieces that don't begin with a space, as little-endian 32-bit integers."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, encoder: Encoder):
         super().__init__(PIECES // 2)
-        self.vocabulary = vocabulary
-
-    def made(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8", "replace")
-        whole = self.vocabulary.ranks.get(raw)
-        ids = [whole] if whole is not None else PrefixEncoding(self.vocabulary, raw).ids()
-        return pack(f"<{len(ids)}I", *ids)
+        self.made = encoder.piece
 
 
 class _Chunks(_Known):
-    """Ids of a space and what follows it up to the next space that begins a piece."""
+    """Ids of a space and what follows it up to the next space that begins a piece. Letters alone are one piece."""
 
     def __init__(self, encoder: Encoder):
         super().__init__(PIECES)
         self.encoder = encoder
 
     def made(self, chunk: str) -> bytes:
-        return self.encoder.pieces(" " + chunk)
+        e, chunk_ = self.encoder, " " + chunk
+        if chunk.isalpha() or len(found := e.split(chunk_)) == 1 and found[0] == chunk_:
+            return e.piece(chunk_)
+        return b"".join(map(e.ids_of, found))
+
+
+class _Sizes(_Known):
+    """Characters and tokens of the pieces of such a chunk."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__(PIECES)
+        self.encoder = encoder
+
+    def made(self, chunk: str) -> bytes:
+        e, chunk_ = self.encoder, " " + chunk
+        if chunk.isalpha():
+            return pack("<2I", len(chunk_), len(e.piece(chunk_)) // 4)
+        return e.piece_sizes(chunk_)
 
 
 class Encoder:
@@ -212,11 +274,24 @@ class Encoder:
     much faster ``str.split``, and the pattern cuts each different chunk once."""
 
     def __init__(self, path: str, pattern: str):
-        self.vocabulary, self.split = Vocabulary.read(path), regex.compile(pattern).findall
-        self._pieces, self._chunks = _Pieces(self.vocabulary), _Chunks(self)
+        compiled = regex.compile(pattern)
+        self.vocabulary, self.split, self.matches = Vocabulary.read(path), compiled.findall, compiled.finditer
+        self._pieces, self._chunks, self._sizes = _Pieces(self), _Chunks(self), _Sizes(self)
+
+    def piece(self, piece: str) -> bytes:
+        """The ids of one piece, as little-endian 32-bit integers."""
+        raw = piece.encode("utf-8", "replace")
+        if (whole := self.vocabulary.ranks.get(raw)) is not None:
+            return pack("<I", whole)
+        ids = PrefixEncoding(self.vocabulary, raw).ids()
+        return pack(f"<{len(ids)}I", *ids)
+
+    def ids_of(self, piece: str) -> bytes:
+        """As :meth:`piece`, remembered."""
+        return self._chunks[piece[1:]] if piece[0] == " " and len(piece) > 1 and not piece[1].isspace() else self._pieces[piece]
 
     def pieces(self, text: str) -> bytes:
-        return b"".join(map(self._pieces.__getitem__, self.split(text)))
+        return b"".join(map(self.ids_of, self.split(text)))
 
     def chunked(self, text: str) -> tuple[str, list[str]]:
         """What stands before the first such space, and what follows each."""
@@ -235,14 +310,26 @@ class Encoder:
         first, rest = self.chunked(text)
         return self.pieces(first) + b"".join(map(self._chunks.__getitem__, rest))
 
+    def sizes(self, text: str) -> bytes:
+        """For each piece of a text its characters and its tokens, as pairs of little-endian 32-bit integers."""
+        first, rest = self.chunked(text)
+        return self.piece_sizes(first) + b"".join(map(self._sizes.__getitem__, rest))
+
+    def piece_sizes(self, text: str) -> bytes:
+        """As :meth:`sizes`, for a text that isn't remembered."""
+        found = self.split(text)
+        if sum(map(len, found)) != len(text):
+            raise ValueError("the pattern leaves out characters")
+        return b"".join([pack("<2I", len(p), self.piece_count(p)) for p in found])
+
+    def piece_count(self, piece: str) -> int:
+        """The number of tokens of one piece."""
+        return len(self.ids_of(piece)) // 4
+
     def count(self, text: str) -> int:
         """The number of tokens of a text."""
         return len(self.encode(text)) // 4
 
-    def chunk_counts(self, chunks: list[str]) -> list[int]:
-        """The numbers of tokens of chunks, as :meth:`chunked` gives them."""
-        return [len(ids) // 4 for ids in map(self._chunks.__getitem__, chunks)]
-
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 

@@ -319,33 +319,90 @@ def test_prefixes_append_cut_and_edit():
     for _ in range(60):
         k = rng.randrange(len(p.piece) + 1)
         p.edit(k, min(len(p.piece), k + rng.randrange(4)), bytes(rng.choice(b"thean gio") for _ in range(rng.randrange(6))))
+        assert p.last == bpe.PrefixEncoding(v, p.piece).last
         before = list(p.last)
         p.append(b"ing")
         assert p.last[: len(before)] == before and p.ids() == bpe.PrefixEncoding(v, p.piece).ids() == v.merged(p.piece)
 
 
+def test_edits_of_long_pieces_stop_where_tokens_agree():
+    v, rng = bpe.encoder(bpe.public_path(), bpe.public_pattern()).vocabulary, random.Random(10)
+    p = bpe.PrefixEncoding(v, bytes(rng.choice(b"theangio") for _ in range(5000)))
+    encoded = 0
+    for _ in range(20):
+        k = rng.randrange(4000)
+        encoded += p.edit(k, k + 2, b"xyz")
+        assert p.last == bpe.PrefixEncoding(v, p.piece).last
+        p.append(b"e")
+    assert encoded < 20 * 500
+
+
+def revised(text):
+    """The edits of the registered query, in plain Python."""
+    n = len(text)
+    return [(n // 2, n // 2, " (revised) "), (0, 5, ""), (n + 6, n + 6, "\nEnd of document.")]
+
+
+def after(text, edits):
+    for a, b, by in edits:
+        a = max(0, min(a, len(text)))
+        b = max(a, min(b, len(text)))
+        text = text[:a] + by + text[b:]
+    return text
+
+
 def test_token_counts(docs, empty, tiktoken_encoding):
     got = by_id(token_counts.counts(docs))
     for i, t in ROWS:
         text = t or ""
         assert got[i].n_tokens == len(tiktoken_encoding.encode_ordinary(text))
-        for a, b, by in token_counts.revision(text):
-            text = text[: max(0, a)] + by + text[max(a, b) :]
+        text = after(text, revised(text))
         assert got[i].n_tokens_edited == len(tiktoken_encoding.encode_ordinary(text)) and got[i].n_chars_edited == len(text)
     assert token_counts.counts(empty).count() == 0
 
 
+def test_trees_follow_a_table_of_edits(spark, docs, empty, tiktoken_encoding):
+    """Only trees with edits change; edits go by their number; trees can be edited again."""
+    rng, texts = random.Random(11), {i: t or "" for i, t in ROWS}
+    index = token_counts.trees(docs).cache()
+    for turn in range(2):
+        rows = [(i, k, rng.randrange(-3, len(texts[i]) + 9), rng.randrange(-3, len(texts[i]) + 9), rng.choice(["", " x", "漢 b\n", None])) for i in rng.sample(sorted(texts), 12) for k in range(3)] + [(999, 0, 0, 1, "no such document")]
+        edits = spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, seq int, start long, end long, by string")
+        new = token_counts.edited(token_counts.with_edits(index, edits)).cache()
+        got = by_id(new)
+        assert set(got) == {r[0] for r in rows} - {999}
+        for i, r in got.items():
+            before = texts[i]
+            texts[i] = after(before, [(a, b, by or "") for j, _, a, b, by in rows if j == i])
+            assert bytes(r.text).decode() == texts[i] and r.n_chars == len(texts[i])
+            assert (r.n_tokens_before, r.n_tokens) == tuple(len(tiktoken_encoding.encode_ordinary(t)) for t in (before, texts[i]))
+        index = index.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new.select(*index.columns))
+        assert {r.doc_id: bytes(r.leaves) for r in index.collect()} == {r.doc_id: bytes(r.leaves) for r in token_counts.trees(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert token_counts.edited(token_counts.with_edits(token_counts.trees(empty), edits)).count() == 0
+
+
 def test_token_tree_under_random_edits(tiktoken_encoding):
     e, rng = bpe.encoder(bpe.public_path(), bpe.public_pattern()), random.Random(3)
-    for text in ("", "a", prose(900), "a b " * 2000, " " * 200):
+    for text in ("", "a", prose(900), "a b " * 2000, " " * 200, "x" * 3000, "don't 'l l" * 30):
         tree = token_counts.TokenTree(e, text)
         for _ in range(20):
             a = rng.randrange(len(text) + 2)
-            b = a + rng.choice([0, 1, 3, 50])
-            by = "".join(rng.choice("ab  \n'sé!1") for _ in range(rng.choice([0, 1, 4, 60])))
+            b = a + rng.choice([0, 1, 3, 50, 700])
+            by = "".join(rng.choice("abl  \n'sé!1") for _ in range(rng.choice([0, 1, 4, 60])))
             tree.edit(a, b, by)
             text = text[:a] + by + text[b:]
             assert tree.text == text and len(tree) == len(text) and tree.tokens == len(tiktoken_encoding.encode_ordinary(text))
+            assert tree.leaves == e.sizes(text)
+
+
+def test_edits_encode_only_touched_pre_tokens():
+    """Also in long texts without spaces; a text that is one pre-token is encoded whole."""
+    e, rng = bpe.encoder(bpe.public_path(), bpe.public_pattern()), random.Random(4)
+    mixed = "".join(rng.choice("abc12,漢。") for _ in range(40_000))
+    for text, most in ((mixed, 60), (prose(9000), 60), ("x" * 40_000, 40_000 + 11)):
+        tree = token_counts.TokenTree(e, text)
+        tree.edit(20_000, 20_000, " (revised) ")
+        assert 11 <= tree.encoded <= most and tree.tokens == e.count(text[:20_000] + " (revised) " + text[20_000:])
 
 
 def test_top_k_search(spark):
