@@ -7,159 +7,220 @@ the bytes that the longer one has already ruled out; the last resort is a unifor
 counts are frozen after training, so the code length of a text is a sum of exact lengths of its bytes. The
 language with the shortest code wins.
 
-Contexts begin anew at each word (the space before it is their first byte) and after ``SEGMENT`` bytes of a
-long one. So words have lengths of their own, and a worker computes each different word once, within a bound.
+A text is lower-cased and its white space made single spaces, one of them before it; contexts go over all of it.
+A byte's length depends on at most ``ORDER`` bytes before it, so lengths in all languages are tabled for every
+string of ``ORDER + 1`` bytes met in training and looked up for all bytes of a batch at once. Other strings are
+coded from the trees, order by order, as arrays too.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
-from math import log2
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes
+from .common import mixed, small_batches, text_bytes
 
-ORDER, SEGMENT = 4, 48
+ORDER = 4
 #: About how many documents of a language the trees are trained on at most: those with the smallest id hashes.
 MOST_DOCS = 500
-#: Words and byte strings that a worker remembers.
-WORDS, GRAMS = 400_000, 400_000
+#: Bytes that are looked up at once.
+AT_ONCE = 1 << 18
 
 LETTER = re.compile(rb"[A-Za-z]")
 
 
-def words_of(text: str) -> list[bytes]:
-    """Lower-cased words, long ones in segments."""
-    words = text.lower().encode("utf-8", "replace").split()
-    if any(len(w) > SEGMENT for w in words):
-        return [w[k : k + SEGMENT] for w in words for k in range(0, len(w), SEGMENT)]
-    return words
+def stream(text: str) -> bytes:
+    """The bytes that are coded, after one space that is not."""
+    return b" ".join([b"", *text.lower().encode("utf-8", "replace").split()])
 
 
-def grams_of(word: bytes) -> list[bytes]:
-    """For each byte its longest context and the byte itself."""
-    s = b" " + word
-    return [s[max(0, k - ORDER) : k + 1] for k in range(1, len(s))]
+def tagged(value: np.ndarray, length: int) -> np.ndarray:
+    """The last ``length`` bytes of each value under a bit that tells their number."""
+    return value & np.int64((1 << 8 * length) - 1) | np.int64(1 << 8 * length)
 
 
-class Tree:
-    """The context tree of one language: followers of each context, and exact code lengths in bits."""
+def grams(data: bytes) -> np.ndarray:
+    """For each byte of a stream but the first: up to ``ORDER`` bytes before it and the byte, as one tagged number."""
+    x = np.frombuffer(data, np.uint8).astype(np.int64)
+    value = x.copy()
+    for k in range(1, ORDER + 1):
+        value[k:] |= x[:-k] << 8 * k
+    out = tagged(value, ORDER + 1)
+    for k in range(1, min(ORDER, len(x))):
+        out[k] = tagged(value[k : k + 1], k + 1)[0]
+    return out[1:]
 
-    def __init__(self, counts: dict[bytes, int]):
-        """``counts``: of the strings that :func:`grams_of` gives."""
-        self.followers: dict[bytes, dict[int, int]] = {}
-        for gram, n in counts.items():
-            for k in range(len(gram)):
-                f = self.followers.setdefault(gram[k:-1], {})
-                f[gram[-1]] = f.get(gram[-1], 0) + n
 
-    def bits(self, gram: bytes) -> float:
-        """The code length of the last byte after the others."""
-        total, byte, ruled_out = 0.0, gram[-1], ()
-        for k in range(len(gram)):
-            if not (f := self.followers.get(gram[k:-1])):
-                continue
-            kinds, n = len(f), sum(f.values())
-            if ruled_out:  # a shorter context has seen all that a longer one has
-                kinds -= len(ruled_out)
-                n -= sum(map(f.__getitem__, ruled_out))
-            if kinds:
-                if (c := f.get(byte)) is not None:
-                    return total - log2(c / (n + kinds))
-                total -= log2(kinds / (n + kinds))
-            ruled_out = f
-        return total + log2(max(1, 256 - len(ruled_out)))
+def length_of(gram: np.ndarray) -> np.ndarray:
+    """How many bytes tagged numbers have."""
+    return sum((gram >= np.int64(1 << 8 * k)).astype(np.int64) for k in range(1, ORDER + 2))
+
+
+class Lookup:
+    """Places of keys in an array of different ones, -1 if absent: a table of four slots a key at least, probed one
+    after the other."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys, self.slots = np.append(keys, -1), np.full(1 << self.bits, -1, np.int32)
+        left, at = np.arange(len(keys)), self._first(keys)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]  # of several in one slot the last stays
+            on = self.slots[at] != left
+            left, at = left[on], at[on] + 1 & (1 << self.bits) - 1
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (mixed(keys.view(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._first(keys)
+        out = self.slots[at]
+        left = np.flatnonzero((self.keys[out] != keys) & (out >= 0))
+        while len(left):
+            at[left] = at[left] + 1 & (1 << self.bits) - 1
+            out[left] = self.slots[at[left]]
+            left = left[(self.keys[out[left]] != keys[left]) & (out[left] >= 0)]
+        return out
 
 
 class Model:
-    """Trees by language, and the code lengths of what has been met, within bounds."""
+    """The context trees of all languages, order by order: for each context of any of them, and each byte that follows it,
+    a column of counts."""
 
-    def __init__(self, counts: dict[str, dict[bytes, int]]):
+    def __init__(self, counts: dict[str, dict[int, int]]):
+        """``counts``: by language those of the numbers that :func:`grams` gives."""
         self.langs = sorted(counts)
-        self.trees = [Tree(counts[x]) for x in self.langs]
-        self._forget()
-
-    def __getstate__(self) -> dict:
-        return {"langs": self.langs, "trees": self.trees}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.grams: dict[bytes, tuple[float, ...]] = {}
-        self.rows: dict[bytes, int] = {}
-        self.bits = np.zeros((1024, len(self.langs)))
-
-    def word(self, word: bytes) -> np.ndarray:
-        """The word's code length in each language."""
-        found = []
-        for g in grams_of(word):
-            if (x := self.grams.get(g)) is None:
-                if len(self.grams) >= GRAMS:
-                    self.grams.clear()
-                x = self.grams[g] = tuple(t.bits(g) for t in self.trees)
-            found.append(x)
-        return np.array([sum(x) for x in zip(*found, strict=True)])
-
-    def text(self, text: str) -> np.ndarray:
-        """The text's code length in each language."""
-        words = words_of(text)
-        total, step = np.zeros(len(self.langs)), WORDS // 4
-        for a in range(0, len(words), step):  # so that the words at hand fit what is remembered
-            part = words[a : a + step]
-            new = set(part).difference(self.rows)
-            if len(self.rows) + len(new) > WORDS:
-                self.rows.clear()
-                new = set(part)
-            if len(self.rows) + len(new) > len(self.bits):
-                self.bits = np.concatenate([self.bits, np.zeros((len(self.bits) + len(new), len(self.langs)))])
-            for w in new:
-                k = self.rows[w] = len(self.rows)
-                self.bits[k] = self.word(w)
-            total += self.bits[np.fromiter(map(self.rows.__getitem__, part), np.int64, len(part))].sum(axis=0)
+        n = len(self.langs)
+        gram = np.array([g for x in self.langs for g in counts[x]], np.int64)
+        of = np.repeat(np.arange(n), [len(counts[x]) for x in self.langs])
+        times = np.array([c for x in self.langs for c in counts[x].values()], np.float64)
+        longest = length_of(gram)
+        self.contexts, self.followers, self.orders = [], [], []
+        above: tuple | None = None  # of the order above: followers, their contexts' places, whether there, and contexts
+        for k in range(ORDER, -1, -1):
+            has = longest > k
+            keys, at = np.unique(tagged(gram[has], k + 1), return_inverse=True)
+            count = np.zeros((len(keys), n))
+            np.add.at(count, (at, of[has]), times[has])
+            contexts, place = np.unique(tagged(keys >> 8, k), return_inverse=True)
+            total, kinds = np.zeros((len(contexts), n)), np.zeros((len(contexts), n))
+            np.add.at(total, place, count)
+            np.add.at(kinds, place, count > 0)
+            if above is not None:  # what contexts of the order above rule out here
+                up, up_place, there, n_up = above
+                ruled = np.zeros((n_up, n))
+                np.add.at(ruled, up_place, count[np.searchsorted(keys, tagged(up, k + 1))] * there)
+                self.orders[-1] += (ruled,)
+            self.contexts.append(Lookup(contexts))
+            self.followers.append(Lookup(keys))
+            self.orders.append((count, total, kinds))
+            above = keys, place, count > 0, len(contexts)
+        self.orders[-1] += (np.zeros((1, n)),)
+        known = np.unique(gram)
+        self.known = Lookup(known)
+        self.table = np.concatenate([self.bits(known[a : a + AT_ONCE]) for a in range(0, len(known), AT_ONCE)] + [np.zeros((1, n))])
+
+    def bits(self, gram: np.ndarray) -> np.ndarray:
+        """The code length of the last byte of each gram after its others, in each language."""
+        shape = len(gram), len(self.langs)
+        out, open_, longest = np.zeros(shape), np.ones(shape, bool), length_of(gram)
+        ruled_n, ruled_kinds = np.zeros(shape), np.zeros(shape)
+        for k, contexts, followers, (count, total, kinds, ruled) in zip(range(ORDER, -1, -1), self.contexts, self.followers, self.orders, strict=True):
+            has = np.flatnonzero(longest > k)
+            place = contexts(tagged(gram[has] >> 8, k))
+            has, place = has[place >= 0], place[place >= 0]
+            if not len(has):
+                continue
+            there = kinds[place] > 0  # languages that have the context
+            left_kinds, left = kinds[place] - ruled_kinds[has], total[place] - ruled_n[has]
+            at = followers(tagged(gram[has], k + 1))
+            seen = np.where((at >= 0)[:, None], count[at], 0)
+            tries = open_[has] & there & (left_kinds > 0)
+            found = tries & (seen > 0)
+            of = np.where(found, seen, left_kinds)
+            out[has] -= np.where(tries, np.log2(np.where(tries, of, 1) / np.where(tries, left + left_kinds, 1)), 0)
+            open_[has] &= ~found
+            ruled_kinds[has] = np.where(there, kinds[place], ruled_kinds[has])
+            ruled_n[has] = np.where(there, ruled[place], 0)
+        return out + np.where(open_, np.log2(np.maximum(1, 256 - ruled_kinds)), 0)
+
+    def texts(self, texts: list[str]) -> np.ndarray:
+        """The code length of each text in each language."""
+        streams, total = list(map(stream, texts)), np.zeros((len(texts), len(self.langs)))
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+
+        def add() -> None:
+            gram = np.concatenate([g for _, g in held])
+            at = self.known(gram)
+            rows = self.table[at]
+            new = np.flatnonzero(at < 0)
+            if len(new):
+                keys, of = np.unique(gram[new], return_inverse=True)
+                rows[new] = self.bits(keys)[of]
+            starts = np.cumsum([0] + [len(g) for _, g in held[:-1]])
+            np.add.at(total, [k for k, _ in held], np.add.reduceat(rows, starts))
+            held.clear()
+
+        for k, s in enumerate(streams):
+            for a in range(1, len(s), AT_ONCE):
+                begin = max(0, a - ORDER)
+                g = grams(s[begin : a + AT_ONCE])[a - begin - 1 :] if begin else grams(s[: a + AT_ONCE])
+                held.append((k, g))
+                size += len(g)
+                if size >= AT_ONCE:
+                    add()
+                    size = 0
+        if held:
+            add()
         return total
 
-    def predict(self, raw: bytes) -> tuple[str, float]:
-        """The language and its share of the likelihood; ``und`` and 0 for a text without a letter."""
-        text = raw.decode("utf-8", "replace")
-        if not self.langs or not (LETTER.search(raw) or any(map(str.isalpha, text))):
-            return "und", 0.0
-        bits = self.text(text)
-        best = int(bits.argmin())
-        return self.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum())
+    def predict(self, raw: list[bytes]) -> list[tuple[str, float]]:
+        """The language and its share of the likelihood; ``und`` and 0 for a text without a letter. Of languages equally
+        likely the first by name."""
+        texts = [t.decode("utf-8", "replace") for t in raw]
+        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        if not self.langs:
+            return out
+        ask = [k for k, t in enumerate(texts) if LETTER.search(raw[k]) or any(map(str.isalpha, t))]
+        bits = self.texts([texts[k] for k in ask])
+        best = bits.argmin(axis=1)
+        share = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1) if len(ask) else best
+        for k, b, s in zip(ask, best.tolist(), share.tolist(), strict=True):
+            out[k] = self.langs[b], s
+        return out
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter = Counter()
     for b in batches:
+        held = defaultdict(list)
         for lang, raw in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-            for w, n in Counter(words_of(raw.decode("utf-8", "replace"))).items():
-                for g in grams_of(w):
-                    found[lang, g] += n
-    rows = list(found.items())
-    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.int64())], names=["lang", "gram", "n"])
+            held[lang].append(grams(stream(raw.decode("utf-8", "replace"))))
+        for lang, found in held.items():
+            keys, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MOST_DOCS) -> Model:
-    """Trees of about ``most`` documents of each language of ``docs``; rows without a language are left out.
-    What reaches the driver is the counts of their different byte strings of ``ORDER + 1`` bytes."""
+    """Trees of about ``most`` documents of each language of ``docs``; rows without a language are left out, null texts
+    are empty. What reaches the driver is the languages and the counts of the different byte strings of ``ORDER + 1``
+    bytes in those documents. Ids may be of any kind."""
     small_batches(docs.sparkSession)
-    known = docs.filter(F.col(lang_col).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
+    known = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).alias("hash"), text_bytes(text_col).alias("text"))
+    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return Model({})
     limit = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1, most / n) * (1 << 30)))])
-    few = known.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < limit[F.col(lang_col)])
-    rows = few.select(F.col(lang_col).alias("lang"), text_bytes(text_col).alias("text"))
-    counts: dict[str, dict[bytes, int]] = {lang: {} for lang in sizes}
-    got = rows.mapInArrow(_counted, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    few = known.filter(F.pmod("hash", F.lit(1 << 30)) < limit[F.col("lang")]).select("lang", "text")
+    counts: dict[str, dict[int, int]] = {lang: {} for lang in sizes}
+    got = few.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     for lang, gram, n in zip(*(got.column(c).to_pylist() for c in ("lang", "gram", "n")), strict=True):
         counts[lang][gram] = n
     return Model(counts)
@@ -167,14 +228,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score (0 to 1) for each row of ``docs``. A null text, and one without a letter, is
-    ``und`` with score 0; so is every text under a model without languages. The longest texts are read in parts."""
+    ``und`` with score 0; so is every text under a model without languages. Texts are read whole, in parts of bounded
+    size. Repeated rows get equal results; extra columns are ignored."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            found = [m.predict(t) for t in b.column("text").to_pylist()]
+            found = m.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text_col).alias("text"))

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on small tables with nulls, blanks, ties, repeats and extra columns."""
 
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -480,8 +481,59 @@ def test_language(spark, empty):
     assert {r.lang_pred for r in language.identify(df, language.train(empty)).collect()} == {"und"}
 
 
+class PlainPPM:
+    """Method C with exclusion, byte by byte, from followers of every context."""
+
+    def __init__(self, texts):
+        self.followers = defaultdict(Counter)
+        for t in texts:
+            s = language.stream(t)
+            for k in range(1, len(s)):
+                for order in range(min(language.ORDER, k) + 1):
+                    self.followers[s[k - order : k]][s[k]] += 1
+
+    def bits(self, text):
+        s, total = language.stream(text), 0.0
+        for k in range(1, len(s)):
+            out = set()
+            for order in range(min(language.ORDER, k), -1, -1):
+                f = {b: n for b, n in self.followers.get(s[k - order : k], {}).items() if b not in out}
+                n = sum(f.values()) + len(f)
+                if s[k] in f:
+                    total -= math.log2(f[s[k]] / n)
+                    break
+                if f:
+                    total -= math.log2(len(f) / n)
+                    out |= set(f)
+            else:
+                total += math.log2(max(1, 256 - len(out)))
+        return total
+
+
+def test_language_equals_plain_ppm(spark, docs, monkeypatch):
+    """Code lengths, predictions and scores, over whole texts, also when these are read in parts."""
+    texts = [(i, t, "abc"[i % 3]) for i, t in ROWS if i % 5]
+    plain = {x: PlainPPM([t or "" for _, t, lang in texts if lang == x]) for x in "abc"}
+    asked = [t or "" for _, t in ROWS if len(t or "") < 2000] + ["漢字 ßé " * 9, "zzzz", "\n\n", "Ab", "".join(RNG.choice("qxz#é ") for _ in range(300))]
+    for at_once in (1 << 18, 7):
+        monkeypatch.setattr(language, "AT_ONCE", at_once)
+        model = language.train(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+        got = model.texts(asked)
+        for k, t in enumerate(asked):
+            assert got[k].tolist() == pytest.approx([plain[x].bits(t) for x in "abc"], abs=1e-6)
+    for r in language.identify(docs, model).collect():
+        text = dict(ROWS)[r.doc_id] or ""
+        if not any(map(str.isalpha, text)):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        bits = [plain[x].bits(text) for x in "abc"]
+        assert r.lang_pred == "abc"[bits.index(min(bits))] and r.score == pytest.approx(1 / sum(2.0 ** max(-1000, min(bits) - b) for b in bits))
+
+
 def test_code_lengths_are_of_a_distribution():
-    tree = language.Tree(Counter(g for w in (b"abracadabra", b"abba", b"cab") for g in language.grams_of(w)))
-    for context in (b" ", b" a", b" ab", b"brac", b"zz"):
-        total = sum(2.0 ** -tree.bits(context + bytes([c])) for c in range(256))
-        assert abs(total - 1) < 1e-9
+    import numpy as np
+
+    model = language.Model({"a": dict(Counter(g for w in ("abracadabra", "abba", "cab") for g in language.grams(language.stream(w)).tolist())), "none": {}})
+    for context in (b"", b"a", b"ab", b"brac", b"zz"):
+        each = np.array([int.from_bytes(b"\1" + context + bytes([c])) for c in range(256)])
+        assert np.exp2(-model.bits(each)).sum(axis=0) == pytest.approx([1, 1])
