@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Rows that go to Python at once; texts can be long, so few.
 BATCH_ROWS = 512
@@ -22,11 +23,13 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset a new
-    temporary one, which only suits a single machine."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset on a single machine, a
+    new temporary one is set; on a cluster it must be set."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sievelake-")
         sc.setCheckpointDir(folder)
     return folder
@@ -41,11 +44,39 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kind: StructType) -> DataFrame:
+    """``df.mapInArrow(run, kind)`` for columns of any names, also with dots."""
+    given, places = df.columns, [f"c{k}" for k in range(len(kind))]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(x.rename_columns(given) for x in batches):
+            yield b.rename_columns(places)
+
+    out = df.toDF(*[f"c{k}" for k in range(len(given))]).mapInArrow(placed, StructType([StructField(p, f.dataType, True) for p, f in zip(places, kind, strict=True)]))
+    return out.toDF(*kind.names)
+
+
 def text_bytes(name: str) -> Column:
     """A text column as UTF-8 bytes; null is empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names for new columns that no column of ``df`` has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, by names that may hold any character."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def held_out(id_col: str) -> Column:
     """Whether crc32 of the id as text leaves 1 when divided by 3; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -18,10 +18,10 @@ from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, partitions_for, small_batches, staged, text_bytes
+from .common import arrow_rows, columns_of, free, mapped, partitions_for, small_batches, staged, text_bytes
 
 #: Characters that do not count: space, tab, line feed, vertical tab, form feed and carriage return.
 IGNORED = b" \t\n\x0b\x0c\r"
@@ -176,7 +176,8 @@ KIND = "digest binary, n_points long, keep_id long, group_size long"
 
 def groups(rows: DataFrame) -> DataFrame:
     """The index: a row for each digest of ``rows`` (as from :func:`digests`) with the row that stays
-    (keep_id, n_points) and the number of rows (group_size)."""
+    (keep_id, n_points) and the number of rows (group_size). No rows give no rows; a row without an id stays only where
+    no other has as many code points."""
     spark = rows.sparkSession
     local = rows.select("digest", "n_points", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size")).mapInArrow(_merged, KIND)
     return local.repartition(partitions_for(spark, rows.count(), KEYS_EACH), "digest").mapInArrow(_merged, KIND)
@@ -192,16 +193,18 @@ def _without(key, left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def add(index: DataFrame, rows: DataFrame) -> DataFrame:
-    """The index after new rows (as from :func:`digests`) came: a digest that was there only grows."""
+    """The index after new rows (as from :func:`digests`) came: a digest that was there only grows, and the better row
+    stays. Either may be empty; repeated rows count as often as they come."""
     both = index.select(*GROUPS.names).unionByName(groups(rows))
     return both.repartition(partitions_for(index.sparkSession, index.count(), KEYS_EACH), "digest").mapInArrow(_merged, KIND)
 
 
 def remove(index: DataFrame, gone: DataFrame) -> DataFrame:
-    """The index without the digests in ``gone``; a digest that comes again later is new."""
+    """The index without the digests in ``gone`` (column digest): a digest goes with its whole group, whatever its size.
+    Digests that the index lacks, and nulls, have no effect; one that comes again later is new."""
     n = partitions_for(index.sparkSession, index.count(), KEYS_EACH)
     part = lambda df: df.withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(n)))
-    left, right = part(index.select(*GROUPS.names)), part(gone.select("digest").distinct())
+    left, right = part(index.select(*GROUPS.names)), part(gone.select("digest").filter("digest IS NOT NULL").distinct())
     return left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(_without, KIND)
 
 
@@ -216,19 +219,42 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return rows.join(found.drop("n_points"), "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
+def _with_digests(text: str, digest: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [hashlib.sha256(t.translate(None, IGNORED)).digest() for t in b.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.drop_columns([text]).columns, pa.array(found, pa.binary())], names=[*b.drop_columns([text]).schema.names, digest])
+
+    return run
+
+
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns. A row that repeats another's id and text
-    goes too. Of rows without an id one of each text stays, unless a copy with an id does."""
+    """``docs`` with one row of each group of equal texts, all columns: the one with the most code points, then the smallest
+    id; a row without an id only where no row with one has as many. Of rows with one id (or none) and as many code points
+    the one with the smallest text stays; rows that agree in that too are alike, and one of them stays.
+
+    Null, empty and blank texts are equal. No rows give no rows. Columns may have any names. Ids are integers."""
     rows = staged(digests(docs, id_col, text_col))
     found = staged(groups(rows))
-    stays = rows.join(found.drop("n_points"), "digest").filter("doc_id = keep_id").select(F.col("doc_id").alias("__id"), "digest").distinct()
-    again = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    out = docs.join(stays.select("__id").distinct(), docs[id_col].cast("bigint") == F.col("__id"), "left_semi")
-    if not again.isEmpty():  # ids that several rows have
-        out = out.dropDuplicates([id_col, text_col])
-    if rows.filter("doc_id IS NULL").isEmpty():
+    several = rows.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select("doc_id")
+    stays = found.filter("keep_id IS NOT NULL").select("keep_id").distinct()
+    odd = not several.isEmpty()
+    if odd:  # rows that their ids don't tell apart
+        several = staged(several)
+        stays = stays.join(several, F.col("keep_id") == F.col("doc_id"), "left_anti")
+    (key,) = free(docs, "keep_id")
+    out = docs.join(stays.withColumnRenamed("keep_id", key), docs[id_col].cast("bigint") == F.col(key), "left_semi")
+    if not odd:
         return out
-    text = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]", ""), 256)
-    lost = found.filter("keep_id IS NOT NULL").select(F.lower(F.hex("digest")).alias("__digest"))
-    nameless = docs.filter(F.col(id_col).isNull()).dropDuplicates([text_col]).withColumn("__of", text)
-    return out.unionByName(nameless.join(lost, F.col("__of") == F.col("__digest"), "left_anti").drop("__of"))
+    small_batches(docs.sparkSession)
+    key, raw, points, digest, rank = free(docs, "of_id", "raw", "points", "digest", "rank")
+    mine = docs.join(several.withColumnRenamed("doc_id", key), docs[id_col].cast("bigint").eqNullSafe(F.col(key)), "left_semi")
+    mine = mine.withColumns({raw: text_bytes(text_col), points: F.coalesce(F.char_length(F.col(text_col).cast("string")), F.lit(0)).cast("bigint")})
+    marked = mapped(mine, _with_digests(raw, digest), mine.drop(raw).schema.add(digest, "binary"))
+    best = found.select(F.col("digest").alias("of_digest"), F.col("n_points").alias("of_points"), F.col("keep_id").alias("of_keep"))
+    best = best.toDF(*free(marked, *best.columns))
+    of_digest, of_points, of_keep = best.columns
+    first = marked.join(best, (F.col(digest) == F.col(of_digest)) & (F.col(points) == F.col(of_points)) & marked[id_col].cast("bigint").eqNullSafe(F.col(of_keep)))
+    (rank,) = free(first, rank)
+    first = first.withColumn(rank, F.row_number().over(Window.partitionBy(digest).orderBy(text_bytes(text_col)))).filter(F.col(rank) == 1)
+    return out.unionByName(first.select(*columns_of(docs)))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, mixed, small_batches, spans, staged, text_bytes
+from .common import arrow_rows, columns_of, free, mapped, mixed, small_batches, spans, staged, text_bytes
 
 BLOCK, SHARE, LIMIT, SEED = 128, 1.5, 2.0, 11
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -104,7 +104,7 @@ SLOTS = pa.schema([("k", pa.int32()), ("block", pa.int64()), ("shard", pa.int32(
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array([len(t.split()) for t in b.column("text").to_pylist()], pa.int64())], names=["doc_id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("mark"), pa.array([len(t.split()) for t in b.column("text").to_pylist()], pa.int64())], names=["doc_id", "source", "mark", "size"])
 
 
 class Mix:
@@ -112,13 +112,14 @@ class Mix:
     block, longer blocks), documents with their places (doc_id, k, size, start), and the slots of the shards.
 
     A null text has size 0, a null source is a source of its own, the last one. Documents of size 0 are never
-    taken. Repeated rows are separate documents. No rows, or none with words, give an empty mix."""
+    taken. Repeated rows are separate documents, and so are rows without an id. No rows, or none with words, give an empty
+    mix. Ids are integers."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, share: float = SHARE, limit: float = LIMIT, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED):
         spark = docs.sparkSession
         small_batches(spark)
-        rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), text_bytes(text_col).alias("text"))
-        sized = staged(rows.mapInArrow(_sizes, "doc_id long, source string, size long"))
+        rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_bytes(text_col)).alias("mark"), text_bytes(text_col).alias("text"))
+        sized = staged(rows.mapInArrow(_sizes, "doc_id long, source string, mark long, size long"))
         by = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
         by.sort(key=lambda r: (r.source is None, r.source or ""))
         want = targets([r.n for r in by], share, limit, weights)
@@ -128,13 +129,13 @@ class Mix:
             "k int, source string, source_size long, target double, blocks long, slots long, words long, longer long, chunks long",
         )
         chunked = sized.join(self.sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(
-            "doc_id", "source", "k", "size", "source_size", "target", "words", "longer", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("chunks")).alias("chunk")
+            "doc_id", "source", "mark", "k", "size", "source_size", "target", "words", "longer", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("chunks")).alias("chunk")
         )
         sums = chunked.groupBy("k", "chunk").agg(F.sum("size").alias("n"))
         before = sums.select("k", "chunk", (F.sum("n").over(Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-        within = Window.partitionBy("k", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+        within = Window.partitionBy("k", "chunk").orderBy("doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, 0)
         placed = chunked.withColumn("upto", F.sum("size").over(within)).join(before, ["k", "chunk"])
-        self.places = staged(placed.select("doc_id", "source", "k", "size", "source_size", "target", "words", "longer", (F.col("before") + F.col("upto") - F.col("size")).alias("start")))
+        self.places = staged(placed.select("doc_id", "source", "mark", "k", "size", "source_size", "target", "words", "longer", (F.col("before") + F.col("upto") - F.col("size")).alias("start")))
         drawn, of = draws(slots, seed), dict(enumerate(blocks))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +154,7 @@ class Mix:
         return self.slots.groupBy("k", "block").agg(F.count(F.lit(1)).alias("times"))
 
     def pieces(self) -> DataFrame:
-        """doc_id, k, size, start, and for each block that a document has words in: block, first and last (words
+        """doc_id, mark (of the text), k, size, start, and for each block that a document has words in: block, first and last (words
         of the document in it, from 0, last excluded), times (0 if the mix doesn't take it)."""
         # The first ``longer`` blocks of a source have a word more than its others.
         n, long = F.col("words"), F.col("longer") * (F.col("words") + 1)
@@ -162,7 +163,7 @@ class Mix:
         cut = self.places.filter("size > 0").withColumn("block", F.explode(F.sequence(of(F.col("start")), of(F.col("start") + F.col("size") - 1))))
         first = F.greatest(F.col("start"), at(F.col("block"))) - F.col("start")
         last = F.least(F.col("start") + F.col("size"), at(F.col("block") + 1)) - F.col("start")
-        return cut.select("doc_id", "k", "size", "start", "block", first.alias("first"), last.alias("last")).join(self.times(), ["k", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+        return cut.select("doc_id", "mark", "k", "size", "start", "block", first.alias("first"), last.alias("last")).join(self.times(), ["k", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
     def taken(self) -> DataFrame:
         """doc_id, source, size, source_size, target and taken (words, repeats counted) for each document."""
@@ -191,12 +192,29 @@ def cut(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", **plan) -> DataFrame:
     """The mix as documents, with the columns of ``docs``: a document's first copy has the words whose blocks are
     taken, its second those taken twice, and so on; one of which nothing is taken goes. Blocks split texts at
-    words; a copy of all words is the whole text. ``chars_col`` is counted anew. Ids must be unique; rows without
-    one are left out."""
-    named = docs.filter(F.col(id_col).isNotNull())
-    pieces = Mix(named, id_col, text_col, source_col, **plan).pieces().filter("times > 0")
-    found = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "last", "times"))).alias("__pieces")).withColumnRenamed("doc_id", "__id")
-    rows = named.join(found, named[id_col].cast("bigint") == F.col("__id")).drop("__id")
+    words; a copy of all words is the whole text. ``chars_col`` is counted anew. Rows that repeat an id, or have none,
+    are documents of their own; those alike in id, source and text may stand for each other. Columns may have any names."""
+    mix = Mix(docs, id_col, text_col, source_col, **plan)
+    found = mix.pieces().filter("times > 0").groupBy("doc_id", "mark", "k", "start", "size").agg(F.sort_array(F.collect_list(F.struct("first", "last", "times"))).alias("pieces"))
+    several = mix.places.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select("doc_id")
+    key, pieces, of_source, of_mark, turn, of_turn, source, mark = free(docs, "of_id", "pieces", "of_source", "of_mark", "turn", "of_turn", "source_text", "mark")
+    named = found.select(F.col("doc_id").alias(key), F.col("pieces").alias(pieces))
+    odd = not several.isEmpty()
+    if odd:
+        several = staged(several)
+        named = found.join(several, "doc_id", "left_anti").select(F.col("doc_id").alias(key), F.col("pieces").alias(pieces))
+    rows = docs.join(named, docs[id_col].cast("bigint") == F.col(key)).select(*columns_of(docs), pieces)
+    if odd:  # rows that their ids don't tell apart: by source and text too, and by turns where these are the same
+        twin = Window.partitionBy("doc_id", "k", "mark").orderBy("start")
+        places = mix.places.filter("size > 0").join(several.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+        places = places.withColumn("turn", F.row_number().over(twin)).select("source", "k", "start", "turn")
+        theirs = found.join(places, ["k", "start"]).select(F.col("doc_id").alias(key), F.col("source").alias(of_source), F.col("mark").alias(of_mark), F.col("turn").alias(of_turn), F.col("pieces").alias(pieces))
+        mine = docs.join(several.withColumnRenamed("doc_id", key), docs[id_col].cast("bigint").eqNullSafe(F.col(key)), "left_semi")
+        mine = mine.withColumns({source: F.col(source_col).cast("string"), mark: F.xxhash64(text_bytes(text_col))})
+        mine = mine.withColumn(turn, F.row_number().over(Window.partitionBy(mine[id_col].cast("bigint"), source, mark).orderBy(text_col)))
+        same = mine[id_col].cast("bigint").eqNullSafe(F.col(key)) & F.col(source).eqNullSafe(F.col(of_source)) & (F.col(mark) == F.col(of_mark)) & (F.col(turn) == F.col(of_turn))
+        both = mine.join(theirs, same)
+        rows = rows.unionByName(both.select(*columns_of(docs), pieces))
     small_batches(docs.sparkSession)
     names = docs.columns
     at, of = names.index(text_col), names.index(chars_col) if chars_col in names else -1
@@ -205,14 +223,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         for b in batches:
             raw = b.column(text_col).cast(pa.binary()).to_pylist()
             rows, out = [], []
-            for k, found in enumerate(b.column("__pieces").to_pylist()):
+            for k, found in enumerate(b.column(pieces).to_pylist()):
                 for copy in range(max(p["times"] for p in found)):
                     rows.append(k)
                     out.append(cut(raw[k], [(p["first"], p["last"]) for p in found if p["times"] > copy]).decode("utf-8", "replace"))
-            columns = b.drop_columns(["__pieces"]).take(pa.array(rows, pa.int64())).columns
+            columns = b.drop_columns([pieces]).take(pa.array(rows, pa.int64())).columns
             columns[at] = pa.array(out, columns[at].type)
             if of >= 0:
                 columns[of] = pa.array(list(map(len, out)), pa.int64()).cast(columns[of].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, docs.schema)
+    return mapped(rows, run, docs.schema)

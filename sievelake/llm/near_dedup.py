@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mixed, small_batches, staged, text_bytes
+from .common import columns_of, free, mapped, mixed, small_batches, staged, text_bytes
 from .graph import components
 
 #: Bands of ``ROWS`` coordinates. At similarity 0.8 a pair has no band in common with probability 3e-6.
@@ -82,6 +82,11 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
 
 
+def _mark(items: np.ndarray) -> bytes:
+    """Of a whole set: equal sets have equal ones."""
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
+
+
 def _sketched(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -89,7 +94,7 @@ def _sketched(width: int):
             for t in b.column("text").to_pylist():
                 s = shingles(t, width)
                 sizes.append(len(s))
-                marks.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                marks.append(_mark(s))
                 keys.append(bands(sketch(s)) if len(s) else [])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "mark", "keys"])
 
@@ -99,8 +104,8 @@ def _sketched(width: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingles(t, width).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.binary())], names=["id", "items"])
+            found = [shingles(t, width) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.tobytes() for x in found], pa.binary()), pa.array(list(map(_mark, found)), pa.binary())], names=["id", "items", "mark"])
 
     return run
 
@@ -172,26 +177,31 @@ def _blocks(percent: int):
     return run
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id for each row of ``docs``.
-
-    A document's set is its distinct ``width``-word shingles (words end at space, tab, line feed, vertical tab,
-    form feed and carriage return; A-Z count as a-z); a text with fewer words is one shingle; one without words,
-    or null, has an empty set and no links. Sets are held as 64-bit hashes. Two documents are linked if their
-    similarity is at least ``percent`` hundredths, and component_id is the smallest id that a document reaches.
-    Ids should be unique; rows that repeat an id get equal results, and rows without an id have no links."""
+def _classed(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """doc_id, mark (of the set), n_shingles, component_id, and the number of the component, for each row of ``docs``."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text_col).alias("text"))
     slim = staged(rows.mapInArrow(_sketched(width), "doc_id long, n long, mark binary, keys array<long>"))
     linked = slim.filter("n > 0 AND doc_id IS NOT NULL")
-    same = staged(linked.groupBy("mark").agg(F.min("doc_id").alias("node")))
-    nodes = linked.join(same, (linked["mark"] == same["mark"]) & (F.col("doc_id") == F.col("node"))).select("node", "n", "keys").dropDuplicates(["node"])
+    # A node for each set, with its smallest id as its number; where an id has several sets, all but one get numbers of
+    # their own, below all ids. Components are named by ids in the end.
+    same = staged(linked.groupBy("mark").agg(F.min(F.struct("doc_id", "n", "keys")).alias("one")).select("mark", F.col("one.doc_id").alias("least"), "one.n", "one.keys"))
+    several = same.groupBy("least").count().filter("count > 1").select("least")
+    odd = not several.isEmpty()
+    same = same.withColumn("node", F.col("least"))
+    if odd:
+        lowest = same.agg(F.min("least")).first()[0]
+        turn = F.row_number().over(Window.partitionBy("least").orderBy("mark"))
+        spare = same.join(several, "least", "left_semi").select("mark", turn.alias("turn")).filter("turn > 1").select("mark", F.pmod(F.xxhash64("mark"), F.lit(64)).alias("part"))
+        number = F.lit(lowest) - F.row_number().over(Window.partitionBy("part").orderBy("mark")) * 64 - F.col("part")
+        same = staged(same.join(staged(spare.select("mark", number.alias("number"))), "mark", "left").withColumn("node", F.coalesce("number", "least")).drop("number"))
+    nodes = same.select("node", "n", "keys")
     keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("of")).filter("of > 1").select("key", "first")
     members = staged(keyed.join(shared, "key").select("key", "node", "n", F.col("first.node").alias("first"), F.col("first.n").alias("first_n")))
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = staged(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "id long, items binary").dropDuplicates(["id"]))
+    wanted = members.select("node").distinct()
+    sets = _sets_of(rows, wanted, same, width, odd)
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  else too far apart in size
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -223,14 +233,68 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         more = staged(sorted_.mapInArrow(_blocks(percent), "a long, b long"))
         if not more.isEmpty():
             found = components(links.union(more))
-    final = same.join(found, F.col("node") == F.col("id"), "left").select(F.col("mark").alias("of"), F.coalesce("component", "node").alias("component"))
-    known = slim.filter("n > 0 AND doc_id IS NOT NULL").join(final, F.col("mark") == F.col("of")).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    return known.unionByName(slim.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    final = same.join(found, F.col("node") == F.col("id"), "left").select("mark", "least", F.coalesce("component", "node").alias("component"))
+    if odd:
+        final = final.join(final.groupBy("component").agg(F.min("least").alias("smallest")), "component")
+    final = final.select(F.col("mark").alias("of"), F.col("component").alias("number"), F.col("smallest" if odd else "component").alias("component_id"))
+    known = linked.join(final, F.col("mark") == F.col("of")).select("doc_id", "mark", F.col("n").alias("n_shingles"), "component_id", "number")
+    return known.unionByName(slim.filter("n = 0 OR doc_id IS NULL").select("doc_id", "mark", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("number")))
+
+
+def _sets_of(rows: DataFrame, wanted: DataFrame, same: DataFrame, width: int, odd: bool) -> DataFrame:
+    """id (of a node) and items for the nodes wanted; with ``odd`` an id doesn't tell a node's set."""
+    if not odd:
+        few = rows.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+        return staged(few.mapInArrow(_sets(width), "id long, items binary, mark binary").drop("mark").dropDuplicates(["id"]))
+    of = same.join(wanted, "node", "left_semi").select("least", "node", F.col("mark").alias("of"))
+    few = rows.join(of.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(width), "id long, items binary, mark binary")
+    return staged(few.join(of, (F.col("id") == F.col("least")) & (F.col("mark") == F.col("of"))).select(F.col("node").alias("id"), "items").dropDuplicates(["id"]))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id for each row of ``docs``.
+
+    A document's set is its distinct ``width``-word shingles (words end at space, tab, line feed, vertical tab,
+    form feed and carriage return; A-Z count as a-z); a text with fewer words is one shingle; one without words,
+    or null, has an empty set and no links. Sets are held as 64-bit hashes. Two documents are linked if their
+    similarity is at least ``percent`` hundredths, and component_id is the smallest id that a document reaches.
+    Rows that repeat an id are documents of their own; rows without an id have no links. Ids are integers; no rows give
+    no rows; extra columns are ignored."""
+    return _classed(docs, id_col, text_col, width, percent).drop("mark", "number")
+
+
+def _marked(text: str, mark: str, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_mark(shingles(t, width)) for t in b.column(text).to_pylist()]
+            rest = b.drop_columns([text])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(found, pa.binary())], names=[*rest.schema.names, mark])
+
+    return run
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with the row of the smallest id of each component of linked documents, all columns. Rows without
-    words, and rows without an id, have no links and stay."""
-    found = classes(docs, id_col, text_col, width, percent)
-    goes = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(goes, docs[id_col].cast("bigint") == F.col("__id"), "left_anti")
+    words, and rows without an id, have no links and stay. Of rows of a component that share its smallest id the one with
+    the smallest text stays; rows alike in that too are one. Columns may have any names; no rows give no rows."""
+    found = staged(_classed(docs, id_col, text_col, width, percent))
+    several = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    odd = not several.isEmpty()
+    goes = found.filter("doc_id <> component_id").select("doc_id")
+    if odd:  # rows that their ids don't tell apart
+        several = staged(several)
+        goes = goes.union(several)
+    (key,) = free(docs, "of_id")
+    out = docs.join(goes.distinct().withColumnRenamed("doc_id", key), docs[id_col].cast("bigint") == F.col(key), "left_anti")
+    if not odd:
+        return out
+    small_batches(docs.sparkSession)
+    raw, mark, of_id, of_mark, component, number, size, rank = free(docs, "raw", "mark", "of_id", "of_mark", "component", "number", "size", "rank")
+    mine = docs.join(several.withColumnRenamed("doc_id", key), docs[id_col].cast("bigint") == F.col(key), "left_semi").withColumn(raw, text_bytes(text_col))
+    marked = mapped(mine, _marked(raw, mark, width), mine.drop(raw).schema.add(mark, "binary"))
+    of = found.join(several, "doc_id", "left_semi").select("doc_id", "mark", "component_id", "number", "n_shingles").distinct().toDF(of_id, of_mark, component, number, size)
+    both = marked.join(of, (marked[id_col].cast("bigint") == F.col(of_id)) & (F.col(mark) == F.col(of_mark)))
+    first = Window.partitionBy(number).orderBy(text_bytes(text_col))
+    stay = both.filter(f"`{size}` > 0 AND `{of_id}` = `{component}`").withColumn(rank, F.row_number().over(first)).filter(F.col(rank) == 1)
+    wordless = both.filter(f"`{size}` = 0")
+    return out.unionByName(stay.select(*columns_of(docs))).unionByName(wordless.select(*columns_of(docs)))

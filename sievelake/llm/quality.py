@@ -1,7 +1,8 @@
 """Quality scores from document statistics: random Fourier features, ridge and isotonic calibration.
 
 A few statistics of each whole text (shares of kinds of bytes, lengths and repetition of words and lines) are
-standardised and mapped to random cosines whose inner products approximate a Gaussian kernel. Each partition
+standardised, brought to six standard deviations where they are farther from the mean, since the kernel tells nothing
+apart out there, and mapped to random cosines whose inner products approximate a Gaussian kernel. Each partition
 sums its part of the normal equations, the driver adds the parts, one matrix each, and solves for the ridge
 weights. Pool-adjacent-violators on labelled rows that the ridge has not seen turns its output into a
 probability. A score depends on nothing but the text.
@@ -18,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, text_bytes
+from .common import free, mapped, small_batches, staged, text_bytes
 
 #: About how many labelled rows the fit uses at most: those with the smallest hashes of their ids.
 MOST_LABELS = 20_000
 FEATURES, RIDGE, SEED, CALIBRATION_SHARE = 384, 1e-3, 20, 5
+#: Standard deviations that a statistic is from the mean at most.
+FARTHEST = 6.0
 #: Partitions of the labelled rows; each sends one matrix to the driver.
 FIT_PARTS = 8
 
@@ -80,7 +83,7 @@ class Model:
     chances: np.ndarray
 
     def features(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -6, 6)
+        z = np.clip((x - self.mean) / self.scale, -FARTHEST, FARTHEST)
         cosines = np.cos(z @ self.waves + self.phase) * np.sqrt(2 / self.waves.shape[1])
         return np.concatenate([cosines, np.ones((len(x), 1))], axis=1)
 
@@ -106,9 +109,10 @@ def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", most: int = MOST_LABELS) -> Model:
-    """Fit on rows with a 0/1 label (others are dropped). The rows should be a bounded sample, see
-    :func:`sample`; what reaches the driver is a matrix a partition and the calibration rows' outputs.
-    Without labelled rows every score is 0.5."""
+    """Fit on rows with a 0/1 label (others are dropped; null texts are empty). The rows should be a bounded sample, see
+    :func:`sample`; what reaches the driver is a matrix a partition and at most ``most`` calibration rows' statistics, those
+    with the smallest hashes of their ids. Without labelled rows every score is 0.5; with labels of one kind only, every
+    score is that label."""
     small_batches(labelled.sparkSession)
     rows = labelled.filter(F.col(label_col).isin(0, 1)).select(
         F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text_col).alias("text"), F.col(label_col).cast("double").alias("label"),
@@ -153,9 +157,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     a, b = summed(equations, learn)
     d = FEATURES + 1
     model.weights = np.linalg.solve(a.reshape(d, d) + RIDGE * n[0] / FEATURES * np.eye(d), b)
-    seen = judge.select("x", "label").limit(2 * most).toArrow()
+    first = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(most).select("x", "label").toArrow()
+    seen = first(judge)
     if not seen.num_rows:
-        seen = learn.select("x", "label").limit(2 * most).toArrow()
+        seen = first(learn)
     model.steps, model.chances = isotonic(model.raw(np.array(seen.column("x").to_pylist())), np.array(seen.column("label")))
     return model
 
@@ -178,26 +183,26 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     small_batches(docs.sparkSession)
     columns = columns or [id_col]
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(c) for c in columns], text_bytes(text_col).alias("__bytes"))
+    (name,) = free(docs, "text_bytes")
+    rows = docs.select(*[F.col(c) for c in columns], text_bytes(text_col).alias(name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            x = np.array([statistics_of(t) for t in b.column("__bytes").to_pylist()]).reshape(-1, STATISTICS)
+            x = np.array([statistics_of(t) for t in b.column(name).to_pylist()]).reshape(-1, STATISTICS)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(m.scores(x), pa.float64())], names=[*columns, "score"])
 
-    kind = rows.drop("__bytes").schema.add("score", "double")
+    kind = rows.drop(name).schema.add("score", "double")
     out = rows.mapInArrow(run, kind)
     return out.withColumnRenamed(id_col, "doc_id") if columns == [id_col] else out
 
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score ``least`` or more, with all their columns; one pass, no shuffle."""
+    """The rows of ``docs`` that score ``least`` or more, with all their columns, whose names may be any; one pass, no
+    shuffle. A null text counts as empty; repeated rows stay or go together; no rows give no rows."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    name = "__text_bytes"
-    while name in docs.columns:
-        name += "_"
+    (name,) = free(docs, "text_bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -205,4 +210,4 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0
             x = np.array([statistics_of(t) for t in b.column(name).to_pylist()]).reshape(-1, STATISTICS)
             yield b.drop_columns([name]).filter(pa.array(m.scores(x) >= least))
 
-    return docs.withColumn(name, text_bytes(text_col)).mapInArrow(run, docs.schema)
+    return mapped(docs.withColumn(name, text_bytes(text_col)), run, docs.schema)
