@@ -1,98 +1,45 @@
 """Exact top-k search over codes of 64 bits, or of several 64-bit words, by incremental multi-index hashing.
 
-Codes are the signs of vectors. Each shard of codes is indexed by each of ``SEGMENTS`` segments of a word. A
-query probes, for growing radii, the codes whose segment differs from its own in exactly that many bits,
-segment by segment, and verifies their whole distance. When all segments up to j are done to radius r and the
-others to r - 1, a code not yet met differs in more than r bits in j + 1 segments and in r bits or more in the
-others, so its distance is at least ``s * r + j + 1`` of s segments; the search stops as soon as the k-th verified
-distance is below that.
-
-Equal codes are one entry with its smallest ids, and equal queries are one query. Queries come in blocks that
-meet each shard, and the shards' answers are merged.
+Codes are the signs of vectors, cut into segments of a few bits fewer than the number of codes has. The index is a table
+of codes by segment and value. Queries look up, for growing radii, the values that differ from their own in exactly
+so many bits, and whole distances of what is found are verified in the join. When all segments before j are done to
+radius r and the others to r - 1, a code not yet met differs in more than r bits in j segments and in r bits or more
+in the others, so its distance is at least ``s * r + j`` of s segments. A query is done as soon as its k-th verified
+distance is below that, and asks a segment only while it isn't; what is farther than its k-th is dropped in the join.
+
+Equal codes are one entry with its smallest ids, and equal queries are one query. Rows that are shuffled are codes by
+segment, looked-up values, and for each query and segment the k nearest found.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, staged
 
-BITS, SEGMENTS = 64, 4
-WIDE = BITS // SEGMENTS
-#: Codes of a shard, queries of a block, and parts that the rows of one code are first cut to.
-SHARD_CODES, BLOCK_QUERIES, SALTS = 200_000, 20_000, 16
-
-
-@lru_cache(maxsize=WIDE + 1)
-def flips(radius: int) -> np.ndarray:
-    """All segment values with ``radius`` bits set."""
-    return np.array([sum(1 << b for b in c) for c in combinations(range(WIDE), radius)], np.int64)
-
-
-class Index:
-    """The codes of one shard (a row of words each), by the values of each segment."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.by = []
-        for j in range(SEGMENTS * codes.shape[1]):
-            value = (codes[:, j // SEGMENTS] >> np.uint64(j % SEGMENTS * WIDE) & np.uint64((1 << WIDE) - 1)).astype(np.int64)
-            self.by.append((np.argsort(value, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << WIDE))])))
-
-    def nearest(self, query: np.ndarray, k: int, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and distances of all codes at most as far as the k-th nearest row; ``weight``: rows of a code,
-        as far as they matter. All codes if they have fewer rows."""
-        met, far = np.zeros(len(self.codes), bool), np.zeros(0, np.int64)
-        most = BITS * self.codes.shape[1] + 1
-        found, rows = np.zeros(0, np.int64), np.zeros(most, np.int64)
-        for radius in range(WIDE + 1):
-            for j, (order, start) in enumerate(self.by):
-                value = int(query[j // SEGMENTS] >> np.uint64(j % SEGMENTS * WIDE)) & (1 << WIDE) - 1 ^ flips(radius)
-                a, n = start[value], start[value + 1] - start[value]
-                a, n = a[n > 0], n[n > 0]
-                if len(n):
-                    at = order[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                    at = at[~met[at]]
-                    met[at] = True
-                    d = np.bitwise_count(self.codes[at] ^ query).sum(axis=1, dtype=np.int64)
-                    found, far = np.concatenate([found, at]), np.concatenate([far, d])
-                    rows += np.bincount(d, weights=weight[at], minlength=most).astype(np.int64)
-                upto = np.cumsum(rows)
-                if upto[-1] >= k and (worst := int(np.searchsorted(upto, k))) < len(self.by) * radius + j + 1:
-                    keep = far <= worst
-                    return found[keep], far[keep]
-        return found, far
-
-
-def _words(codes: pa.ChunkedArray) -> np.ndarray:
-    """Codes (a long, or a list of them) as rows of words."""
-    if pa.types.is_list(codes.type):
-        rows = codes.to_pylist()
-        return np.array(rows, np.int64).reshape(len(rows), len(rows[0]) if rows else 1).view(np.uint64)
-    return codes.to_numpy().view(np.uint64).reshape(-1, 1)
-
-
-def _searched(k: int, kind: pa.DataType):
-    def run(key, codes: pa.Table, queries: pa.Table) -> pa.Table:
-        code, ids = _words(codes.column("code")), codes.column("ids").to_pylist()
-        out: list[tuple] = []
-        if len(code):
-            index, weight = Index(code), np.fromiter(map(len, ids), np.int64, len(ids))
-            asked = queries.column("code")
-            for q, words in zip(asked.to_pylist(), _words(asked), strict=True):
-                at, far = index.nearest(words, k, weight)
-                best = sorted((int(d), i) for a, d in zip(at.tolist(), far.tolist(), strict=True) for i in ids[a])[:k]
-                out += [(q, d, i) for d, i in best]
-        return pa.table({"query_code": pa.array([x[0] for x in out], kind), "distance": pa.array([x[1] for x in out], pa.int32()), "neighbor_id": pa.array([x[2] for x in out], pa.int64())})
-
-    return run
+BITS = 64
+#: Bits of a segment at least and at most, and how many fewer than the number of codes has: a value has 2^SPARE codes or
+#: so, as checking a code costs less than looking up another value. Parts that the rows of one code are first cut to.
+NARROWEST, WIDEST, SPARE, SALTS = 8, 30, 4, 16
+
+
+def segments(codes: int, words: int) -> list[tuple[int, int, int]]:
+    """(word, first bit, bits) of each segment of codes of so many ``words``, for a table of so many ``codes``."""
+    n = -(-BITS // min(WIDEST, max(NARROWEST, (max(1, codes) - 1).bit_length() - SPARE)))
+    cuts = [BITS * k // n for k in range(n + 1)]
+    return [(w, a, b - a) for w in range(words) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def flips(width: int, radius: int) -> np.ndarray:
+    """All values of ``width`` bits with ``radius`` bits set."""
+    return np.array([sum(1 << b for b in c) for c in combinations(range(width), radius)], np.int64)
 
 
 def words_of(vectors: DataFrame, vector_col: str) -> int:
@@ -126,28 +73,53 @@ def sign_codes(vectors: DataFrame, id_col: str, vector_col: str, words: int = 1)
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank (from 1), neighbor_id and distance: the ``k`` rows nearest to each query by Hamming distance,
     ties by smaller id, the query's own id left out. ``rows`` and ``queries`` have id and code (long, or
-    arrays of equally many). A query has
-    fewer results only if there are fewer rows. Ids should be unique; repeated ones count once."""
+    arrays of equally many). A query has fewer results only if there are fewer rows. Ids should be unique: rows that
+    repeat an id and its code count once, an id with several codes counts for each of them."""
     spark = rows.sparkSession
-    small_batches(spark)
     k1 = k + 1
     # First within a part of a code's rows, so that a code that most rows have is no task's own.
     salted = rows.select("id", "code", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")).distinct()
     few = salted.withColumn("n", F.row_number().over(Window.partitionBy("code", "salt").orderBy("id"))).filter(F.col("n") <= k1)
     few = few.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("id"))).filter(F.col("n") <= k1)
     codes = staged(few.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    asked = staged(queries.select(F.col("id").alias("query_id"), F.col("code").alias("query_code")).distinct())
-    different = asked.select(F.col("query_code").alias("code")).distinct()
+    asked = staged(queries.select(F.col("id").alias("query_id"), F.col("code").alias("query")).distinct())
     wide = rows.schema["code"].dataType.typeName() == "array"
     words = (codes.agg(F.max(F.size("code"))).first()[0] or 1) if wide else 1
-    shards, blocks = -(-max(1, codes.count()) // max(1, SHARD_CODES // words)), -(-max(1, different.count()) // BLOCK_QUERIES)
-    blocks = max(blocks, -(-spark.sparkContext.defaultParallelism // shards))
-    part = lambda df, mine, n, other: df.withColumn(mine, F.pmod(F.xxhash64("code", F.lit(3)), F.lit(n)).cast("int")).withColumn(other[0], F.explode(F.sequence(F.lit(0), F.lit(other[1] - 1))))
-    left = part(codes, "shard", shards, ("block", blocks)).groupBy("shard", "block")
-    right = part(different, "block", blocks, ("shard", shards)).groupBy("shard", "block")
-    near = left.cogroup(right).applyInArrow(_searched(k1, pa.list_(pa.int64()) if wide else pa.int64()), f"query_code {'array<long>' if wide else 'long'}, distance int, neighbor_id long")
-    best = Window.partitionBy("query_code").orderBy("distance", "neighbor_id")
-    merged = near.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k1).drop("n")
-    all_of = asked.join(merged, "query_code").filter("query_id <> neighbor_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
-    return all_of.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
+    cut = segments(codes.count(), words)
+    word = lambda c, w: F.col(c)[w] if wide else F.col(c)
+    part = lambda c, w, a, n: F.shiftrightunsigned(word(c, w), a).bitwiseAND(F.lit((1 << n) - 1).cast("bigint"))
+    far: Column = reduce(lambda x, y: x + y, [F.bit_count(word("code", w).bitwiseXOR(word("query", w))) for w in range(words)])
+
+    def by_segment(c: str) -> Column:
+        """A row for each segment of a code: its number, its bits, its value."""
+        return F.inline(F.array(*[F.struct(F.lit(j).alias("segment"), F.lit(n).alias("bits"), part(c, w, a, n).alias("value")) for j, (w, a, n) in enumerate(cut)]))
+
+    index = staged(codes.select("code", "ids", by_segment("code")).drop("bits"))
+    open_ = asked.select("query").distinct().withColumn("kth", F.lit(BITS * words + 1))
+    best = done = None
+    for radius in range(max(n for *_, n in cut) + 1):
+        probes = open_.select("query", "kth", by_segment("query")).filter(F.col("kth") >= len(cut) * radius + F.col("segment"))
+        near = pa.table({"bits": np.concatenate([np.full(len(flips(n, radius)), n) for n in {n for *_, n in cut}]), "flip": np.concatenate([flips(n, radius) for n in {n for *_, n in cut}])})
+        probes = probes.join(F.broadcast(spark.createDataFrame(near)), "bits").select("query", "kth", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+        met = index.join(probes, ["segment", "value"]).withColumn("distance", far).filter(F.col("distance") <= F.col("kth"))
+        met = met.select("query", "segment", "distance", F.explode("ids").alias("id"))
+        # A code is met once by a segment, so of these the k nearest are different rows.
+        first = Window.partitionBy("query", "segment").orderBy("distance", "id")
+        met = met.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k1).select("query", "distance", "id")
+        met = (met if best is None else met.unionByName(best)).distinct()
+        nearest = met.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).filter(F.col("n") <= k1)
+        nearest = staged(nearest)
+        # Queries without anything found yet stay open as well.
+        reached = nearest.filter(F.col("n") == k1).select("query", F.col("distance").alias("reached"))
+        open_ = staged(open_.select("query").join(reached, "query", "left").withColumn("kth", F.coalesce("reached", F.lit(BITS * words + 1))).select("query", "kth"))
+        covered = len(cut) * (radius + 1)
+        ended = nearest.join(open_.filter(F.col("kth") < covered), "query", "left_semi").drop("n")
+        open_ = open_.filter(F.col("kth") >= covered)
+        done = ended if done is None else done.unionByName(ended)
+        best = nearest.join(open_, "query", "left_semi").drop("n")
+        if open_.isEmpty():
+            break
+    done = done.unionByName(best)  # those with fewer rows than they ask for, after all radii
+    all_of = asked.join(done, "query").filter("query_id <> id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return all_of.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("neighbor_id"), "distance")
