@@ -30,8 +30,8 @@ def whole_seconds(c: Column) -> Column:
 
 
 def text2(x: Column) -> Column:
-    """Two decimals as text."""
-    return F.format_string("%.2f", x)
+    """Two decimals as text; NULL stays."""
+    return F.when(x.isNotNull(), F.format_string("%.2f", x))
 
 
 def mb(kb: Column) -> Column:
@@ -92,10 +92,14 @@ def strip_ansi(c: Column) -> Column:
     return F.regexp_replace(c, r"\x1b\[[0-9;]*m", "")
 
 
+def field_pattern(name: str) -> str:
+    return rf'{name}\s*=\s*"([^"]+)"'
+
+
 def field(c: Column, name: str) -> Column:
-    """The value of ``name="value"`` in a log text; the text itself if it holds no ``=``; else ``unknown``."""
-    s = strip_ansi(c)
-    p = rf'{name}\s*=\s*"?([^"\s]+)"?'
+    """The value of ``name="value"`` in a log text; the text itself, trimmed, if it holds no ``=``; else ``unknown``. Only
+    quoted values count, and they may hold blanks."""
+    s, p = strip_ansi(c), field_pattern(name)
     return F.when(s.rlike(p), F.regexp_extract(s, p, 1)).when(~s.contains("=") & (F.trim(s) != ""), F.trim(s)).otherwise("unknown")
 
 
@@ -116,10 +120,10 @@ def ordinal(c: Column, order: list[str]) -> Column:
 
 
 def format_seconds(x: Column) -> Column:
-    """``N/A``, ``s.ss s``, ``m:ss.ss`` or ``h:mm:ss.ss``."""
+    """``N/A``, ``s.ss`` with one decimal, ``m:ss.ss`` or ``h:mm:ss.ss``."""
     h, m = F.floor(x / 3600), F.floor(F.pmod(x, F.lit(3600.0)) / 60)
     s = F.pmod(x, F.lit(60.0))
-    return F.when(x.isNull(), "N/A").when(x < 60, F.format_string("%.2f s", x)).when(x < 3600, F.format_string("%d:%05.2f", m, s)).otherwise(F.format_string("%d:%02d:%05.2f", h, m, s))
+    return F.when(x.isNull(), "N/A").when(x < 60, F.format_string("%.1fs", x)).when(x < 3600, F.format_string("%d:%05.2f", m, s)).otherwise(F.format_string("%d:%02d:%05.2f", h, m, s))
 
 
 def format_time(x: Column) -> Column:
@@ -128,7 +132,7 @@ def format_time(x: Column) -> Column:
 
 
 def format_memory(x_mb: Column) -> Column:
-    return F.when(x_mb.isNull(), "N/A").when(x_mb >= 1024, F.format_string("%.2f GB", x_mb / 1024)).otherwise(F.format_string("%.1f MB", x_mb))
+    return F.when(x_mb.isNull(), "N/A").when(x_mb >= 1024, F.format_string("%.1f GB", x_mb / 1024)).otherwise(F.format_string("%.0f MB", F.bround(x_mb)))
 
 
 def format_number(x: Column, fmt: str = "%.4f") -> Column:
@@ -136,8 +140,8 @@ def format_number(x: Column, fmt: str = "%.4f") -> Column:
 
 
 def six(x: Column) -> Column:
-    """A metric as text with six decimals."""
-    return F.format_string("%.6f", x)
+    """A metric as text with six decimals; NULL stays."""
+    return F.when(x.isNotNull(), F.format_string("%.6f", x))
 
 
 def bucket(x: Column, bounds: tuple[float, float] = (5.0, 10.0)) -> Column:
@@ -149,13 +153,37 @@ def stars(p: Column) -> Column:
 
 
 def faster(ratio: Column) -> Column:
-    return F.when(ratio > 1, "faster").when(ratio < 1, "slower").when(ratio.isNotNull(), "equal")
+    return F.when(ratio > 1, "faster").when(ratio.isNotNull(), "slower")
 
 
 def comparable(a: Column, b: Column, within: float = 0.01) -> Column:
     return F.when(F.abs(a - b) < within, "comparable").when(a.isNotNull() & b.isNotNull(), "different")
 
 
+def verdict(a: Column, b: Column, names: tuple[str, str], within: float = 0.01) -> dict[str, Column]:
+    """The gap of two scores, and which of two tools is better; NULL unless both are above 0."""
+    both = (a > 0) & (b > 0)
+    gap = F.when(both, F.abs(a - b))
+    return {"gap": gap, "verdict": F.when(gap < within, "comparable").when(both & (a > b), names[0]).when(both, names[1])}
+
+
+def per_second(n: Column, s: Column) -> Column:
+    """Reads (or samples) a second; NULL if no time passed."""
+    return F.try_divide(n.cast("double"), s)
+
+
+def per_hour(n: Column, s: Column) -> Column:
+    return F.try_divide(n.cast("double"), s / F.lit(3600.0))
+
+
+def million_per_minute(n: Column, s: Column) -> Column:
+    return F.try_divide(n / F.lit(1e6), s / F.lit(60.0))
+
+
+def percent(x: Column) -> Column:
+    return x * F.lit(100.0)
+
+
 def clipped(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
@@ -207,6 +235,12 @@ def lower_columns(df: DataFrame, aliases: dict[str, str] | None = None) -> DataF
     return out
 
 
+def metric(df: DataFrame, name: str, stat: str = "mean") -> Column:
+    """The column of a metric and statistic of a table with flat names; NULL if the table lacks it."""
+    flat = f"{name}_{stat}"
+    return F.col(flat) if flat in df.columns else F.lit(None).cast("double")
+
+
 def two_way(df: DataFrame, a: str, b: str) -> DataFrame:
     """Each of two columns filled from the other; one that is missing is made."""
     have = [c for c in (a, b) if c in df.columns]

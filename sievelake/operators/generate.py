@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +28,9 @@ def weight(kind: str, k: Column, n: Column, seed: int = 42) -> Column:
         return F.when(n == 1, 1.0).when(k == 1, 0.5).otherwise(F.lit(0.5) / (n - 1))
     if kind == "powerlaw":
         return F.pow(k.cast("double"), F.lit(-1.5))
-    return F.exp(F.randn(seed) * 2)
+    # Two uniform numbers of the species' number and the seed make a normal one, wherever the row lies.
+    u, v = (F.pmod(F.xxhash64(k.cast("bigint"), F.lit(seed), F.lit(part)), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52)) for part in (0, 1))
+    return F.exp(F.lit(2.0) * F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u)) * F.cos(F.lit(2 * math.pi) * v))
 
 
 def abundance(species: DataFrame, by: list[str], k: str, kind: str = "lognormal", seed: int = 42) -> DataFrame:
@@ -63,3 +68,24 @@ def positional_labels(reads: DataFrame, index: str, microbes: Column, microbes_f
     """Labels by place in the file: the first ``microbes`` records (index from 0), or those after the hosts."""
     first, second = ("microbe", "host") if microbes_first else ("host", "microbe")
     return reads.withColumn("label", F.when(F.col(index) < microbes, first).otherwise(second))
+
+
+def concatenated(files: list[DataFrame], index: str = "index") -> DataFrame:
+    """Records of several files one after the other, numbered anew from 0; each file's are numbered from 0 without gaps."""
+    out, start = [], F.lit(0).cast("bigint")
+    for df in files:
+        out.append(df.withColumn(index, F.col(index) + start))
+        start = start + F.lit(df.count())
+    return reduce(DataFrame.unionByName, out)
+
+
+def zipped(df: DataFrame, a: str, b: str, index: str = "i") -> DataFrame:
+    """Two arrays of each row side by side, by place; of the longer one the rest has no partner."""
+    rest = [c for c in df.columns if c not in (a, b)]
+    pairs = df.select(*rest, F.posexplode(F.arrays_zip(a, b)).alias(index, "pair"))
+    return pairs.select(*rest, index, F.col(f"pair.{a}").alias(a), F.col(f"pair.{b}").alias(b))
+
+
+def by_host_share(datasets: DataFrame, host: str = "host_frac") -> DataFrame:
+    """Datasets by their percent of host."""
+    return datasets.groupBy(F.concat(F.format_string("%.0f", F.col(host) * 100), F.lit("%")).alias("host")).agg(F.count(F.lit(1)).alias("datasets"))

@@ -21,9 +21,9 @@ def std(c: str, kind: str = "sample") -> Column:
 
 
 def stats(df: DataFrame, by: list[str], values: list[str], what: tuple[str, ...] = ("mean", "std"), kind: str = "sample", digits: int | None = None) -> DataFrame:
-    """``value_what`` for each group; ``what`` of mean, std, min, max and n (rows with a value). ``digits`` rounds half
-    to even."""
-    make = {"mean": F.avg, "std": lambda c: std(c, kind), "min": F.min, "max": F.max, "n": F.count}
+    """``value_what`` for each group; ``what`` of mean, std, min, max and n (rows of the group, with a value or
+    not). ``digits`` rounds half to even."""
+    make = {"mean": F.avg, "std": lambda c: std(c, kind), "min": F.min, "max": F.max, "n": lambda c: F.count(F.lit(1))}
     shape = (lambda x: x) if digits is None else (lambda x: F.bround(x, digits))
     aggs = [(make[w](v) if w == "n" else shape(make[w](v))).alias(f"{v}_{w}") for v in values for w in what]
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
@@ -48,6 +48,21 @@ def overall_speedup(df: DataFrame, tool: str, base: str, value: str) -> DataFram
     return means.crossJoin(F.broadcast(only)).withColumn("speedup", ratio(F.col("base_mean"), F.col("mean")))
 
 
+def ratios(df: DataFrame, by: list[str], tool: str, base: str, value: str, prefix: str) -> DataFrame:
+    """Means of each tool against the base's in both directions, each under its name: ``prefix_base_over_tool`` and
+    ``prefix_tool_over_base``."""
+    means = df.groupBy(*by, tool).agg(F.avg(value).alias("mean"))
+    of = F.max(F.when(F.col(tool) == base, F.col("mean"))).over(Window.partitionBy(*by))
+    both = means.withColumn("base_mean", of)
+    return both.withColumns({f"{prefix}_base_over_tool": ratio(F.col("base_mean"), F.col("mean")), f"{prefix}_tool_over_base": ratio(F.col("mean"), F.col("base_mean"))})
+
+
+def slowdown(old: DataFrame, new: DataFrame, keys: list[str], runtime: str) -> DataFrame:
+    """Mean minutes of two versions by key, and the new one's over the old one's; keys that either lacks are left out."""
+    means = lambda df, name: df.groupBy(*keys).agg((F.avg(runtime) / 60).alias(name))
+    return means(old, "old_min").join(means(new, "new_min"), keys).withColumn("slowdown", ratio(F.col("new_min"), F.col("old_min")))
+
+
 def first_run(df: DataFrame, by: list[str], value: str, order: list[str]) -> DataFrame:
     """The value of each group's first row; ``order`` should leave no ties."""
     return df.groupBy(*by).agg(F.min_by(value, F.struct(*order)).alias(value))
@@ -102,9 +117,19 @@ def fit(x: str, y: str) -> dict[str, Column]:
     return {"slope": F.regr_slope(y, x), "intercept": F.regr_intercept(y, x), "r2": F.regr_r2(y, x)}
 
 
-def quartiles(value: str) -> dict[str, Column]:
-    p = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return {"q1": p[0], "median": p[1], "q3": p[2]}
+def quartiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """q1, median and q3 of each group, between values in proportion. Values are counted first, so that what is sorted
+    and held is the different ones, row by row."""
+    each = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(*by)
+    upto = F.sum("__n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = each.withColumns({"__upto": upto, "__all": F.sum("__n").over(w)})
+    out = {}
+    for name, share in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        at = (F.col("__all") - 1) * F.lit(share)
+        low, high = (F.min(F.when(F.col("__upto") > k, F.col(value))) for k in (F.floor(at), F.ceil(at)))
+        out[name] = low + (high - low) * F.max(at - F.floor(at))
+    return ranked.groupBy(*by).agg(*[c.alias(n) for n, c in out.items()])
 
 
 def best(df: DataFrame, tool: str, value: str, by: list[str] | None = None) -> DataFrame:

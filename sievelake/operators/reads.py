@@ -1,7 +1,11 @@
-"""Read quality control and k-mer classification with built-in expressions."""
+"""Read quality control with built-in expressions, and classification by hashes of k-mers, which numpy makes of whole batches."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,15 +15,35 @@ def scores(qual: Column) -> Column:
     return F.transform(F.split(qual, ""), lambda c: F.ascii(c) - 33)
 
 
-def trimmed(reads: DataFrame, seq: str = "seq", qual: str = "qual", window: int = 4, least_mean: int = 20, least_length: int = 50) -> DataFrame:
-    """Reads cut at both ends to the first and last window whose mean score is at least ``least_mean``; shorter
-    ones than ``least_length`` go."""
+def judged(reads: DataFrame, seq: str = "seq", qual: str = "qual", window: int = 4, least_mean: int = 20, least_length: int = 50, adapter: str | None = None) -> DataFrame:
+    """Reads cut before their first ``adapter``, then at both ends to the first and last window whose mean score is at least
+    ``least_mean``, with ``adapter_cut`` and ``status``: low_quality without such a window, too_short below
+    ``least_length``, else passed."""
+    at = F.instr(F.col(seq), adapter) if adapter else F.lit(0)
+    whole = reads.withColumn("__at", at)
+    cut = lambda c: F.when(F.col("__at") > 0, F.substring(F.col(c), F.lit(1), F.col("__at") - 1)).otherwise(F.col(c))
+    out = whole.withColumns({seq: cut(seq), qual: cut(qual)}).withColumn("adapter_cut", F.coalesce(F.col("__at") > 0, F.lit(False))).drop("__at")
     n = F.length(qual) - window + 1
     good = F.when(n >= 1, F.filter(F.sequence(F.lit(1), n), lambda i: F.aggregate(F.slice(F.col("__q"), i, window), F.lit(0), lambda a, b: a + b) >= least_mean * window)).otherwise(F.array().cast("array<int>"))
-    out = reads.withColumn("__q", scores(F.col(qual))).withColumn("__good", good).filter(F.size("__good") > 0)
-    start = F.array_min("__good")
-    length = F.array_max("__good") + window - start
-    return out.withColumns({seq: F.substring(F.col(seq), start, length), qual: F.substring(F.col(qual), start, length)}).drop("__q", "__good").filter(F.length(seq) >= least_length)
+    out = out.withColumn("__q", scores(F.col(qual))).withColumn("__good", good)
+    start = F.coalesce(F.array_min("__good"), F.lit(1))
+    length = F.coalesce(F.array_max("__good") + window - start, F.lit(0))
+    out = out.withColumn("__low", F.coalesce(F.size("__good") == 0, F.lit(True))).withColumns({seq: F.substring(F.col(seq), start, length), qual: F.substring(F.col(qual), start, length)})
+    return out.withColumn("status", F.when(F.col("__low"), "low_quality").when(F.length(seq) < least_length, "too_short").otherwise("passed")).drop("__q", "__good", "__low")
+
+
+def trimmed(reads: DataFrame, seq: str = "seq", qual: str = "qual", **options) -> DataFrame:
+    """The reads that pass, cut; see :func:`judged`."""
+    return judged(reads, seq, qual, **options).filter("status = 'passed'").drop("adapter_cut", "status")
+
+
+def quality_record(reads: DataFrame, by: list[str], seq: str = "seq", qual: str = "qual", **options) -> DataFrame:
+    """What a quality control reports of each group: reads in and out, cut at adapters, too short and of low quality, and of
+    what comes out bases, q20, q30 and gc."""
+    out = judged(reads, seq, qual, **options)
+    n = lambda s: F.count_if(F.col("status") == s)
+    counts = out.groupBy(*by).agg(F.count(F.lit(1)).alias("reads_in"), n("passed").alias("reads_out"), F.count_if("adapter_cut").alias("adapter"), n("too_short").alias("too_short"), n("low_quality").alias("low_quality"))
+    return counts.join(summary(out.filter("status = 'passed'"), by, seq, qual).drop("reads"), by, "left")
 
 
 def summary(reads: DataFrame, by: list[str], seq: str = "seq", qual: str = "qual") -> DataFrame:
@@ -32,23 +56,65 @@ def summary(reads: DataFrame, by: list[str], seq: str = "seq", qual: str = "qual
     return reads.groupBy(*by).agg(F.count(F.lit(1)).alias("reads"), bases.alias("bases"), share(at_least(20)).alias("q20"), share(at_least(30)).alias("q30"), share(gc).alias("gc"))
 
 
-def kmers(seq: Column, k: int) -> Column:
-    """All ``k``-mers in order; none of a shorter sequence."""
-    n = F.length(seq) - k + 1
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+_BASE = 0x9E3779B97F4A7C15
+_COMPLEMENT = {ord(a): ord(b) for a, b in zip("ACGTacgt", "TGCAtgca", strict=True)}
+
+
+def _rolled(values: np.ndarray, k: int) -> np.ndarray:
+    """Polynomial hashes modulo 2^64 of each ``k`` values in a row, by prefix sums."""
+    n = len(values)
+    down = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    down[:1] = 1
+    up = np.full(n, _BASE, np.uint64)
+    up[:1] = 1
+    down, up = np.multiply.accumulate(down), np.multiply.accumulate(up)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * down, out=sums[1:])
+    h = (sums[k:] - sums[:-k]) * up[: n - k + 1]
+    h ^= h >> np.uint64(29)
+    return h * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def canonical_kmers(seq: str, k: int) -> np.ndarray:
+    """The different 64-bit hashes of the ``k``-mers of a sequence; a k-mer and its reverse complement have the same one.
+    Other letters than A, C, G and T are their own complements."""
+    x = np.frombuffer(seq.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    if len(x) < k:
+        return np.zeros(0, np.uint64)
+    y = x.copy()
+    for a, b in _COMPLEMENT.items():
+        y[x == a] = b
+    weigh = lambda v: (v + np.uint64(1)) * np.uint64(0xD1342543DE82EF95) ^ v << np.uint64(17)
+    return np.unique(np.minimum(_rolled(weigh(x), k), _rolled(weigh(y[::-1]), k)[::-1]))
+
+
+def _hashed(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [canonical_kmers(s or "", k) for s in b.column("seq").to_pylist()]
+            rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+            ids = b.column("id")
+            for a in range(0, len(flat), 1 << 16):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows[a : a + (1 << 16)])), pa.array(flat[a : a + (1 << 16)])], names=["id", "kmer"])
+
+    return run
 
 
-def pieces(seq: Column, k: int, size: int = 256) -> Column:
-    """A sequence in parts that overlap by ``k - 1``, so that each ``k``-mer is in exactly one: finding a place in a
-    string costs its distance from the beginning."""
-    n = F.length(seq) - k + 1
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n, F.lit(size)), lambda i: F.substring(seq, i, F.lit(size + k - 1)))).otherwise(F.array().cast("array<string>"))
+def kmer_hashes(df: DataFrame, id_col: str, seq: str, k: int = 35) -> DataFrame:
+    """id and kmer (hash) of the different canonical ``k``-mers of each row."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(seq).cast("string").alias("seq"))
+    return rows.mapInArrow(_hashed(k), rows.drop("seq").schema.add("kmer", "long"))
 
 
-def classified(reads: DataFrame, host_kmers: DataFrame, id_col: str, seq: str = "seq", k: int = 35, least_hits: int = 2) -> DataFrame:
-    """Ids of reads with at least ``least_hits`` different ``k``-mers among ``host_kmers`` (kmer); others, the
-    unassigned ones, are kept. The join is by k-mer, and hits are summed by partition first."""
-    cut = reads.select(id_col, F.explode(pieces(F.col(seq), k)).alias("piece"))
-    own = cut.select(id_col, F.explode(kmers(F.col("piece"), k)).alias("kmer"))
-    hits = own.join(host_kmers.select("kmer").distinct(), "kmer", "left_semi").distinct()
-    return hits.groupBy(id_col).agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= least_hits)
+def classified(reads: DataFrame, host: DataFrame, id_col: str, seq: str = "seq", k: int = 35, least_hits: int = 2, confidence: float = 0.0) -> DataFrame:
+    """Ids of reads with at least ``least_hits`` different canonical ``k``-mers of the host's sequences, and these being at
+    least a share of ``confidence`` of the read's; others, the unassigned ones, are kept. Strands count as one. The join
+    is by hash; what a read has several times is one row, and hits are summed by partition first."""
+    own = kmer_hashes(reads, id_col, seq, k)
+    known = kmer_hashes(host.select(F.lit(0).alias("of"), seq), "of", seq, k).select("kmer").distinct()
+    hits = own.join(known, "kmer", "left_semi").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= least_hits)
+    if confidence > 0:
+        total = own.distinct().groupBy("id").agg(F.count(F.lit(1)).alias("total"))
+        hits = hits.join(total, "id").filter(F.col("hits") >= confidence * F.col("total")).drop("total")
+    return hits.withColumnRenamed("id", id_col)

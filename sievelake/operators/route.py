@@ -11,9 +11,9 @@ SURVEY_READS = 100_000
 
 
 def survey(reads: DataFrame, id_col: str, n: int = SURVEY_READS, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` reads (or all): those with the smallest seeded hashes of their ids; the same at any
-    partitioning. The limit works in each partition first."""
-    return reads.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(n)
+    """Exactly ``n`` reads (or all): those with the smallest MD5 of seed and id; the same at any partitioning and in other
+    engines. The limit works in each partition first."""
+    return reads.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary")), id_col).limit(n)
 
 
 def host_percent(survey: DataFrame, by: list[str], mapped: str) -> DataFrame:

@@ -17,16 +17,35 @@ def top(df: DataFrame, by: list[str], order: list[Column], n: int = 1) -> DataFr
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("__n") <= n).drop("__n")
 
 
-def clean_first(path: str) -> list[Column]:
-    """Paths with ``clean`` first, then first mates, then shorter ones, then by name."""
-    p = F.col(path)
-    return [(~p.contains("clean")).cast("int"), (~p.rlike(r"_(R)?1[._]")).cast("int"), F.length(p), p]
+#: Parts of paths that mark files in between, and of names that mark cleaned output.
+SKIPPED = (".checkpoints", ".work", "work/", "trimmed_", "auto_survey_", "recheck_", "bowtie2.", "kraken2.", "minimap2.", "classified.", "unclassified.", "contam")
+CLEANED = ("clean", "rmhost", "rm_host")
 
 
-def score_class(name: str, best: list[str], good: list[str]) -> Column:
-    """0 if the name has any of ``best``, 1 if any of ``good``, else 2."""
-    has = lambda parts: F.coalesce(F.exists(F.array(*map(F.lit, parts)), lambda x: F.col(name).contains(x)), F.lit(False))
-    return F.when(has(best), 0).when(has(good), 1).otherwise(2)
+def has_any(c: Column, parts: tuple[str, ...]) -> Column:
+    """Whether a text, in lower case, holds any of ``parts``; false for NULL."""
+    return F.coalesce(F.exists(F.array(*map(F.lit, parts)), lambda x: F.lower(c).contains(x)), F.lit(False))
+
+
+def outputs(df: DataFrame, path: str, name: str) -> DataFrame:
+    """Files that may be a tool's output: ``path`` (below the run's folder) has nothing that marks files in between, and the
+    name something that marks cleaned ones."""
+    return df.filter(~has_any(F.col(path), SKIPPED) & has_any(F.col(name), CLEANED))
+
+
+def clean_first(path: str, name: str | None = None, mates: bool = True) -> list[Column]:
+    """Names with ``clean`` first in any case, then (``mates``) first mates, then shorter paths, then by path."""
+    p, n = F.col(path), F.col(name or path)
+    return [(~F.lower(n).contains("clean")).cast("int"), *([(~n.rlike(r"_(R)?1[._]")).cast("int")] if mates else []), F.length(p), p]
+
+
+#: Parts of names of files in between.
+BETWEEN = ("contam", "trimmed", "repeats")
+
+
+def score_class(name: str, best: tuple[str, ...] = ("clean",), bad: tuple[str, ...] = BETWEEN) -> Column:
+    """0 if the name, in lower case, has any of ``best``, else 2 if any of ``bad``, else 1."""
+    return F.when(has_any(F.col(name), best), 0).when(has_any(F.col(name), bad), 2).otherwise(1)
 
 
 def by_pattern(df: DataFrame, by: list[str], name: str, patterns: list[str]) -> DataFrame:
@@ -46,5 +65,17 @@ def ordered(df: DataFrame, column: str, order: list[str], *more: Column) -> Data
 
 
 def chunked(df: DataFrame, order: str, size: int = 15) -> DataFrame:
-    """Lists of ``size`` lines of a manifest, the last one shorter."""
-    return df.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size).cast("bigint"))
+    """Lists of ``size`` lines of a manifest, the last one shorter. Rows are dealt by ranges of ``order`` (without nulls or
+    repeats), counted by range, and numbered within theirs, so that no task sorts the table."""
+    name = "__range"
+    ranged = df.repartitionByRange(order).withColumn(name, F.spark_partition_id())
+    bounds = ranged.groupBy(name).agg(F.min(order).alias("__low"), F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = bounds.select("__low", before.alias("__before"))  # a row a range
+    low = [r[0] for r in starts.select("__low").orderBy("__low").collect()]
+    if not low:
+        return df.withColumn("chunk", F.lit(None).cast("bigint"))
+    cuts = F.array(*[F.lit(x) for x in low])
+    of = F.element_at(F.filter(cuts, lambda x: x <= F.col(order)), -1)
+    numbered = df.withColumn("__low", of).join(starts, "__low").withColumn("__k", F.row_number().over(Window.partitionBy("__low").orderBy(order)))
+    return numbered.withColumn("chunk", F.floor((F.col("__before") + F.col("__k") - 1) / size).cast("bigint")).select(*df.columns, "chunk")

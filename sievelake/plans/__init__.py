@@ -1,6 +1,6 @@
 """The registered queries of the engine."""
 
-from . import accuracy, integration, performance  # noqa: F401
+from . import accuracy, extras, files, integration, performance  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -107,8 +107,8 @@ def duration_parse(t: Tables) -> DataFrame:
 
 @query("""
 WITH x AS (SELECT event_id, (event_id * 37 % 9000) + 0.27 AS s FROM events)
-SELECT event_id, CASE WHEN s < 60 THEN printf('%.2f s', s::DOUBLE) WHEN s < 3600 THEN printf('%d:%05.2f', floor(s / 60)::INT, (s % 60)::DOUBLE) ELSE printf('%d:%02d:%05.2f', floor(s / 3600)::INT, floor(s % 3600 / 60)::INT, (s % 60)::DOUBLE) END AS clock,
-  CASE WHEN s < 1024 THEN printf('%.1f MB', s::DOUBLE) ELSE printf('%.2f GB', (s / 1024)::DOUBLE) END AS memory, printf('%.6f', s::DOUBLE) AS six FROM x""")
+SELECT event_id, CASE WHEN s < 60 THEN printf('%.1fs', s::DOUBLE) WHEN s < 3600 THEN printf('%d:%05.2f', floor(s / 60)::INT, (s % 60)::DOUBLE) ELSE printf('%d:%02d:%05.2f', floor(s / 3600)::INT, floor(s % 3600 / 60)::INT, (s % 60)::DOUBLE) END AS clock,
+  CASE WHEN s < 1024 THEN printf('%.0f MB', s::DOUBLE) ELSE printf('%.1f GB', (s / 1024)::DOUBLE) END AS memory, printf('%.6f', s::DOUBLE) AS six FROM x""")
 def duration_format(t: Tables) -> DataFrame:
     x = (F.col("event_id") * 37 % 9000) + F.lit(0.27)
     return t.events.select("event_id", s.format_seconds(x).alias("clock"), s.format_memory(x).alias("memory"), s.six(x).alias("six"))
@@ -117,17 +117,20 @@ def duration_format(t: Tables) -> DataFrame:
 @query("""
 SELECT l_orderkey, l_linenumber, l_extendedprice / 1024 AS mb, l_extendedprice / 1048576 AS gb, l_extendedprice / 1e6 AS gb_decimal,
   CASE WHEN l_quantity >= 10 THEN 'high' WHEN l_quantity >= 5 THEN 'medium' ELSE 'low' END AS bucket, CASE WHEN l_discount < 0.001 THEN '***' WHEN l_discount < 0.01 THEN '**' WHEN l_discount < 0.05 THEN '*' ELSE 'ns' END AS stars,
-  CASE WHEN l_quantity / 25 > 1 THEN 'faster' WHEN l_quantity / 25 < 1 THEN 'slower' ELSE 'equal' END AS label FROM lineitem""")
+  CASE WHEN l_quantity / 25 > 1 THEN 'faster' ELSE 'slower' END AS label FROM lineitem""")
 def unit_and_buckets(t: Tables) -> DataFrame:
     p, q = F.col("l_extendedprice"), F.col("l_quantity")
     return t.lineitem.select("l_orderkey", "l_linenumber", s.mb(p).alias("mb"), s.gb(p).alias("gb"), s.gb(p, True).alias("gb_decimal"), s.bucket(q).alias("bucket"), s.stars(F.col("l_discount")).alias("stars"), s.faster(q / 25).alias("label"))
 
 
 @query("""
-SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN event_type ELSE 'unknown' END AS backend, CASE WHEN event_id % 3 = 0 THEN (event_id % 100)::VARCHAR ELSE CASE event_id % 3 WHEN 1 THEN event_type ELSE 'unknown' END END AS pct FROM events""")
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_type || ' x' WHEN 1 THEN event_type ELSE 'unknown' END AS backend,
+  CASE event_id % 5 WHEN 0 THEN (event_id % 100)::VARCHAR WHEN 1 THEN event_type ELSE 'unknown' END AS pct FROM events""")
 def ansi_and_kv_extract(t: Tables) -> DataFrame:
+    """Quoted values, with blanks and colours; plain cells; unquoted values and empty cells, which are unknown."""
     i = F.col("event_id")
-    log = F.when(i % 3 == 0, F.concat(F.lit("\x1b[32mINFO\x1b[0m run \x1b[3mchosen_backend\x1b[0m=\""), F.col("event_type"), F.lit("\" estimated_host_pct=\""), (i % 100).cast("string"), F.lit("\""))).when(i % 3 == 1, F.col("event_type")).otherwise("")
+    quoted = F.concat(F.lit("\x1b[32mINFO\x1b[0m run \x1b[3mchosen_backend\x1b[0m=\""), F.col("event_type"), F.lit(" x\" estimated_host_pct = \""), (i % 100).cast("string"), F.lit("\""))
+    log = F.when(i % 5 == 0, quoted).when(i % 5 == 1, F.concat(F.lit(" "), F.col("event_type"), F.lit(" "))).when(i % 5 == 2, F.lit("chosen_backend=1.5 estimated_host_pct=")).otherwise("")
     return t.events.select("event_id", s.field(log, "chosen_backend").alias("backend"), s.field(log, "estimated_host_pct").alias("pct"))
 
 
@@ -180,13 +183,14 @@ def positional_labels(t: Tables) -> DataFrame:
     return generate.positional_labels(t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_linenumber") - 1).alias("i")), "i", F.lit(2)).drop("i")
 
 
-@query("""
-WITH k AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(length(text) - 33, 1)), lambda i: substr(text, i, 35))) AS kmer FROM documents),
-h AS (SELECT DISTINCT unnest(list_transform(range(1, greatest(length(text) - 33, 1)), lambda i: substr(text, i, 35))) AS kmer FROM benchmark)
+_KMERS = "unnest(list_transform(range(1, greatest(length(text) - 33, 1)), lambda i: least(substr(text, i, 35), reverse(translate(substr(text, i, 35), 'ACGTacgt', 'TGCAtgca')))))"
+
+
+@query(f"""
+WITH k AS (SELECT DISTINCT doc_id, {_KMERS} AS kmer FROM documents), h AS (SELECT DISTINCT {_KMERS} AS kmer FROM benchmark)
 SELECT doc_id, count(*) AS hits FROM k WHERE kmer IN (SELECT kmer FROM h) GROUP BY doc_id HAVING count(*) >= 2""")
 def kmer_classification(t: Tables) -> DataFrame:
-    host = t.benchmark.select(F.explode(reads.kmers(F.col("text"), 35)).alias("kmer"))
-    return reads.classified(t.documents.select("doc_id", "text"), host, "doc_id", "text")
+    return reads.classified(t.documents.select("doc_id", "text"), t.benchmark, "doc_id", "text")
 
 
 @query("SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS succeeded, count(*) FILTER (WHERE o_orderstatus <> 'F') AS failed FROM orders")
@@ -194,15 +198,18 @@ def success_totals(t: Tables) -> DataFrame:
     return route.totals(t.orders, "o_orderstatus", "F")
 
 
-@query("SELECT s_suppkey, greatest(1, least(16, floor((64 * 0.8) / nullif(s_suppkey % 20, 0))))::BIGINT AS workers FROM supplier WHERE s_suppkey % 20 > 0")
+@query("SELECT s_suppkey, greatest(1, least(16, coalesce(floor((64 * 0.8) / nullif(s_suppkey % 20, 0)), 16)))::BIGINT AS workers FROM supplier")
 def memory_workers(t: Tables) -> DataFrame:
-    return t.supplier.filter("s_suppkey % 20 > 0").select("s_suppkey", route.workers(F.lit(16), (F.col("s_suppkey") % 20).cast("double"), F.lit(64.0)).cast("bigint").alias("workers"))
+    """A database of size 0 sets no limit."""
+    return t.supplier.select("s_suppkey", route.workers(F.lit(16), (F.col("s_suppkey") % 20).cast("double"), F.lit(64.0)).cast("bigint").alias("workers"))
 
 
-@query("SELECT r_regionkey, '{\"k\":' || r_regionkey || ',\"n\":null}' AS json FROM region")
+@query("""
+SELECT l_linenumber, '{"l_linenumber":' || l_linenumber || ',"n":' || count(*) || ',"bad":null,"none":null}' AS json FROM lineitem GROUP BY l_linenumber""")
 def key_numbers_json(t: Tables) -> DataFrame:
-    rows = t.region.select("r_regionkey", F.col("r_regionkey").alias("k"), F.lit(None).cast("string").alias("n"))
-    return rows.select("r_regionkey", F.to_json(F.struct("k", "n"), {"ignoreNullFields": "false"}).alias("json"))
+    """A number that isn't one becomes null, and nulls stay."""
+    rows = t.lineitem.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n")).withColumns({"bad": F.lit(float("nan")), "none": F.lit(None).cast("string")})
+    return sinks.json_rows(rows).select(F.get_json_object("json", "$.l_linenumber").cast("int").alias("l_linenumber"), "json")
 
 
 @query("SELECT region, nations, lower(region) AS key FROM (SELECT r_name AS region, count(*) AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL)")
@@ -211,10 +218,11 @@ def column_names_normalised(t: Tables) -> DataFrame:
     return s.lower_columns(g, {"n": "nations"}).withColumn("key", F.lower("region"))
 
 
-@query("SELECT item_id, 'a[start]new[end]c' AS text FROM benchmark")
+@query("SELECT item_id, split_part(text, ' ', 1) || '[start]new \\ $1[end]' || text AS text FROM benchmark")
 def marker_replacement(t: Tables) -> DataFrame:
-    rows = t.benchmark.select("item_id", F.concat(F.lit("a[start]"), F.col("item_id").cast("string"), F.lit("\nold[end]c")).alias("text"))
-    return sinks.between(rows, "text", "[start]", "[end]", "new")
+    """What stands between the markers goes, over lines and to the first end; the rest stays."""
+    rows = t.benchmark.select("item_id", F.concat(F.split_part("text", F.lit(" "), F.lit(1)), F.lit("[start]"), F.col("text"), F.lit("\nold[end]"), F.col("text")).alias("text"))
+    return sinks.between(rows, "text", "[start]", "[end]", "new \\ $1")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -38,3 +39,16 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(here.parent))
     sc.addPyFile(at)
     _SHIPPED.add(sc.applicationId)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset on a single
+    machine, a temporary folder; on a cluster it must be set."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="sievelake-")
+        sc.setCheckpointDir(folder)
+    return f"{folder}/sievelake/{uuid.uuid4().hex}"

@@ -1,55 +1,111 @@
-"""Readers for reads, labels, result tables, logs and catalogs."""
+"""Readers for reads, labels, result tables, logs and catalogs. Files are read line by line by Spark's text source, so
+their size has no bound and plain ones are split."""
 
 from __future__ import annotations
 
-import gzip
-import io
 from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.ids import is_host, norm_id
-from ..functions.scalars import group, number, seconds, strip_ansi
+from ..functions.scalars import field_pattern, group, number, seconds, strip_ansi
+from ..session import scratch
 
-READS = "path string, line_no long, read_id string, seq string, plus string, qual string"
 
+def lines(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
+    """path, line_no (from 0 in each file) and value (bytes) of all lines. Rows are numbered within their part of a file as
+    they are read; the numbers of rows of the parts before it, summed over a table of parts, make that a line's number."""
+    raw = spark.read.options(**options).text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("id"), F.col("value").cast("binary").alias("value"))
+    parts = raw.groupBy("path", "part").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("path", "part", (F.coalesce(F.sum("n").over(upto), F.lit(0)) - F.col("first")).alias("shift"))
+    return raw.join(parts, ["path", "part"]).select("path", (F.col("id") + F.col("shift")).alias("line_no"), "value")
 
-def fastq(spark: SparkSession, paths: str | list[str], ids_only: bool = True, strict: bool = False, glob: str | None = None) -> DataFrame:
-    """FASTQ records, plain or gzip by their first bytes whatever the name (``strict``: by the name). Empty files
-    are skipped, bytes that don't decode are replaced. A compressed file isn't splittable, so each file is one
-    task's stream; only ids are made unless all is asked for."""
+
+def _listed(spark: SparkSession, paths: str | list[str], glob: str | None) -> list[str]:
+    """Files of more than no bytes, in whole folders too."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         files = files.option("pathGlobFilter", glob)
-    listed = files.load(paths).filter("length > 0").select("path", "content")
-    kind = "path string, line_no long, header string" if ids_only else "path string, line_no long, header string, seq string, plus string, qual string"
-
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        names = [x.split()[0] for x in kind.split(", ")]
-        for pdf in batches:
-            for path, raw in zip(pdf["path"], pdf["content"], strict=True):
-                packed = path.endswith(".gz") if strict else raw[:2] == b"\x1f\x8b"
-                with io.TextIOWrapper(gzip.open(io.BytesIO(raw)) if packed else io.BytesIO(raw), encoding="utf-8", errors="replace", newline="\n") as f:
-                    rows, record = [], []
-                    for k, line in enumerate(f):
-                        record.append(line.rstrip("\r\n"))
-                        if len(record) == 4:
-                            rows.append((path, k - 3, record[0]) if ids_only else (path, k - 3, *record))
-                            record = []
-                            if len(rows) == 20_000:
-                                yield pd.DataFrame(rows, columns=names)
-                                rows = []
-                    if record and record[0]:
-                        rows.append((path, k + 1 - len(record), record[0]) if ids_only else (path, k + 1 - len(record), *(record + [None] * 3)[:4]))
-                    if rows:
-                        yield pd.DataFrame(rows, columns=names)
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # one file at a time in memory
-    return listed.mapInPandas(run, kind)
+    return [r.path for r in files.load(paths).filter("length > 0").select("path").collect()]
+
+
+def _packed(spark: SparkSession, path: str) -> bool:
+    """Whether a file begins as gzip does."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    f = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return (f.read(), f.read()) == (0x1F, 0x8B)
+    finally:
+        f.close()
+
+
+def _copied(spark: SparkSession, path: str) -> str:
+    """A copy of a file in the shared folder, under a name that stands for no packing."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    source, target = hadoop.Path(path), hadoop.Path(f"{scratch(spark)}/plain.fastq")
+    hadoop.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf)
+    return target.getFileSystem(conf).makeQualified(target).toUri().toString()
+
+
+def fastq(spark: SparkSession, paths: str | list[str], ids_only: bool = True, strict: bool = False, glob: str | None = None) -> DataFrame:
+    """path, index (of the record in its file, from 0) and header of FASTQ records, and with ``ids_only`` off seq, plus and
+    qual. Files named ``.gz`` that aren't gzip are copied under another name first, as Spark goes by names (``strict``: they
+    raise). Empty files are skipped, bytes that don't decode are left out. The number of a line tells what it is, so headers take no shuffle of the
+    reads; of whole records only those that lie in two parts of a file are shuffled."""
+    listed = _listed(spark, paths, glob)
+    kind = "path string, index long, header string" + ("" if ids_only else ", seq string, plus string, qual string")
+    if not listed:
+        return spark.createDataFrame([], kind)
+    plain = {} if strict else {p: _copied(spark, p) for p in listed if p.endswith(".gz") and not _packed(spark, p)}
+    rows = lines(spark, [plain.get(p, p) for p in listed])
+    if plain:  # under their own names again
+        own = F.create_map(*[F.lit(x) for p, copy in plain.items() for x in (copy.split("/")[-2], p)])
+        rows = rows.withColumn("path", F.coalesce(F.try_element_at(own, F.element_at(F.split("path", "/"), -2)), "path"))
+    if ids_only:
+        return _decoded(rows.filter("line_no % 4 = 0").select("path", F.expr("line_no DIV 4").alias("index"), F.col("value").alias("header")), kind)
+    found = rows.mapInArrow(_records, "path string, index long, header binary, seq binary, plus binary, qual binary, whole boolean")
+    cut = found.filter("NOT whole").groupBy("path", "index").agg(*[F.max(c).alias(c) for c in ("header", "seq", "plus", "qual")])
+    return _decoded(found.filter("whole").drop("whole").unionByName(cut), kind)
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records whose lines come one after the other; lines of others alone, as parts of a record."""
+    names = ["path", "index", "header", "seq", "plus", "qual", "whole"]
+    kinds = [pa.string(), pa.int64(), *[pa.binary()] * 4, pa.bool_()]
+    path, start, held = None, 0, []
+
+    def parts() -> list[tuple]:
+        return [(path, (start + k) // 4, *[v if (start + k) % 4 == j else None for j in range(4)], False) for k, v in enumerate(held)]
+
+    for b in batches:
+        out: list[tuple] = []
+        for p, n, v in zip(*(b.column(c).to_pylist() for c in ("path", "line_no", "value")), strict=True):
+            if held and (p != path or n != start + len(held)):
+                out += parts()
+                held = []
+            if not held:
+                path, start = p, n
+            held.append(v)
+            if n % 4 == 3:
+                out += [(path, n // 4, *held, True)] if len(held) == 4 else parts()
+                held = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in parts()], t) for k, t in enumerate(kinds)], names=names)
+
+
+def _decoded(df: DataFrame, kind: str) -> DataFrame:
+    """Bytes as text, without a carriage return at the end and without what isn't UTF-8."""
+    names = [x.split()[0] for x in kind.split(", ")]
+    bad = r"(?s)[^\x00-\x7F\x{80}-\x{10FFFF}]|\x{FFFD}"
+    text = lambda c: F.regexp_replace(F.rtrim(F.make_valid_utf8(F.col(c).cast("string")), F.lit("\r")), bad, "")
+    return df.select(*[c if c in ("path", "index") else text(c).alias(c) for c in names])
 
 
 def kept_ids(spark: SparkSession, paths: str | list[str], rule: str = "n1", **options) -> DataFrame:
@@ -60,7 +116,7 @@ def kept_ids(spark: SparkSession, paths: str | list[str], rule: str = "n1", **op
 def labels(spark: SparkSession, path: str, rule: str | None = "n1", label_rule: str = "exact", first_tab_only: bool = False) -> DataFrame:
     """read_id, label, is_host, line_no of ``id<TAB>label`` lines. Lines of other than two fields are dropped, or
     with ``first_tab_only`` all after the first tab is the label."""
-    rows = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    rows = lines(spark, path).withColumn("value", F.col("value").cast("string"))
     p = F.split("value", "\t", 2 if first_tab_only else -1)
     rows = rows.withColumn("p", p).filter(F.size("p") == 2).select(F.col("p")[0].alias("id"), F.col("p")[1].alias("label"), "line_no")
     read = F.col("id") if rule is None else norm_id(F.col("id"), rule, header=False)
@@ -120,9 +176,10 @@ def time_log(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def tool_log(spark: SparkSession, paths: str | list[str], fields: list[str], last: bool = True) -> DataFrame:
-    """path and the last (or first) value of each field in a log's lines, without colours; NULL if none."""
+    """path and the last (or first) value of each field in a log's lines, quoted as ``name="value"``, without colours; NULL
+    if none."""
     text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), strip_ansi(F.col("value")).alias("v"))
-    find = lambda f: F.regexp_extract_all("v", F.lit(rf'{f}\s*=\s*"?([^"\s]+)"?'), F.lit(1))
+    find = lambda f: F.regexp_extract_all("v", F.lit(field_pattern(f)), F.lit(1))
     return text.select("path", *[F.try_element_at(find(f), F.lit(-1 if last else 1)).alias(f) for f in fields])
 
 
@@ -140,18 +197,25 @@ def metadata(spark: SparkSession, paths: str | list[str], schema: str) -> DataFr
 
 
 def fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, contig_id and length: sequence lines are joined to the header before them."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("i"))
-    at = Window.partitionBy("path").orderBy("i")
-    tagged = lines.withColumn("record", F.sum(F.col("value").startswith(">").cast("int")).over(at)).filter("record > 0")
-    head = F.regexp_extract("value", r"^>(\S*)", 1)
-    return tagged.groupBy("path", "record").agg(F.min_by(head, "i").alias("contig_id"), F.sum(F.when(F.col("value").startswith(">"), 0).otherwise(F.length(F.trim("value")))).alias("length")).drop("record")
+    """path, contig_id and length of each record, in whatever part of a file its lines are. A line belongs to the last
+    header before it: headers are numbered within their part of the file, and parts pass on how many came before."""
+    rows = lines(spark, paths).withColumn("value", F.trim(F.col("value").cast("string")))
+    heads = rows.filter("startswith(value, '>')").select("path", F.col("line_no").alias("start"), F.regexp_extract("value", r"^>(\S*)", 1).alias("contig_id"))
+    # Lines in blocks of a fixed number: what a block has before its first header belongs to the last one before the block.
+    block = lambda c: F.floor(F.col(c) / 4096)
+    at = Window.partitionBy("path", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    within = rows.withColumn("block", block("line_no")).withColumn("start", F.max(F.when(F.col("value").startswith(">"), F.col("line_no"))).over(at))
+    sums = within.groupBy("path", "block", "start").agg(F.sum(F.when(F.col("value").startswith(">"), 0).otherwise(F.length("value"))).alias("n"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = sums.groupBy("path", "block").agg(F.max("start").alias("last")).select("path", "block", F.max("last").over(before).alias("open"))
+    each = sums.join(last, ["path", "block"]).select("path", F.coalesce("start", "open").alias("start"), "n").filter("start IS NOT NULL")
+    return heads.join(each.groupBy("path", "start").agg(F.sum("n").alias("length")), ["path", "start"]).select("path", "contig_id", "length")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """sample, r1, r2 of lines split at white space; comments and blank lines are skipped; r2 may be missing."""
     p = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()).filter("trim(value) <> '' AND NOT startswith(trim(value), '#')").select("line_no", p[0].alias("sample"), F.get(p, F.lit(1)).alias("r1"), F.get(p, F.lit(2)).alias("r2"))
+    return lines(spark, path).withColumn("value", F.col("value").cast("string")).filter("trim(value) <> '' AND NOT startswith(trim(value), '#')").select("line_no", p[0].alias("sample"), F.get(p, F.lit(1)).alias("r1"), F.get(p, F.lit(2)).alias("r2"))
 
 
 def catalog(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
@@ -176,3 +240,27 @@ def tools(files: DataFrame) -> DataFrame:
 def paired(files: DataFrame) -> DataFrame:
     """parent and whether it has files of both mates."""
     return files.groupBy("parent").agg((F.bool_or(F.col("name").rlike(r"_R?1\.f")) & F.bool_or(F.col("name").rlike(r"_R?2\.f"))).alias("paired"))
+
+
+def two_row_header(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """A table whose header has two rows, as one of flat names ``upper_lower``: an empty upper cell repeats the one before it,
+    an empty lower one adds nothing. Values are text; the header is all that reaches the driver."""
+    rows = lines(spark, path).withColumn("value", F.col("value").cast("string"))
+    upper, lower = ([x.strip() for x in r.value.split(sep)] for r in rows.filter("line_no < 2").orderBy("line_no").collect())
+    names, over = [], ""
+    for a, b in zip(upper, lower, strict=True):
+        over = a or over
+        names.append(f"{over}_{b}" if b else over)
+    p = F.split("value", sep, -1)
+    return rows.filter("line_no > 1 AND trim(value) <> ''").select(*[F.nullif(F.trim(F.get(p, F.lit(k))), F.lit("")).alias(n) for k, n in enumerate(names)])
+
+
+def artifacts(files: DataFrame, extensions: tuple[str, ...] = (".png", ".svg", ".pdf", ".tiff")) -> DataFrame:
+    """Names of files with one of the extensions, in any case of letters, sorted."""
+    name = F.lower("name")
+    return files.filter(reduce(lambda a, b: a | b, [name.endswith(e) for e in extensions])).select("name").orderBy("name")
+
+
+def run_sizes(files: DataFrame, by: list[str]) -> DataFrame:
+    """Files and bytes of each run."""
+    return files.groupBy(*by).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))

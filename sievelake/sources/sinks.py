@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import six
+from ..functions.scalars import clipped, six
 from ..operators.integrate import upsert
 
 
@@ -32,12 +32,16 @@ def replace(df: DataFrame, path: str, to: str, keys: list[str]) -> None:
 
 
 def json_rows(df: DataFrame, name: str = "json") -> DataFrame:
-    """Each row as JSON with its NULLs."""
-    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(name))
+    """Each row as JSON with its NULLs; what is not a number is one."""
+    return _numbers(df).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(name))
+
+
+def _numbers(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, kind in df.dtypes if kind in ("double", "float")})
 
 
 def json(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    _numbers(df).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
@@ -62,3 +66,11 @@ def between(df: DataFrame, column: str, start: str, end: str, by: str) -> DataFr
 def fasta(lines: DataFrame, prefix: str, path: str) -> None:
     """Lines of FASTA with a prefix before each record's name, compressed."""
     lines.select(F.when(F.col("value").startswith(">"), F.concat(F.lit(f">{prefix}"), F.expr("substring(value, 2)"))).otherwise(F.col("value"))).write.mode("overwrite").option("compression", "gzip").text(path)
+
+
+def plot_data(df: DataFrame, label: str, value: str, by: list[str] | None = None, share: bool = False) -> DataFrame:
+    """What a bar chart with error bars draws: mean, low and high (a standard deviation away, 0 for one row) of each label;
+    a ``share`` stays in 0 to 1. Drawing is left to plotting tools."""
+    keep = clipped if share else lambda x: x
+    out = df.groupBy(*(by or []), label).agg(F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"))
+    return out.select(*(by or []), label, "mean", keep(F.col("mean") - F.col("sd")).alias("low"), keep(F.col("mean") + F.col("sd")).alias("high"))

@@ -60,14 +60,14 @@ def test_names(spark):
 
 def test_logs(spark):
     text = '\x1b[32mINFO\x1b[0m \x1b[3mchosen_backend\x1b[0m="align" host_pct="1.5"'
-    got = values(spark, [text, "align", "other=1", ""], s.field(F.col("x"), "chosen_backend"))
-    assert [x for x, in got] == ["align", "align", "unknown", "unknown"]
+    got = values(spark, [text, " align ", "other=1", "", "chosen_backend=1.5", 'chosen_backend = "a c"'], s.field(F.col("x"), "chosen_backend"))
+    assert [x for x, in got] == ["align", "align", "unknown", "unknown", "unknown", "a c"]
 
 
 def test_formats(spark):
     x = F.col("x").try_cast("double")
     got = values(spark, ["5.5", "125.25", "3725.5", None], s.format_seconds(x), s.format_time(x), s.format_memory(x), s.format_number(x, "%.1f"))
-    assert got == [("5.50 s", "5.5s", "5.5 MB", "5.5"), ("2:05.25", "2.1m", "125.3 MB", "125.3"), ("1:02:05.50", "1.0h", "3.64 GB", "3725.5"), ("N/A",) * 4]
+    assert got == [("5.5s", "5.5s", "6 MB", "5.5"), ("2:05.25", "2.1m", "125 MB", "125.3"), ("1:02:05.50", "1.0h", "3.6 GB", "3725.5"), ("N/A",) * 4]
 
 
 def test_metrics_guards_and_swap(spark):

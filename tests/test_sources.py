@@ -1,8 +1,10 @@
 import gzip
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from sievelake.operators import confusion, ecology, generate, performance, reads, route
+from sievelake.operators import confusion, ecology, generate, performance, reads, route, select
 from sievelake.sources import readers, sinks
 from sievelake.streaming.windows import windowed
 
@@ -17,8 +19,9 @@ def test_fastq_by_content_and_scoring(spark, tmp_path):
     ids = readers.kept_ids(spark, str(tmp_path), "n1", glob="*.fastq*")
     assert ids.groupBy("path").count().select("count").distinct().collect() == [(5,)]
     assert {r.read_id for r in ids.collect()} == {"r1", "r2", "r3", "r9"}
-    whole = readers.fastq(spark, str(tmp_path / "b.fastq.gz"), ids_only=False).orderBy("line_no").collect()
-    assert [r.line_no for r in whole] == [0, 4, 8, 12, 16] and whole[0].seq == "ACGT"
+    assert {r.path.split("/")[-1] for r in ids.collect()} == {"a.fastq", "plain.fastq.gz", "b.fastq.gz"}
+    whole = readers.fastq(spark, str(tmp_path / "b.fastq.gz"), ids_only=False).orderBy("index").collect()
+    assert [r["index"] for r in whole] == [0, 1, 2, 3, 4] and whole[0].seq == "ACGT"
     (tmp_path / "labels.tsv").write_text("r1\thost\nr2\tmicrobe\nr3\tmicrobe\nr3\thost\nr4\tHost\nbad\nx\ty\tz\nr5\thost\n")
     t = readers.labels(spark, str(tmp_path / "labels.tsv"))
     assert t.count() == 6
@@ -29,6 +32,68 @@ def test_fastq_by_content_and_scoring(spark, tmp_path):
     assert (flip.tp, flip.fp, flip.tn, flip.fn) == (got.tn, got.fn, got.tp, got.fp)
 
 
+@pytest.fixture
+def small_parts(spark):
+    """Files are read in parts of a few bytes."""
+    names = {"spark.sql.files.maxPartitionBytes": "60", "spark.sql.files.openCostInBytes": "1"}
+    old = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_files_read_in_parts(spark, tmp_path, small_parts):
+    """Lines have their numbers, records their lines and contigs their bases wherever a file is cut."""
+    (tmp_path / "r.fastq").write_text("".join(f"@r{k} é\nAC{'G' * (k % 9)}\n+{k}\n@@{'I' * (k % 9)}\n" for k in range(120)))
+    lines = readers.lines(spark, str(tmp_path / "r.fastq"))
+    assert lines.rdd.getNumPartitions() > 10
+    assert [r.line_no for r in lines.orderBy("line_no").collect()] == list(range(480))
+    got = readers.fastq(spark, str(tmp_path / "r.fastq"), ids_only=False).orderBy("index").collect()
+    assert [tuple(r)[1:] for r in got] == [(k, f"@r{k} é", "AC" + "G" * (k % 9), f"+{k}", "@@" + "I" * (k % 9)) for k in range(120)]
+    assert [r.read_id for r in readers.kept_ids(spark, str(tmp_path / "r.fastq")).collect()].sort() == [f"r{k}" for k in range(120)].sort()
+    (tmp_path / "t.tsv").write_text("".join(f"r{k % 7}\tl{k}\n" for k in range(200)))
+    last = confusion.last_label(readers.labels(spark, str(tmp_path / "t.tsv")), ["read_id"])
+    assert {r.read_id: r.label for r in last.collect()} == {f"r{k % 7}": f"l{k}" for k in range(200)}
+    (tmp_path / "c.fa").write_text("".join(f">c{k} x\n" + "ACGT\n" * (k % 40) for k in range(90)))
+    assert {r.contig_id: r.length for r in readers.fasta(spark, str(tmp_path / "c.fa")).collect()} == {f"c{k}": 4 * (k % 40) for k in range(90)}
+
+
+def test_long_contigs_over_blocks_of_lines(spark, tmp_path):
+    (tmp_path / "c.fa").write_text("stray\n>a\n" + "ACGTA\n" * 9000 + ">b\n" + "A\n" * 5000)
+    assert {r.contig_id: r.length for r in readers.fasta(spark, str(tmp_path / "c.fa")).collect()} == {"a": 45000, "b": 5000}
+
+
+def test_readers_leave_the_session_alone(spark, tmp_path):
+    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    (tmp_path / "a.fastq").write_text(FASTQ)
+    readers.fastq(spark, str(tmp_path), ids_only=False).count()
+    assert before == (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+
+
+def test_canonical_kmers_against_plain_strings(spark):
+    rng = random.Random(3)
+    flip = str.maketrans("ACGTacgt", "TGCAtgca")
+    kmers = lambda s, k: {min(s[i : i + k], s[i : i + k].translate(flip)[::-1]) for i in range(len(s) - k + 1)}
+    host = ["".join(rng.choice("ACGT") for _ in range(300)) for _ in range(3)]
+    made = [(k, host[k % 3][k : k + 60] if k % 2 else host[k % 3][k : k + 60].translate(flip)[::-1]) for k in range(20)] + [(100 + k, "".join(rng.choice("ACGTN") for _ in range(50))) for k in range(10)] + [(200, None), (201, "ACG"), (202, host[0][:36]), (203, host[0][:35])]
+    known = set().union(*(kmers(h, 35) for h in host))
+    want = {i: n for i, s in made if (n := len(kmers(s or "", 35) & known)) >= 2}
+    df, refs = spark.createDataFrame(made, "id long, seq string"), spark.createDataFrame([(h,) for h in host], "seq string")
+    assert {r.id: r.hits for r in reads.classified(df, refs, "id").collect()} == want
+    assert {r.id for r in reads.classified(df, refs, "id", confidence=0.9).collect()} == {i for i, n in want.items() if n >= 0.9 * len(kmers(dict(made)[i], 35))}
+
+
+def test_chunks_and_quartiles(spark):
+    df = spark.range(0, 97, 1, 6).select(F.pmod(F.col("id") * 37, F.lit(97)).alias("k"), F.lit("x").alias("v"))
+    got = select.chunked(df, "k", 10)
+    assert got.columns == ["k", "v", "chunk"] and sorted((r.k, r.chunk) for r in got.collect()) == [(k, k // 10) for k in range(97)]
+    assert select.chunked(df.filter("false"), "k").count() == 0
+    q = performance.quartiles(spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", 10.0), ("b", 3.0), ("c", None)], "g string, v double"), ["g"], "v")
+    assert {r.g: (r.q1, r.median, r.q3) for r in q.collect()} == {"a": (1.75, 2.0, 4.0), "b": (3.0, 3.0, 3.0)}
+
+
 def test_performance_repair(spark, tmp_path):
     lines = ["tool,dataset,rep,runtime_seconds,max_memory_kb,timestamp", "a,d,2,1:46.30,2048,2026-01-01T00:00:00+08:00", "b,d,99.5,1024,2026-01-01T00:00:00+08:00", "c,d,1,12,4096,,2026-01-01T00:00:00+08:00", "e,d,1,FAILED,"]
     (tmp_path / "p.csv").write_text("\n".join(lines))
