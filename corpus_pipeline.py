@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages, each of which calls one operator of ``sievelake.llm``.
 
 Each stage takes all that the one before it kept. The first four return the columns of ``documents``; the last
-returns the encoded corpus.
+returns the encoded corpus. In every stage null, empty and blank texts are the empty text, ids are integers that may
+repeat or be null, other columns may have any names, and no rows give no rows.
 """
 
 from __future__ import annotations
@@ -13,28 +14,32 @@ from sievelake.llm.common import shared_folder, staged
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the quality classifier rejects; it learns from the labels of these documents."""
+    """Drop what the quality classifier rejects; it learns from the labels of these documents. Repeated rows stay or go
+    together. A score of exactly one half stays; without labels all do."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep(docs, quality.fit(quality.sample(docs, labels)))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of equal texts."""
+    """Keep one document of each group of equal texts: the longest, then the one of the smallest id; one without an id only
+    where no other is as long. Of all empty texts one stays. Rows of one id with different texts are documents of their own."""
     return exact_dedup.keep(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component of near duplicates: five-word shingles, similarity 0.8."""
+    """Keep one document of each component of near duplicates (five-word shingles, similarity 0.8): the one of the smallest
+    id, then of the smallest text. Documents without words and rows without an id have no links and stay."""
     return near_dedup.keep(docs, width=5, percent=80)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take words of each source by its target weight; documents may be cut or repeated."""
+    """Take words of each source by its target weight; documents may be cut or repeated. A null source is a source of its
+    own; documents without words are not taken; rows of one id are documents of their own."""
     return mixing.texts(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each text, and whether they decode to it."""
+    """The token ids of each text, and whether they decode to it: a row for each row, none for other columns."""
     return bpe.encoded(docs)
 
 
@@ -56,6 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The classifier and the keyed permutations of the mix have no SQL form. Tests hold the operators against brute force
-#: on small tables, and of the stages only sizes, columns and the encoding; ``run`` as a whole has no such test.
+#: The classifier and the keyed permutations of the mix have no SQL form. A test holds ``run`` against plain versions of
+#: all five stages on a small table.
 ORACLE_SQL = None
