@@ -1,16 +1,19 @@
 """Dedup of long byte strings by suffix arrays.
 
-Strings of ``width`` bytes are dealt to shards by their anchors: the smallest hash of the ``GRAM``-byte grams in
-a string. Equal strings have equal anchors, so they meet. Neighbouring strings of a text mostly share an anchor;
-such a run of strings is one piece of text, its context. A first pass deals a pair of hashes for each run. Of a
-context that occurs again (by its hashes) two copies go to the shards, and where an anchor has different contexts,
-one copy at least of each; suffix arrays find which strings in them are equal, byte by byte. Only third and
-further copies of a context are covered by its hashes alone:
-
-* the suffixes of a shard are sorted by Larsson-Sadakane refinement: by their first 8 bytes, then the groups
-  still unsorted by the ranks 8, 16, 32, ... bytes on;
-* Kasai's scan gives the common prefix of each suffix and the one before it, in step over all contexts;
-* suffixes of different shards of a partition find each other by binary search in the other shard's array.
+Strings of ``width`` bytes are dealt by their anchors: the smallest hash of the ``GRAM``-byte grams in a string. Equal
+strings have equal anchors, so they meet. Neighbouring strings of a text mostly share an anchor; such a run of
+strings is one piece of text, its context. A first pass deals a pair of hashes for each run. Where an anchor's
+contexts are all alike by their hashes, two copies are compared; copies that lie side by side in two documents go
+to one shard, as one long context. Where an anchor has different contexts, one copy at least of each is compared with the
+others. An anchor with more than ``KINDS`` contexts, as a passage of many near copies has, is split: a second pass
+deals its strings by their own hashes, so that no task gathers them, and of each string that occurs again two copies
+are compared. Suffix arrays find which strings are equal, byte by byte; only third and further copies of a context or
+a string are covered by its hashes alone:
+
+* the suffixes of a shard are sorted by Larsson-Sadakane refinement: by their first 5 bytes, then the groups still
+  unsorted by the ranks 5, 10, 20, ... bytes on;
+* Kasai's scan gives the common prefix of each suffix and the one before it, in step over all parts of contexts;
+* where the contexts that are to be compared fill several shards, the suffixes of one find each other's by binary search.
 """
 
 from __future__ import annotations
@@ -20,24 +23,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import RollingHash, arrow_rows, mixed, small_batches, spans, staged, text_bytes
 from .substring_dedup import RUNS, anchors, runs
 
 WIDTH, GRAM = 200, 64
-#: Bytes that are hashed at once, that a shard's suffix array has, and that a partition is meant to have.
-CHUNK, SHARD, PARTITION = 1 << 20, 1 << 20, 4 << 20
-#: Runs that a task holds before it groups them.
-HELD = 1_000_000
+#: Contexts of an anchor that are compared whole; of more, strings are dealt one by one.
+KINDS = 4
+#: Bytes that are hashed at once, that a shard's suffix array has (about, and never near 2^21), and that a partition is
+#: meant to have.
+CHUNK, SHARD, PARTITION = 1 << 20, 1 << 19, 4 << 20
+#: Runs that a task holds before it groups them, strings that are put together as one context (about, at most), and
+#: those of them that are walked in one go.
+HELD, CONTEXT, LANE = 1_000_000, 1 << 16, 256
 
 #: Bits of the place of a gram in the bytes at hand, and so the longest piece of text hashed at once.
 _PLACE = np.uint64((1 << 24) - 1)
 LONGEST = 1 << 23
 
 _BYTE = np.random.default_rng(200).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ROLL = RollingHash(0x9E3779B97F4A7C15)
+_ROLL, _OTHER = RollingHash(0x9E3779B97F4A7C15), RollingHash(0xD1342543DE82EF95)
 
 
 def chunks(texts: list[bytes]) -> Iterator[list[int]]:
@@ -80,12 +87,14 @@ def text_runs(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     return d, first - (ends - sizes)[d], stop - first, grams[at[first].astype(np.int64)], context
 
 
-#: Runs dealt by anchor, at most two of a context from each task, or with bucket -1, covered ones: document, place,
-#: number, anchor, context.
-PARTS = pa.schema([("bucket", pa.int32()), ("doc", pa.binary()), ("start", pa.binary()), ("n", pa.binary()), ("anchor", pa.binary()), ("context", pa.binary())])
-_TYPES = {"doc": np.int64, "start": np.int64, "n": np.int64, "anchor": np.uint64, "context": np.uint64}
-#: bucket: where the run's context goes; null: the run is covered.
-VERDICTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("bucket", pa.int32())])
+#: Runs dealt by key, at most two of a context from each task, or with bucket -1, covered ones: document, place, number,
+#: key and context (two hashes), shard.
+PARTS = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("doc", "start", "n", "key", "context", "shard"))])
+_TYPES = {"doc": np.int64, "start": np.int64, "n": np.int64, "key": np.uint64, "context": np.uint64, "shard": np.int64}
+_PARTS = "bucket int, doc binary, start binary, n binary, key binary, context binary, shard binary"
+#: shard: where the run's context is compared; -1 - shard: its strings are dealt one by one; null: the run is covered.
+VERDICTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("shard", pa.int64())])
+_VERDICTS = "doc_id long, start long, n long, shard long"
 
 
 def _copy(new: np.ndarray) -> np.ndarray:
@@ -94,21 +103,31 @@ def _copy(new: np.ndarray) -> np.ndarray:
     return at - np.maximum.accumulate(np.where(new, at, 0))
 
 
-def _dealt(width: int, buckets: int):
-    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        doc, start, n, anchor, context = map(np.concatenate, zip(*held, strict=True))
-        order = np.lexsort((start, doc, context, anchor))
-        doc, start, n, anchor, context = (x[order] for x in (doc, start, n, anchor, context))
-        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])])
-        pair = _copy(new) < 2
-        none = np.zeros(0)
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (doc[~pair], start[~pair], n[~pair], none, none))], schema=PARTS)
-        columns = [x[pair] for x in (doc, start, n, anchor, context)]
-        bucket = (mixed(columns[3]) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        bucket = bucket[order]
-        cut = np.flatnonzero(np.diff(bucket)) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[np.concatenate([[0], cut])]), *(pa.array([y.tobytes() for y in np.split(x[order], cut)], pa.binary()) for x in columns)], schema=PARTS)
+def _grouped(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Rows (as in ``_TYPES``) with equal ones together, by document and place, and where keys and contexts begin."""
+    doc, start, _, key, context, _ = columns
+    order = np.lexsort((start, doc, context, key))
+    key, context = key[order], context[order]
+    anew = np.concatenate([[True], key[1:] != key[:-1]])
+    return [x[order] for x in columns], anew, anew | np.concatenate([[True], context[1:] != context[:-1]])
+
+
+def _packed(held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The runs of a task by bucket; of each context the third and further copies as covered."""
+    columns, _, new = _grouped([np.concatenate(x) for x in zip(*held, strict=True)])
+    pair, none = _copy(new) < 2, np.zeros(0)
+    doc, start, n, *_ = columns
+    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (doc[~pair], start[~pair], n[~pair], none, none, none))], schema=PARTS)
+    columns = [x[pair] for x in columns]
+    bucket = (mixed(columns[3]) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cut = np.flatnonzero(np.diff(bucket)) + 1
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[np.concatenate([[0], cut])]), *(pa.array([y.tobytes() for y in np.split(x[order], cut)], pa.binary()) for x in columns)], schema=PARTS)
+
+
+def _dealt(width: int, buckets: int, shards: int):
+    """All runs, by anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -122,58 +141,86 @@ def _dealt(width: int, buckets: int):
                 d, start, n, anchor, context = text_runs([texts[k] for k in places], width)
                 if len(d):
                     d = np.array(places)[d]
-                    held.append((ids[of[d]], start + shift[d], n, anchor, context))
+                    held.append((ids[of[d]], start + shift[d], n, anchor, context, (mixed(anchor ^ np.uint64(0x5DEECE66D)) % np.uint64(shards)).astype(np.int64)))
                     size += len(d)
                 if size > HELD:
-                    yield from flush(held)
+                    yield from _packed(held, buckets)
                     held, size = [], 0
         if size:
-            yield from flush(held)
+            yield from _packed(held, buckets)
 
     return run
 
 
-def _judged(shards: int):
-    """Which runs are covered as further copies, and whose contexts must be compared."""
+def _strings(width: int, buckets: int):
+    """The strings of contexts, each a run of its own, by their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {c: [] for c in _TYPES}
+        held, size = [], 0
+        for b in batches:
+            for i, start, shard, context in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "shard", "context")), strict=True):
+                data = np.frombuffer(context, np.uint8)
+                n = len(data) - width + 1
+                held.append((np.full(n, i), np.arange(start, start + n), np.ones(n, np.int64), _ROLL.windows(_BYTE[data], width), _OTHER.windows(mixed(_BYTE)[data], width), np.full(n, -1 - shard)))
+                size += n
+                if size > HELD:
+                    yield from _packed(held, buckets)
+                    held, size = [], 0
+        if size:
+            yield from _packed(held, buckets)
+
+    return run
+
+
+def _judged(shards: int, most: int | None = None):
+    """Which runs are covered as further copies, whose contexts must be compared, and with ``most`` whose strings are
+    dealt one by one: those of a key with more contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
         for batch in batches:
             for r in batch.to_pylist():
-                got = {c: np.frombuffer(r[c], t) for c, t in _TYPES.items()}
+                got = [np.frombuffer(r[c], t) for c, t in _TYPES.items()]
                 if r["bucket"] < 0:
-                    yield from arrow_rows({"doc_id": got["doc"], "start": got["start"], "n": got["n"], "bucket": [None] * len(got["doc"])}, VERDICTS)
+                    yield from arrow_rows({"doc_id": got[0], "start": got[1], "n": got[2], "shard": [None] * len(got[0])}, VERDICTS)
                 else:
-                    for c, x in got.items():
-                        held[c].append(x)
-        if not held["doc"]:
+                    held.append(got)
+        if not held:
             return
-        doc, start, n, anchor, context = (np.concatenate(held.pop(c)) for c in _TYPES)
-        order = np.lexsort((start, doc, context, anchor))
-        doc, start, n, anchor, context = (x[order] for x in (doc, start, n, anchor, context))
-        anew = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-        new = anew | np.concatenate([[True], context[1:] != context[:-1]])
+        (doc, start, n, _, _, shard), anew, new = _grouped([np.concatenate(x) for x in zip(*held, strict=True)])
         of, group = np.cumsum(new) - 1, np.cumsum(anew) - 1
         many, copy = np.bincount(of) > 1, _copy(new)
-        done = copy > 1
         kinds = np.bincount(group[new])[group]
-        ask = ~done & (many[of] | (kinds > 1))
-        bucket = (mixed(anchor ^ np.uint64(0x5DEECE66D)) % np.uint64(shards)).astype(np.int32)
-        yield from arrow_rows({"doc_id": doc[done], "start": start[done], "n": n[done], "bucket": [None] * int(done.sum())}, VERDICTS)
-        yield from arrow_rows({"doc_id": doc[ask], "start": start[ask], "n": n[ask], "bucket": bucket[ask]}, VERDICTS)
+        hot = kinds > most if most else np.zeros(len(doc), bool)
+        done, ask = copy > 1, (copy < 2) & (many[of] | (kinds > 1))
+        # Copies that are only compared with each other: by their documents, and how far apart they lie in them.
+        first = np.flatnonzero(new)[many & (kinds[new] == 1)]
+        side = mixed(doc[first].astype(np.uint64) ^ mixed(doc[first + 1].astype(np.uint64) + np.uint64(1)) ^ mixed((start[first + 1] - start[first]).astype(np.uint64)))
+        shard[first] = shard[first + 1] = (side % np.uint64(shards)).astype(np.int64)
+        yield from arrow_rows({"doc_id": doc[done], "start": start[done], "n": n[done], "shard": [None] * int(done.sum())}, VERDICTS)
+        yield from arrow_rows({"doc_id": doc[ask], "start": start[ask], "n": n[ask], "shard": np.where(hot, -1 - shard, shard)[ask]}, VERDICTS)
 
     return run
 
 
 def _contexts(width: int):
+    """The contexts asked for, out of a document (``base`` 0) or a part of one from byte ``base`` on. Runs next to each other
+    that go to one shard are one context."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for i, text, asked in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("asked").to_pylist(), strict=True):
-                out += [(a["bucket"], i, a["start"], text[a["start"] : a["start"] + a["n"] + width - 1]) for a in asked]
-            for a in range(0, len(out), 4096):
-                part = out[a : a + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int32()), pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.int64()), pa.array([x[3] for x in part], pa.binary())], names=["bucket", "doc_id", "start", "context"])
+            for i, text, base, asked in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "base", "asked")), strict=True):
+                runs_: list[list[int]] = []
+                for shard, start, n in sorted((a["shard"], a["start"] - base, a["n"]) for a in asked):
+                    if runs_ and runs_[-1][0] == shard and runs_[-1][1] + runs_[-1][2] == start and runs_[-1][2] < CONTEXT:
+                        runs_[-1][2] += n
+                    elif 0 <= start <= len(text) - width:
+                        runs_.append([shard, start, n])
+                out += [(shard, i, base + start, text[start : start + n + width - 1]) for shard, start, n in runs_]
+            for a in range(0, len(out), 1024):
+                part = out[a : a + 1024]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["shard", "doc_id", "start", "context"])
 
     return run
 
@@ -199,26 +246,30 @@ class Shard:
         self.order = order[self.valid[order]]
 
     def sorted(self) -> np.ndarray:
-        """All suffixes, by their first ``width`` bytes at least."""
-        n = self.n
-        order = np.argsort(self.words[:n], kind="stable")
-        first = self.words[order]
+        """All suffixes, by their first ``width`` bytes at least. Keys hold the place of their suffix, 21 bits of it, so
+        that values are sorted and not places."""
+        n, place = self.n, np.int64((1 << 21) - 1)
+        if n > place:
+            raise ValueError("a shard is too long")
+        keys = np.sort((self.words[:n] >> np.uint64(24)).astype(np.int64) << 21 | np.arange(n))
+        order, first = keys & place, keys >> 21
         start = np.concatenate([[True], first[1:] != first[:-1]])
         rank = np.zeros(n + self.width + 8, np.int64)  # of the group: its first place in the order, from 1
         rank[order] = np.maximum.accumulate(np.where(start, np.arange(n), 0)) + 1
-        depth = 8
+        depth = 5
         while depth < self.width:
             bound = np.concatenate([start, [True]])
             at = np.flatnonzero(~(bound[:-1] & bound[1:]))  # in groups of two or more
             if not len(at):
                 break
             suffix = order[at]
-            key = rank[suffix] << 32 | rank[np.minimum(suffix + depth, n)]  # the empty suffix ranks first
-            by = np.argsort(key, kind="stable")
-            order[at], key = suffix[by], key[by]
-            new = np.concatenate([[True], key[1:] != key[:-1]])
+            # The empty suffix ranks first.
+            keys = np.sort(rank[suffix] << 42 | rank[np.minimum(suffix + depth, n)] << 21 | np.arange(len(at)))
+            suffix, keys = suffix[keys & place], keys >> 21
+            order[at] = suffix
+            new = np.concatenate([[True], keys[1:] != keys[:-1]])
             start[at] = new
-            rank[order[at]] = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))] + 1
+            rank[suffix] = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))] + 1
             depth *= 2
         return order
 
@@ -232,7 +283,8 @@ class Shard:
             same = x == 0
             rest = at[~same]
             x = x[~same]
-            out[rest] += sum((x < np.uint64(1 << 8 * k)).astype(np.int64) for k in range(1, 8))
+            # Zero bytes at the top, by the exponent; with the bit after the first one off no number is rounded up.
+            out[rest] += 64 - np.frexp((x & ~(x >> np.uint64(1))).astype(np.float64))[1].astype(np.int64) >> 3
             at = at[same]
             out[at] += 8
             at = at[out[at] < width]
@@ -240,35 +292,41 @@ class Shard:
 
     def common(self) -> np.ndarray:
         """Kasai's scan: for each suffix listed the common prefix with the one listed before it. A text is walked
-        from left to right, and what is common shrinks by one at most; all contexts go in step."""
+        from left to right, and what is common shrinks by one at most; all contexts go in step, ``LANE`` places of them
+        at a time."""
         before = np.full(self.n + 1, -1, np.int64)
         before[self.order[1:]] = self.order[:-1]
         place = np.zeros(self.n + 1, np.int64)
         place[self.order] = np.arange(len(self.order))
         out = np.zeros(self.n + 1, np.int64)
-        lanes = np.argsort(-self.counts, kind="stable")
+        parts = -(-self.counts // LANE)
+        skip = LANE * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts))
+        begins, counts = np.repeat(self.begins, parts) + skip, np.minimum(np.repeat(self.counts, parts) - skip, LANE)
+        lanes = np.argsort(-counts, kind="stable")
+        begins, counts = begins[lanes], counts[lanes][::-1]
         known, last = np.zeros(len(lanes), np.int64), np.full(len(lanes), -1, np.int64)
         valid = np.concatenate([self.valid, [False]])
-        longest = np.sort(self.counts)
-        for k in range(int(longest[-1]) if len(longest) else 0):
-            m = len(longest) - int(np.searchsorted(longest, k, side="right"))
-            i = self.begins[lanes[:m]] + k
+        for k in range(int(counts[-1]) if len(counts) else 0):
+            m = len(counts) - int(np.searchsorted(counts, k, side="right"))
+            i = begins[:m] + k
             j = before[i]
             # The suffix after the last one's neighbour bounds what is common, if it is listed and comes before this
             # one: suffixes that agree as far as they are sorted may stand either way.
             after = np.minimum(last[:m] + 1, self.n)
-            l0 = np.where((last[:m] >= 0) & valid[after] & (place[after] < place[i]), np.maximum(known[:m] - 1, 0), 0)
+            l1 = np.where((last[:m] >= 0) & valid[after] & (place[after] < place[i]), np.maximum(known[:m] - 1, 0), 0)
             some = np.flatnonzero(j >= 0)
-            l1 = np.zeros(m, np.int64)
-            l1[some] = self.extended(i[some], j[some], l0[some])
+            l1[some] = self.extended(i[some], j[some], l1[some])
+            if len(some) < m:
+                l1[j < 0] = 0
             out[i], known[:m], last[:m] = l1, l1, j
         return out[self.order]
 
-    def found(self, other: Shard) -> tuple[np.ndarray, np.ndarray]:
+    def found(self, other: Shard, upto: int) -> tuple[np.ndarray, np.ndarray]:
         """Whether each suffix listed here, and each listed in ``other``, has an equal string in the other shard, by
-        binary search for each different string here."""
+        binary search for each different string that occurs in the first ``upto`` bytes here."""
         mine, theirs = np.zeros(len(self.order), bool), np.zeros(len(other.order), bool)
-        heads = np.flatnonzero(self.prefix < self.width)
+        starts = np.flatnonzero(self.prefix < self.width)
+        heads = starts[np.logical_or.reduceat(self.order < upto, starts)] if len(starts) else starts
         if not len(heads) or not len(other.order):
             return mine, theirs
         a = self.order[heads]
@@ -284,9 +342,8 @@ class Shard:
             high[open_] = np.where(less, high[open_], mid)
         inside = np.flatnonzero(low < len(other.order))
         hit = inside[self.extended(a[inside], other.order[low[inside]], np.zeros(len(inside), np.int64), other) >= self.width]
-        spread = np.zeros(len(heads), bool)
-        spread[hit] = True
-        mine = spread[np.cumsum(self.prefix < self.width) - 1]
+        mine[heads[hit]] = True
+        mine = mine[starts[np.cumsum(self.prefix < self.width) - 1]]
         theirs[low[hit]] = True  # the first of its group of equal strings
         group = np.cumsum(other.prefix < other.width) - 1
         return mine, np.bincount(group, weights=theirs, minlength=int(group[-1]) + 1).astype(bool)[group]
@@ -299,29 +356,46 @@ class Shard:
 
 
 def _compared(width: int):
+    """Runs of strings that have an equal one among the contexts. Contexts of one anchor have one number and lie next to
+    each other, so only shards with a number in common are merged."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, starts, texts = [], [], []
+        of, docs, starts, texts = [], [], [], []
         for b in batches:
-            docs += b.column("doc_id").to_pylist()
-            starts += b.column("start").to_pylist()
-            texts += b.column("context").to_pylist()
-        shards, a, size = [], 0, 0
-        for k, t in enumerate(texts):
-            size += len(t)
-            if size >= SHARD or k == len(texts) - 1:
-                shards.append((a, Shard(texts[a : k + 1], width)))
-                a, size = k + 1, 0
-        flags = [s.repeated() for _, s in shards]
-        for x in range(len(shards)):
-            for y in range(x):
-                mine, theirs = shards[x][1].found(shards[y][1])
-                flags[x] |= mine
-                flags[y] |= theirs
-        for (a, s), flag in zip(shards, flags, strict=True):
-            at = np.sort(s.order[flag])
-            lane = np.searchsorted(s.begins, at, side="right") - 1
-            d, first, n = runs(np.array(docs[a:], np.int64)[lane], np.array(starts[a:], np.int64)[lane] + at - s.begins[lane])
-            yield from arrow_rows({"doc_id": d, "start": first, "n": n}, RUNS)
+            for held, c in ((of, "shard"), (docs, "doc_id"), (starts, "start"), (texts, "context")):
+                held += b.column(c).to_pylist()
+        number, doc, start = (np.array(x, np.int64) for x in (of, docs, starts))
+        order = np.argsort(number, kind="stable")
+        open_: list[list] = []  # first context, shard, flags: those that the next shard may have a number in common with
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for contexts, shard, flag in open_:
+                at = np.sort(shard.order[flag])
+                lane = np.searchsorted(shard.begins, at, side="right") - 1
+                d, first, n = runs(doc[contexts[lane]], start[contexts[lane]] + at - shard.begins[lane])
+                yield from arrow_rows({"doc_id": d, "start": first, "n": n}, RUNS)
+            open_.clear()
+
+        a = size = 0
+        for k, c in enumerate(order.tolist()):
+            size += len(texts[c])
+            if size < SHARD and k < len(order) - 1:
+                continue
+            contexts = order[a : k + 1]
+            a, size = k + 1, 0
+            if open_ and number[open_[-1][0][-1]] != number[contexts[0]]:
+                yield from flushed()
+            shard = Shard([texts[x] for x in contexts], width)
+            flag = shard.repeated()
+            shared = int(shard.sizes[number[contexts] == number[contexts[0]]].sum())
+            for one in open_:
+                mine, theirs = shard.found(one[1], shared)
+                flag |= mine
+                one[2] |= theirs
+            if open_ and number[contexts[-1]] != number[contexts[0]]:
+                yield from flushed()
+            open_.append([contexts, shard, flag])
+        yield from flushed()
 
     return run
 
@@ -333,17 +407,30 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text_col).alias("text")).filter("doc_id IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (32 << 20))
-    shards = max(4 * parts, size // (1 << 20))
-    kind = "bucket int, doc binary, start binary, n binary, anchor binary, context binary"
-    dealt = rows.mapInArrow(_dealt(width, 4 * parts), kind).repartition(parts, "bucket")
-    verdicts = staged(dealt.mapInArrow(_judged(shards), "doc_id long, start long, n long, bucket int"))
-    asked = verdicts.filter("bucket IS NOT NULL")
-    volume = asked.agg(F.sum(F.col("n") + (width - 1))).first()[0] or 0
-    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "start", "n")).alias("asked"))
-    contexts = rows.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_contexts(width), "bucket int, doc_id long, start long, context binary")
-    compared = contexts.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), volume // PARTITION), "bucket").mapInArrow(_compared(width), "doc_id long, start long, n long")
-    return verdicts.filter("bucket IS NULL").drop("bucket").unionByName(compared)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts, shards = max(least, size // (32 << 20)), max(4 * least, size // (1 << 16))
+
+    def contexts(of: DataFrame, texts: DataFrame, *on: str) -> DataFrame:
+        asked = of.groupBy(*on).agg(F.collect_list(F.struct("shard", "start", "n")).alias("asked"))
+        return texts.join(asked, list(on)).select("doc_id", "text", "base", "asked").mapInArrow(_contexts(width), "shard long, doc_id long, start long, context binary")
+
+    dealt = rows.mapInArrow(_dealt(width, 4 * parts, shards), _PARTS).repartition(parts, "bucket")
+    verdicts = staged(dealt.mapInArrow(_judged(shards, KINDS), _VERDICTS))
+    whole = staged(contexts(verdicts.filter("shard IS NOT NULL"), rows.withColumn("base", F.lit(0).cast("bigint")), "doc_id"))
+    split = whole.filter("shard < 0")
+    strings = split.mapInArrow(_strings(width, 4 * parts), _PARTS).repartition(parts, "bucket")
+    single = staged(strings.mapInArrow(_judged(shards), _VERDICTS))
+    # A string lies in the last part of its document that begins at it or before it.
+    begin = split.select("doc_id", "start", F.lit(0).alias("n"), F.lit(None).cast("bigint").alias("shard"), F.col("start").alias("base"))
+    single_asked = single.filter("shard IS NOT NULL").select("doc_id", "start", "n", "shard", F.lit(None).cast("bigint").alias("base"))
+    upto = Window.partitionBy("doc_id").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, 0)
+    of_part = begin.unionByName(single_asked).withColumn("base", F.last("base", ignorenulls=True).over(upto)).filter("n > 0")
+    again = contexts(of_part, split.select("doc_id", F.col("start").alias("base"), F.col("context").alias("text")), "doc_id", "base")
+    compare = staged(whole.filter("shard >= 0").unionByName(again))
+    volume = compare.agg(F.sum(F.octet_length("context"))).first()[0] or 0
+    compared = compare.repartition(max(least, volume // PARTITION), "shard").mapInArrow(_compared(width), "doc_id long, start long, n long")
+    covered = verdicts.unionByName(single).filter("shard IS NULL").drop("shard")
+    return covered.unionByName(compared)
 
 
 def _removed(width: int):
