@@ -96,5 +96,50 @@ WHERE rank <= 10
 """
 
 
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d)),
+first AS (SELECT h, min(doc_id) AS of FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS k FROM windows JOIN first USING (h) WHERE of < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+# Texts as hexadecimal digits, two a byte; cut to pieces first, as finding a place in a string costs its distance.
+OP4_SQL = """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+pieces AS (SELECT doc_id, a, substr(x, 2 * a + 1, 2 * (1024 + 199)) AS x FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2, 1024)) AS a FROM d)),
+strings AS (SELECT doc_id, a + b AS p, md5(substr(x, 2 * b + 1, 400)) AS h FROM (SELECT doc_id, a, x, unnest(range(0, least(1024, length(x) // 2 - 199))) AS b FROM pieces)),
+hits AS (SELECT doc_id, p FROM strings WHERE h IN (SELECT h FROM strings GROUP BY h HAVING count(*) > 1)),
+runs AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run
+  FROM (SELECT doc_id, p, (p - lag(p, 1, -1000) OVER (PARTITION BY doc_id ORDER BY p) > 200)::INT AS new FROM hits)),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 200 AS b FROM runs GROUP BY doc_id, run),
+rest AS (SELECT doc_id, b AS a, lead(a) OVER w AS b FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL SELECT doc_id, 0, min(a) FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * a + 1, 2 * (coalesce(b, length(x) // 2) - a)), '' ORDER BY a) AS kept FROM rest JOIN d USING (doc_id) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(b - a) AS n, count(*) AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[p:p + 3], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS p FROM d WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN sizes m ON m.doc_id = a.doc_id JOIN sizes k ON k.doc_id = b.doc_id AND least(m.n, k.n) * 100 >= greatest(m.n, k.n) * 80
+  GROUP BY x, y, m.n, k.n HAVING 100 * count(*) >= 80 * (m.n + k.n - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT x AS doc_id, coalesce(n, 0) AS n_shingles, min(y) AS component_id, min(y) = x AS kept FROM reach LEFT JOIN sizes ON x = doc_id GROUP BY x, n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk_search": OP2_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op2_topk_search": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op4_suffix_array_dedup": OP4_SQL, "op6_minhash_near_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL}

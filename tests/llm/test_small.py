@@ -181,9 +181,11 @@ def test_substring_dedup(docs, empty, monkeypatch):
 @pytest.mark.parametrize("width", [200, 30])
 def test_suffix_dedup(docs, empty, monkeypatch, width):
     seen = Counter(raw(t)[k : k + width] for _, t in ROWS for k in range(len(raw(t)) - width + 1))
-    for shard, longest in ((1 << 20, 1 << 23), (3000, 700)):
+    for shard, longest, kinds, context in ((1 << 20, 1 << 23, 4, 1 << 16), (3000, 700, 1, 300), (300, 1 << 23, 2, 1 << 16)):
         monkeypatch.setattr(suffix_dedup, "SHARD", shard)
         monkeypatch.setattr(suffix_dedup, "LONGEST", longest)
+        monkeypatch.setattr(suffix_dedup, "KINDS", kinds)
+        monkeypatch.setattr(suffix_dedup, "CONTEXT", context)
         got = by_id(suffix_dedup.dedup(docs, width=width))
         for i, t in ROWS:
             b = raw(t)
@@ -206,12 +208,12 @@ def test_suffix_arrays_compare_a_pair_of_each_repeated_context(monkeypatch, coll
     if collide:
         monkeypatch.setattr(suffix_dedup, "text_runs", lambda t, w: (*real(t, w)[:3], *(np.zeros_like(x) for x in real(t, w)[3:])))
     for tasks in ([list(texts)], [[i] for i in texts]):
-        dealt = [b for ids in tasks for b in suffix_dedup._dealt(width, 1)(iter([pa.record_batch({"doc_id": pa.array(ids), "text": pa.array([texts[i] for i in ids])})]))]
+        dealt = [b for ids in tasks for b in suffix_dedup._dealt(width, 1, 1)(iter([pa.record_batch({"doc_id": pa.array(ids), "text": pa.array([texts[i] for i in ids])})]))]
         verdicts = [r for b in suffix_dedup._judged(1)(iter(dealt)) for r in b.to_pylist()]
-        asked = [r for r in verdicts if r["bucket"] is not None]
+        asked = [r for r in verdicts if r["shard"] is not None]
         assert set(Counter(r["start"] for r in asked).values()) == {2}
         assert len(verdicts) == len(texts) * len({r["start"] for r in asked})
-        contexts = pa.record_batch({"doc_id": [r["doc_id"] for r in asked], "start": [r["start"] for r in asked], "context": pa.array([texts[r["doc_id"]][r["start"] : r["start"] + r["n"] + width - 1] for r in asked])})
+        contexts = pa.record_batch({"shard": [r["shard"] for r in asked], "doc_id": [r["doc_id"] for r in asked], "start": [r["start"] for r in asked], "context": pa.array([texts[r["doc_id"]][r["start"] : r["start"] + r["n"] + width - 1] for r in asked])})
         found = Counter()
         for r in (r for b in suffix_dedup._compared(width)(iter([contexts])) for r in b.to_pylist()):
             found[r["doc_id"]] += r["n"]
