@@ -9,8 +9,9 @@ input up to ``MOST_BITS`` a row, so the broadcast has a fixed bound; beyond that
 lost at any size.
 
 The second pass groups the windows estimated repeated, by 128-bit hashes, exactly. A task first groups its own,
-so each different window leaves it once, with its smallest document. Windows are dealt by anchor, which keeps
-the neighbours of a passage together, so that covered windows come back to their documents as runs.
+so each different window leaves it once, with its smallest document. Windows are dealt by their anchor and where
+it lies in them, ``PLACES`` places together: that keeps neighbours of a passage together, so that covered windows come
+back to their documents as runs, and splits an anchor that very many windows have.
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ DEPTH, BLOCK_BITS, LEAST_BITS, MOST_BITS = 2, 20, 16, 29
 #: Windows that one partition of the second pass is meant to group, and that a task holds before it groups them.
 WINDOWS_EACH, HELD = 2_000_000, 1_500_000
 
+#: Bits of the place of a gram among the words at hand.
+_PLACE = np.uint64((1 << 32) - 1)
+#: Windows of an anchor are dealt by where it lies in them, so many places together.
+PLACES = 8
+
 _FIRST, _SECOND, _GRAMS = RollingHash(0x9E3779B97F4A7C15), RollingHash(0xD1342543DE82EF95), RollingHash(0xAF251AF3B0F025B5)
 
 
@@ -46,7 +52,8 @@ def anchors(grams: np.ndarray, span: int) -> np.ndarray:
 
 
 class Windows:
-    """The windows of a batch of texts: for each its document's place in the batch, its first word and its anchor."""
+    """The windows of a batch of texts: for each its document's place in the batch, its first word, its anchor and where
+    that lies in it, which is the same in equal windows."""
 
     def __init__(self, texts: list[bytes], width: int):
         words = [t.split() for t in texts]
@@ -56,14 +63,17 @@ class Windows:
         self.values = np.fromiter((xxhash.xxh3_64_intdigest(w) for ws in words for w in ws), np.uint64, n)
         self.width, gram = width, max(1, width * 2 // 5)
         self.doc = self.first = np.zeros(0, np.int64)
-        self.at, self.anchor = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        self.at, self.anchor, self.offset = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if n < width:
             return
         doc = np.repeat(np.arange(len(words)), sizes)[: n - width + 1]
         self.at = np.flatnonzero(np.arange(width, n + 1) <= ends[doc])
         self.doc = doc[self.at]
         self.first = self.at - (ends - sizes)[self.doc]
-        self.anchor = anchors(_GRAMS.windows(self.values, gram), width - gram + 1)[self.at]
+        grams = _GRAMS.windows(self.values, gram)
+        # The smallest by its upper bits, the leftmost of equal ones: always one place.
+        at = (anchors(grams & ~_PLACE | np.arange(len(grams), dtype=np.uint64), width - gram + 1) & _PLACE).astype(np.int64)[self.at]
+        self.anchor, self.offset = grams[at], at - self.at
 
     def hashes(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit hashes of each of the windows kept."""
@@ -199,7 +209,7 @@ def _windows(width: int, sent, buckets: int):
             keep = np.flatnonzero(seen.repeated(w.anchor)) if len(w.at) else []
             if len(keep):
                 ids = np.array(batch.column("doc_id"), np.int64)
-                bucket = (mixed(w.anchor[keep]) % np.uint64(buckets)).astype(np.int32)
+                bucket = (mixed(w.anchor[keep] + (w.offset[keep] // PLACES).astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
                 held.append((*w.hashes(keep), ids[w.doc[keep]], w.first[keep], bucket))
                 n += len(keep)
             if n > HELD:
