@@ -14,6 +14,8 @@ from pyspark.sql.types import StructField, StructType
 
 #: Rows that go to Python at once; texts can be long, so few.
 BATCH_ROWS = 512
+#: Tables staged by this driver.
+_STAGED: list[str] = []
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -41,9 +43,19 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sievelake/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> int:
+    """Delete all tables staged so far by this driver, once what reads them is written; how many."""
+    n = len(_STAGED)
+    while _STAGED:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return n
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kind: StructType) -> DataFrame:
     """``df.mapInArrow(run, kind)`` for columns of any names, also with dots."""
     given, places = df.columns, [f"c{k}" for k in range(len(kind))]

@@ -165,3 +165,13 @@ def test_run_on_no_rows(spark, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_staged_tables_can_be_discarded(spark):
+    import os
+
+    from sievelake.llm import common
+
+    common.discard(spark)
+    path = common.staged(spark.range(3)).inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and common.discard(spark) == 1 and not os.path.exists(path)
