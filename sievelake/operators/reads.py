@@ -91,12 +91,23 @@ def canonical_kmers(seq: str, k: int) -> np.ndarray:
 def _hashed(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [canonical_kmers(s or "", k) for s in b.column("seq").to_pylist()]
-            rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
-            ids = b.column("id")
-            for a in range(0, len(flat), 1 << 16):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows[a : a + (1 << 16)])), pa.array(flat[a : a + (1 << 16)])], names=["id", "kmer"])
+            ids, rows, found, size = b.column("id"), [], [], 0
+
+            def made() -> pa.RecordBatch:
+                of = np.repeat(rows, [len(x) for x in found])
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(of, pa.int64())), pa.array(np.concatenate(found).view(np.int64))], names=["id", "kmer"])
+
+            for row, s in enumerate(b.column("seq")):
+                x = canonical_kmers(s.as_py() or "", k)
+                for a in range(0, len(x), 1 << 18):
+                    rows.append(row)
+                    found.append(x[a : a + (1 << 18)])
+                    size += len(found[-1])
+                    if size >= 1 << 18:
+                        yield made()
+                        rows, found, size = [], [], 0
+            if found:
+                yield made()
 
     return run
 
