@@ -24,13 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns_of, free, mapped, mixed, small_batches, staged, text_bytes
+from .common import columns_of, free, mapped, mixed, partitions_for, small_batches, staged, text_bytes
 from .graph import components
 
 #: Bands of ``ROWS`` coordinates. At similarity 0.8 a pair has no band in common with probability 3e-6.
 BANDS, ROWS = 24, 4
 #: Documents of a block, of which two at a time are compared as a whole.
 BLOCK = 128
+#: Documents, as often as they are compared in blocks, that a partition is meant to have.
+MET_EACH = 20_000
 COORDS = BANDS * ROWS
 _VALUE = np.uint64((1 << 40) - 1)
 _SHINGLE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -227,9 +229,9 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
         with_inner = F.when(F.col("a") > 0, F.transform(F.sequence(F.lit(0), F.col("a") - 1), lambda i: F.struct((i - F.col("a")).alias("i"), F.col("block").alias("j"), F.lit(True).alias("right")))).otherwise(F.array().cast("array<struct<i:int,j:int,right:boolean>>"))
         with_outer = F.transform(outer, lambda i: F.struct(F.least(i, F.col("block")).alias("i"), F.greatest(i, F.col("block")).alias("j"), (i < F.col("block")).alias("right")))
         meets = F.when(F.col("inner"), F.transform(outer, lambda j: F.struct((F.col("block") - F.col("a")).alias("i"), j.alias("j"), F.lit(False).alias("right")))).otherwise(F.concat(with_inner, with_outer))
-        met = placed.withColumn("m", F.explode(meets)).select("first", "m.i", "m.j", "m.right", "node", "component")
+        met = staged(placed.withColumn("m", F.explode(meets)).select("first", "m.i", "m.j", "m.right", "node", "component"))
         filled = met.join(sets.withColumnRenamed("id", "node"), "node").select("first", "i", "j", "right", "node", "component", "items")
-        sorted_ = filled.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "first", "i", "j").sortWithinPartitions("first", "i", "j")
+        sorted_ = filled.repartition(partitions_for(spark, met.count(), MET_EACH), "first", "i", "j").sortWithinPartitions("first", "i", "j")
         more = staged(sorted_.mapInArrow(_blocks(percent), "a long, b long"))
         if not more.isEmpty():
             found = components(links.union(more))
