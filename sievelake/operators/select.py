@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,16 +68,13 @@ def ordered(df: DataFrame, column: str, order: list[str], *more: Column) -> Data
 
 def chunked(df: DataFrame, order: str, size: int = 15) -> DataFrame:
     """Lists of ``size`` lines of a manifest, the last one shorter. Rows are dealt by ranges of ``order`` (without nulls or
-    repeats), counted by range, and numbered within theirs, so that no task sorts the table."""
-    name = "__range"
-    ranged = df.repartitionByRange(order).withColumn(name, F.spark_partition_id())
-    bounds = ranged.groupBy(name).agg(F.min(order).alias("__low"), F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = bounds.select("__low", before.alias("__before"))  # a row a range
-    low = [r[0] for r in starts.select("__low").orderBy("__low").collect()]
-    if not low:
+    repeats), counted by range, and numbered within theirs, so that no task sorts the table. A row a range reaches the
+    driver, and they are as many as shuffle partitions."""
+    ranged = df.select(order).repartitionByRange(order).groupBy(F.spark_partition_id()).agg(F.min(order).alias("low"), F.count(F.lit(1)).alias("n"))
+    ranges = sorted((r.low, r.n) for r in ranged.collect())
+    if not ranges:
         return df.withColumn("chunk", F.lit(None).cast("bigint"))
-    cuts = F.array(*[F.lit(x) for x in low])
-    of = F.element_at(F.filter(cuts, lambda x: x <= F.col(order)), -1)
-    numbered = df.withColumn("__low", of).join(starts, "__low").withColumn("__k", F.row_number().over(Window.partitionBy("__low").orderBy(order)))
-    return numbered.withColumn("chunk", F.floor((F.col("__before") + F.col("__k") - 1) / size).cast("bigint")).select(*df.columns, "chunk")
+    before = [0, *accumulate(n for _, n in ranges)]
+    of = F.size(F.filter(F.array(*[F.lit(low) for low, _ in ranges]), lambda x: x <= F.col(order)))
+    at = F.element_at(F.array(*[F.lit(n).cast("bigint") for n in before]), F.col("__range")) + F.row_number().over(Window.partitionBy("__range").orderBy(order)) - 1
+    return df.withColumn("__range", of).withColumn("chunk", F.floor(at / size).cast("bigint")).select(*df.columns, "chunk")

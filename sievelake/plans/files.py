@@ -273,8 +273,8 @@ def manifest_lines(t: Tables) -> DataFrame:
     return out.select(F.row_number().over(Window.orderBy("line_no")).cast("bigint").alias("place"), "sample", "r1", "r2")
 
 
-def _tree(t: Tables, name: str = "dataset") -> DataFrame:
-    """A catalog of files below ``tool=/dataset=/rep_=`` folders: a line of each order's status."""
+def _tree(t: Tables) -> DataFrame:
+    """A catalog of files below ``tool=/rep_=`` folders: a line of each nation's name."""
     at = scratch(t.spark)
     rows = t.nation.select(F.col("n_name").alias("value"), F.concat(F.lit("t"), F.col("n_regionkey").cast("string")).alias("tool"), (F.col("n_nationkey") % 3).alias("rep_"))
     rows.repartition(1).write.partitionBy("tool", "rep_").text(at)
