@@ -243,7 +243,8 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         several = staged(several)
         stays = stays.join(several, F.col("keep_id") == F.col("doc_id"), "left_anti")
     (key,) = free(docs, "keep_id")
-    out = docs.join(stays.withColumnRenamed("keep_id", key), docs[id_col].cast("bigint") == F.col(key), "left_semi")
+    # The ids that stay grow with the rows, so they aren't broadcast at any size.
+    out = docs.join(stays.withColumnRenamed("keep_id", key).hint("merge"), docs[id_col].cast("bigint") == F.col(key), "left_semi")
     if not odd:
         return out
     small_batches(docs.sparkSession)

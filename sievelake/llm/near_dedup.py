@@ -287,7 +287,8 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         several = staged(several)
         goes = goes.union(several)
     (key,) = free(docs, "of_id")
-    out = docs.join(goes.distinct().withColumnRenamed("doc_id", key), docs[id_col].cast("bigint") == F.col(key), "left_anti")
+    # The ids that go grow with the rows, so they aren't broadcast at any size.
+    out = docs.join(goes.distinct().withColumnRenamed("doc_id", key).hint("merge"), docs[id_col].cast("bigint") == F.col(key), "left_anti")
     if not odd:
         return out
     small_batches(docs.sparkSession)
