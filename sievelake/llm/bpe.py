@@ -273,9 +273,10 @@ class Encoder:
     pattern lets a piece have white space inside only if all of it is), so texts are cut there first, by the
     much faster ``str.split``, and the pattern cuts each different chunk once."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, vocabulary: str | Vocabulary, pattern: str):
         compiled = regex.compile(pattern)
-        self.vocabulary, self.split, self.matches = Vocabulary.read(path), compiled.findall, compiled.finditer
+        self.vocabulary = Vocabulary.read(vocabulary) if isinstance(vocabulary, str) else vocabulary
+        self.split, self.matches = compiled.findall, compiled.finditer
         self._pieces, self._chunks, self._sizes = _Pieces(self), _Chunks(self), _Sizes(self)
 
     def piece(self, piece: str) -> bytes:

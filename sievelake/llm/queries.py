@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, hamming_search, language, mixing, near_dedup, quality, substring_dedup, suffix_dedup, token_counts
+from . import bpe, exact_dedup, hamming_search, language, mixing, near_dedup, prefix_bpe, quality, resampling, substring_dedup, suffix_dedup, token_counts
 from .common import held_out
 
 
@@ -63,8 +63,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_topk_search, op3_substring_dedup, op4_suffix_array_dedup, op5_mixing, op6_minhash_near_dedup, op7_language, op8_byte_bpe, op9_exact_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality, op2_topk_search, op3_substring_dedup, op4_suffix_array_dedup, op5_mixing, op6_minhash_near_dedup, op7_language, op8_byte_bpe, op9_exact_dedup, op10_token_counts, op12_prefix_bpe, op13_resampling)}
 
 
 OP9_SQL = r"""
@@ -141,5 +149,30 @@ SELECT x AS doc_id, coalesce(n, 0) AS n_shingles, min(y) AS component_id, min(y)
 """
 
 
+# CRC-32 has no function there: the polynomial's remainder, bit by bit, of each different feature.
+OP13_SQL = r"""
+WITH texts AS (SELECT 's' AS side, doc_id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark),
+d AS (SELECT side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (SELECT side, doc_id, unnest(range(1, len(w) + 1)) AS p, w FROM d),
+features AS (
+  SELECT side, doc_id, w[p] AS f FROM runs UNION ALL
+  SELECT side, doc_id, w[p] || ' ' || w[p + 1] FROM runs WHERE p + 1 <= len(w) UNION ALL
+  SELECT side, doc_id, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] FROM runs WHERE p + 2 <= len(w)),
+hashed AS (
+  SELECT f, (xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(x), 2), lambda k: ('0x' || substr(x, k + 1, 2))::BIGINT)),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295) % 10000)::INT AS bucket
+  FROM (SELECT f, lower(hex(encode(f))) AS x FROM (SELECT DISTINCT f FROM features))),
+counted AS (SELECT bucket, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t FROM features JOIN hashed USING (f) GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM counted),
+weights AS (SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS weight FROM features JOIN hashed USING (f) JOIN gains USING (bucket) WHERE side = 's' GROUP BY doc_id),
+scores AS (
+  SELECT doc_id, len(w) AS words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (doc_id) WHERE side = 's'),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scores WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END AS rank FROM scores LEFT JOIN ranked USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk_search": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op4_suffix_array_dedup": OP4_SQL, "op6_minhash_near_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op2_topk_search": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op4_suffix_array_dedup": OP4_SQL, "op6_minhash_near_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op13_resampling": OP13_SQL}
