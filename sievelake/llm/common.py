@@ -37,16 +37,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, compression: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage ends here, so a lost executor
     costs a read and not the work before it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sievelake/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """As :func:`staged`, in ``n`` buckets by ``keys``: what is then grouped or joined by them needs no exchange. Each task
+    writes a file for each bucket that it has rows of, so ``df`` should be dealt out by ``keys`` in as many partitions."""
+    spark, name = df.sparkSession, f"sievelake_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/sievelake/{name}"
+    df.write.bucketBy(n, *keys).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
+    _STAGED.append(path)
+    return spark.table(name)
+
+
 def discard(spark: SparkSession) -> int:
     """Delete all tables staged so far by this driver, once what reads them is written; how many."""
     n = len(_STAGED)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, hamming_search, language, mixing, near_dedup, prefix_bpe, quality, resampling, substring_dedup, suffix_dedup, token_counts
+from . import alignment, bpe, exact_dedup, hamming_search, language, mixing, near_dedup, prefix_bpe, quality, resampling, substring_dedup, suffix_dedup, token_counts
 from .common import held_out
 
 
@@ -63,6 +63,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -72,7 +76,7 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_topk_search, op3_substring_dedup, op4_suffix_array_dedup, op5_mixing, op6_minhash_near_dedup, op7_language, op8_byte_bpe, op9_exact_dedup, op10_token_counts, op12_prefix_bpe, op13_resampling)}
+    return {f.__name__: f for f in (op1_quality, op2_topk_search, op3_substring_dedup, op4_suffix_array_dedup, op5_mixing, op6_minhash_near_dedup, op7_language, op8_byte_bpe, op9_exact_dedup, op10_token_counts, op11_alignment, op12_prefix_bpe, op13_resampling)}
 
 
 OP9_SQL = r"""
