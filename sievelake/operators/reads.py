@@ -1,4 +1,4 @@
-"""Read quality control with built-in expressions, and classification by minimizers, which numpy finds."""
+"""Read quality control and classification by minimizers; numpy looks at all reads of a batch at once."""
 
 from __future__ import annotations
 
@@ -9,41 +9,59 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import trimming
+
 
 def scores(qual: Column) -> Column:
     """Phred scores of a quality string (offset 33)."""
     return F.transform(F.split(qual, ""), lambda c: F.ascii(c) - 33)
 
 
+def _kept(found: Column, seq: str, qual: str) -> dict[str, Column]:
+    cut = lambda c: F.substring(F.col(c), found["start"] + 1, found["end"] - found["start"])
+    return {seq: cut(seq), qual: cut(qual)}
+
+
 def judged(reads: DataFrame, seq: str = "seq", qual: str = "qual", window: int = 4, least_mean: int = 20, least_length: int = 50, adapter: str | None = None) -> DataFrame:
-    """Reads cut before their first ``adapter``, then at both ends to the first and last window whose mean score is at least
-    ``least_mean``, with ``adapter_cut`` and ``status``: low_quality without such a window, too_short below
-    ``least_length``, else passed."""
-    at = F.instr(F.col(seq), adapter) if adapter else F.lit(0)
-    whole = reads.withColumn("__at", at)
-    cut = lambda c: F.when(F.col("__at") > 0, F.substring(F.col(c), F.lit(1), F.col("__at") - 1)).otherwise(F.col(c))
-    out = whole.withColumns({seq: cut(seq), qual: cut(qual)}).withColumn("adapter_cut", F.coalesce(F.col("__at") > 0, F.lit(False))).drop("__at")
-    n = F.length(qual) - window + 1
-    good = F.when(n >= 1, F.filter(F.sequence(F.lit(1), n), lambda i: F.aggregate(F.slice(F.col("__q"), i, window), F.lit(0), lambda a, b: a + b) >= least_mean * window)).otherwise(F.array().cast("array<int>"))
-    out = out.withColumn("__q", scores(F.col(qual))).withColumn("__good", good)
-    start = F.coalesce(F.array_min("__good"), F.lit(1))
-    length = F.coalesce(F.array_max("__good") + window - start, F.lit(0))
-    out = out.withColumn("__low", F.coalesce(F.size("__good") == 0, F.lit(True))).withColumns({seq: F.substring(F.col(seq), start, length), qual: F.substring(F.col(qual), start, length)})
-    return out.withColumn("status", F.when(F.col("__low"), "low_quality").when(F.length(seq) < least_length, "too_short").otherwise("passed")).drop("__q", "__good", "__low")
+    """Reads cut before their first ``adapter`` (see :func:`trimming.adapters`: part of it at the end counts too), then at
+    both ends to the first and last window whose mean score is at least ``least_mean``, with ``adapter_cut``, ``status``
+    (low_quality without such a window, too_short below ``least_length``, else passed) and of what stays the bases ``q20``,
+    ``q30`` and ``gc``. A read without bases or scores, or null, is of low quality. Time is linear in bases."""
+    found = F.arrow_udf(trimming.single(adapter, window, least_mean), trimming.DDL)(F.col(seq), F.col(qual))
+    out = reads.withColumn("__f", found).withColumns(_kept(F.col("__f"), seq, qual))
+    status = F.when(F.col("__f.low"), "low_quality").when(F.length(seq) < least_length, "too_short").otherwise("passed")
+    return out.withColumns({"adapter_cut": F.col("__f.adapter"), "status": status, **{k: F.col(f"__f.{k}") for k in ("q20", "q30", "gc")}}).drop("__f")
+
+
+def judged_pairs(pairs: DataFrame, seq: tuple[str, str] = ("seq1", "seq2"), qual: tuple[str, str] = ("qual1", "qual2"), window: int = 4, least_mean: int = 20, least_length: int = 50, adapters: tuple[str | None, str | None] = (None, None), least_overlap: int = 30, most_mismatches: int = 5, percent: int = 20) -> DataFrame:
+    """Pairs cut as :func:`judged` cuts reads, and before that at the end of their insert where the mates show it: where the
+    one's beginning is the reverse complement of the other's, all behind it is adapter, whatever its letters (see
+    :func:`trimming.inserts`). Adds ``insert`` (NULL without one), ``adapter_cut`` (of either), ``status`` of the pair: the
+    worse one's."""
+    run = F.arrow_udf(trimming.mates(*adapters, window, least_mean, least_overlap, most_mismatches, percent), f"struct<insert:int,one:{trimming.DDL},two:{trimming.DDL}>")
+    out = pairs.withColumn("__f", run(F.col(seq[0]), F.col(qual[0]), F.col(seq[1]), F.col(qual[1])))
+    out = out.withColumns(_kept(F.col("__f.one"), seq[0], qual[0]) | _kept(F.col("__f.two"), seq[1], qual[1]))
+    status = F.when(F.col("__f.one.low") | F.col("__f.two.low"), "low_quality").when(F.least(F.length(seq[0]), F.length(seq[1])) < least_length, "too_short").otherwise("passed")
+    return out.withColumns({"insert": F.when(F.col("__f.insert") >= 0, F.col("__f.insert")), "adapter_cut": F.col("__f.one.adapter") | F.col("__f.two.adapter"), "status": status}).drop("__f")
 
 
 def trimmed(reads: DataFrame, seq: str = "seq", qual: str = "qual", **options) -> DataFrame:
     """The reads that pass, cut; see :func:`judged`."""
-    return judged(reads, seq, qual, **options).filter("status = 'passed'").drop("adapter_cut", "status")
+    return judged(reads, seq, qual, **options).filter("status = 'passed'").drop("adapter_cut", "status", "q20", "q30", "gc")
 
 
 def quality_record(reads: DataFrame, by: list[str], seq: str = "seq", qual: str = "qual", **options) -> DataFrame:
     """What a quality control reports of each group: reads in and out, cut at adapters, too short and of low quality, and of
-    what comes out bases, q20, q30 and gc."""
+    what comes out bases and the shares of q20, q30 and gc. One pass and one aggregation."""
     out = judged(reads, seq, qual, **options)
+    passed = F.col("status") == "passed"
     n = lambda s: F.count_if(F.col("status") == s)
-    counts = out.groupBy(*by).agg(F.count(F.lit(1)).alias("reads_in"), n("passed").alias("reads_out"), F.count_if("adapter_cut").alias("adapter"), n("too_short").alias("too_short"), n("low_quality").alias("low_quality"))
-    return counts.join(summary(out.filter("status = 'passed'"), by, seq, qual).drop("reads"), by, "left")
+    bases = F.coalesce(F.sum(F.when(passed, F.length(seq))), F.lit(0))
+    share = lambda c: F.coalesce(F.try_divide(F.sum(F.when(passed, F.col(c))).cast("double"), bases), F.lit(0.0)).alias(c)
+    return out.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("reads_in"), n("passed").alias("reads_out"), F.count_if("adapter_cut").alias("adapter"), n("too_short").alias("too_short"), n("low_quality").alias("low_quality"),
+        bases.alias("bases"), share("q20"), share("q30"), share("gc"),
+    )
 
 
 def summary(reads: DataFrame, by: list[str], seq: str = "seq", qual: str = "qual") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
@@ -246,9 +246,53 @@ def reads_trimmed(t: Tables) -> DataFrame:
 
 
 @query(_READS + """SELECT tool, count(*) AS reads_in, count(*) FILTER (WHERE length(s) >= 50) AS reads_out, count(*) FILTER (WHERE adapter) AS adapter, count(*) FILTER (WHERE NOT low AND length(s) < 50) AS too_short,
-  count(*) FILTER (WHERE low) AS low_quality, sum(CASE WHEN length(s) >= 50 THEN length(s) END)::BIGINT AS bases FROM c GROUP BY tool""")
+  count(*) FILTER (WHERE low) AS low_quality, sum(CASE WHEN length(s) >= 50 THEN length(s) END)::BIGINT AS bases,
+  round(sum(len(list_filter(range(1, length(q) + 1), lambda i: ord(substr(q, i, 1)) >= 53))) FILTER (WHERE length(s) >= 50) / sum(length(s)) FILTER (WHERE length(s) >= 50), 6) AS q20,
+  round(sum(len(list_filter(range(1, length(q) + 1), lambda i: ord(substr(q, i, 1)) >= 63))) FILTER (WHERE length(s) >= 50) / sum(length(s)) FILTER (WHERE length(s) >= 50), 6) AS q30,
+  round(sum(length(s) - length(translate(s, 'GC', ''))) FILTER (WHERE length(s) >= 50) / sum(length(s)) FILTER (WHERE length(s) >= 50), 6) AS gc FROM c GROUP BY tool""")
 def reads_quality_record(t: Tables) -> DataFrame:
-    return reads.quality_record(_reads(t), ["tool"], adapter="AGATCGGAAGAG").drop("q20", "q30", "gc")
+    return rounded(reads.quality_record(_reads(t), ["tool"], adapter="AGATCGGAAGAG"))
+
+
+#: Bases of an order: its key's digests, a base a digit.
+_BASES = "translate(md5(k::VARCHAR) || md5('b' || k), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+_ADAPTERS = ("AGATCGGAAGAGCACA", "AGATCGGAAGAGCGTC")
+
+
+def _bases(k) -> Column:
+    k = k.cast("string")
+    return F.translate(F.concat(F.md5(k.cast("binary")), F.md5(F.concat(F.lit("b"), k).cast("binary"))), "0123456789abcdef", "ACGT" * 4)
+
+
+@query(f"""
+WITH i AS (SELECT o_orderkey AS k, {_BASES} AS b FROM (SELECT *, o_orderkey AS k FROM orders)),
+r AS (SELECT k, CASE WHEN k % 3 = 0 THEN lower(s) ELSE s END AS s FROM (SELECT k, substr(substr(b, 1, (k % 60 + 5)::INT) || CASE k % 5 WHEN 0 THEN '' WHEN 1 THEN 'AGATCGGATGAGCACA' ELSE 'AGATCGGAAGAGCACA' END || reverse(b), 1, 64) AS s FROM i)),
+p AS (SELECT k, s, coalesce(list_min(list_filter(range(1, length(s) - 2), lambda p: hamming(substr(upper(s), p, least(16, length(s) - p + 1)::INT), substr('AGATCGGAAGAGCACA', 1, least(16, length(s) - p + 1)::INT)) <= least(16, length(s) - p + 1) // 8)) - 1, length(s)) AS n FROM r)
+SELECT k AS o_orderkey, substr(s, 1, n::INT) AS seq, n < length(s) AS adapter_cut, CASE WHEN n < 4 THEN 'low_quality' WHEN n < 30 THEN 'too_short' ELSE 'passed' END AS status FROM p""")
+def reads_adapters(t: Tables) -> DataFrame:
+    """Whole adapters, ones with a mismatch, in either case of letters, and parts of them at the end of a read."""
+    k, b = F.col("o_orderkey"), _bases(F.col("o_orderkey"))
+    adapter = F.when(k % 5 == 0, "").when(k % 5 == 1, "AGATCGGATGAGCACA").otherwise(_ADAPTERS[0])
+    seq = F.substring(F.concat(F.substring(b, F.lit(1), (k % 60 + 5).cast("int")), adapter, F.reverse(b)), 1, 64)
+    r = t.orders.select("o_orderkey", F.when(k % 3 == 0, F.lower(seq)).otherwise(seq).alias("seq"))
+    return reads.judged(r.withColumn("qual", F.repeat(F.lit("I"), F.length("seq"))), adapter=_ADAPTERS[0], least_length=30).select("o_orderkey", "seq", "adapter_cut", "status")
+
+
+@query(f"""
+WITH i AS (SELECT k, substr(b, 1, (20 + k % 60)::INT) AS f, reverse(b) AS after FROM (SELECT k, {_BASES} AS b FROM (SELECT o_orderkey AS k FROM orders))),
+r AS (SELECT k, substr(f || '{_ADAPTERS[0]}' || after, 1, 60) AS s1, substr(CASE WHEN k % 4 = 1 THEN 'N' || substr(translate(reverse(f), 'ACGT', 'TGCA'), 2) ELSE translate(reverse(f), 'ACGT', 'TGCA') END || '{_ADAPTERS[1]}' || after, 1, (60 - k % 3)::INT) AS s2 FROM i),
+l AS (SELECT *, list_max(list_filter(range(30, length(s2) + 1), lambda n: hamming(substr(s1, 1, n::INT), translate(reverse(substr(s2, 1, n::INT)), 'ACGT', 'TGCA')) <= least(5, n * 20 // 100))) AS insert FROM r),
+c AS (SELECT *, substr(s1, 1, coalesce(insert, 60)::INT) AS c1, substr(s2, 1, coalesce(insert, 60)::INT) AS c2 FROM l)
+SELECT k AS o_orderkey, insert::INT AS insert, c1 AS seq1, c2 AS seq2, coalesce(insert < 60, false) AS adapter_cut, CASE WHEN least(length(c1), length(c2)) < 50 THEN 'too_short' ELSE 'passed' END AS status FROM c""")
+def pairs_trimmed(t: Tables) -> DataFrame:
+    """Mates that read beyond their insert are cut where it ends, without knowledge of the adapters."""
+    k, b = F.col("o_orderkey"), _bases(F.col("o_orderkey"))
+    i = t.orders.select(k, F.substring(b, F.lit(1), (k % 60 + 20).cast("int")).alias("f"), F.reverse(b).alias("after"))
+    back = F.translate(F.reverse("f"), "ACGT", "TGCA")
+    back = F.when(k % 4 == 1, F.concat(F.lit("N"), F.substr(back, F.lit(2)))).otherwise(back)
+    r = i.select(k, F.substring(F.concat("f", F.lit(_ADAPTERS[0]), "after"), 1, 60).alias("seq1"), F.substring(F.concat(back, F.lit(_ADAPTERS[1]), "after"), F.lit(1), (60 - k % 3).cast("int")).alias("seq2"))
+    r = r.withColumns({"qual1": F.repeat(F.lit("I"), F.length("seq1")), "qual2": F.repeat(F.lit("I"), F.length("seq2"))})
+    return reads.judged_pairs(r).select("o_orderkey", "insert", "seq1", "seq2", "adapter_cut", "status")
 
 
 @query("SELECT p_brand, p_name, length(p_name)::INT AS path_length FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_name) = 1")
