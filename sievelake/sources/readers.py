@@ -3,6 +3,7 @@ their size has no bound and plain ones are split."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import reduce
 
@@ -13,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.ids import is_host, norm_id
 from ..functions.scalars import field_pattern, group, number, seconds, strip_ansi
-from ..session import scratch
+from . import fastq as ranges
 
 
 def lines(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
@@ -23,54 +24,53 @@ def lines(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
     parts = raw.groupBy("path", "part").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("path", "part", (F.coalesce(F.sum("n").over(upto), F.lit(0)) - F.col("first")).alias("shift"))
-    return raw.join(parts, ["path", "part"]).select("path", (F.col("id") + F.col("shift")).alias("line_no"), "value")
+    # A part that the other scan didn't have would mean that both were cut differently: no line may go for that.
+    number = F.col("id") + F.coalesce("shift", F.raise_error(F.lit("a file was cut differently while it was read")).cast("bigint"))
+    return raw.join(parts, ["path", "part"], "left").select("path", number.alias("line_no"), "value")
 
 
-def _listed(spark: SparkSession, paths: str | list[str], glob: str | None) -> list[str]:
-    """Files of more than no bytes, in whole folders too."""
+def fastq(spark: SparkSession, paths: str | list[str], ids_only: bool = True, strict: bool = False, glob: str | None = None, index: bool = True) -> DataFrame:
+    """path, index (of the record in its file, from 0) and header of FASTQ records, and with ``ids_only`` off seq, plus and
+    qual. What a file is, its first bytes tell and not its name (``strict``: one named ``.gz`` that isn't gzip raises). Plain
+    files and gzip files of blocks are read in ranges, by many tasks. Empty files are skipped, bytes that don't decode are
+    left out, blank lines at the end are no record; of a record that ends early what lacks is NULL.
+
+    One scan; only for the ``index`` of files of several ranges their line feeds are counted before, and the driver gets a
+    row for each such range. Stores that Arrow doesn't know are read by Spark's text source instead, which goes by names and
+    scans twice."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    if not all(map(ranges.readable, paths)):
+        return _fastq_lines(spark, paths, ids_only, glob)
+    ranges.register(spark)
+    step = min(ranges.STEP, int(spark.conf.get("spark.sql.files.maxPartitionBytes").removesuffix("b")))
+    files = _sized(spark, paths, glob)
+    read = spark.read.format(ranges.NAME).option("files", json.dumps(files)).option("step", step).option("idsOnly", ids_only).option("strict", strict)
+    if index and any(size > step for _, size in files):
+        counts = read.option("counting", True).load().collect()
+        read = read.option("counting", False).option("counts", json.dumps([tuple(r) for r in counts]))
+    out = read.load()
+    return out if index else out.drop("index")
+
+
+def _sized(spark: SparkSession, paths: list[str], glob: str | None) -> list[tuple[str, int]]:
+    """Files of more than no bytes and their sizes, in whole folders too."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         files = files.option("pathGlobFilter", glob)
-    return [r.path for r in files.load(paths).filter("length > 0").select("path").collect()]
-
-
-def _packed(spark: SparkSession, path: str) -> bool:
-    """Whether a file begins as gzip does."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    f = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
-    try:
-        return (f.read(), f.read()) == (0x1F, 0x8B)
-    finally:
-        f.close()
+    return sorted((r.path, r.length) for r in files.load(paths).filter("length > 0").select("path", "length").collect())
 
 
-def _copied(spark: SparkSession, path: str) -> str:
-    """A copy of a file in the shared folder, under a name that stands for no packing."""
-    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-    source, target = hadoop.Path(path), hadoop.Path(f"{scratch(spark)}/plain.fastq")
-    hadoop.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf)
-    return target.getFileSystem(conf).makeQualified(target).toUri().toString()
-
-
-def fastq(spark: SparkSession, paths: str | list[str], ids_only: bool = True, strict: bool = False, glob: str | None = None) -> DataFrame:
-    """path, index (of the record in its file, from 0) and header of FASTQ records, and with ``ids_only`` off seq, plus and
-    qual. Files named ``.gz`` that aren't gzip are copied under another name first, as Spark goes by names (``strict``: they
-    raise). Empty files are skipped, bytes that don't decode are left out. The number of a line tells what it is, so headers take no shuffle of the
-    reads; of whole records only those that lie in two parts of a file are shuffled."""
-    listed = _listed(spark, paths, glob)
+def _fastq_lines(spark: SparkSession, paths: list[str], ids_only: bool, glob: str | None) -> DataFrame:
+    listed = [p for p, _ in _sized(spark, paths, glob)]
     kind = "path string, index long, header string" + ("" if ids_only else ", seq string, plus string, qual string")
     if not listed:
         return spark.createDataFrame([], kind)
-    plain = {} if strict else {p: _copied(spark, p) for p in listed if p.endswith(".gz") and not _packed(spark, p)}
-    rows = lines(spark, [plain.get(p, p) for p in listed])
-    if plain:  # under their own names again
-        own = F.create_map(*[F.lit(x) for p, copy in plain.items() for x in (copy.split("/")[-2], p)])
-        rows = rows.withColumn("path", F.coalesce(F.try_element_at(own, F.element_at(F.split("path", "/"), -2)), "path"))
+    rows = lines(spark, listed)
     if ids_only:
-        return _decoded(rows.filter("line_no % 4 = 0").select("path", F.expr("line_no DIV 4").alias("index"), F.col("value").alias("header")), kind)
+        return _decoded(rows.filter("line_no % 4 = 0").select("path", F.expr("line_no DIV 4").alias("index"), F.col("value").alias("header")), kind).filter("header <> ''")
     found = rows.mapInArrow(_records, "path string, index long, header binary, seq binary, plus binary, qual binary, whole boolean")
     cut = found.filter("NOT whole").groupBy("path", "index").agg(*[F.max(c).alias(c) for c in ("header", "seq", "plus", "qual")])
-    return _decoded(found.filter("whole").drop("whole").unionByName(cut), kind)
+    return _decoded(found.filter("whole").drop("whole").unionByName(cut), kind).filter("header <> ''")
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +110,7 @@ def _decoded(df: DataFrame, kind: str) -> DataFrame:
 
 def kept_ids(spark: SparkSession, paths: str | list[str], rule: str = "n1", **options) -> DataFrame:
     """path and read_id of all records; both mates of a pair are the same id under rules that cut their marks."""
-    return fastq(spark, paths, **options).select("path", norm_id(F.col("header"), rule).alias("read_id"))
+    return fastq(spark, paths, index=False, **options).select("path", norm_id(F.col("header"), rule).alias("read_id"))
 
 
 def labels(spark: SparkSession, path: str, rule: str | None = "n1", label_rule: str = "exact", first_tab_only: bool = False) -> DataFrame:
