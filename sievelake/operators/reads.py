@@ -1,15 +1,12 @@
-"""Read quality control and classification by minimizers; numpy looks at all reads of a batch at once."""
+"""Read quality control and classification; numpy looks at all reads of a batch at once."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import trimming
+from . import host_index, trimming
 
 
 def scores(qual: Column) -> Column:
@@ -74,89 +71,12 @@ def summary(reads: DataFrame, by: list[str], seq: str = "seq", qual: str = "qual
     return reads.groupBy(*by).agg(F.count(F.lit(1)).alias("reads"), bases.alias("bases"), share(at_least(20)).alias("q20"), share(at_least(30)).alias("q30"), share(gc).alias("gc"))
 
 
-_CODE = np.full(128, 4, np.uint8)
-for _k, _letters in enumerate(("Aa", "Cc", "Gg", "Tt")):
-    _CODE[[ord(x) for x in _letters]] = _k
-
-
-def _joined(codes: np.ndarray, length: int, first_high: bool) -> np.ndarray:
-    """Each ``length`` codes of two bits in a row as one number, the first one highest or lowest: numbers of 1, 2, 4, ... codes
-    are made of each other, and those that add up to ``length`` are put together."""
-    power, size, out, done = codes.astype(np.uint64), 1, None, 0
-    n = max(0, len(codes) - length + 1)
-    while True:
-        if length & size:
-            part = power[done : done + n]
-            if out is None:
-                out = part
-            elif first_high:
-                out = out << np.uint64(2 * size) | part
-            else:
-                out = part << np.uint64(2 * done) | out
-            done += size
-        if done == length:
-            return out
-        a, b = power[: len(power) - size], power[size:]
-        power = a << np.uint64(2 * size) | b if first_high else b << np.uint64(2 * size) | a
-        size *= 2
+def minimizers(seq: str, k: int = 35, length: int = 31) -> np.ndarray:
+    """The different minimizers of a sequence, as numbers of two bits a letter; see :func:`host_index.groups`."""
+    data = np.frombuffer(seq.encode("ascii", "replace"), np.uint8)
+    return np.unique(host_index.groups(data, np.array([0, len(data)]), k, length)[1])
 
 
-def minimizers(seq: str, k: int = 35, length: int = 31) -> np.ndarray:
-    """The different minimizers of a sequence: of each ``k`` letters the smallest of its parts of ``length``, each in the
-    smaller of its two strands' forms, letter by letter. Parts are exact numbers of two bits a letter, so ``length`` is 31
-    at most. What holds another letter than A, C, G and T (in any case) has none."""
-    x = np.frombuffer(seq.encode("ascii", "replace"), np.uint8)
-    if len(x) < k:
-        return np.zeros(0, np.uint64)
-    codes = _CODE[x]
-    other = np.concatenate([[0], np.cumsum(codes == 4)])
-    codes = codes & 3
-    strands = np.minimum(_joined(codes, length, True), _joined(3 - codes, length, False))
-    span, n = k - length + 1, len(x) - k + 1
-    best = strands[:n]
-    for j in range(1, span):
-        best = np.minimum(best, strands[j : j + n])
-    return np.unique(best[other[k:] == other[:-k]])
-
-
-def _listed(k: int, length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, rows, found, size = b.column("id"), [], [], 0
-
-            def made() -> pa.RecordBatch:
-                of = np.repeat(rows, [len(x) for x in found])
-                return pa.RecordBatch.from_arrays([ids.take(pa.array(of, pa.int64())), pa.array(np.concatenate(found).view(np.int64))], names=["id", "minimizer"])
-
-            for row, s in enumerate(b.column("seq")):
-                x = minimizers(s.as_py() or "", k, length)
-                for a in range(0, len(x), 1 << 18):
-                    rows.append(row)
-                    found.append(x[a : a + (1 << 18)])
-                    size += len(found[-1])
-                    if size >= 1 << 18:
-                        yield made()
-                        rows, found, size = [], [], 0
-            if found:
-                yield made()
-
-    return run
-
-
-def minimizer_rows(df: DataFrame, id_col: str, seq: str, k: int = 35, length: int = 31) -> DataFrame:
-    """id and minimizer (as a number) for the different minimizers of each row; none of a null or short sequence."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(seq).cast("string").alias("seq"))
-    return rows.mapInArrow(_listed(k, length), rows.drop("seq").schema.add("minimizer", "long"))
-
-
-def classified(reads: DataFrame, host: DataFrame, id_col: str, seq: str = "seq", k: int = 35, length: int = 31, least_hits: int = 2, confidence: float = 0.0) -> DataFrame:
-    """Ids of reads with at least ``least_hits`` different minimizers (see :func:`minimizers`) of the host's sequences, and
-    these being at least a share of ``confidence`` of the read's; others, the unassigned ones, are kept. Strands count
-    as one. The join is by minimizer, a row for about each third letter of a read, and hits are summed by partition first."""
-    own = minimizer_rows(reads, id_col, seq, k, length)
-    known = minimizer_rows(host.select(F.lit(0).alias("of"), seq), "of", seq, k, length).select("minimizer").distinct()
-    hits = own.join(known, "minimizer", "left_semi").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= least_hits)
-    if confidence > 0:
-        total = own.distinct().groupBy("id").agg(F.count(F.lit(1)).alias("total"))
-        hits = hits.join(total, "id").filter(F.col("hits") >= confidence * F.col("total")).drop("total")
-    return hits.withColumnRenamed("id", id_col)
+def classified(reads: DataFrame, host: DataFrame, id_col: str, seq: str = "seq", k: int = 35, length: int = 31, least_groups: int = 2, confidence: float = 0.0) -> DataFrame:
+    """Reads that belong to the host, by an index of its sequences made for this alone; see :func:`host_index.classified`."""
+    return host_index.classified(reads, host_index.build(host, seq, k=k, length=length), id_col, seq, least_groups, confidence)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
-from ..operators import generate, integrate, reads, route
+from ..operators import generate, host_index, integrate, reads, route
 from ..sources import sinks
 from ..streaming.windows import windowed
 from .accuracy import rounded
@@ -185,20 +185,36 @@ def positional_labels(t: Tables) -> DataFrame:
 
 #: Letters and blanks as bases; other characters are none.
 _LETTERS, _BASES = "abcdefghijklmnopqrstuvwxyz ", "ACGTACGTACGTACGTACGTACGTACT"
-# Long stretches in pieces that overlap, as finding a place in a string costs its distance.
-_MINIMIZERS = """
-  (SELECT DISTINCT {id}, unnest(list_transform(range(1, len(m) - 3), lambda i: list_min(m[i:i + 4]))) AS z FROM (
-    SELECT {id}, list_transform(range(1, length(r) - 29), lambda i: least(substr(r, i, 31), translate(reverse(substr(r, i, 31)), 'ACGT', 'TGCA'))) AS m
-    FROM (SELECT {id}, substr(r, a + 1, 512 + 34) AS r FROM (SELECT {id}, r, unnest(range(0, length(r) - 34, 512)) AS a
-      FROM (SELECT {id}, unnest(regexp_extract_all(translate(lower(text), '""" + f"{_LETTERS}', '{_BASES}" + """'), '[ACGT]{{35,}}')) AS r FROM {table})))))"""
+# Long stretches in pieces that overlap, as finding a place in a string costs its distance. A row for each k-mer, with its place.
+_KMERS = """
+  (SELECT {id}, x, a + i AS p, list_min(m[i + 1:i + 5]) AS z FROM (SELECT *, unnest(range(0, len(m) - 4)) AS i FROM (
+    SELECT {id}, x, a, list_transform(range(1, length(r) - 29), lambda i: least(substr(r, i, 31), translate(reverse(substr(r, i, 31)), 'ACGT', 'TGCA'))) AS m
+    FROM (SELECT {id}, x, a, substr(r, a + 1, 512 + 34) AS r FROM (SELECT {id}, x, r, unnest(range(0, length(r) - 34, 512)) AS a
+      FROM (SELECT {id}, unnest(s) AS r, unnest(range(len(s))) AS x FROM (SELECT {id}, regexp_extract_all(translate(lower(text), '""" + f"{_LETTERS}', '{_BASES}" + """'), '[ACGT]{{35,}}') AS s FROM {table})))))))"""
+_GROUPS = f"""
+WITH k AS {_KMERS.format(id="doc_id", table="documents")}, h AS (SELECT DISTINCT z FROM {_KMERS.format(id="item_id", table="benchmark")}),
+g AS (SELECT doc_id, z IN (SELECT z FROM h) AS known, (lag(z) OVER (PARTITION BY doc_id, x ORDER BY p)) IS DISTINCT FROM z AS first FROM k),
+r AS (SELECT doc_id, count(*) FILTER (WHERE known AND first) AS hits, count(*) FILTER (WHERE known) AS kmers, count(*) AS total FROM g GROUP BY doc_id)"""
+
+
+def _as_reads(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Documents and what may be in them, as bases."""
+    bases = F.translate(F.lower("text"), _LETTERS, _BASES)
+    return t.documents.select("doc_id", bases.alias("seq")), t.benchmark.select(bases.alias("seq"))
 
 
-@query(f"""
-WITH k AS {_MINIMIZERS.format(id="doc_id", table="documents")}, h AS {_MINIMIZERS.format(id="item_id", table="benchmark")}
-SELECT doc_id, count(*) AS hits FROM k WHERE z IN (SELECT z FROM h) GROUP BY doc_id HAVING count(*) >= 2""")
+@query(f"{_GROUPS} SELECT doc_id, hits, kmers FROM r WHERE hits >= 2")
 def kmer_classification(t: Tables) -> DataFrame:
-    bases = F.translate(F.lower("text"), _LETTERS, _BASES)
-    return reads.classified(t.documents.select("doc_id", bases.alias("seq")), t.benchmark.select(bases.alias("seq")), "doc_id")
+    return reads.classified(*_as_reads(t), "doc_id")
+
+
+@query(f"{_GROUPS} SELECT doc_id, hits, kmers, round(limits.c, 2) AS confidence FROM r, (VALUES (0.05::DOUBLE, 2), (0.25::DOUBLE, 5)) AS limits(c, n) WHERE hits >= n AND kmers >= c * total")
+def kmer_confidence(t: Tables) -> DataFrame:
+    """An index that is built once and opened for two questions."""
+    documents, host = _as_reads(t)
+    at = host_index.build(host).path
+    asked = [host_index.classified(documents, host_index.reopened(t.spark, at), "doc_id", least_groups=n, confidence=c).withColumn("confidence", F.lit(c)) for c, n in ((0.05, 2), (0.25, 5))]
+    return asked[0].unionByName(asked[1])
 
 
 @query("SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS succeeded, count(*) FILTER (WHERE o_orderstatus <> 'F') AS failed FROM orders")

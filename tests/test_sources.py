@@ -1,10 +1,12 @@
 import gzip
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sievelake.operators import confusion, ecology, generate, performance, reads, route, select
+from sievelake.operators import confusion, ecology, generate, host_index, performance, reads, route, select
 from sievelake.sources import readers, sinks
 from sievelake.streaming.windows import windowed
 
@@ -88,10 +90,45 @@ def test_minimizers_against_plain_strings(spark):
         number = lambda p: sum("ACGT".index(c) << 2 * (30 - j) for j, c in enumerate(p))
         assert reads.minimizers(s or "").tolist() == sorted(map(number, plain(s or "")))
     known = set().union(*map(plain, host))
-    want = {i: n for i, s in made if (n := len(plain(s or "") & known)) >= 2}
+
+    def runs(s, k=35, length=31):
+        """Runs of k-mers with one minimizer: how many the host has, their k-mers, and all k-mers."""
+        parts = [s[i : i + length].upper() for i in range(len(s) - length + 1)]
+        form = [min(p, p.translate(flip)[::-1]) if set(p) <= set("ACGT") else None for p in parts]
+        windows = [form[i : i + k - length + 1] for i in range(len(s) - k + 1)]
+        best = [None if None in w else min(w) for w in windows]
+        heads = [x for i, x in enumerate(best) if x is not None and (i == 0 or best[i - 1] != x)]
+        return sum(x in known for x in heads), sum(x in known for x in best), sum(x is not None for x in best)
+
+    want = {i: runs(s or "") for i, s in made}
     df, refs = spark.createDataFrame(made, "id long, seq string"), spark.createDataFrame([(h,) for h in host], "seq string")
-    assert len(want) > 15 and {r.id: r.hits for r in reads.classified(df, refs, "id").collect()} == want
-    assert {r.id for r in reads.classified(df, refs, "id", confidence=0.9).collect()} == {i for i, n in want.items() if n >= 0.9 * len(plain(dict(made)[i]))}
+    index = host_index.build(refs)
+    assert index.count == len(known)
+    for least, share in ((2, 0.0), (1, 0.0), (2, 0.9), (3, 0.5)):
+        right = {i: (h, n) for i, (h, n, t) in want.items() if h >= least and n >= share * t}
+        assert len(right) > 10
+        again = host_index.reopened(spark, index.path)
+        assert {r.id: (r.hits, r.kmers) for r in host_index.classified(df, again, "id", least_groups=least, confidence=share).collect()} == right
+    # Rows of one id count together; frequent minimizers are looked up another way; no rows give none.
+    same = df.withColumn("id", F.lit(1))
+    total = [sum(x) for x in zip(*want.values(), strict=True)]
+    for often in (16, 0):
+        host_index.HOT, old = (1 << 60, host_index.HOT) if often else (4096, host_index.HOT)
+        assert [(r.hits, r.kmers) for r in host_index.classified(same.union(same), index, "id", confidence=0.01).collect()] == [(2 * total[0], 2 * total[1])]
+        host_index.HOT = old
+    assert host_index.classified(df.limit(0), index, "id").count() == 0
+    assert host_index.classified(df, host_index.build(refs.limit(0)), "id").count() == 0
+
+
+def test_filter_drops_nothing_it_has():
+    values = np.random.default_rng(1).integers(0, 1 << 62, 3000, np.uint64)
+    for bits in (10, 16, 20):
+        (b,) = host_index._filtered(bits)(iter([pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], names=["m"])]))
+        words = np.zeros(1 << (bits - 6), np.uint64)
+        words[b.column("word").to_numpy()] = b.column("bits").to_numpy().view(np.uint64)
+        assert host_index.held(words, values, bits).all()
+    others = np.random.default_rng(2).integers(0, 1 << 62, 30000, np.uint64)
+    assert host_index.held(words, others, 20).mean() < 0.01
 
 
 def test_chunks_and_quartiles(spark):
