@@ -34,7 +34,7 @@ from .prefix_bpe import TOKENIZER, byte_of
 
 PIECES = "piece_bpe_32k.model"
 #: Bytes of text, and different chunks, that a block is meant to have; places of a chunk that one row lists at most.
-BLOCK_BYTES, BLOCK_KINDS, PLACES = 96 << 20, 1 << 21, 4096
+BLOCK_BYTES, BLOCK_KINDS, PLACES = 64 << 20, 1 << 20, 4096
 _CUT = re.compile(r"(?<! ) (?=\S)")
 _MARK = "▁"
 
@@ -238,14 +238,15 @@ _VALUES = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
 
 
 def _lifted(digest: bool):
-    """Rows come sorted by block, in it its chunks by number and then its documents."""
+    """Rows come sorted by block, in it its chunks by number and then its documents. A block's groups stay one Arrow array,
+    each with a semicolon behind it: those of a document are taken from it as one run of bytes."""
 
-    def of(values: list[np.ndarray], groups: list[str], t: pa.RecordBatch) -> pa.RecordBatch:
+    def of(values: list[np.ndarray], groups: pa.Array, t: pa.RecordBatch) -> pa.RecordBatch:
         unpack, out = zstandard.ZstdDecompressor().decompress, []
         for packed in t.column("at").to_pylist():
             ks = np.frombuffer(unpack(packed), np.int32)
-            text = ";".join(map(groups.__getitem__, ks.tolist()))
-            out.append((*(int(v[ks].sum()) for v in values), hashlib.sha256(text.encode()).hexdigest() if digest and text else text))
+            text = memoryview(groups.take(pa.array(ks)).buffers()[2])[:-1] if len(ks) else b""
+            out.append((*(int(v[ks].sum(dtype=np.int64)) for v in values), hashlib.sha256(text).hexdigest() if digest and len(ks) else bytes(text).decode()))
         columns = list(zip(*out, strict=True))
         return pa.RecordBatch.from_arrays([t.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:-1]), pa.array(columns[-1], pa.string())], names=["doc_id", *_VALUES, "groups"])
 
@@ -262,11 +263,13 @@ def _lifted(digest: bool):
                     block, parts, known = blocks[x], [], None
                 n = len(t) - t.column("k").null_count
                 if n:
-                    parts.append(t.slice(0, n))
+                    parts.append(t.select([*_VALUES, "groups"]).slice(0, n))
                 if n < len(t):
                     if known is None:
-                        values = [np.concatenate([p.column(c).to_numpy() for p in parts] or [np.zeros(0, np.int64)]) for c in _VALUES]
-                        known, parts = (values, [g for p in parts for g in p.column("groups").to_pylist()]), []
+                        whole, parts = pa.Table.from_batches(parts, parts[0].schema if parts else batch.select([*_VALUES, "groups"]).schema), []
+                        values = [whole.column(c).to_numpy() for c in _VALUES]
+                        known = values, pa.concat_arrays([c.cast(pa.large_string()) for c in whole.column("groups").chunks] or [pa.array([], pa.large_string())])
+                        del whole
                     yield of(*known, t.slice(n))
 
     return run
@@ -290,7 +293,7 @@ def _aligned(docs: DataFrame, id_col: str, text_col: str, a_path: str | None, b_
         pairs = pair_counts(found)
         linked = found.select(*key, F.explode("links").alias("l")).join(F.broadcast(pairs), (F.col("l.a") == F.col("a")) & (F.col("l.b") == F.col("b")))
         sums = linked.groupBy(*key).agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-        whole = found.hint("merge").join(sums.hint("merge"), key).select(F.explode("places").alias("p"), "n_a", "n_b", F.size("links").alias("n_groups"), "n_best", "count_sum", "groups")
+        whole = found.hint("merge").join(sums.hint("merge"), key).select(F.explode("places").alias("p"), "n_a", "n_b", F.size("links").alias("n_groups"), "n_best", "count_sum", F.concat("groups", F.lit(";")).alias("groups"))
         kind = "block long, k int, doc_id long, at binary, n_a int, n_b int, n_groups int, n_best long, count_sum long, groups string"
         names = [x.split() for x in kind.split(", ")]
         back = whole.selectExpr("p.block", "p.k", *(f"CAST({c if c in whole.columns else 'NULL'} AS {t}) AS {c}" for c, t in names[2:]))
