@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import scanned
+
 
 def diversity(df: DataFrame, by: list[str], species: str, amount: str) -> DataFrame:
     """richness (rows), shannon (base 2, zeros left out, shares renormalised), simpson (1 - sum of squared shares,
@@ -38,11 +40,9 @@ def bray_curtis(df: DataFrame, sample: str, species: str, amount: str) -> DataFr
 
 def lengths(df: DataFrame, by: list[str], length: str) -> DataFrame:
     """contigs, total, longest, and upper_median: the value at place n div 2 from 0 in ascending order, which some
-    reports call N50. Lengths are counted first, so that no group is gathered as a list."""
+    reports call N50. Lengths are counted first; a group's may lie in many tasks."""
     each = df.filter(F.col(length).isNotNull()).groupBy(*by, length).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*by)
-    upto = F.sum("__n").over(w.orderBy(length).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = each.withColumn("upto", upto).withColumn("all", F.sum("__n").over(w))
+    ranked = scanned(each, by, [F.col(length)], F.col("__n"), "upto", "all")
     return ranked.groupBy(*by).agg(
         F.sum("__n").alias("contigs"), F.sum(F.col(length) * F.col("__n")).alias("total"), F.max(length).alias("longest"),
         F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col(length))).alias("upper_median"),
@@ -52,6 +52,4 @@ def lengths(df: DataFrame, by: list[str], length: str) -> DataFrame:
 def n50(df: DataFrame, by: list[str], length: str) -> DataFrame:
     """The largest length such that contigs at least as long have half of all bases."""
     each = df.filter(F.col(length).isNotNull()).groupBy(*by, length).agg((F.count(F.lit(1)) * F.col(length)).alias("bases"))
-    w = Window.partitionBy(*by)
-    upto = F.sum("bases").over(w.orderBy(F.desc(length)).rowsBetween(Window.unboundedPreceding, 0))
-    return each.withColumn("upto", upto).withColumn("all", F.sum("bases").over(w)).filter("2 * upto >= all").groupBy(*by).agg(F.max(length).alias("n50"))
+    return scanned(each, by, [F.desc(length)], F.col("bases"), "upto", "all").filter("2 * upto >= all").groupBy(*by).agg(F.max(length).alias("n50"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.scalars import ratio
+from .scan import scanned
 
 
 def std(c: str, kind: str = "sample") -> Column:
@@ -96,11 +97,10 @@ def rank_sum(df: DataFrame, by: list[str], sample: str, x: str, y: str, value: s
     """Wilcoxon's rank sum of sample ``x`` against ``y`` by normal approximation: n1, n2, rank_sum, z. Ties share
     their mean rank; groups with fewer than two values of either are left out.
 
-    Values are counted first, so that ranks come from running sums over different values."""
+    Values are counted first, so that ranks come from running sums over different values; a group's may lie in many tasks."""
     vals = df.filter(F.col(sample).isin(x, y) & F.col(value).isNotNull())
     each = vals.groupBy(*by, value).agg(F.count_if(F.col(sample) == x).alias("nx"), F.count(F.lit(1)).alias("n"))
-    run = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = each.withColumn("rank", F.sum("n").over(run) - (F.col("n") - 1) / 2)
+    ranked = scanned(each, by, [F.col(value)], F.col("n")).withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2)
     out = ranked.groupBy(*by).agg(F.sum("nx").alias("n1"), F.sum(F.col("n") - F.col("nx")).alias("n2"), F.sum(F.col("rank") * F.col("nx")).alias("rank_sum")).filter("n1 >= 2 AND n2 >= 2")
     n1, n2 = F.col("n1"), F.col("n2")
     return out.withColumn("z", (F.col("rank_sum") - n1 * (n1 + n2 + 1) / 2.0) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0))
@@ -119,11 +119,9 @@ def fit(x: str, y: str) -> dict[str, Column]:
 
 def quartiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """q1, median and q3 of each group, between values in proportion. Values are counted first, so that what is sorted
-    and held is the different ones, row by row."""
+    is the different ones; a group's may lie in many tasks."""
     each = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*by)
-    upto = F.sum("__n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = each.withColumns({"__upto": upto, "__all": F.sum("__n").over(w)})
+    ranked = scanned(each, by, [F.col(value)], F.col("__n"), "__upto", "__all")
     out = {}
     for name, share in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
         at = (F.col("__all") - 1) * F.lit(share)

@@ -2,18 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 #: Percent of host below which reads are aligned, percent and reads above which they are classified.
 ALIGN_BELOW, CLASSIFY_ABOVE, CLASSIFY_READS = 10.0, 30.0, 20_000_000
 SURVEY_READS = 100_000
 
 
-def survey(reads: DataFrame, id_col: str, n: int = SURVEY_READS, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` reads (or all): those with the smallest MD5 of seed and id; the same at any partitioning and in other
-    engines. The limit works in each partition first."""
-    return reads.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary")), id_col).limit(n)
+def survey(reads: DataFrame, id_col: str, n: int = SURVEY_READS, seed: int = 42, by: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """Exactly ``n`` reads (or all) of each library ``by``: those with the smallest MD5 of seed and id, ties by id; the same at
+    any partitioning and in other engines. Rows that share an id are reads of their own.
+
+    Libraries are counted, and a limit for the hash lets a little more than ``n`` reads of each through; only those are
+    written, sorted and cut. Should a limit let fewer through, which of 10^9 libraries one would do, all of that library's
+    reads are looked at instead."""
+    spark = reads.sparkSession
+    by, hash_ = list(by), F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"))
+    keys = [F.col(c).alias(f"__{c}") for c in by] or [F.lit(0).alias("__all")]
+    rows = reads.withColumn("__hash", hash_)
+    names = [f"__{c}" for c in by] or ["__all"]
+    sizes = reads.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
+    share = (n + 6 * math.sqrt(n) + 20) / F.col("__size")
+    # Hashes below the limit, by their first 13 digits; libraries that aren't larger have none, and null ids come last.
+    limits = sizes.filter(share < 1).withColumn("__limit", F.lpad(F.lower(F.hex(F.floor(share * 16**13).cast("bigint"))), 13, "0"))
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], F.lit(True))
+    known = rows.join(limits.hint("broadcast") if not by else limits, on, "left")
+    at = scratch(spark)
+    some = known.filter(F.col("__limit").isNull() | (F.substring("__hash", 1, 13) < F.col("__limit"))).drop("__size", "__limit", *names)
+    some.write.parquet(at)
+    some = spark.read.schema(some.schema).parquet(at)
+    got = some.groupBy(*keys).agg(F.count(F.lit(1)).alias("__got"))
+    same = reduce(lambda a, b: a & b, [F.col(f"__{c}").eqNullSafe(F.col(f"__of_{c}")) for c in by], F.lit(True))
+    short = sizes.join(got.select(*[F.col(x).alias(f"__of_{x[2:]}") for x in names], "__got"), same, "left").filter(F.coalesce("__got", F.lit(0)) < F.least("__size", F.lit(n))).select(*names)
+    if not short.isEmpty():
+        off = some.join(short, on, "left_anti") if by else some.limit(0)
+        some = off.unionByName(rows.join(short, on, "left_semi"))
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_last("__hash"), id_col)
+    return some.withColumn("__place", F.row_number().over(w)).filter(F.col("__place") <= n).drop("__hash", "__place")
 
 
 def host_percent(survey: DataFrame, by: list[str], mapped: str) -> DataFrame:

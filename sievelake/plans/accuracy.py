@@ -167,8 +167,20 @@ def survey_route(t: Tables) -> DataFrame:
     return rounded(e.withColumn("backend", route.route(F.col("estimated_host_pct"), F.col("surveyed_reads") * 1_000_000)))
 
 
-@query("SELECT l_orderkey, l_quantity FROM (SELECT l_orderkey, sum(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey) ORDER BY md5('42:' || l_orderkey), l_orderkey LIMIT 100000")
+@query("""
+WITH r AS (SELECT l_returnflag AS library, (l_orderkey * 10 + l_linenumber) * 10 + k AS read_id, k = 0 AND l_quantity < 20 AS mapped FROM lineitem, range(8) AS t(k)),
+s AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY library ORDER BY md5('42:' || read_id), read_id) <= 100000)
+SELECT library, count(*) AS surveyed_reads, count(*) FILTER (WHERE mapped) AS mapped_reads, 100.0 * count(*) FILTER (WHERE mapped) / count(*) AS estimated_host_pct, sum(read_id)::BIGINT AS ids FROM s GROUP BY library""")
 def survey_sample(t: Tables) -> DataFrame:
+    """Of each library 100,000 reads by seeded hash, and the share of host among them."""
+    line = t.lineitem.select(F.col("l_returnflag").alias("library"), "l_orderkey", "l_linenumber", "l_quantity", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    r = line.select("library", ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10 + F.col("k")).alias("read_id"), ((F.col("k") == 0) & (F.col("l_quantity") < 20)).alias("mapped"))
+    drawn = route.survey(r, "read_id", by=["library"])
+    return route.host_percent(drawn, ["library"], "mapped").join(drawn.groupBy("library").agg(F.sum("read_id").alias("ids")), "library")
+
+
+@query("SELECT l_orderkey, l_quantity FROM (SELECT l_orderkey, sum(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey) ORDER BY md5('42:' || l_orderkey), l_orderkey LIMIT 100000")
+def survey_orders(t: Tables) -> DataFrame:
     """A fixed number of orders by seeded hash."""
     return route.survey(t.lineitem.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("l_quantity")), "l_orderkey")
 
