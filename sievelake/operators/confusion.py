@@ -42,6 +42,23 @@ def scored(truth: DataFrame, kept: DataFrame, on: list[str], by: list[str], pola
     return out.withColumns(cols)
 
 
+def scored_runs(truth: DataFrame, kept: DataFrame, on: list[str], by: list[str], run: str, runs: list[str], polarity: str = HOST) -> DataFrame:
+    """:func:`scored` for several runs at once, with a column ``run``: ``kept`` says in it which run kept a key. What all runs kept
+    meets the truth in one join, and one aggregation counts for each of ``runs``, so the truth is read once; where it is
+    bucketed by ``on`` (see :func:`layout.bucketed`) it isn't shuffled. A run that kept nothing is scored too."""
+    hits = kept.filter(F.col(run).isin(runs)).groupBy(*on).agg(F.collect_set(run).alias("__runs"))
+    both, host = truth.join(hits, on, "left"), F.col("is_host")
+    hit = lambda r: F.coalesce(F.array_contains("__runs", r), F.lit(False))
+    each = F.array(*[F.struct(F.lit(r).alias(run), F.count_if(host & hit(r)).alias("hk"), F.count_if(~host & hit(r)).alias("mk")) for r in runs])
+    counts = both.groupBy(*by).agg(F.count_if(host).alias("__host"), F.count_if(~host).alias("__other"), each.alias("__each"))
+    c = counts.select(*by, "__host", "__other", F.inline("__each"))
+    named = {"tp": F.col("__host") - F.col("hk"), "fp": F.col("__other") - F.col("mk"), "tn": F.col("mk"), "fn": F.col("hk")}
+    if polarity == KEPT:
+        named = {"tp": named["tn"], "fp": named["fn"], "tn": named["tp"], "fn": named["fp"]}
+    out = c.select(run, *by, *[v.alias(k) for k, v in named.items()]).withColumns(metrics(empty_f1_is_one=polarity == KEPT))
+    return out.withColumns(rates() | {"total_reads": F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")}) if polarity == HOST else out
+
+
 def inverted(truth: DataFrame, kept: DataFrame, on: list[str], by: list[str]) -> DataFrame:
     """Kept reads scored as if they had been removed, for comparison with results made that way; rates are of
     all reads."""

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import norm_id
 from ..functions.metrics import HOST, KEPT, with_polarity
 from ..operators import confusion as c
-from ..operators import integrate, route
+from ..operators import integrate, route, stages
+from ..session import scratch
+from ..sources import layout
 from .registry import Tables, query
 
 KEPT_CHARS = 1000
@@ -211,3 +216,50 @@ def resume_plan(t: Tables) -> DataFrame:
     seen = F.max(F.when(F.col("doc_id") % 3 > 0, F.col("n_chars")))
     state = g.agg(F.when(F.min("n_chars") > 50, 3).otherwise(1).alias("stage"), seen.alias("size")).withColumn("fingerprint", mark).drop("size")
     return route.resumable(plan, state, ["lang", "source"]).drop("fingerprint")
+
+
+_TOOLS = {"long": "d.n_chars >= 1000", "mid": "d.n_chars >= 500", "even": "d.doc_id % 2 = 0", "none": "false"}
+
+
+@query("WITH m AS (" + " UNION ALL ".join(f"""
+SELECT '{name}' AS tool, d.lang, count(*) FILTER (WHERE l.quality = 0 AND NOT {rule}) AS tp, count(*) FILTER (WHERE l.quality <> 0 AND NOT {rule}) AS fp,
+  count(*) FILTER (WHERE l.quality <> 0 AND {rule}) AS tn, count(*) FILTER (WHERE l.quality = 0 AND {rule}) AS fn FROM labels l JOIN documents d USING (doc_id) WHERE l.quality IS NOT NULL GROUP BY d.lang""" for name, rule in _TOOLS.items()) + ") " + metric_sql().replace("SELECT lang", "SELECT tool, lang"))
+def scored_tools(t: Tables) -> DataFrame:
+    """Four tools, one of which kept nothing, against one stored truth that each of them leaves where it is."""
+    stored = layout.bucketed(truth(t), ["doc_id"])
+    d = t.documents.alias("d")
+    kept_by = [d.filter(rule).select("doc_id", F.lit(name).alias("tool")) for name, rule in _TOOLS.items()]
+    return rounded(c.scored_runs(stored, reduce(DataFrame.unionByName, kept_by), ["doc_id"], ["lang"], "tool", list(_TOOLS), HOST))
+
+
+@query("""
+WITH s AS (SELECT o_orderpriority || o_orderstatus AS sample, count(*) AS reads, count(*) FILTER (WHERE o_totalprice > 150000) AS kept, sum(o_custkey)::BIGINT AS mark FROM orders GROUP BY ALL)
+SELECT sample, CASE WHEN kept * 2 < reads THEN 'Failed' ELSE 'Completed' END AS status, CASE WHEN starts_with(sample, '2') THEN 6 ELSE 3 END AS runs,
+  round((reads - kept)::DOUBLE / reads, 6) AS removed, reads::DOUBLE + CASE WHEN starts_with(sample, '2') THEN 1 ELSE 0 END AS reads FROM s""")
+def stages_resumed(t: Tables) -> DataFrame:
+    """Samples brought through three stages: the first run is cut off in the second stage, the second run does what is left, a third
+    nothing, and a fourth all stages of samples whose input has changed."""
+    g = t.orders.groupBy(F.concat("o_orderpriority", "o_orderstatus").alias("sample"))
+    facts = g.agg(F.count(F.lit(1)).alias("reads"), F.count_if(F.col("o_totalprice") > 150_000).alias("kept"), F.sum("o_custkey").alias("mark"))
+    state = stages.State(t.spark, scratch(t.spark), "sample string")
+    plan = facts.select("sample", route.fingerprint("sample", "reads", "mark").alias("fingerprint"))
+
+    def step(metric: str, value, ok=F.lit(True)):
+        return lambda left: left.join(facts, "sample").select("sample", ok.alias("ok"), F.create_map(F.lit(metric), value.cast("double")).alias("metrics"))
+
+    def cut_off(left: DataFrame) -> DataFrame:
+        raise InterruptedError
+
+    removed = (F.col("reads") - F.col("kept")) / F.col("reads")
+    steps = [("FastpComplete", step("reads", F.col("reads"))), ("DepletionComplete", step("removed", removed)), ("Completed", step("kept", F.col("kept"), F.col("kept") * 2 >= F.col("reads")))]
+    with suppress(InterruptedError):
+        stages.run(state, plan, [steps[0], ("DepletionComplete", cut_off)])
+    stages.run(state, plan, steps)
+    before = state.version()
+    stages.run(state, plan, steps)
+    if state.version() != before:
+        raise AssertionError("a run with nothing to do wrote a version")
+    changed = plan.withColumn("fingerprint", F.when(F.col("sample").startswith("2"), F.col("fingerprint") + 1).otherwise(F.col("fingerprint")))
+    again = [("FastpComplete", step("reads", F.col("reads") + 1)), *steps[1:]]
+    out = stages.run(state, changed, again)
+    return out.select("sample", "status", "runs", F.round(F.col("metrics")["removed"], 6).alias("removed"), F.col("metrics")["reads"].alias("reads"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import confusion, ecology, generate, integrate, performance, route, select
 from ..session import scratch
-from ..sources import readers, sinks
+from ..sources import layout, readers, sinks
 from .accuracy import rounded
 from .registry import Tables, query
 
@@ -357,6 +357,18 @@ def replaced_rows(t: Tables) -> DataFrame:
     return t.spark.read.parquet(to)
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 'new' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 50 > 0 OR o_orderkey % 100 = 0 UNION ALL SELECT -1, 'added', 1.5")
+def replaced_orders(t: Tables) -> DataFrame:
+    """Rows replaced in place, twice, and one added; then the table without those that a second list has as gone."""
+    at = scratch(t.spark)
+    o = t.orders.select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    layout.keyed(o, at, ["o_orderkey"])
+    new = o.filter("o_orderkey % 50 = 0").withColumn("o_orderstatus", F.lit("new")).unionByName(t.spark.createDataFrame([(-1, "added", 1.5)], "o_orderkey long, o_orderstatus string, o_totalprice double"))
+    for _ in range(2):
+        layout.replace_in_place(new, at, ["o_orderkey"])
+    return layout.keyed_table(t.spark, at).filter("o_orderkey % 100 <> 50")
+
+
 @query("""
 WITH r AS (SELECT '| ' || r_regionkey || ' | ' || replace(r_name, 'A', '\\|') || ' | N/A |' AS line FROM region)
 SELECT '| r_regionkey | name | note |' AS line UNION ALL SELECT '| --- | --- | --- |' UNION ALL SELECT line FROM r""")

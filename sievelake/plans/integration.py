@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
-from ..operators import generate, host_index, integrate, reads, route
+from ..operators import generate, host_index, integrate, reads, route, sensor
 from ..sources import sinks
 from ..streaming.windows import windowed
 from .accuracy import rounded
@@ -203,6 +203,43 @@ def _as_reads(t: Tables) -> tuple[DataFrame, DataFrame]:
     return t.documents.select("doc_id", bases.alias("seq")), t.benchmark.select(bases.alias("seq"))
 
 
+# Different k-mers of 31 letters with their numbers of two bits a letter, hashed as the sensor does; a 200th of them.
+_SKETCH = """
+  (SELECT *, (xor(x, x >> 31)::HUGEINT * 11400714819323198485) % 18446744073709551616 AS h FROM (
+    SELECT {id}, n, list_reduce(list_transform(string_split(translate(z, 'ACGT', '0123'), ''), lambda c: c::UBIGINT), lambda a, b: a * 4 + b) AS x FROM (
+      SELECT {id}, count(*) AS n, least(substr(r, i, 31), translate(reverse(substr(r, i, 31)), 'ACGT', 'TGCA')) AS z
+      FROM (SELECT {id}, r, unnest(range(1, length(r) - 29)) AS i FROM (SELECT {id}, substr(r, a + 1, 512 + 30) AS r FROM (SELECT {id}, r, unnest(range(0, length(r) - 30, 512)) AS a
+        FROM (SELECT {id}, unnest(regexp_extract_all(translate(lower(text), '""" + f"{_LETTERS}', '{_BASES}" + """'), '[ACGT]{{31,}}')) AS r FROM {table})))) GROUP BY ALL))
+  WHERE h < 18446744073709551616 // 200)"""
+_SENSED = f"""
+WITH m AS {_SKETCH.format(id="source", table="documents")}, h AS (SELECT DISTINCT h FROM {_SKETCH.format(id="item_id", table="benchmark")}),
+c AS (SELECT source, count(*) AS sketched, count(*) FILTER (WHERE h IN (SELECT h FROM h)) AS shared, coalesce(sum(n) FILTER (WHERE h IN (SELECT h FROM h)), 0) AS times FROM m GROUP BY source),
+s AS (SELECT d.source, coalesce(sketched, 0) AS sketched, coalesce(shared, 0) AS shared, coalesce(shared, 0)::DOUBLE / (SELECT count(*) FROM h) AS containment, coalesce(times::DOUBLE / nullif(shared, 0), 0) AS depth
+  FROM (SELECT DISTINCT source FROM documents) d LEFT JOIN c ON c.source IS NOT DISTINCT FROM d.source)"""
+
+
+def _as_samples(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Sources as samples, and what may be in them, as bases."""
+    bases = F.translate(F.lower("text"), _LETTERS, _BASES)
+    return t.documents.select("source", bases.alias("seq")), t.benchmark.select(bases.alias("seq"))
+
+
+@query(f"{_SENSED} SELECT source, sketched, shared, round(containment, 6) AS containment, round(pow(containment, 1.0 / 31), 6) AS ani, round(depth, 6) AS depth, pow(containment, 1.0 / 31) >= 0.95 AS positive FROM s")
+def sample_sensor(t: Tables) -> DataFrame:
+    """What share of the host's sketch each sample has."""
+    return rounded(sensor.sensed(*_as_samples(t), "source"))
+
+
+@query(f"{_SENSED} SELECT d.source, count(*) AS n, pow(any_value(containment), 1.0 / 31) < 0.9 AS skipped FROM documents d JOIN s ON s.source IS NOT DISTINCT FROM d.source GROUP BY d.source")
+def sensed_prefilter(t: Tables) -> DataFrame:
+    """Samples in which the sensor finds no host skip its removal."""
+    found = sensor.sensed(*_as_samples(t), "source", least_ani=0.9)
+    sizes = t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    need, skip = route.host_negative(sizes.filter("source IS NOT NULL"), found.filter("NOT positive"), ["source"])
+    nameless = sizes.filter("source IS NULL").crossJoin(F.broadcast(found.filter("source IS NULL").select((~F.col("positive")).alias("skipped"))))
+    return need.withColumn("skipped", F.lit(False)).unionByName(skip.withColumn("skipped", F.lit(True))).unionByName(nameless)
+
+
 @query(f"{_GROUPS} SELECT doc_id, hits, kmers FROM r WHERE hits >= 2")
 def kmer_classification(t: Tables) -> DataFrame:
     return reads.classified(*_as_reads(t), "doc_id")
