@@ -34,7 +34,7 @@ from .prefix_bpe import TOKENIZER, byte_of
 
 PIECES = "piece_bpe_32k.model"
 #: Bytes of text, and different chunks, that a block is meant to have; places of a chunk that one row lists at most.
-BLOCK_BYTES, BLOCK_KINDS, PLACES = 64 << 20, 1 << 20, 4096
+BLOCK_BYTES, BLOCK_KINDS, PLACES = 48 << 20, 3 << 18, 4096
 _CUT = re.compile(r"(?<! ) (?=\S)")
 _MARK = "▁"
 
@@ -150,6 +150,8 @@ def _numbered(a_path: str, b_path: str):
                 yield from listed(block, numbers, counts)
                 block, numbers, counts = block + 1, _Numbers(), np.zeros(1 << 16, np.int64)
         yield from listed(block, numbers, counts)
+        numbers.clear()
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -251,7 +253,7 @@ def _lifted(digest: bool):
         return pa.RecordBatch.from_arrays([t.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:-1]), pa.array(columns[-1], pa.string())], names=["doc_id", *_VALUES, "groups"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, parts, known = None, [], None
+        block, known, chunked = None, None, _Block()
         for batch in batches:
             blocks = batch.column("block").to_numpy()
             edges = np.flatnonzero(np.diff(blocks)) + 1
@@ -260,21 +262,43 @@ def _lifted(digest: bool):
                 if not len(t):
                     continue
                 if blocks[x] != block:
-                    block, parts, known = blocks[x], [], None
+                    block, known, chunked = blocks[x], None, _Block()
                 n = len(t) - t.column("k").null_count
                 if n:
-                    parts.append(t.select([*_VALUES, "groups"]).slice(0, n))
+                    chunked.add(t.slice(0, n))
                 if n < len(t):
                     if known is None:
-                        whole, parts = pa.Table.from_batches(parts, parts[0].schema if parts else batch.select([*_VALUES, "groups"]).schema), []
-                        values = [whole.column(c).to_numpy() for c in _VALUES]
-                        known = values, pa.concat_arrays([c.cast(pa.large_string()) for c in whole.column("groups").chunks] or [pa.array([], pa.large_string())])
-                        del whole
+                        known, chunked = chunked.whole(), _Block()
                     yield of(*known, t.slice(n))
+        del known, chunked
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
+class _Block:
+    """What the tokens of a block's chunks give, copied out of batches as they come: no batch is held."""
+
+    def __init__(self):
+        self.values: list[list[np.ndarray]] = [[] for _ in _VALUES]
+        self.sizes: list[np.ndarray] = []
+        self.texts: list[bytes] = []
+
+    def add(self, t: pa.RecordBatch) -> None:
+        for to, name in zip(self.values, _VALUES, strict=True):
+            to.append(t.column(name).to_numpy().copy())
+        g = t.column("groups")
+        at = np.frombuffer(g.buffers()[1], np.int32)[g.offset : g.offset + len(g) + 1]
+        self.sizes.append(np.diff(at))
+        self.texts.append(g.buffers()[2][int(at[0]) : int(at[-1])].to_pybytes())
+
+    def whole(self) -> tuple[list[np.ndarray], pa.Array]:
+        """All values by number of the chunk, and all groups."""
+        values = [np.concatenate(v or [np.zeros(0, np.int64)]) for v in self.values]
+        offsets = np.concatenate([[0], *self.sizes]).astype(np.int64).cumsum()
+        return values, pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(b"".join(self.texts)))
+
+
 def _aligned(docs: DataFrame, id_col: str, text_col: str, a_path: str | None, b_path: str | None, digest: bool) -> DataFrame:
     spark = docs.sparkSession
     a_path, b_path = a_path or bpe.public_path(TOKENIZER), b_path or bpe.public_path(PIECES)
