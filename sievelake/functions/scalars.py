@@ -160,6 +160,12 @@ def comparable(a: Column, b: Column, within: float = 0.01) -> Column:
     return F.when(F.abs(a - b) < within, "comparable").when(a.isNotNull() & b.isNotNull(), "different")
 
 
+def truth(c: Column) -> Column:
+    """A boolean that may have come as text, in any case of letters and with blanks around it; NULL for what is neither true nor
+    false. (Text that says false isn't true.)"""
+    return F.trim(c.cast("string")).try_cast("boolean")
+
+
 def verdict(a: Column, b: Column, names: tuple[str, str], within: float = 0.01) -> dict[str, Column]:
     """The gap of two scores, and which of two tools is better; NULL unless both are above 0."""
     both = (a > 0) & (b > 0)

@@ -5,20 +5,26 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import split_counts
 
 
-def grid(spark: SparkSession, lines: list[str]) -> DataFrame:
+def grid(lines: DataFrame, value: str = "value") -> DataFrame:
     """``name:reads:host:complexity:abundance:mode`` lines as rows; repeated lines count once."""
-    p = F.split("value", ":")
-    return spark.createDataFrame([(x,) for x in lines], "value string").select(
+    p = F.split(value, ":")
+    return lines.select(
         p[0].alias("name"), p[1].cast("bigint").alias("total_reads"), p[2].cast("double").alias("host_frac"), p[3].alias("complexity"), p[4].alias("abundance"), p[5].alias("mode")
     ).distinct()
 
 
+def digits(*of: Column | int) -> Column:
+    """52 bits of the MD5 of values, which other engines can make too."""
+    text = F.concat_ws(":", *[F.lit(x).cast("string") if isinstance(x, int) else x.cast("string") for x in of])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("bigint")
+
+
 def weight(kind: str, k: Column, n: Column, seed: int = 42) -> Column:
     """The unnormalised share of species ``k`` (from 1) of ``n``: even, skewed (the first has half), powerlaw
     (exponent 1.5), or lognormal(0, 2), also for other names."""
@@ -29,7 +35,7 @@ def weight(kind: str, k: Column, n: Column, seed: int = 42) -> Column:
     if kind == "powerlaw":
         return F.pow(k.cast("double"), F.lit(-1.5))
     # Two uniform numbers of the species' number and the seed make a normal one, wherever the row lies.
-    u, v = (F.pmod(F.xxhash64(k.cast("bigint"), F.lit(seed), F.lit(part)), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52)) for part in (0, 1))
+    u, v = (digits(seed, part, k).cast("double") / F.lit(float(1 << 52)) for part in (0, 1))
     return F.exp(F.lit(2.0) * F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u)) * F.cos(F.lit(2 * math.pi) * v))
 
 
@@ -45,15 +51,15 @@ def plan_reads(datasets: DataFrame, total: str = "total_reads", host: str = "hos
     return datasets.withColumn("host_reads", h).withColumn("microbial_reads", m)
 
 
-def reads(spark: SparkSession, n: int, genomes: DataFrame, length: int = 150, seed: int = 42, parts: int | None = None) -> DataFrame:
-    """``n`` labelled reads cut out of reference sequences: read_id, label, seq, qual. ``genomes`` (g: 0, 1, ...;
-    label; seq) is small next to the reads; place and genome of a read come from seeded hashes of its number."""
+def reads(items: DataFrame, id_col: str, genomes: DataFrame, length: int = 150, seed: int = 42) -> DataFrame:
+    """A labelled read for each row of ``items``, cut out of one of the ``genomes`` (g: 0, 1, ...; label; seq): read_id, label,
+    seq, qual. Which genome and what place follow from seeded hashes of the read's id, wherever its row lies; of a genome that
+    is shorter than a read all is taken."""
     count = genomes.count()
-    ids = spark.range(0, n, 1, parts) if parts else spark.range(n)
-    at = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.greatest(F.length("seq") - length + 1, F.lit(1)))
+    where = items.select(F.col(id_col).alias("id")).withColumn("g", F.pmod(digits(seed, 0, F.col("id")), F.lit(count)))
+    at = F.pmod(digits(seed, 1, F.col("id")), F.greatest(F.length("seq") - length + 1, F.lit(1)))
     return (
-        ids.withColumn("g", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(count)).cast("int")).join(genomes.withColumn("g", F.col("g").cast("int")), "g")
-        .withColumn("seq", F.substring(F.col("seq"), at.cast("int") + 1, F.lit(length)))
+        where.join(genomes.withColumn("g", F.col("g").cast("bigint")), "g").withColumn("seq", F.substring(F.col("seq"), (at + 1).cast("int"), F.lit(length)))
         .select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("read_id"), "label", "seq", F.repeat(F.lit("I"), F.length("seq")).alias("qual"))
     )
 

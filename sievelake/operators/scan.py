@@ -32,3 +32,9 @@ def scanned(df: DataFrame, by: list[str], order: list[Column], amount: Column, u
         on &= F.col(c).eqNullSafe(F.col(f"__{c}"))
     out = local.join(F.broadcast(more), on, "left")
     return out.withColumns({upto: F.col(upto) + F.coalesce("__before", F.col(upto) * 0), whole: F.coalesce("__whole", whole)}).drop("__amount", "__range", "__whole", "__r", "__before", *[f"__{c}" for c in by])
+
+
+def numbered(df: DataFrame, order: list[Column], place: str = "place", by: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """``df`` with each row's place from 1 in the order of all rows (or of its group's), which no one task sorts; ``order`` leaves
+    no ties."""
+    return scanned(df, by or [], order, F.lit(1).cast("bigint"), place, "__of", partitions).drop("__of")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..functions.metrics import HOST
-from ..operators import confusion, ecology, generate, integrate, performance as p, reads, route, select
+from ..operators import confusion, ecology, generate, integrate, performance as p, reads, route, scan, select
 from .accuracy import rounded
 from .registry import Tables, query
 
@@ -75,6 +75,17 @@ def missing_values(t: Tables) -> DataFrame:
     return t.events.select("event_id", s.seconds(v).alias("seconds"), s.number(v).alias("number"), s.text2(s.seconds(v)).alias("two"))
 
 
+@query("""
+WITH b AS (SELECT l_returnflag AS mode, CASE l_linenumber % 5 WHEN 0 THEN NULL WHEN 1 THEN l_quantity > 25 WHEN 2 THEN NULL WHEN 3 THEN l_quantity > 10 ELSE false END AS ok FROM lineitem)
+SELECT mode, count(*) AS n, count(ok) AS known, count(*) FILTER (WHERE ok) AS correct, round(avg(ok::INT), 6) AS share FROM b GROUP BY mode""")
+def branch_correct_strings(t: Tables) -> DataFrame:
+    """Choices that come as text, in any case, and some that aren't known: these count neither way."""
+    k, q = F.col("l_linenumber") % 5, F.col("l_quantity")
+    text = F.when(k == 0, "").when(k == 1, F.when(q > 25, " True").otherwise("False ")).when(k == 2, "unknown").when(k == 3, F.when(q > 10, "TRUE").otherwise("0")).otherwise("no")
+    ok = s.truth(text)
+    return rounded(t.lineitem.select(F.col("l_returnflag").alias("mode"), ok.alias("ok")).groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.count("ok").alias("known"), F.count_if("ok").alias("correct"), F.avg(F.col("ok").cast("int")).alias("share")))
+
+
 @query("SELECT event_id FROM events WHERE value IS NOT NULL AND event_id % 3 > 0")
 def rows_without_nulls(t: Tables) -> DataFrame:
     return t.events.select("event_id", "value", F.when(F.col("event_id") % 3 > 0, 1).alias("k")).na.drop(subset=["value", "k"]).select("event_id")
@@ -120,35 +131,33 @@ def generation_sizes(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.round(s.coverage(1000.0 * F.col("p_size"), (k % 10) / F.lit(9), F.lit(150), F.lit(1e12)), 9).alias("depth"), s.species_count(kind).alias("species"))
 
 
-_LINES = ["30M_50pct:30000000:0.50:high:lognormal:SE", "20M_50pct:20000000:0.50:high:lognormal:PE", "20M_50pct:20000000:0.50:high:lognormal:PE", "5M_0pct:5000000:0.00:low:even:SE", "5M_100pct:5000000:1.00:low:even:SE"]
-
-
-@query("SELECT * FROM (VALUES ('50%', 2::BIGINT), ('0%', 1::BIGINT), ('100%', 1::BIGINT)) AS v(host, datasets)")
+@query("""
+WITH g AS (SELECT DISTINCT p_size, p_partkey % 4 AS h, p_size * 1000000 AS reads, CASE p_partkey % 4 WHEN 0 THEN 'SE' ELSE 'PE' END AS mode FROM part)
+SELECT (h * 25) || '%' AS host, count(*) AS datasets FROM g GROUP BY h""")
 def dataset_grid(t: Tables) -> DataFrame:
-    """Lines of a grid, one of them twice, by their share of host."""
-    return generate.by_host_share(generate.grid(t.spark, _LINES))
+    """Lines of a grid, many of them repeated, by their share of host."""
+    h = F.col("p_partkey") % 4
+    line = F.concat_ws(":", F.concat(F.lit("d"), F.col("p_size").cast("string")), (F.col("p_size") * 1_000_000).cast("string"), F.format_string("%.2f", h * 0.25), F.lit("high"), F.lit("lognormal"), F.when(h == 0, "SE").otherwise("PE"))
+    return generate.by_host_share(generate.grid(t.part.select(line.alias("value"))))
 
 
-@query("SELECT count(*) AS species, count(*) AS again, 1.0::DOUBLE AS total, true AS positive, true AS spread FROM part")
+@query("""
+WITH u AS (SELECT p_brand, p_partkey, ('0x' || substr(md5('42:0:' || p_partkey), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u, ('0x' || substr(md5('42:1:' || p_partkey), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS v FROM part),
+w AS (SELECT p_brand, p_partkey, exp(2.0::DOUBLE * sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - u)) * cos(2 * pi() * v)) AS w FROM u)
+SELECT p_brand, p_partkey, round(w / sum(w) OVER (PARTITION BY p_brand), 9) AS fraction FROM w""")
 def lognormal_profile(t: Tables) -> DataFrame:
-    """Shares sum to 1, and are the same however rows lie."""
-    from pyspark.sql import Window
-
-    k = t.part.select(F.lit(1).alias("g"), F.row_number().over(Window.orderBy("p_partkey")).alias("k"))
-    one, two = generate.abundance(k, ["g"], "k"), generate.abundance(k.repartition(7), ["g"], "k").withColumnRenamed("fraction", "other")
-    both = one.join(two, ["g", "k"])
-    return both.agg(F.count(F.lit(1)).alias("species"), F.count_if(F.abs(F.col("fraction") - F.col("other")) < 1e-12).alias("again"), F.round(F.sum("fraction"), 9).alias("total"), (F.min("fraction") > 0).alias("positive"), (F.max("fraction") > 10 * F.min("fraction")).alias("spread"))
+    """Shares drawn by a seeded hash: the same however rows lie, and in other engines."""
+    return rounded(generate.abundance(t.part.select("p_brand", "p_partkey"), ["p_brand"], "p_partkey"), 9)
 
 
-@query("SELECT 10 * count(*) AS reads, true AS inside, 100 AS length FROM benchmark WHERE length(text) >= 100")
+@query("""
+WITH h AS (SELECT o_orderkey AS id, ('0x' || substr(md5('42:0:' || o_orderkey), 1, 13))::BIGINT AS a, ('0x' || substr(md5('42:1:' || o_orderkey), 1, 13))::BIGINT AS b FROM orders)
+SELECT 'r' || id AS read_id, 'i' || item_id AS label, substr(text, (b % greatest(length(text) - 99, 1) + 1)::INT, 100) AS seq, repeat('I', least(100, length(text))::INT) AS qual
+FROM h JOIN benchmark ON item_id = a % (SELECT count(*) FROM benchmark)""")
 def simulated_reads(t: Tables) -> DataFrame:
-    """Reads cut out of references: each is a part of its own, and as many as asked for."""
-    from pyspark.sql import Window
-
-    refs = t.benchmark.filter("length(text) >= 100").select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("g"), F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("label"), F.col("text").alias("seq"))
-    made = generate.reads(t.spark, 10 * refs.count(), refs, 100)
-    both = made.join(refs.select("label", F.col("seq").alias("of")), "label")
-    return both.agg(F.count(F.lit(1)).alias("reads"), F.bool_and(F.col("of").contains(F.col("seq"))).alias("inside"), F.max(F.length("seq")).cast("int").alias("length"))
+    """Reads cut out of references, one for each order, at places that a seeded hash of its key tells."""
+    refs = t.benchmark.select(F.col("item_id").alias("g"), F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("label"), F.col("text").alias("seq"))
+    return generate.reads(t.orders, "o_orderkey", refs, 100)
 
 
 @query("""
@@ -191,15 +200,15 @@ def mean_diversity(t: Tables) -> DataFrame:
 
 @query("SELECT row_number() OVER (ORDER BY v, k)::BIGINT AS place, k FROM (SELECT DISTINCT p_brand AS k, min(p_size) AS v FROM part GROUP BY ALL)")
 def sorted_distinct(t: Tables) -> DataFrame:
-    """Distinct values in the order of a metric, numbered as they come."""
-    rows = t.part.groupBy(F.col("p_brand").alias("k")).agg(F.min("p_size").alias("v")).distinct().orderBy("v", "k").coalesce(1)
-    return rows.select((F.monotonically_increasing_id() + 1).alias("place"), "k")
+    """Distinct values in the order of a metric, numbered by ranges of it."""
+    rows = t.part.groupBy(F.col("p_brand").alias("k")).agg(F.min("p_size").alias("v"))
+    return scan.numbered(rows, [F.col("v"), F.col("k")]).select("place", "k")
 
 
 @query("SELECT row_number() OVER (ORDER BY s, h)::BIGINT AS place, s, h FROM (SELECT DISTINCT p_size AS s, p_partkey % 10 AS h FROM part)")
 def sorted_by_reads_and_host(t: Tables) -> DataFrame:
-    rows = t.part.select(F.col("p_size").alias("s"), (F.col("p_partkey") % 10).alias("h")).distinct().orderBy("s", "h").coalesce(1)
-    return rows.select((F.monotonically_increasing_id() + 1).alias("place"), "s", "h")
+    rows = t.part.select(F.col("p_size").alias("s"), (F.col("p_partkey") % 10).alias("h")).distinct()
+    return scan.numbered(rows, [F.col("s"), F.col("h")]).select("place", "s", "h")
 
 
 @query("""

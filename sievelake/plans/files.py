@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import confusion, ecology, generate, integrate, performance, route, select
+from ..operators import confusion, ecology, generate, integrate, performance, route, scan, select
 from ..session import scratch
 from ..sources import layout, readers, sinks
 from .accuracy import rounded
@@ -91,9 +91,9 @@ def fastq_ids_all_files(t: Tables) -> DataFrame:
 
 @query("SELECT '@o' || o_orderkey || '#0/1 run' || o_orderkey AS header, 'ACGT' || o_orderkey AS seq, '+' AS plus, '@+' || o_orderkey AS qual, count(*) OVER () AS n FROM orders")
 def fastq_records(t: Tables) -> DataFrame:
-    """Whole records, of files that Spark splits anywhere; a record's index is its place in its file."""
-    out = readers.fastq(t.spark, text(fastq_text(t).coalesce(1), F.col("value")), ids_only=False)
-    n = out.agg((F.max("index") + 1).alias("n"))
+    """Whole records, of files that are split anywhere; a record's index is its place in its file."""
+    out = readers.fastq(t.spark, text(fastq_text(t), F.col("value")), ids_only=False)
+    n = out.groupBy("path").agg((F.max("index") + 1).alias("n")).agg(F.sum("n").alias("n"))
     return out.select("header", "seq", "plus", "qual").crossJoin(F.broadcast(n))
 
 
@@ -133,8 +133,8 @@ def labels_folded(t: Tables) -> DataFrame:
 
 @query("SELECT 'c' || conv_id AS read_id, arg_max(role, (turn, text, role)) AS label FROM conversations GROUP BY conv_id")
 def labels_last_line(t: Tables) -> DataFrame:
-    """The last line of a read decides, by its number in the file."""
-    rows = t.conversations.select("conv_id", "turn", "text", "role").coalesce(1).sortWithinPartitions("turn", "text", "role")
+    """The last line of a read decides, by its number in the file; all lines of a read are in one."""
+    rows = t.conversations.select("conv_id", "turn", "text", "role").repartition("conv_id").sortWithinPartitions("turn", "text", "role")
     at = text(rows, F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("\t"), "role"))
     return confusion.last_label(readers.labels(t.spark, at), ["read_id"])
 
@@ -239,7 +239,7 @@ _CONTIGS = "SELECT 'c' || l_orderkey AS contig_id, sum(l_linenumber * 10)::BIGIN
 def _contigs(t: Tables) -> DataFrame:
     """A contig an order, a line of bases an order line."""
     bases = t.lineitem.groupBy("l_orderkey").agg(F.concat_ws("\n", F.collect_list(F.repeat(F.lit("ACGTACGTAC"), F.col("l_linenumber").cast("int")))).alias("b"))
-    return readers.fasta(t.spark, text(bases.coalesce(1), F.concat(F.lit(">c"), F.col("l_orderkey").cast("string"), F.lit(" flag=1\n"), "b")))
+    return readers.fasta(t.spark, text(bases, F.concat(F.lit(">c"), F.col("l_orderkey").cast("string"), F.lit(" flag=1\n"), "b")))
 
 
 @query(_CONTIGS)
@@ -249,7 +249,7 @@ def fasta_lengths(t: Tables) -> DataFrame:
 
 @query(f"WITH c AS ({_CONTIGS}) SELECT count(*) AS contigs, sum(length)::BIGINT AS total, max(length) AS longest FROM c")
 def fasta_total(t: Tables) -> DataFrame:
-    return ecology.lengths(_contigs(t), ["path"], "length").select("contigs", "total", "longest")
+    return ecology.lengths(_contigs(t), [], "length").select("contigs", "total", "longest")
 
 
 @query("SELECT 'g' || n_regionkey || '_' || n_nationkey AS contig_id, 4::BIGINT AS length FROM nation")
@@ -264,13 +264,11 @@ def fasta_merged(t: Tables) -> DataFrame:
 
 @query("SELECT row_number() OVER (ORDER BY n_nationkey)::BIGINT AS place, n_name AS sample, 'r1_' || n_nationkey AS r1, CASE WHEN n_nationkey % 2 = 0 THEN 'r2' END AS r2 FROM nation")
 def manifest_lines(t: Tables) -> DataFrame:
-    """Comments and blank lines are skipped; the order of lines stays."""
-    from pyspark.sql import Window
-
+    """Comments and blank lines are skipped; the order of files and lines stays."""
     k = F.col("n_nationkey").cast("string")
     line = F.concat(F.lit("# note\n\n  "), F.col("n_name"), F.lit("\t r1_"), k, F.when(F.col("n_nationkey") % 2 == 0, "  r2").otherwise(""))
-    out = readers.manifest(t.spark, text(t.nation.coalesce(1).sortWithinPartitions("n_nationkey"), line))
-    return out.select(F.row_number().over(Window.orderBy("line_no")).cast("bigint").alias("place"), "sample", "r1", "r2")
+    out = readers.manifest(t.spark, text(t.nation.repartitionByRange(3, "n_nationkey").sortWithinPartitions("n_nationkey"), line))
+    return scan.numbered(out, [F.col("path"), F.col("line_no")]).select("place", "sample", "r1", "r2")
 
 
 def _tree(t: Tables) -> DataFrame:
@@ -369,12 +367,37 @@ def replaced_orders(t: Tables) -> DataFrame:
     return layout.keyed_table(t.spark, at).filter("o_orderkey % 100 <> 50")
 
 
+@query("""
+WITH r AS (SELECT n_nationkey, '| ' || n_nationkey || ' | ' || replace(n_name, 'A', '\\|') || ' | N/A |' AS line FROM nation),
+o AS (SELECT o_orderkey, '| ' || o_orderkey || ' | ' || o_orderstatus || ' |' AS line FROM orders),
+l AS (SELECT 1 AS section, 1 AS place, '## Nations' AS line UNION ALL SELECT 1, 2, '' UNION ALL SELECT 1, 3, '| n_nationkey | name | note |' UNION ALL SELECT 1, 4, '| --- | --- | --- |'
+  UNION ALL SELECT 1, 4 + row_number() OVER (ORDER BY n_nationkey), line FROM r
+  UNION ALL SELECT 2, 1, '## Orders' UNION ALL SELECT 2, 2, '' UNION ALL SELECT 2, 3, '| o_orderkey | status |' UNION ALL SELECT 2, 4, '| --- | --- |'
+  UNION ALL SELECT 2, 4 + row_number() OVER (ORDER BY o_orderkey), line FROM o
+  UNION ALL SELECT 3, 1, '## Nothing' UNION ALL SELECT 3, 2, '' UNION ALL SELECT 3, 3, '| x |' UNION ALL SELECT 3, 4, '| --- |')
+SELECT section::INT AS section, place::BIGINT AS place, line FROM l""")
+def markdown_report(t: Tables) -> DataFrame:
+    """A report of three tables, one long and one empty, written and read again."""
+    nations = t.nation.select("n_nationkey", F.regexp_replace("n_name", "A", "|").alias("name"), F.lit(None).cast("string").alias("note"))
+    orders = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    at = scratch(t.spark)
+    sinks.report([("Nations", nations, ["n_nationkey"]), ("Orders", orders, ["o_orderkey"]), ("Nothing", t.region.filter("false").select(F.lit(1).alias("x")), ["x"])], at)
+    lines = readers.lines(t.spark, at).withColumn("line", F.col("value").cast("string"))
+    n = scan.numbered(lines, [F.col("path"), F.col("line_no")])
+    heads = n.filter("startswith(line, '## ')").select("place", F.array_position(F.array(*map(F.lit, ("## Nations", "## Orders", "## Nothing"))), F.col("line")).cast("int").alias("section"))
+    starts = sorted((r.place, r.section) for r in heads.collect())  # one a table
+    pick = F
+    for place, section in starts[::-1]:
+        pick = pick.when(F.col("place") >= place, F.struct(F.lit(section).alias("section"), (F.col("place") - (place - 1)).alias("place")))
+    return n.select(pick.alias("p"), "line").select("p.section", "p.place", "line")
+
+
 @query("""
 WITH r AS (SELECT '| ' || r_regionkey || ' | ' || replace(r_name, 'A', '\\|') || ' | N/A |' AS line FROM region)
 SELECT '| r_regionkey | name | note |' AS line UNION ALL SELECT '| --- | --- | --- |' UNION ALL SELECT line FROM r""")
 def markdown_table(t: Tables) -> DataFrame:
     df = t.region.select("r_regionkey", F.regexp_replace("r_name", "A", "|").alias("name"), F.lit(None).cast("string").alias("note"))
-    return t.spark.createDataFrame([(x,) for x in sinks.markdown(df).split("\n")], "line string")
+    return sinks.markdown_lines(df, ["r_regionkey"]).select("line")
 
 
 @query("SELECT o_orderstatus, round(avg(d), 6) AS mean, round(greatest(0, avg(d) - coalesce(stddev_samp(d), 0)), 6) AS low, round(least(1, avg(d) + coalesce(stddev_samp(d), 0)), 6) AS high FROM (SELECT o_orderstatus, (o_orderkey % 100) / 99.0 AS d FROM orders) GROUP BY ALL")
@@ -388,9 +411,10 @@ WITH r AS (SELECT 0 AS f, s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1
   UNION ALL SELECT 1, s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 + (SELECT count(*) FROM supplier WHERE s_nationkey < 12) FROM supplier WHERE s_nationkey >= 12)
 SELECT i::BIGINT AS index, '@s' || s_suppkey AS header, CASE WHEN f = 0 THEN 'microbe' ELSE 'host' END AS label FROM r""")
 def concatenated_reads(t: Tables) -> DataFrame:
-    """Two files one after the other, labelled by place."""
-    parts = [t.supplier.filter(f).coalesce(1).sortWithinPartitions("s_suppkey") for f in ("s_nationkey < 12", "s_nationkey >= 12")]
-    read = [readers.fastq(t.spark, text(records(p, F.concat(F.lit("@s"), F.col("s_suppkey").cast("string"))), F.col("value"))).select("index", "header") for p in parts]
+    """Two sets of files one after the other, labelled by place."""
+    parts = [t.supplier.filter(f).repartitionByRange(3, "s_suppkey").sortWithinPartitions("s_suppkey") for f in ("s_nationkey < 12", "s_nationkey >= 12")]
+    files = [readers.fastq(t.spark, text(records(p, F.concat(F.lit("@s"), F.col("s_suppkey").cast("string"))), F.col("value"))) for p in parts]
+    read = [scan.numbered(f, [F.col("path"), F.col("index")]).select((F.col("place") - 1).alias("index"), "header") for f in files]
     return generate.positional_labels(generate.concatenated(read), "index", F.lit(parts[0].count()))
 
 

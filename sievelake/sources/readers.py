@@ -213,9 +213,9 @@ def fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """sample, r1, r2 of lines split at white space; comments and blank lines are skipped; r2 may be missing."""
+    """path, line_no, sample, r1, r2 of lines split at white space; comments and blank lines are skipped; r2 may be missing."""
     p = F.split(F.trim("value"), r"\s+")
-    return lines(spark, path).withColumn("value", F.col("value").cast("string")).filter("trim(value) <> '' AND NOT startswith(trim(value), '#')").select("line_no", p[0].alias("sample"), F.get(p, F.lit(1)).alias("r1"), F.get(p, F.lit(2)).alias("r2"))
+    return lines(spark, path).withColumn("value", F.col("value").cast("string")).filter("trim(value) <> '' AND NOT startswith(trim(value), '#')").select("path", "line_no", p[0].alias("sample"), F.get(p, F.lit(1)).alias("r1"), F.get(p, F.lit(2)).alias("r2"))
 
 
 def catalog(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:

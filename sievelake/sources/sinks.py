@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clipped, six
 from ..operators.integrate import upsert
+from ..operators.scan import numbered
 
 
 def csv(df: DataFrame, path: str, columns: list[str] | None = None, six_decimals: list[str] | None = None, one_file: bool = True) -> None:
@@ -44,16 +47,32 @@ def json(df: DataFrame, path: str) -> None:
     _numbers(df).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A report table of at most ``most`` rows: reports are for reading. Of a longer one the first by all columns
-    stay, and a last line states how many are left out."""
-    rows = df.limit(most + 1).collect()
-    more = []
-    if len(rows) > most:
-        rows = df.orderBy(*df.columns).limit(most).collect()
-        more = ["", f"{df.count() - most} more rows are left out."]
-    line = lambda xs: "| " + " | ".join("N/A" if x is None else str(x).replace("|", r"\|") for x in xs) + " |"
-    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows), *more])
+def markdown_lines(df: DataFrame, order: list[str]) -> DataFrame:
+    """place (from 1) and line of a Markdown table of all rows by ``order``: a head, a rule, and a line a row. NULL is ``N/A``, bars
+    are escaped. Rows are numbered by ranges, so a table may be of any length."""
+    cell = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("N/A")), r"\|", r"\\|")
+    line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    rows = numbered(df.select(*order, line([cell(c) for c in df.columns]).alias("line")), [F.col(c) for c in order] + [F.col("line")]).select((F.col("place") + 2).alias("place"), "line")
+    shown = lambda xs: "| " + " | ".join(x.replace("|", r"\|") for x in xs) + " |"
+    head = df.sparkSession.createDataFrame([(1, shown(df.columns)), (2, shown(["---"] * len(df.columns)))], "place long, line string")
+    return head.unionByName(rows)
+
+
+def markdown(df: DataFrame, order: list[str] | None = None) -> str:
+    """A small table as one text, with all its rows, in the order of its columns unless told otherwise; the driver holds it.
+    For longer ones there is :func:`report`."""
+    return "\n".join(r.line for r in markdown_lines(df, order or df.columns).orderBy("place").collect())
+
+
+def report(tables: list[tuple[str, DataFrame, list[str]]], path: str) -> None:
+    """A report of several tables, each a title, a table and what orders its rows, as text files whose names and lines are in
+    order. Written by as many tasks as there are shuffle partitions; no rows are left out."""
+    parts = []
+    for k, (title, df, order) in enumerate(tables, 1):
+        head = df.sparkSession.createDataFrame([(k, -1, f"## {title}"), (k, 0, "")], "section int, place long, line string")
+        parts += [head, markdown_lines(df, order).select(F.lit(k).alias("section"), "place", "line")]
+    whole = reduce(DataFrame.unionByName, parts)
+    whole.repartitionByRange("section", "place").sortWithinPartitions("section", "place").select("line").write.mode("overwrite").text(path)
 
 
 def between(df: DataFrame, column: str, start: str, end: str, by: str) -> DataFrame:

@@ -184,10 +184,13 @@ def test_sinks(spark, tmp_path):
     assert {r.k: round(r.v, 2) for r in spark.read.parquet(str(tmp_path / "u")).collect()} == {"a": 9.0, "b": 0.33}
 
 
-def test_markdown_states_what_it_leaves_out(spark):
-    df = spark.range(7).repartition(3)
-    assert sinks.markdown(df, 3).splitlines() == ["| id |", "| --- |", "| 0 |", "| 1 |", "| 2 |", "", "4 more rows are left out."]
-    assert len(sinks.markdown(df, 7).splitlines()) == 9
+def test_markdown_leaves_nothing_out(spark, tmp_path):
+    df = spark.range(1500).select("id", F.when(F.col("id") % 2 == 0, "a|b").alias("x|y")).repartition(3)
+    want = ["| id | x\\|y |", "| --- | --- |", *[f"| {k} | {'N/A' if k % 2 else chr(97) + chr(92) + '|b'} |" for k in range(1500)]]
+    assert sinks.markdown(df).splitlines() == want
+    sinks.report([("One", df, ["id"]), ("None", df.limit(0), ["id"])], str(tmp_path / "r"))
+    files = sorted((tmp_path / "r").glob("part-*"))
+    assert "".join(f.read_text() for f in files).splitlines() == ["## One", "", *want, "## None", "", *want[:2]] and len(files) > 1
 
 
 def test_rank_sum_known_values(spark):
@@ -207,7 +210,7 @@ def test_std_kinds_and_lengths(spark):
 
 def test_generate_and_survey(spark):
     genomes = spark.createDataFrame([(0, "host", "ACGT" * 100), (1, "microbe", "GGCC" * 100)], "g int, label string, seq string")
-    df = generate.reads(spark, 200, genomes, 50)
+    df = generate.reads(spark.range(200), "id", genomes, 50)
     assert df.count() == 200 and df.select("label").distinct().count() == 2
     a = [r.read_id for r in route.survey(df, "read_id", 20).collect()]
     assert len(a) == 20 and sorted(a) == sorted(r.read_id for r in route.survey(df.repartition(7), "read_id", 20).collect())
@@ -215,7 +218,7 @@ def test_generate_and_survey(spark):
     assert kept.count() == 200
     q = reads.summary(df, ["label"]).filter("label = 'microbe'").first()
     assert q.q30 == 1.0 and q.gc == 1.0
-    grid = generate.grid(spark, ["a:10:0.5:low:even:SE", "a:10:0.5:low:even:SE", "b:20:0:high:even:PE"])
+    grid = generate.grid(spark.createDataFrame([("a:10:0.5:low:even:SE",), ("a:10:0.5:low:even:SE",), ("b:20:0:high:even:PE",)], "value string"))
     assert grid.count() == 2
     for kind in ("even", "skewed", "powerlaw", "lognormal"):
         got = generate.abundance(spark.range(1, 8).select(F.lit(1).alias("s"), "id"), ["s"], "id", kind)
