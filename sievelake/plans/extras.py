@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..functions.metrics import HOST
-from ..operators import confusion, ecology, generate, integrate, performance as p, reads, route, scan, select
+from ..operators import confusion, ecology, generate, integrate, mapping, performance as p, reads, route, scan, select
 from .accuracy import rounded
 from .registry import Tables, query
 
@@ -314,3 +314,47 @@ def first_by_name(t: Tables) -> DataFrame:
 def panel_members(t: Tables) -> DataFrame:
     rows = t.orders.filter(F.col("o_orderpriority").isin("1-URGENT", "5-LOW") & (F.col("o_orderstatus") == "F"))
     return select.ordered(rows.groupBy("o_orderpriority").agg(F.round(F.avg("o_totalprice"), 4).alias("mean")), "o_orderpriority", ["5-LOW", "1-URGENT"])
+
+
+def _mates(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Contigs of 512 bases made of the digests of each item's id, and a read for each order, two of which are mates: cut out of a
+    contig, with three substitutions and from the other strand, or with two letters lost; strangers; and reads with too many
+    edits."""
+    letters = lambda c: F.translate(c, "0123456789abcdef", "ACGT" * 4)
+    digest = lambda x: F.md5(x.cast("string").cast("binary"))
+    seq = letters(F.concat(*[digest(F.concat(F.lit(f"{j}:"), F.col("item_id").cast("string"))) for j in range(16)]))
+    host = t.benchmark.select("item_id", F.concat(F.lit("c"), F.col("item_id").cast("string")).alias("contig"), seq.alias("seq"))
+    k = F.col("o_orderkey")
+    own = t.orders.select(k, F.pmod(k, F.lit(host.count())).alias("item_id"), letters(F.concat(*[digest(F.concat(F.lit(f"s{j}:"), k.cast("string"))) for j in range(4)])).alias("stranger"))
+    cut = own.join(host.select("item_id", "seq"), "item_id").withColumn("r", F.substring(F.col("seq"), (k % 412 + 1).cast("int"), F.lit(100)))
+    other = lambda c: F.translate(c, "ACGT", "CGTA")
+    at = lambda a, n: F.substring("r", a, n)
+    swapped = F.concat(at(1, 19), other(at(20, 1)), at(21, 29), other(at(50, 1)), at(51, 29), other(at(80, 1)), at(81, 20))
+    many = F.concat(*[F.concat(at(a, 5), other(at(a + 5, 1))) for a in range(1, 97, 6)])
+    read = F.when(k % 4 == 3, F.substring("stranger", 1, 100)).when(k % 8 == 6, many).when(k % 4 == 1, F.translate(F.reverse(swapped), "ACGT", "TGCA")).when(k % 4 == 2, F.concat(at(1, 40), at(43, 58))).otherwise(F.lower("r"))
+    return cut.select("o_orderkey", read.alias("seq")), host.select("contig", "seq")
+
+
+@query("SELECT o_orderkey, NOT (o_orderkey % 4 = 3 OR o_orderkey % 8 = 6) AS mapped FROM orders")
+def reads_mapped(t: Tables) -> DataFrame:
+    """Reads with known edits from either strand, and strangers."""
+    r, host = _mates(t)
+    return mapping.mapped(r, mapping.prepared(host, "contig"), "o_orderkey").select("o_orderkey", "mapped")
+
+
+@query("SELECT o_orderkey // 2 AS pair FROM orders GROUP BY pair HAVING NOT bool_or(NOT (o_orderkey % 4 = 3 OR o_orderkey % 8 = 6))")
+def pairs_depleted(t: Tables) -> DataFrame:
+    """Pairs of which neither mate aligns, by the mates' own bases."""
+    r, host = _mates(t)
+    flagged = mapping.mapped(r, mapping.prepared(host, "contig"), "o_orderkey").withColumn("pair", F.expr("o_orderkey DIV 2"))
+    return confusion.pairs_kept(flagged, ["pair"], "mapped")
+
+
+@query("""
+WITH s AS (SELECT o_orderpriority AS library, o_orderkey AS k FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('42:' || o_orderkey), o_orderkey) <= 1000)
+SELECT library, count(*) AS surveyed_reads, count(*) FILTER (WHERE NOT (k % 4 = 3 OR k % 8 = 6)) AS mapped_reads, round(100.0 * count(*) FILTER (WHERE NOT (k % 4 = 3 OR k % 8 = 6)) / count(*), 6) AS estimated_host_pct FROM s GROUP BY library""")
+def survey_mapped(t: Tables) -> DataFrame:
+    """A survey of each library, its reads held against the host."""
+    r, host = _mates(t)
+    drawn = route.survey(r.join(t.orders.select("o_orderkey", F.col("o_orderpriority").alias("library")), "o_orderkey"), "o_orderkey", 1000, by=["library"])
+    return rounded(route.host_percent(mapping.mapped(drawn, mapping.prepared(host, "contig"), "o_orderkey"), ["library"], "mapped"))
