@@ -41,9 +41,13 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset on a single
-    machine, a temporary folder; on a cluster it must be set."""
+#: Folders that were made in the shared folder, by application.
+_MADE: dict[str, list[str]] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset on a single machine, a
+    new temporary one is set; on a cluster it must be set."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
@@ -51,4 +55,29 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sievelake-")
         sc.setCheckpointDir(folder)
-    return f"{folder}/sievelake/{uuid.uuid4().hex}"
+    return folder
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, for what :func:`discard` deletes."""
+    path = f"{shared_folder(spark)}/sievelake/{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def made(spark: SparkSession) -> int:
+    """How many such paths this application has handed out and not discarded."""
+    return len(_MADE.get(spark.sparkContext.applicationId, []))
+
+
+def discard(spark: SparkSession, since: int = 0, last: int = 0) -> int:
+    """Delete what lies under the paths that this application was handed since there were ``since`` of them, but for the ``last``
+    ones, once what reads them is written; how many paths. A job beside which others run in the same application calls it
+    when all are done."""
+    paths = _MADE.get(spark.sparkContext.applicationId, [])
+    gone = paths[since : len(paths) - last]
+    del paths[since : len(paths) - last]
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(gone)
