@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sievelake.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from sievelake.llm.common import shared_folder, staged
+from sievelake.llm.common import discard, made, staged
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +53,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written to the shared folder and read again."""
-    shared_folder(spark)
+    """All stages over ``documents``; what each returns is written to the shared folder and read again. Once it is written, the
+    tables before it are deleted."""
+    before = made(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir))
+        discard(spark, before, last=1)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

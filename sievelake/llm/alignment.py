@@ -305,7 +305,8 @@ def _aligned(docs: DataFrame, id_col: str, text_col: str, a_path: str | None, b_
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text_col).alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, -(-size // BLOCK_BYTES)))
+    parts = max(spark.sparkContext.defaultParallelism, -(-size // BLOCK_BYTES))
+    rows = rows.coalesce(parts)
     numbered = staged(rows.mapInArrow(_numbered(a_path, b_path), "block long, doc_id long, at binary, k int, chunk string, n long"), compression="zstd")
     small_batches(spark, 1 << 14)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -322,7 +323,9 @@ def _aligned(docs: DataFrame, id_col: str, text_col: str, a_path: str | None, b_
         names = [x.split() for x in kind.split(", ")]
         back = whole.selectExpr("p.block", "p.k", *(f"CAST({c if c in whole.columns else 'NULL'} AS {t}) AS {c}" for c, t in names[2:]))
         own = numbered.filter("chunk IS NULL").selectExpr(*(f"CAST({c if c in ('block', 'doc_id', 'at') else 'NULL'} AS {t}) AS {c}" for c, t in names))
-        joined = back.unionByName(own).repartition(n, "block").sortWithinPartitions("block", F.asc_nulls_last("k"))
+        # Blocks go to tasks by their own numbers, one to each: a task's first block to that of its number, a further one elsewhere.
+        to = F.shiftright("block", 24) + F.col("block").bitwiseAND((1 << 24) - 1) * 7919
+        joined = back.unionByName(own).repartitionById(parts, F.pmod(to, F.lit(parts)).cast("int")).sortWithinPartitions("block", F.asc_nulls_last("k"))
         out = joined.mapInArrow(_lifted(digest), "doc_id long, n_a long, n_b long, n_groups long, n_best long, count_sum long, groups string")
         out = staged(out)
     return out.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups")

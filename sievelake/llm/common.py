@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..session import discard, made, scratch, shared_folder  # noqa: F401
+
 #: Rows that go to Python at once; texts can be long, so few.
 BATCH_ROWS = 512
-#: Tables staged by this driver.
-_STAGED: list[str] = []
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -24,26 +23,12 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset on a single machine, a
-    new temporary one is set; on a cluster it must be set."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="sievelake-")
-        sc.setCheckpointDir(folder)
-    return folder
-
-
 def staged(df: DataFrame, compression: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage ends here, so a lost executor
     costs a read and not the work before it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/sievelake/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path, compression=compression)
-    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,21 +36,10 @@ def bucketed(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """As :func:`staged`, in ``n`` buckets by ``keys``: what is then grouped or joined by them needs no exchange. Each task
     writes a file for each bucket that it has rows of, so ``df`` should be dealt out by ``keys`` in as many partitions."""
     spark, name = df.sparkSession, f"sievelake_{uuid.uuid4().hex}"
-    path = f"{shared_folder(spark)}/sievelake/{name}"
-    df.write.bucketBy(n, *keys).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
-    _STAGED.append(path)
+    df.write.bucketBy(n, *keys).format("parquet").option("compression", "zstd").option("path", scratch(spark)).saveAsTable(name)
     return spark.table(name)
 
 
-def discard(spark: SparkSession) -> int:
-    """Delete all tables staged so far by this driver, once what reads them is written; how many."""
-    n = len(_STAGED)
-    while _STAGED:
-        at = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    return n
-
-
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kind: StructType) -> DataFrame:
     """``df.mapInArrow(run, kind)`` for columns of any names, also with dots."""
     given, places = df.columns, [f"c{k}" for k in range(len(kind))]

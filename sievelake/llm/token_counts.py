@@ -23,10 +23,17 @@ from .bpe import Encoder, encoder, public_path, public_pattern
 from .common import small_batches, text_bytes
 
 WIDTH = 64
-#: Characters after its end that the pattern looks at to end a pre-token.
+#: Characters after its end that the public pattern looks at to end a pre-token.
 AHEAD = 2
 
 
+def checked(pattern: str | None) -> str:
+    """The public pattern; others may look further ahead, or back, than edits are followed here, and raise."""
+    if pattern not in (None, public_pattern()):
+        raise ValueError("edits are followed exactly under the public pattern only")
+    return public_pattern()
+
+
 class TokenTree:
     """The token count of a text under edits; equal to encoding the whole text at any time. ``encoded``: the
     characters encoded for edits so far."""
@@ -179,7 +186,7 @@ def trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits
     """doc_id, n_tokens, text and leaves (characters and tokens of each pre-token) for each row of ``docs``, and with
     ``edits``, an array made of the columns of ``docs``, a column of that name. A null text is empty and has no tokens;
     repeated rows give repeated rows; extra columns are ignored."""
-    path, pattern = path or public_path(), pattern or public_pattern()
+    path, pattern = path or public_path(), checked(pattern)
     small_batches(docs.sparkSession)
     more = [] if edits is None else ["edits"]
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text_col).alias("text"), *[edits.cast(EDITS).alias(c) for c in more])
@@ -206,7 +213,7 @@ def with_edits(index: DataFrame, edits: DataFrame) -> DataFrame:
 def edited(index: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Trees after their ``edits``, each of which is on the text that the one before leaves: doc_id, n_tokens, text,
     leaves, n_tokens_before, n_chars, and n_chars_encoded, the characters encoded for that. No edits change nothing."""
-    path, pattern = path or public_path(), pattern or public_pattern()
+    path, pattern = path or public_path(), checked(pattern)
     small_batches(index.sparkSession)
     names = ["doc_id", "n_tokens", "text", "leaves", "n_tokens_before", "n_chars", "n_chars_encoded"]
     kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]

@@ -175,3 +175,24 @@ def test_staged_tables_can_be_discarded(spark):
     common.discard(spark)
     path = common.staged(spark.range(3)).inputFiles()[0].removeprefix("file://")
     assert os.path.exists(path) and common.discard(spark) == 1 and not os.path.exists(path)
+    kept = [common.staged(spark.range(n)) for n in (2, 3, 4)]
+    assert common.discard(spark, since=1, last=1) == 1 and [df.count() for df in (kept[0], kept[2])] == [2, 4] and common.made(spark) == 2
+    assert common.discard(spark) == 2
+
+
+def test_run_leaves_its_last_tables_only(spark, folder):
+    import os
+
+    from sievelake.llm import common
+
+    common.discard(spark)
+    rows = corpus_pipeline.run(spark, folder)
+    assert rows.count() > 50 and common.made(spark) <= 2
+    common.discard(spark)
+
+
+def test_edits_under_other_patterns_raise(spark):
+    from sievelake.llm import token_counts
+
+    with pytest.raises(ValueError, match="public pattern"):
+        token_counts.counts(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), pattern=r"\s*[\r\n]+|\S+|\s")
