@@ -90,6 +90,31 @@ def arrow_rows(columns: dict[str, list], schema: pa.Schema, rows: int = 65_536)
         yield pa.RecordBatch.from_arrays([pa.array(columns[f.name][a : a + rows], f.type) for f in schema], schema=schema)
 
 
+#: One document of so many tells which keys are frequent: those of more than ``FREQUENT`` entries there, and a share of ``1 /
+#: MOST_FREQUENT`` of all entries, so that they are ``MOST_FREQUENT`` at most.
+SAMPLED, FREQUENT, MOST_FREQUENT = 64, 64, 1 << 18
+
+
+def sampled(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows that tell which keys are frequent, by a hash of their ids."""
+    return rows.filter(F.pmod(F.xxhash64(id_col), F.lit(SAMPLED)) == 0)
+
+
+def frequent(keys: DataFrame, count: Column) -> np.ndarray:
+    """The frequent ones among ``key`` (numbers of 64 bits), sorted, by ``count`` over the sample. How keys are dealt may depend on
+    them, results may not."""
+    each = staged(keys.groupBy("key").agg(count.alias("n")))
+    total = each.agg(F.sum("n")).first()[0] or 0
+    return np.sort(np.array([r.key for r in each.filter(F.col("n") > max(FREQUENT, total // MOST_FREQUENT)).select("key").collect()], np.int64).view(np.uint64))
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """1, base, base**2, ... modulo 2**64."""
     out = np.full(n, base, np.uint64)

@@ -11,7 +11,8 @@ lost at any size.
 The second pass groups the windows estimated repeated, by 128-bit hashes, exactly. A task first groups its own,
 so each different window leaves it once, with its smallest document. Windows are dealt by their anchor and where
 it lies in them, ``PLACES`` places together: that keeps neighbours of a passage together, so that covered windows come
-back to their documents as runs, and splits an anchor that very many windows have.
+back to their documents as runs. Anchors that a sample of documents shows to be frequent have windows in a great many
+documents, most of which differ: these are dealt by their own hashes, so that no task gathers an anchor's.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, arrow_rows, covered, mixed, small_batches, text_bytes
+from .common import RollingHash, among, arrow_rows, covered, frequent, mixed, sampled, small_batches, text_bytes
 
 WIDTH = 50
 #: Rows of the sketch, bits of a block, and the least and most bits of a row.
@@ -35,7 +36,7 @@ WINDOWS_EACH, HELD = 2_000_000, 1_500_000
 
 #: Bits of the place of a gram among the words at hand.
 _PLACE = np.uint64((1 << 32) - 1)
-#: Windows of an anchor are dealt by where it lies in them, so many places together.
+#: Windows of an anchor that isn't frequent are dealt by where it lies in them, so many places together.
 PLACES = 8
 
 _FIRST, _SECOND, _GRAMS = RollingHash(0x9E3779B97F4A7C15), RollingHash(0xD1342543DE82EF95), RollingHash(0xAF251AF3B0F025B5)
@@ -189,7 +190,20 @@ def _by_window(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarra
     return order, doc > doc[np.maximum.accumulate(np.where(start, np.arange(len(doc)), 0))]
 
 
-def _windows(width: int, sent, buckets: int):
+def _anchored(width: int):
+    """The anchors of each document, once each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = Windows(b.column("text").to_pylist(), width)
+            if len(w.at):
+                both = np.unique(np.stack([w.doc.astype(np.uint64), w.anchor]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[1].view(np.int64))], names=["key"])
+
+    return run
+
+
+def _windows(width: int, sent, hot, buckets: int):
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         a, b, doc, place, bucket = map(np.concatenate, zip(*held, strict=True))
         order, late = _by_window(a, b, doc)
@@ -203,14 +217,15 @@ def _windows(width: int, sent, buckets: int):
             yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), *(pa.array([y.tobytes() for y in np.split(x[order], cut)], pa.binary()) for x in (a, b, doc, place.astype(np.int32)))], schema=PARTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held, n = sent.value, [], 0
+        seen, often, held, n = sent.value, hot.value, [], 0
         for batch in batches:
             w = Windows(batch.column("text").to_pylist(), width)
             keep = np.flatnonzero(seen.repeated(w.anchor)) if len(w.at) else []
             if len(keep):
                 ids = np.array(batch.column("doc_id"), np.int64)
-                bucket = (mixed(w.anchor[keep] + (w.offset[keep] // PLACES).astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-                held.append((*w.hashes(keep), ids[w.doc[keep]], w.first[keep], bucket))
+                one, two = w.hashes(keep)
+                key = np.where(among(w.anchor[keep], often), one, w.anchor[keep] + (w.offset[keep] // PLACES).astype(np.uint64))
+                held.append((one, two, ids[w.doc[keep]], w.first[keep], (mixed(key) % np.uint64(buckets)).astype(np.int32)))
                 n += len(keep)
             if n > HELD:
                 yield from flush(held)
@@ -247,8 +262,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, (size // 24).bit_length()))
     sent = spark.sparkContext.broadcast(sketch(rows, width, bits))
+    hot = spark.sparkContext.broadcast(frequent(sampled(rows).select("text").mapInArrow(_anchored(width), "key long"), F.count(F.lit(1))))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 6 // WINDOWS_EACH)
-    return rows.mapInArrow(_windows(width, sent, 4 * parts), "bucket int, first binary, second binary, doc binary, place binary").repartition(parts, "bucket").mapInArrow(_grouped, "doc_id long, start long, n long")
+    return rows.mapInArrow(_windows(width, sent, hot, 4 * parts), "bucket int, first binary, second binary, doc binary, place binary").repartition(parts, "bucket").mapInArrow(_grouped, "doc_id long, start long, n long")
 
 
 def _removed(width: int):

@@ -7,7 +7,8 @@ contexts are all alike by their hashes, two copies are compared; copies that lie
 to one shard, as one long context. Where an anchor has different contexts, one copy at least of each is compared with the
 others. An anchor with more than ``KINDS`` contexts, as a passage of many near copies has, is split: a second pass
 deals its strings by their own hashes, so that no task gathers them, and of each string that occurs again two copies
-are compared. Suffix arrays find which strings are equal, byte by byte; only third and further copies of a context or
+are compared. Anchors that have a great many contexts in a sample of documents are split from the start, so no task
+gathers their runs either. Suffix arrays find which strings are equal, byte by byte; only third and further copies of a context or
 a string are covered by its hashes alone:
 
 * the suffixes of a shard are sorted by Larsson-Sadakane refinement: by their first 5 bytes, then the groups still
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RollingHash, arrow_rows, mixed, small_batches, spans, staged, text_bytes
+from .common import RollingHash, among, arrow_rows, frequent, mixed, sampled, small_batches, spans, staged, text_bytes
 from .substring_dedup import RUNS, anchors, runs
 
 WIDTH, GRAM = 200, 64
@@ -87,8 +88,8 @@ def text_runs(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     return d, first - (ends - sizes)[d], stop - first, grams[at[first].astype(np.int64)], context
 
 
-#: Runs dealt by key, at most two of a context from each task, or with bucket -1, covered ones: document, place, number,
-#: key and context (two hashes), shard.
+#: Runs dealt by key, at most two of a context from each task, or with bucket -1, covered ones, or with bucket -2, ones whose
+#: key is split: document, place, number, key and context (two hashes), shard.
 PARTS = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("doc", "start", "n", "key", "context", "shard"))])
 _TYPES = {"doc": np.int64, "start": np.int64, "n": np.int64, "key": np.uint64, "context": np.uint64, "shard": np.int64}
 _PARTS = "bucket int, doc binary, start binary, n binary, key binary, context binary, shard binary"
@@ -112,13 +113,19 @@ def _grouped(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, n
     return [x[order] for x in columns], anew, anew | np.concatenate([[True], context[1:] != context[:-1]])
 
 
-def _packed(held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
-    """The runs of a task by bucket; of each context the third and further copies as covered."""
+def _packed(held: list[tuple], buckets: int, hot: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """The runs of a task by bucket; of each context the third and further copies as covered. ``hot``: keys that are split."""
     columns, _, new = _grouped([np.concatenate(x) for x in zip(*held, strict=True)])
     pair, none = _copy(new) < 2, np.zeros(0)
     doc, start, n, *_ = columns
     yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (doc[~pair], start[~pair], n[~pair], none, none, none))], schema=PARTS)
     columns = [x[pair] for x in columns]
+    if hot is not None and (split := among(columns[3], hot)).any():
+        doc, start, n, _, _, shard = (x[split] for x in columns)
+        yield pa.RecordBatch.from_arrays([pa.array([-2], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (doc, start, n, none, none, -1 - shard))], schema=PARTS)
+        columns = [x[~split] for x in columns]
+        if split.all():
+            return
     bucket = (mixed(columns[3]) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
@@ -126,28 +133,45 @@ def _packed(held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(bucket[np.concatenate([[0], cut])]), *(pa.array([y.tobytes() for y in np.split(x[order], cut)], pa.binary()) for x in columns)], schema=PARTS)
 
 
-def _dealt(width: int, buckets: int, shards: int):
+def _all_runs(whole: list[bytes], width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """:func:`text_runs` of texts of any length, some of them at a time. Very long ones are taken in parts that overlap by all but
+    one byte of a string."""
+    cuts = [(k, a) for k, t in enumerate(whole) for a in range(0, max(1, len(t) - width + 1), LONGEST)]
+    texts = [whole[k][a : a + LONGEST + width - 1] if len(whole[k]) > LONGEST else whole[k] for k, a in cuts]
+    of, shift = np.array([k for k, _ in cuts], np.int64), np.array([a for _, a in cuts], np.int64)
+    for places in chunks(texts):
+        d, start, n, anchor, context = text_runs([texts[k] for k in places], width)
+        if len(d):
+            d = np.array(places)[d]
+            yield of[d], start + shift[d], n, anchor, context
+
+
+def _anchored(width: int):
+    """Anchor and context of all runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for *_, anchor, context in _all_runs(b.column("text").to_pylist(), width):
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64))], names=["key", "context"])
+
+    return run
+
+
+def _dealt(width: int, buckets: int, shards: int, hot=None):
     """All runs, by anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
-            whole, ids = b.column("text").to_pylist(), np.array(b.column("doc_id"), np.int64)
-            # Very long texts in parts that overlap by all but one byte of a string.
-            cuts = [(k, a) for k, t in enumerate(whole) for a in range(0, max(1, len(t) - width + 1), LONGEST)]
-            texts = [whole[k][a : a + LONGEST + width - 1] if len(whole[k]) > LONGEST else whole[k] for k, a in cuts]
-            of, shift = np.array([k for k, _ in cuts], np.int64), np.array([a for _, a in cuts], np.int64)
-            for places in chunks(texts):
-                d, start, n, anchor, context = text_runs([texts[k] for k in places], width)
-                if len(d):
-                    d = np.array(places)[d]
-                    held.append((ids[of[d]], start + shift[d], n, anchor, context, (mixed(anchor ^ np.uint64(0x5DEECE66D)) % np.uint64(shards)).astype(np.int64)))
-                    size += len(d)
+            ids = np.array(b.column("doc_id"), np.int64)
+            for d, start, n, anchor, context in _all_runs(b.column("text").to_pylist(), width):
+                held.append((ids[d], start, n, anchor, context, (mixed(anchor ^ np.uint64(0x5DEECE66D)) % np.uint64(shards)).astype(np.int64)))
+                size += len(d)
                 if size > HELD:
-                    yield from _packed(held, buckets)
+                    yield from _packed(held, buckets, hot and hot.value)
                     held, size = [], 0
         if size:
-            yield from _packed(held, buckets)
+            yield from _packed(held, buckets, hot and hot.value)
 
     return run
 
@@ -182,7 +206,7 @@ def _judged(shards: int, most: int | None = None):
             for r in batch.to_pylist():
                 got = [np.frombuffer(r[c], t) for c, t in _TYPES.items()]
                 if r["bucket"] < 0:
-                    yield from arrow_rows({"doc_id": got[0], "start": got[1], "n": got[2], "shard": [None] * len(got[0])}, VERDICTS)
+                    yield from arrow_rows({"doc_id": got[0], "start": got[1], "n": got[2], "shard": got[5] if r["bucket"] == -2 else [None] * len(got[0])}, VERDICTS)
                 else:
                     held.append(got)
         if not held:
@@ -414,7 +438,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         asked = of.groupBy(*on).agg(F.collect_list(F.struct("shard", "start", "n")).alias("asked"))
         return texts.join(asked, list(on)).select("doc_id", "text", "base", "asked").mapInArrow(_contexts(width), "shard long, doc_id long, start long, context binary")
 
-    dealt = rows.mapInArrow(_dealt(width, 4 * parts, shards), _PARTS).repartition(parts, "bucket")
+    # Different contexts: of copies alike by their hashes any number may meet.
+    some = sampled(rows).select("text").mapInArrow(_anchored(width), "key long, context long").distinct()
+    hot = spark.sparkContext.broadcast(frequent(some, F.count(F.lit(1))))
+    dealt = rows.mapInArrow(_dealt(width, 4 * parts, shards, hot), _PARTS).repartition(parts, "bucket")
     verdicts = staged(dealt.mapInArrow(_judged(shards, KINDS), _VERDICTS))
     whole = staged(contexts(verdicts.filter("shard IS NOT NULL"), rows.withColumn("base", F.lit(0).cast("bigint")), "doc_id"))
     split = whole.filter("shard < 0")

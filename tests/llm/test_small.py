@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from sievelake.llm import bpe, exact_dedup, hamming_search, language, mixing, near_dedup, quality, substring_dedup, suffix_dedup, token_counts
+from sievelake.llm import bpe, common, exact_dedup, hamming_search, language, mixing, near_dedup, quality, substring_dedup, suffix_dedup, token_counts
 from sievelake.llm.graph import components
 
 RNG = random.Random(5)
@@ -167,8 +167,10 @@ def test_substring_dedup(docs, empty, monkeypatch):
     for i in sorted(words):
         for k in range(len(words[i]) - 49):
             first.setdefault(tuple(words[i][k : k + 50]), i)
-    for held in (1_500_000, 40):
+    for held, each, often in ((1_500_000, 64, 64), (40, 64, 64), (40, 1, 0), (1_500_000, 2, 1)):  # also with frequent anchors
         monkeypatch.setattr(substring_dedup, "HELD", held)
+        monkeypatch.setattr(common, "SAMPLED", each)
+        monkeypatch.setattr(common, "FREQUENT", often)
         got = by_id(substring_dedup.dedup(docs))
         for i, w in words.items():
             gone = {j for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for j in range(k, k + 50)}
@@ -181,7 +183,10 @@ def test_substring_dedup(docs, empty, monkeypatch):
 @pytest.mark.parametrize("width", [200, 30])
 def test_suffix_dedup(docs, empty, monkeypatch, width):
     seen = Counter(raw(t)[k : k + width] for _, t in ROWS for k in range(len(raw(t)) - width + 1))
-    for shard, longest, kinds, context in ((1 << 20, 1 << 23, 4, 1 << 16), (3000, 700, 1, 300), (300, 1 << 23, 2, 1 << 16)):
+    plans = ((1 << 20, 1 << 23, 4, 1 << 16, 64, 64), (3000, 700, 1, 300, 64, 64), (300, 1 << 23, 2, 1 << 16, 64, 64), (3000, 700, 4, 300, 1, 0), (1 << 20, 1 << 23, 4, 1 << 16, 2, 1))
+    for shard, longest, kinds, context, each, often in plans:  # also with anchors that are split from the start
+        monkeypatch.setattr(common, "SAMPLED", each)
+        monkeypatch.setattr(common, "FREQUENT", often)
         monkeypatch.setattr(suffix_dedup, "SHARD", shard)
         monkeypatch.setattr(suffix_dedup, "LONGEST", longest)
         monkeypatch.setattr(suffix_dedup, "KINDS", kinds)
