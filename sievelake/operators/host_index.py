@@ -9,7 +9,6 @@ dealt out to the table's buckets, which aren't moved. The filter drops nothing t
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch
+from ..session import scratch, table_name
 from .trimming import TOGETHER, flat
 
 #: Bits of the filter for each minimizer, and at most (as a power of two): what a worker holds. Places that a value sets.
@@ -150,7 +149,7 @@ class HostIndex:
 
     def table(self, spark: SparkSession) -> DataFrame:
         """The minimizers, in their buckets."""
-        name = f"host_index_{uuid.uuid4().hex}"
+        name = table_name(spark, f"{self.path}/minimizers")
         spark.sql(f"CREATE TABLE {name} (minimizer BIGINT) USING parquet CLUSTERED BY (minimizer) INTO {self.buckets} BUCKETS LOCATION '{self.path}/minimizers'")
         return spark.table(name)
 
@@ -168,7 +167,7 @@ def build(host: DataFrame, seq: str = "seq", path: str | None = None, k: int = 3
     spark = host.sparkSession
     path, buckets = path or scratch(spark), buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = host.select(F.col(seq).cast("string").alias("seq")).mapInArrow(_distinct(k, length), "minimizer long").distinct()
-    name = f"host_index_{uuid.uuid4().hex}"
+    name = table_name(spark, f"{path}/minimizers")
     rows.repartition(buckets, "minimizer").write.bucketBy(buckets, "minimizer").sortBy("minimizer").format("parquet").option("path", f"{path}/minimizers").saveAsTable(name)
     made = spark.table(name)
     count = made.count()

@@ -41,8 +41,9 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-#: Folders that were made in the shared folder, by application.
+#: Folders that were made in the shared folder, by application, and the tables that lie in them or in others.
 _MADE: dict[str, list[str]] = {}
+_TABLES: dict[str, dict[str, str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -65,6 +66,14 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def table_name(spark: SparkSession, path: str) -> str:
+    """A new name for a table whose files lie under ``path``; :func:`discard` drops the table with that path, and all of them when
+    it is to delete all. What such a table is for, its buckets, only a catalog keeps."""
+    name = f"sievelake_{uuid.uuid4().hex}"
+    _TABLES.setdefault(spark.sparkContext.applicationId, {})[name] = path
+    return name
+
+
 def made(spark: SparkSession) -> int:
     """How many such paths this application has handed out and not discarded."""
     return len(_MADE.get(spark.sparkContext.applicationId, []))
@@ -77,6 +86,10 @@ def discard(spark: SparkSession, since: int = 0, last: int = 0) -> int:
     paths = _MADE.get(spark.sparkContext.applicationId, [])
     gone = paths[since : len(paths) - last]
     del paths[since : len(paths) - last]
+    tables = _TABLES.get(spark.sparkContext.applicationId, {})
+    for name in [n for n, path in tables.items() if not since and not last or any(path == g or path.startswith(f"{g}/") for g in gone)]:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # files stay, as their place was given
+        del tables[name]
     for path in gone:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

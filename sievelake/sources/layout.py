@@ -3,13 +3,12 @@ replaced in place."""
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch
+from ..session import scratch, table_name
 
 PARTS = 64
 #: The column that names a row's part.
@@ -19,9 +18,9 @@ PART = "key_part"
 def bucketed(df: DataFrame, keys: list[str], buckets: int | None = None, path: str | None = None) -> DataFrame:
     """``df`` written in buckets by ``keys``, sorted by them, in the shared folder or under ``path``: what is joined with it
     by them is dealt out to its buckets, and it stays where it is."""
-    spark, name = df.sparkSession, f"sievelake_{uuid.uuid4().hex}"
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).format("parquet").option("path", path or scratch(spark)).saveAsTable(name)
+    spark, path = df.sparkSession, path or scratch(df.sparkSession)
+    name, n = table_name(spark, path), buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).format("parquet").option("path", path).saveAsTable(name)
     return spark.table(name)
 
 

@@ -141,3 +141,18 @@ def test_sensor(spark):
     assert got["whole"].positive and got["whole"].containment == 1 and 0.4 < got["half"].containment < 0.6 and not got["other"].positive and not got["bare"].positive
     none = sensor.sensed(spark.createDataFrame(rows[:3], "s string, seq string"), spark.createDataFrame([("A",)], "seq string"), "s").first()
     assert (none.containment, none.positive) == (0.0, False)
+
+
+def test_what_was_made_can_be_discarded(spark):
+    from sievelake.operators import host_index
+    from sievelake.session import discard, made
+
+    before = made(spark)
+    kept = layout.bucketed(spark.range(5), ["id"], 2)
+    index = host_index.build(spark.createDataFrame([("ACGTTGCA" * 9,)], "seq string"))
+    assert index.table(spark).count() == index.count > 0 and made(spark) == before + 2
+    names = {t.name for t in spark.catalog.listTables() if t.name.startswith("sievelake_")}
+    assert discard(spark, since=before + 1) == 1 and kept.count() == 5
+    left = {t.name for t in spark.catalog.listTables() if t.name.startswith("sievelake_")}
+    assert len(names - left) == 2 and not left - names  # the index's, written and opened
+    assert discard(spark, since=before) == 1
