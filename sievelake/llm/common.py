@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ..session import discard, made, scratch, shared_folder  # noqa: F401
+from ..session import discard, made, scratch, shared_folder, table_name  # noqa: F401
 
 #: Rows that go to Python at once; texts can be long, so few.
 BATCH_ROWS = 512
@@ -35,8 +34,9 @@ def staged(df: DataFrame, compression: str | None = None) -> DataFrame:
 def bucketed(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """As :func:`staged`, in ``n`` buckets by ``keys``: what is then grouped or joined by them needs no exchange. Each task
     writes a file for each bucket that it has rows of, so ``df`` should be dealt out by ``keys`` in as many partitions."""
-    spark, name = df.sparkSession, f"sievelake_{uuid.uuid4().hex}"
-    df.write.bucketBy(n, *keys).format("parquet").option("compression", "zstd").option("path", scratch(spark)).saveAsTable(name)
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    name = table_name(spark, path)
+    df.write.bucketBy(n, *keys).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
