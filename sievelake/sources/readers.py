@@ -42,7 +42,7 @@ def fastq(spark: SparkSession, paths: str | list[str], ids_only: bool = True, st
     if not all(map(ranges.readable, paths)):
         return _fastq_lines(spark, paths, ids_only, glob)
     ranges.register(spark)
-    step = min(ranges.STEP, int(spark.conf.get("spark.sql.files.maxPartitionBytes").removesuffix("b")))
+    step = min(ranges.STEP, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     files = _sized(spark, paths, glob)
     read = spark.read.format(ranges.NAME).option("files", json.dumps(files)).option("step", step).option("idsOnly", ids_only).option("strict", strict)
     if index and any(size > step for _, size in files):

@@ -110,6 +110,8 @@ def test_through_spark(spark, tmp_path, monkeypatch):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
     got = sorted((r.path.split("/")[-1], *tuple(r)[1:]) for r in df.collect())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    assert readers.fastq(spark, str(tmp_path / "a.fastq")).rdd.getNumPartitions() > len(data) // 1100
     spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == sorted((f, k, *r) for f in ("a.fastq", "b.fastq.gz", "c.fastq.gz") for k, r in enumerate(rows))
     ids = readers.kept_ids(spark, str(tmp_path), "n1")
