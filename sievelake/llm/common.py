@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -115,6 +116,13 @@ def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
+def aside(kind: int = 1, kinds: int = 1) -> int:
+    """A negative number for rows that a task passes on as they are, beside the buckets of those that it deals: another one for
+    each task, so that they don't meet. ``kind``: from 1 to ``kinds``, what they are."""
+    task = TaskContext.get()
+    return -kind - kinds * (task.partitionId() if task else 0)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """1, base, base**2, ... modulo 2**64."""
     out = np.full(n, base, np.uint64)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, among, arrow_rows, covered, frequent, mixed, sampled, small_batches, text_bytes
+from .common import RollingHash, among, arrow_rows, aside, covered, frequent, mixed, sampled, small_batches, text_bytes
 
 WIDTH = 50
 #: Rows of the sketch, bits of a block, and the least and most bits of a row.
@@ -176,7 +176,7 @@ def runs(doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return doc[cut], first[cut], np.diff(np.concatenate([cut, [len(doc)]]))
 
 
-#: Packed in ``keys``: anchor-dealt windows as two hashes, document and place; or without a bucket, covered runs.
+#: Packed in ``keys``: anchor-dealt windows as two hashes, document and place; or with a negative bucket, covered runs.
 PARTS = pa.schema([("bucket", pa.int32()), ("first", pa.binary()), ("second", pa.binary()), ("doc", pa.binary()), ("place", pa.binary())])
 RUNS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
 
@@ -208,7 +208,7 @@ def _windows(width: int, sent, hot, buckets: int):
         a, b, doc, place, bucket = map(np.concatenate, zip(*held, strict=True))
         order, late = _by_window(a, b, doc)
         d, s, n = runs(doc[order][late], place[order][late])
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(1, np.int32) - 1), *(pa.array([x.tobytes()], pa.binary()) for x in (n, np.zeros(0), d, s))], schema=PARTS)
+        yield pa.RecordBatch.from_arrays([pa.array([aside()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (n, np.zeros(0), d, s))], schema=PARTS)
         order = order[~late]
         order = order[np.lexsort((place[order], doc[order], bucket[order]))]
         cut = np.flatnonzero(np.diff(bucket[order])) + 1

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RollingHash, among, arrow_rows, frequent, mixed, sampled, small_batches, spans, staged, text_bytes
+from .common import RollingHash, among, arrow_rows, aside, frequent, mixed, sampled, small_batches, spans, staged, text_bytes
 from .substring_dedup import RUNS, anchors, runs
 
 WIDTH, GRAM = 200, 64
@@ -88,8 +88,8 @@ def text_runs(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     return d, first - (ends - sizes)[d], stop - first, grams[at[first].astype(np.int64)], context
 
 
-#: Runs dealt by key, at most two of a context from each task, or with bucket -1, covered ones, or with bucket -2, ones whose
-#: key is split: document, place, number, key and context (two hashes), shard.
+#: Runs dealt by key, at most two of a context from each task, or with an odd negative bucket, covered ones, or with an even
+#: one, ones whose key is split: document, place, number, key and context (two hashes), shard.
 PARTS = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("doc", "start", "n", "key", "context", "shard"))])
 _TYPES = {"doc": np.int64, "start": np.int64, "n": np.int64, "key": np.uint64, "context": np.uint64, "shard": np.int64}
 _PARTS = "bucket int, doc binary, start binary, n binary, key binary, context binary, shard binary"
@@ -118,11 +118,11 @@ def _packed(held: list[tuple], buckets: int, hot: np.ndarray | None = None) -> I
     columns, _, new = _grouped([np.concatenate(x) for x in zip(*held, strict=True)])
     pair, none = _copy(new) < 2, np.zeros(0)
     doc, start, n, *_ = columns
-    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (doc[~pair], start[~pair], n[~pair], none, none, none))], schema=PARTS)
+    yield pa.RecordBatch.from_arrays([pa.array([aside(1, 2)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (doc[~pair], start[~pair], n[~pair], none, none, none))], schema=PARTS)
     columns = [x[pair] for x in columns]
     if hot is not None and (split := among(columns[3], hot)).any():
         doc, start, n, _, _, shard = (x[split] for x in columns)
-        yield pa.RecordBatch.from_arrays([pa.array([-2], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (doc, start, n, none, none, -1 - shard))], schema=PARTS)
+        yield pa.RecordBatch.from_arrays([pa.array([aside(2, 2)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (doc, start, n, none, none, -1 - shard))], schema=PARTS)
         columns = [x[~split] for x in columns]
         if split.all():
             return
@@ -206,7 +206,7 @@ def _judged(shards: int, most: int | None = None):
             for r in batch.to_pylist():
                 got = [np.frombuffer(r[c], t) for c, t in _TYPES.items()]
                 if r["bucket"] < 0:
-                    yield from arrow_rows({"doc_id": got[0], "start": got[1], "n": got[2], "shard": got[5] if r["bucket"] == -2 else [None] * len(got[0])}, VERDICTS)
+                    yield from arrow_rows({"doc_id": got[0], "start": got[1], "n": got[2], "shard": got[5] if r["bucket"] % 2 == 0 else [None] * len(got[0])}, VERDICTS)
                 else:
                     held.append(got)
         if not held:
