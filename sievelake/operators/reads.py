@@ -23,8 +23,9 @@ def judged(reads: DataFrame, seq: str = "seq", qual: str = "qual", window: int =
     """Reads cut before their first ``adapter`` (see :func:`trimming.adapters`: part of it at the end counts too), then at
     both ends to the first and last window whose mean score is at least ``least_mean``, with ``adapter_cut``, ``status``
     (low_quality without such a window, too_short below ``least_length``, else passed) and of what stays the bases ``q20``,
-    ``q30`` and ``gc``. A read without bases or scores, or null, is of low quality. Time is linear in bases."""
-    found = F.arrow_udf(trimming.single(adapter, window, least_mean), trimming.DDL)(F.col(seq), F.col(qual))
+    ``q30`` and ``gc``. A read of low quality is left empty, but one that is shorter than a window, once its adapter is off,
+    stays as it is. A read without bases or scores, or null, is of low quality. Time is linear in bases."""
+    found = F.arrow_udf(trimming.single(adapter, window, least_mean, True), trimming.DDL)(F.col(seq), F.col(qual))
     out = reads.withColumn("__f", found).withColumns(_kept(F.col("__f"), seq, qual))
     status = F.when(F.col("__f.low"), "low_quality").when(F.length(seq) < least_length, "too_short").otherwise("passed")
     return out.withColumns({"adapter_cut": F.col("__f.adapter"), "status": status, **{k: F.col(f"__f.{k}") for k in ("q20", "q30", "gc")}}).drop("__f")
@@ -35,7 +36,7 @@ def judged_pairs(pairs: DataFrame, seq: tuple[str, str] = ("seq1", "seq2"), qual
     one's beginning is the reverse complement of the other's, all behind it is adapter, whatever its letters (see
     :func:`trimming.inserts`). Adds ``insert`` (NULL without one), ``adapter_cut`` (of either), ``status`` of the pair: the
     worse one's."""
-    run = F.arrow_udf(trimming.mates(*adapters, window, least_mean, least_overlap, most_mismatches, percent), f"struct<insert:int,one:{trimming.DDL},two:{trimming.DDL}>")
+    run = F.arrow_udf(trimming.mates(*adapters, window, least_mean, least_overlap, most_mismatches, percent, True), f"struct<insert:int,one:{trimming.DDL},two:{trimming.DDL}>")
     out = pairs.withColumn("__f", run(F.col(seq[0]), F.col(qual[0]), F.col(seq[1]), F.col(qual[1])))
     out = out.withColumns(_kept(F.col("__f.one"), seq[0], qual[0]) | _kept(F.col("__f.two"), seq[1], qual[1]))
     status = F.when(F.col("__f.one.low") | F.col("__f.two.low"), "low_quality").when(F.least(F.length(seq[0]), F.length(seq[1])) < least_length, "too_short").otherwise("passed")

@@ -92,3 +92,29 @@ def test_many_short_batches_and_a_long_read(spark):
     rows = [(1, "C" * 60 + ADAPTER[:7], "I" * 67), (2, "C" * 60 + ADAPTER.lower() + "C" * 20, "I" * 93), (3, "ACGT" * 75_000, "#" * 10 + "I" * 299_990)]
     got = {r.id: r for r in reads.judged(spark.createDataFrame(rows, "id int, seq string, qual string"), adapter=ADAPTER).collect()}
     assert [len(got[k].seq) for k in (1, 2, 3)] == [60, 60, 299_992] and [got[k].adapter_cut for k in (1, 2, 3)] == [True, True, False]
+
+
+@pytest.mark.parametrize("before", [0, 1, 3, 4])
+def test_adapter_before_a_window_ends(spark, before):
+    """What lies before the adapter stays, whether a window has room in it or not."""
+    df = spark.createDataFrame([(1, "CTTC"[:before] + ADAPTER, "I" * (before + 13), "CTTC"[:before] + "G" * (13 + 4 - before), "I" * 17)], "id int, seq string, qual string, other string, other_qual string")
+    r = reads.judged(df, adapter=ADAPTER).first()
+    assert (r.seq, r.qual, r.adapter_cut, r.status) == ("CTTC"[:before], "I" * before, True, "low_quality" if before < 4 else "too_short")
+    assert (r.q20, r.q30, r.gc) == (before, before, "CTTC"[:before].count("C"))
+    p = reads.judged_pairs(df, ("seq", "other"), ("qual", "other_qual"), adapters=(ADAPTER, None)).first()
+    assert (p.seq, p.other, p.adapter_cut, p.status) == (r.seq, df.first().other, True, r.status)
+
+
+def test_orders_whose_adapter_comes_by_chance(spark, tmp_path):
+    """Orders of larger tables whose digests hold the adapter within their first bases."""
+    import duckdb
+
+    from sievelake.plans import QUERIES, SQL
+
+    keys = [1013865, 2324489, 2950245, 3981295, 4085059, 4672029, 14, 15]
+    duck = duckdb.connect()
+    duck.sql(f"COPY (SELECT unnest({keys})::BIGINT AS o_orderkey) TO '{tmp_path}/orders.parquet'")
+    duck.sql(f"CREATE VIEW orders AS FROM '{tmp_path}/orders.parquet'")
+    ours = QUERIES["reads_adapters"](spark, str(tmp_path)).select("o_orderkey", "seq", "adapter_cut", "status").collect()
+    assert sorted(map(tuple, ours)) == sorted(duck.sql(f"SELECT o_orderkey, seq, adapter_cut, status FROM ({SQL['reads_adapters']})").fetchall())
+    assert sum(r.status == "low_quality" and r.seq != "" for r in ours) == 6
