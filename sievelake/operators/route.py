@@ -13,6 +13,8 @@ from ..session import scratch
 #: Percent of host below which reads are aligned, percent and reads above which they are classified.
 ALIGN_BELOW, CLASSIFY_ABOVE, CLASSIFY_READS = 10.0, 30.0, 20_000_000
 SURVEY_READS = 100_000
+#: Libraries with more than such a share of all reads are large.
+LARGE = 4096
 
 
 def survey(reads: DataFrame, id_col: str, n: int = SURVEY_READS, seed: int = 42, by: tuple[str, ...] | list[str] = ()) -> DataFrame:
@@ -20,21 +22,30 @@ def survey(reads: DataFrame, id_col: str, n: int = SURVEY_READS, seed: int = 42,
     any partitioning and in other engines. Rows that share an id are reads of their own.
 
     Libraries are counted, and a limit for the hash lets a little more than ``n`` reads of each through; only those are
-    written, sorted and cut. Should a limit let fewer through, which of 10^9 libraries one would do, all of that library's
-    reads are looked at instead."""
+    written, sorted and cut. Limits of libraries that are large are broadcast, ``LARGE`` rows at most, and the reads that they
+    leave out are never shuffled; the others' limits are joined by library. Should a limit let fewer through, which of 10^9
+    libraries one would do, all of that library's reads are looked at instead."""
     spark = reads.sparkSession
     by, hash_ = list(by), F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"))
     keys = [F.col(c).alias(f"__{c}") for c in by] or [F.lit(0).alias("__all")]
     rows = reads.withColumn("__hash", hash_)
     names = [f"__{c}" for c in by] or ["__all"]
+    at, of = scratch(spark), scratch(spark)
     sizes = reads.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
+    sizes.write.parquet(of)
+    sizes = spark.read.schema(sizes.schema).parquet(of)
     share = (n + 6 * math.sqrt(n) + 20) / F.col("__size")
     # Hashes below the limit, by their first 13 digits; libraries that aren't larger have none, and null ids come last.
     limits = sizes.filter(share < 1).withColumn("__limit", F.lpad(F.lower(F.hex(F.floor(share * 16**13).cast("bigint"))), 13, "0"))
     on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], F.lit(True))
-    known = rows.join(limits.hint("broadcast") if not by else limits, on, "left")
-    at = scratch(spark)
-    some = known.filter(F.col("__limit").isNull() | (F.substring("__hash", 1, 13) < F.col("__limit"))).drop("__size", "__limit", *names)
+    large = F.col("__size") > (sizes.agg(F.sum("__size")).first()[0] or 0) // LARGE
+
+    def below(df: DataFrame, limits: DataFrame) -> DataFrame:
+        return df.join(limits, on, "left").filter(F.col("__limit").isNull() | (F.substring("__hash", 1, 13) < F.col("__limit"))).drop("__size", "__limit", *names)
+
+    some = below(rows, F.broadcast(limits.filter(large)))
+    if not limits.filter(~large).isEmpty():
+        some = below(some, limits.filter(~large))
     some.write.parquet(at)
     some = spark.read.schema(some.schema).parquet(at)
     got = some.groupBy(*keys).agg(F.count(F.lit(1)).alias("__got"))

@@ -51,6 +51,26 @@ def test_survey_by_library(spark, n):
     assert alone == {i for _, i in drawn([(0, i) for _, i in rows], n)}
 
 
+def test_survey_moves_no_large_library(spark, monkeypatch):
+    """What is written to be drawn from comes without a shuffle of the reads, but for small libraries beside very large ones."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    rows = [(g, 1000 * k + j) for k, (g, size) in enumerate((("big", 900), (None, 800), ("mid", 90), ("small", 3))) for j in range(size)]
+    df = spark.createDataFrame(rows, "library string, id long").repartition(5)
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: plans.append(self._df._jdf.queryExecution().executedPlan().toString()) or write(self, path))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for large, moved in ((4096, 0), (10, 1)):
+            monkeypatch.setattr(route, "LARGE", large, raising=False)
+            plans.clear()
+            assert {tuple(r) for r in route.survey(df, "id", 5, by=["library"]).collect()} == drawn(rows, 5)
+            assert plans[-1].count("SortMergeJoin") == moved
+        assert {r.id for r in route.survey(df.select("id"), "id", 5).collect()} == {i for _, i in drawn([(0, i) for _, i in rows], 5)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_survey_when_a_limit_lets_too_few_through(spark, monkeypatch):
     rows = [("a", k) for k in range(500)] + [("b", k) for k in range(20)] + [("c", k) for k in range(300)]
     df = spark.createDataFrame(rows, "library string, id long")
