@@ -7,13 +7,16 @@ import json
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.ids import is_host, norm_id
 from ..functions.scalars import field_pattern, group, number, seconds, strip_ansi
+from ..session import scratch
 from . import fastq as ranges
 
 
@@ -196,20 +199,52 @@ def metadata(spark: SparkSession, paths: str | list[str], schema: str) -> DataFr
     return spark.read.schema(schema).option("multiLine", True).json(paths)
 
 
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lengths of what lies between headers, of lines that come in order within each part of a file: ``place`` is 0 for a part's
+    lines before its first header, 1 for its last contig, which may go on in the next part, and NULL for all others."""
+    names, held = ["path", "part", "place", "contig_id", "length"], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        path, part, contig, n = (b.column(c) for c in ("path", "part", "contig_id", "n"))
+        head, at = contig.is_valid().to_numpy(zero_copy_only=False), part.to_numpy()
+        new = np.ones(len(at), bool)
+        new[0] = held is None or held[:2] != [path[0].as_py(), at[0]]
+        new[1:] = (at[1:] != at[:-1]) | pc.not_equal(path.slice(1), path.slice(0, len(at) - 1)).to_numpy(zero_copy_only=False)
+        n, starts = np.where(head, 0, n.to_numpy()).astype(np.int64), np.flatnonzero(new | head)
+        if held is not None:
+            held[3] += int(n[: starts[0] if len(starts) else len(n)].sum())
+        if not len(starts):
+            continue
+        over, length, taken = new[starts], np.add.reduceat(n, starts), pa.array(starts)
+        columns = [path.take(taken), part.take(taken), contig.take(taken), pa.array(length)]
+        if held is not None:
+            columns = [pa.concat_arrays([pa.array([x], c.type), c]) for x, c in zip(held, columns, strict=True)]
+        else:
+            over = over[1:]
+        held = [c[-1].as_py() for c in columns]
+        path, part, contig, length = (c.slice(0, len(c) - 1) for c in columns)
+        place = np.where(contig.is_valid().to_numpy(zero_copy_only=False), 1, 0)
+        yield pa.RecordBatch.from_arrays([path, part, pa.array(place, pa.int32(), mask=(place == 1) & ~over), contig, length], names=names)
+    if held is not None:
+        path, part, contig, length = ([x] for x in held)
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((path, part, [int(contig != [None])], contig, length), kinds, strict=True)], names=names)
+
+
 def fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, contig_id and length of each record, in whatever part of a file its lines are. A line belongs to the last
-    header before it: headers are numbered within their part of the file, and parts pass on how many came before."""
-    rows = lines(spark, paths).withColumn("value", F.trim(F.col("value").cast("string")))
-    heads = rows.filter("startswith(value, '>')").select("path", F.col("line_no").alias("start"), F.regexp_extract("value", r"^>(\S*)", 1).alias("contig_id"))
-    # Lines in blocks of a fixed number: what a block has before its first header belongs to the last one before the block.
-    block = lambda c: F.floor(F.col(c) / 4096)
-    at = Window.partitionBy("path", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    within = rows.withColumn("block", block("line_no")).withColumn("start", F.max(F.when(F.col("value").startswith(">"), F.col("line_no"))).over(at))
-    sums = within.groupBy("path", "block", "start").agg(F.sum(F.when(F.col("value").startswith(">"), 0).otherwise(F.length("value"))).alias("n"))
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    last = sums.groupBy("path", "block").agg(F.max("start").alias("last")).select("path", "block", F.max("last").over(before).alias("open"))
-    each = sums.join(last, ["path", "block"]).select("path", F.coalesce("start", "open").alias("start"), "n").filter("start IS NOT NULL")
-    return heads.join(each.groupBy("path", "start").agg(F.sum("n").alias("length")), ["path", "start"]).select("path", "contig_id", "length")
+    header before it. Each part is summed where it is read, in one scan, and a row for each record in it is written; only
+    what lies at the parts' ends, two rows each at most, is put together across them."""
+    value = F.trim(F.col("value"))
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"), F.when(value.startswith(">"), F.regexp_extract(value, r"^>(\S*)", 1)).alias("contig_id"), F.length(value).alias("n"))
+    kind, at = "path string, part long, place int, contig_id string, length long", scratch(spark)
+    lines.mapInArrow(_spans, kind).write.parquet(at)
+    spans = spark.read.schema(kind).parquet(at)
+    upto = Window.partitionBy("path").orderBy("part", "place").rowsBetween(Window.unboundedPreceding, 0)
+    ends = spans.filter("place IS NOT NULL").withColumn("head", F.count("contig_id").over(upto)).filter("head > 0")
+    joined = ends.groupBy("path", "head").agg(F.max("contig_id").alias("contig_id"), F.sum("length").alias("length"))
+    return spans.filter("place IS NULL").select("path", "contig_id", "length").unionByName(joined.drop("head"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -67,6 +67,39 @@ def test_long_contigs_over_blocks_of_lines(spark, tmp_path):
     assert {r.contig_id: r.length for r in readers.fasta(spark, str(tmp_path / "c.fa")).collect()} == {"a": 45000, "b": 5000}
 
 
+@pytest.mark.parametrize("batch", [3, 10_000])
+@pytest.mark.parametrize("size", [64, 1 << 20])
+def test_contigs_are_summed_where_they_are_read(spark, tmp_path, monkeypatch, size, batch):
+    """Files cut anywhere, with contigs of many parts, empty ones, names that repeat, and lines before the first header. No line is
+    shuffled or sorted, nor read again for what comes out."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    rng, want = random.Random(size + batch), []
+    for f in range(4):
+        out = ["stray", ""] if f % 2 else []
+        for k in range(rng.choice([1, 40])):
+            lines = [" " * rng.randrange(2) + "é" * rng.choice([0, 1, 9, 70]) for _ in range(rng.choice([0, 0, 1, 3, 60]))]
+            out += [f" >c{k // 2} x" if k % 3 else f">c{k // 2}", *lines]
+            want.append((f"{f}.fa", f"c{k // 2}", sum(len(x.strip()) for x in lines)))
+        (tmp_path / f"{f}.fa").write_text("\n".join(out) + "\n" * (f % 2))
+    (tmp_path / "none.fa").write_text("no header\n" * 9)
+    (tmp_path / "empty.fa").write_text("")
+    plans, write = [], DataFrameWriter.parquet
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: plans.append(plan(self._df)) or write(self, path))
+    conf = {"spark.sql.files.maxPartitionBytes": size, "spark.sql.files.openCostInBytes": 1, "spark.sql.execution.arrow.maxRecordsPerBatch": batch}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = readers.fasta(spark, str(tmp_path))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted((r.path.rsplit("/")[-1], r.contig_id, r.length) for r in df.collect()) == sorted(want)
+    assert "Scan text" not in plan(df) and len(plans) == 1 and not any(x in plans[0] for x in ("Exchange", "Sort", "Join"))
+
+
 def test_readers_leave_the_session_alone(spark, tmp_path):
     before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     (tmp_path / "a.fastq").write_text(FASTQ)
