@@ -238,7 +238,8 @@ _CONTIGS = "SELECT 'c' || l_orderkey AS contig_id, sum(l_linenumber * 10)::BIGIN
 
 def _contigs(t: Tables) -> DataFrame:
     """A contig an order, a line of bases an order line."""
-    bases = t.lineitem.groupBy("l_orderkey").agg(F.concat_ws("\n", F.collect_list(F.repeat(F.lit("ACGTACGTAC"), F.col("l_linenumber").cast("int")))).alias("b"))
+    numbers = F.collect_list(F.col("l_linenumber").cast("int"))
+    bases = t.lineitem.groupBy("l_orderkey").agg(F.concat_ws("\n", F.transform(numbers, lambda n: F.repeat(F.lit("ACGTACGTAC"), n))).alias("b"))
     return readers.fasta(t.spark, text(bases, F.concat(F.lit(">c"), F.col("l_orderkey").cast("string"), F.lit(" flag=1\n"), "b")))
 
 
