@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch, table_name
@@ -22,9 +22,12 @@ from .trimming import TOGETHER, flat
 
 #: Bits of the filter for each minimizer, and at most (as a power of two): what a worker holds. Places that a value sets.
 BITS_EACH, MOST_BITS, PLACES = 10, 30, 4
-#: Reads whose hash leaves 0 tell which minimizers are frequent; those of more than such a share are looked up in a broadcast
+#: One read of so many tells which minimizers are frequent; those of more than such a share are looked up in a broadcast
 #: table of as many rows at most, all others by shuffle.
 SAMPLED, HOT = 256, 4096
+#: Letters of reads that are looked at together when they are counted: few enough that a processor's cache holds what is made
+#: of them.
+CACHED = 1 << 18
 
 _CODE = np.full(256, 4, np.uint8)
 for _k, _letters in enumerate(("Aa", "Cc", "Gg", "Tt")):
@@ -99,12 +102,12 @@ def held(words: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _sequences(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The first row, the bytes and the places of parts of a batch with at most ``TOGETHER`` letters, or one row."""
+def _sequences(b: pa.RecordBatch, together: int = TOGETHER) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The first row, the bytes and the places of parts of a batch with at most ``together`` letters, or one row."""
     data, at = flat(b.column("seq"))
     a = 0
     while a < b.num_rows:
-        e = max(a + 1, int(np.searchsorted(at, at[a] + TOGETHER, "right")) - 1)
+        e = max(a + 1, int(np.searchsorted(at, at[a] + together, "right")) - 1)
         yield a, data[at[a] : at[e]], at[a : e + 1] - at[a]
         a = e
 
@@ -184,51 +187,79 @@ def reopened(spark: SparkSession, path: str) -> HostIndex:
     return HostIndex(path, *about)
 
 
-def _listed(index: HostIndex, words, totals: bool):
-    """id, minimizer and k-mers of the hit groups that the filter may have; with ``totals`` also a row for each read
-    without a minimizer that has the number of its k-mers."""
+def _listed(index: HostIndex, words, totals: bool, hot=None):
+    """id, minimizer and k-mers of the hit groups that the filter may have, but for those of the minimizers ``hot`` (sorted, with
+    whether the host has each): these are counted here, and a row for the read has their ``hits`` and k-mers. With ``totals``
+    each read with k-mers has such a row, with their number as ``total``. Its minimizer is none of the read's, but deals it
+    out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_ = words.value
+        filter_, often, known = words.value, *(hot.value if hot else (np.zeros(0, np.uint64), np.zeros(0, bool)))
+        names, done = ["id", "minimizer", "n", "hits", "total"], 0
         for b in batches:
             ids = b.column("id")
-            for first, data, at in _sequences(b):
+            for first, data, at in _sequences(b, CACHED):
                 row, minimizer, n = groups(data, at, index.k, index.length)
+                size = len(at) - 1
+                all_ = np.bincount(row, n, size).astype(np.int64) if totals else np.zeros(size, np.int64)
                 keep = held(filter_, minimizer, index.bits)
-                if totals:
-                    all_ = np.bincount(row, n, len(at) - 1).astype(np.int64)
-                    some = np.flatnonzero(all_)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(some + first)), pa.nulls(len(some), pa.int64()), pa.array(all_[some])], names=["id", "minimizer", "n"])
-                row, minimizer, n = row[keep] + first, minimizer[keep].view(np.int64), n[keep]
+                row, minimizer, n = row[keep], minimizer[keep], n[keep]
+                met = own = np.zeros(len(row), bool)
+                if len(often):
+                    place = np.minimum(np.searchsorted(often, minimizer), len(often) - 1)
+                    own = often[place] == minimizer
+                    met = own & known[place]
+                hits, kmers = np.bincount(row[met], minlength=size), np.bincount(row[met], n[met], size).astype(np.int64)
+                some = np.flatnonzero((all_ > 0) | (hits > 0))
+                if len(some):
+                    dealt = _mixed(np.arange(done, done + len(some), dtype=np.uint64)).view(np.int64)
+                    done += len(some)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(some + first)), pa.array(dealt), pa.array(kmers[some]), pa.array(hits[some]), pa.array(all_[some])], names=names)
+                row, minimizer, n = row[~own] + first, minimizer[~own].view(np.int64), n[~own]
                 for x in range(0, len(row), 1 << 18):
                     part = slice(x, x + (1 << 18))
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[part])), pa.array(minimizer[part]), pa.array(n[part], pa.int64())], names=["id", "minimizer", "n"])
+                    none = pa.nulls(len(row[part]), pa.int64())
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[part])), pa.array(minimizer[part]), pa.array(n[part], pa.int64()), none, none], names=names)
 
     return run
 
 
+def counted(reads: DataFrame, index: HostIndex, id_col: str, seq: str = "seq", totals: bool = True) -> DataFrame:
+    """``hits`` (hit groups whose minimizer the index has), ``kmers`` (the k-mers in them) and ``total`` (all k-mers without
+    other letters) of each id that has k-mers; without ``totals`` of those that have hits, and without the total. Rows of one
+    id, such as mates, count together. Groups are made once; those of frequent minimizers are counted where they are made, as
+    ``HOT`` of these are broadcast at most."""
+    spark = reads.sparkSession
+    rows = reads.select(F.col(id_col).alias("id"), F.col(seq).cast("string").alias("seq"))
+    words, table = spark.sparkContext.broadcast(index.words(spark)), index.table(spark)
+    kind = rows.drop("seq").schema
+    for c in ("minimizer", "n", "hits", "total"):
+        kind = kind.add(c, "long")
+    few = rows.sample(1 / SAMPLED, seed=42).mapInArrow(_listed(index, words, False), kind)
+    often = few.groupBy("minimizer").agg(F.count(F.lit(1)).alias("n"))
+    often.write.parquet(at := scratch(spark))
+    often = spark.read.schema(often.schema).parquet(at)
+    n = often.agg(F.sum("n")).first()[0] or 0
+    often = often.filter(F.col("n") > max(16, n // HOT)).select("minimizer")  # HOT rows at most
+    known = {r.minimizer for r in table.join(F.broadcast(often), "minimizer", "left_semi").collect()}
+    often = sorted(r.minimizer & (2**64 - 1) for r in often.collect())
+    hot = spark.sparkContext.broadcast((np.array(often, np.uint64), np.array([x - (x >> 63 << 64) in known for x in often], bool))) if often else None
+    own = rows.mapInArrow(_listed(index, words, totals, hot), kind)
+    # Whether a read's own row meets a minimizer is all one.
+    met = own.join(table.withColumn("known", F.lit(True)), "minimizer", "left").filter("known OR total IS NOT NULL")
+    return met.groupBy("id").agg(F.sum(F.coalesce("hits", F.lit(1))).alias("hits"), F.sum("n").alias("kmers"), F.sum("total").alias("total")).withColumnRenamed("id", id_col)
+
+
+def assigned(counts: DataFrame, least_groups: int | Column = 2, confidence: float | Column = 0.0) -> DataFrame:
+    """Of what :func:`counted` gives the ids that belong to the host: at least ``least_groups`` groups (one always), and a share
+    of ``confidence`` of the k-mers. Both may be columns, where several questions are asked of each id."""
+    least, share = (c if isinstance(c, Column) else F.lit(c) for c in (least_groups, confidence))
+    return counts.filter((F.col("hits") >= F.greatest(F.lit(1), least)) & (F.col("kmers") >= share * F.coalesce("total", F.lit(0)))).drop("total")
+
+
 def classified(reads: DataFrame, index: HostIndex, id_col: str, seq: str = "seq", least_groups: int = 2, confidence: float = 0.0) -> DataFrame:
     """Ids of reads that the index assigns to the host, with ``hits`` (hit groups whose minimizer it has) and ``kmers`` (the
     k-mers in them): at least ``least_groups`` groups, and a share of ``confidence`` of the read's k-mers without other
-    letters. Rows of one id, such as mates, count together; null sequences have none. All others are the unassigned ones."""
-    spark = reads.sparkSession
-    rows = reads.select(F.col(id_col).alias("id"), F.col(seq).cast("string").alias("seq"))
-    words, known = spark.sparkContext.broadcast(index.words(spark)), index.table(spark)
-    kind = rows.drop("seq").schema.add("minimizer", "long").add("n", "long")
-    own = rows.mapInArrow(_listed(index, words, confidence > 0), kind)
-    met = own.filter("minimizer IS NOT NULL")
-    few = rows.filter(F.pmod(F.xxhash64("id", "seq"), F.lit(SAMPLED)) == 0).mapInArrow(_listed(index, words, False), kind)
-    counts = few.groupBy("minimizer").agg(F.count(F.lit(1)).alias("n"))
-    n = counts.agg(F.sum("n")).first()[0] or 0
-    often = [r.minimizer for r in counts.filter(F.col("n") > max(16, n // HOT)).select("minimizer").collect()]  # HOT rows at most
-    if often:
-        hot = spark.createDataFrame([(x,) for x in often], "minimizer long").join(known, "minimizer", "left_semi")
-        all_hot = F.broadcast(spark.createDataFrame([(x,) for x in often], "minimizer long"))
-        met = met.join(F.broadcast(hot), "minimizer", "left_semi").unionByName(met.join(all_hot, "minimizer", "left_anti").join(known, "minimizer", "left_semi"))
-    else:
-        met = met.join(known, "minimizer", "left_semi")
-    hits = met.groupBy("id").agg(F.count(F.lit(1)).alias("hits"), F.sum("n").alias("kmers")).filter(F.col("hits") >= least_groups)
-    if confidence > 0:
-        total = own.filter("minimizer IS NULL").groupBy("id").agg(F.sum("n").alias("total"))
-        hits = hits.join(total, "id").filter(F.col("kmers") >= confidence * F.col("total")).drop("total")
-    return hits.withColumnRenamed("id", id_col)
+    letters. Rows of one id, such as mates, count together; null sequences have none. All others are the unassigned ones.
+    Several questions are asked of one :func:`counted`."""
+    return assigned(counted(reads, index, id_col, seq, confidence > 0), least_groups, confidence)

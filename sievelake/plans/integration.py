@@ -247,11 +247,11 @@ def kmer_classification(t: Tables) -> DataFrame:
 
 @query(f"{_GROUPS} SELECT doc_id, hits, kmers, round(limits.c, 2) AS confidence FROM r, (VALUES (0.05::DOUBLE, 2), (0.25::DOUBLE, 5)) AS limits(c, n) WHERE hits >= n AND kmers >= c * total")
 def kmer_confidence(t: Tables) -> DataFrame:
-    """An index that is built once and opened for two questions."""
+    """An index that is built once and opened again, and two questions asked of one count."""
     documents, host = _as_reads(t)
-    at = host_index.build(host).path
-    asked = [host_index.classified(documents, host_index.reopened(t.spark, at), "doc_id", least_groups=n, confidence=c).withColumn("confidence", F.lit(c)) for c, n in ((0.05, 2), (0.25, 5))]
-    return asked[0].unionByName(asked[1])
+    counts = host_index.counted(documents, host_index.reopened(t.spark, host_index.build(host).path), "doc_id")
+    asked = counts.withColumn("q", F.explode(F.array(*[F.struct(F.lit(c).alias("confidence"), F.lit(n).alias("groups")) for c, n in ((0.05, 2), (0.25, 5))])))
+    return host_index.assigned(asked, F.col("q.groups"), F.col("q.confidence")).select("doc_id", "hits", "kmers", "q.confidence")
 
 
 @query("SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS succeeded, count(*) FILTER (WHERE o_orderstatus <> 'F') AS failed FROM orders")

@@ -153,6 +153,32 @@ def test_minimizers_against_plain_strings(spark):
     assert host_index.classified(df, host_index.build(refs.limit(0)), "id").count() == 0
 
 
+@pytest.mark.parametrize("sampled", [1, 256])
+def test_groups_of_reads_are_made_once(spark, monkeypatch, sampled):
+    """However many questions are asked, and whether minimizers are frequent or not: the plan looks at the reads once."""
+    rng = random.Random(7)
+    host = ["".join(rng.choice("ACGT") for _ in range(200)) for _ in range(2)]
+    made = [(k % 40, host[k % 2][k % 90 : k % 90 + 60] + "".join(rng.choice("ACGT") for _ in range(k % 50))) for k in range(120)] + [(99, "A" * 80)] * 40
+    df, refs = spark.createDataFrame(made, "id long, seq string"), spark.createDataFrame([(h,) for h in host], "seq string")
+    known = {x for h in host for x in reads.minimizers(h).tolist()}
+    want = {}
+    for i, s in made:
+        data = np.frombuffer(s.encode(), np.uint8)
+        _, found, n = host_index.groups(data, np.array([0, len(data)]))
+        met = np.array([x in known for x in found.tolist()])
+        want[i] = [a + int(b) for a, b in zip(want.get(i, [0, 0, 0]), (met.sum(), n[met].sum(), n.sum()), strict=True)]
+    monkeypatch.setattr(host_index, "SAMPLED", sampled)
+    monkeypatch.setattr(host_index, "HOT", 1 << 60)
+    monkeypatch.setattr(host_index, "CACHED", 500)
+    index = host_index.build(refs)
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    once = host_index.classified(df, index, "id", confidence=0.4)
+    assert plan(once) == 1 and {r.id: (r.hits, r.kmers) for r in once.collect()} == {i: (h, n) for i, (h, n, t) in want.items() if h >= 2 and n >= 0.4 * t}
+    few = host_index.classified(df, index, "id", least_groups=0)
+    assert plan(few) == 1 and {r.id: (r.hits, r.kmers) for r in few.collect()} == {i: (h, n) for i, (h, n, _) in want.items() if h}
+    assert {r.id: [r.hits, r.kmers, r.total] for r in host_index.counted(df, index, "id").collect()} == want
+
+
 def test_filter_drops_nothing_it_has():
     values = np.random.default_rng(1).integers(0, 1 << 62, 3000, np.uint64)
     for bits in (10, 16, 20):
